@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Unicode white space, written so that Java and RE2 regular expressions agree on it.
-SPACES = r"[\s\p{Z}\x1c-\x1f\x85]+"
+SPACES = r"[\s\x0b\p{Z}\x1c-\x1f\x85]+"
 # A word character is a letter, a digit or an underscore of any script; a token has at least two.
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 # Words of the collocation report: a word character followed by word characters or apostrophes.

@@ -52,13 +52,10 @@ def vocabulary(terms: DataFrame, max_terms: int = MAX_TERMS) -> DataFrame:
 
 
 def _term_totals(terms: DataFrame) -> DataFrame:
-    """(term, total, df) with one shuffle: each row counts its own repeats before rows are exploded."""
-    per_row = F.transform(
-        F.array_distinct("terms"),
-        lambda t: F.struct(t.alias("term"), F.size(F.filter("terms", lambda u: u == t)).alias("tf")),
-    )
-    exploded = terms.select(F.inline(per_row))
-    return exploded.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
+    """(term, total, df). Rows are placed by id first, so counting per (id, term) needs no further shuffle."""
+    placed = terms.repartition("id")
+    per_row = placed.select("id", F.explode("terms").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    return per_row.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
 
 
 def tfidf(terms: DataFrame, vocab: DataFrame, max_terms: int = MAX_TERMS) -> DataFrame:
