@@ -75,6 +75,7 @@ QUERIES = {f.__name__: f for f in (
     extracted_subtopics, title_term_frequencies,
 )}
 
+_WORD = WORD.replace("'", "''")
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 _GRAMS = " UNION ALL ".join(
     f"SELECT id, array_to_string(words[i:i + {n - 1}], ' ') AS term "
@@ -120,7 +121,7 @@ SQL = {
         coalesce((SELECT string_agg(title, ' | ' ORDER BY rank) FROM top_titles t WHERE t.subtopic = s.subtopic), '') AS titles
       FROM sizes s""",
     "title_term_frequencies": f"""WITH titles AS (SELECT doc_id AS id, {SQL_TITLE} AS title FROM documents),
-      found AS (SELECT regexp_extract_all(lower(title), '{WORD}') AS words FROM titles),
+      found AS (SELECT regexp_extract_all(lower(title), '{_WORD}') AS words FROM titles),
       words AS (SELECT word, count(*) AS c FROM (SELECT unnest(words) AS word FROM found)
         WHERE word NOT IN ({_STOP}) GROUP BY word),
       pairs AS (SELECT a, b, count(*) AS both_n FROM (

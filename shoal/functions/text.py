@@ -74,14 +74,18 @@ def tokens(col: Column, stop_words: list[str]) -> Column:
 
 
 def ngrams(words: Column, low: int, high: int) -> Column:
-    """All n-grams with low <= n <= high, words joined by one space."""
+    """All n-grams with low <= n <= high, words joined by one space.
 
-    def of_size(n: int) -> Column:
-        starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1)))
-        return F.coalesce(
-            F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(n)), " ")),
-            F.array().cast("array<string>"),
-        )
+    Each word is zipped with the words after it, so the work is linear in the number of words.
+    """
+    size = F.size(words)
+    shifted = F.arrays_zip(*[F.slice(words, i + 1, size).alias(f"w{i}") for i in range(high)])
+
+    def starting_here(z: Column) -> Column:
+        grams = [
+            F.when(z[f"w{n - 1}"].isNotNull(), F.concat_ws(" ", *[z[f"w{i}"] for i in range(n)]))
+            for n in range(low, high + 1)
+        ]
+        return F.array_compact(F.array(*grams))
 
-    sizes = [words if n == 1 else of_size(n) for n in range(low, high + 1)]
-    return F.concat(*sizes)
+    return F.flatten(F.transform(shifted, starting_here))

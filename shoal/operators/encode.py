@@ -72,10 +72,19 @@ def quarantine(embedded: DataFrame) -> DataFrame:
     return embedded.filter(F.col("error").isNotNull()).select("id", "error")
 
 
+def exploded(df: DataFrame, array_col: str, name: str) -> DataFrame:
+    """(id, name): one row per array entry.
+
+    The outer form is used because for the inner one Spark infers a filter on the array's size and pushes it down,
+    which would compute the array once more per row, inside every lambda that refers to it.
+    """
+    return df.select("id", F.explode_outer(array_col).alias(name)).filter(F.col(name).isNotNull())
+
+
 def term_counts(tokens: DataFrame) -> DataFrame:
     """(id, term, tf) from `tokens(id, words array<string>)`."""
     placed = tokens.repartition("id")
-    return placed.select("id", F.explode("words").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    return exploded(placed, "words", "term").groupBy("id", "term").agg(F.count("*").alias("tf"))
 
 
 def smooth_idf(df_col, n_docs: int):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from shoal.functions.text import WORD, ngrams, tokens
 from shoal.operators.clusters import top_n_per_group
-from shoal.operators.encode import smooth_idf
+from shoal.operators.encode import exploded, smooth_idf
 from shoal.session import BROADCAST_ROWS, checkpoint
 
 # Fixed values of the breakdown.
@@ -54,7 +54,7 @@ def vocabulary(terms: DataFrame, max_terms: int = MAX_TERMS) -> DataFrame:
 def _term_totals(terms: DataFrame) -> DataFrame:
     """(term, total, df). Rows are placed by id first, so counting per (id, term) needs no further shuffle."""
     placed = terms.repartition("id")
-    per_row = placed.select("id", F.explode("terms").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    per_row = exploded(placed, "terms", "term").groupBy("id", "term").agg(F.count("*").alias("tf"))
     return per_row.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
 
 
@@ -64,7 +64,7 @@ def tfidf(terms: DataFrame, vocab: DataFrame, max_terms: int = MAX_TERMS) -> Dat
     side = F.broadcast(side) if max_terms <= BROADCAST_ROWS else side
     placed = terms.repartition("id")
     counts = (
-        placed.select("id", F.explode("terms").alias("term")).join(side, "term")
+        exploded(placed, "terms", "term").join(side, "term")
         .groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("idf").alias("idf"))
     )
     raw = counts.withColumn("_w", F.col("tf") * F.col("idf"))
@@ -146,13 +146,14 @@ def term_frequencies(titles: DataFrame, stop_words: list[str], n: int = CLOUD_TE
     off the counts of its two words.
     """
     found = F.regexp_extract_all(F.lower("title"), F.lit(f"({WORD})"), F.lit(1))
-    rows = titles.select(found.alias("words"))
+    rows = titles.select("id", found.alias("words"))
     keep = ~F.col("word").isin(list(stop_words)) if stop_words else F.lit(True)
-    words = rows.select(F.explode("words").alias("word")).filter(keep).groupBy("word").agg(F.count("*").alias("c"))
-    pairs = rows.filter(F.size("words") > 1).select(F.explode(F.transform(
-        F.sequence(F.lit(1), F.size("words") - 1),
-        lambda i: F.struct(F.element_at("words", i).alias("a"), F.element_at("words", i + 1).alias("b")),
-    )).alias("p")).select("p.a", "p.b")
+    words = exploded(rows, "words", "word").filter(keep).groupBy("word").agg(F.count("*").alias("c"))
+    size = F.size("words")
+    neighbours = F.arrays_zip(
+        F.slice("words", 1, size - 1).alias("a"), F.slice("words", 2, size - 1).alias("b"))
+    zipped = rows.select("id", F.when(size > 1, neighbours).alias("pairs"))
+    pairs = exploded(zipped, "pairs", "p").select(F.col("p.a").alias("a"), F.col("p.b").alias("b"))
     if stop_words:
         pairs = pairs.filter(~F.col("a").isin(list(stop_words)) & ~F.col("b").isin(list(stop_words)))
     pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("both"))
