@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shoal.functions.text import SPACES, first_line, strip_markup
 from shoal.functions.vectors import normalise
+from shoal.session import spread
 
 KS = [5, 10, 20]
 SEED = 42
@@ -16,6 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text), for the text-heavy queries."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, vec) of the embeddings, unit length."""
     raw = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
@@ -31,7 +37,7 @@ def given_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, title): the first line of each document."""
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         F.col("doc_id").alias("id"), strip_markup(first_line(F.col("text"))).alias("title"))
 
 

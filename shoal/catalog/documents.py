@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from shoal.catalog.common import (
-    SQL_META, SQL_TITLE, meta, sql_bits, sql_spaces, sql_strip, sql_strip_code, table, titles, vectors,
+    SQL_META, SQL_TITLE, documents, meta, sql_bits, sql_spaces, sql_strip, sql_strip_code, table, titles, vectors,
 )
 from shoal.functions.text import (
     TOKEN, first_line, strip_markup, strip_markup_and_code_spans, strip_markup_dropping_code, tokens,
@@ -15,7 +15,7 @@ from shoal.operators import documents as docs
 from shoal.operators.encode import embed, hashed_tfidf
 from shoal.operators.ordering import with_row_id
 from shoal.operators.sampling import head
-from shoal.session import scratch_path
+from shoal.session import scratch_path, spread
 from shoal.sources import schemas, tables
 
 DIMS = 64
@@ -36,15 +36,15 @@ def nonempty_titles(spark, sf_dir):
 
 
 def page_text_without_code(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", strip_markup_dropping_code(F.col("html")).alias("text"))
+    return spread(table(spark, sf_dir, "pages"), "page_id").select("page_id", strip_markup_dropping_code(F.col("html")).alias("text"))
 
 
 def page_text_without_spans(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", strip_markup_and_code_spans(F.col("html")).alias("text"))
+    return spread(table(spark, sf_dir, "pages"), "page_id").select("page_id", strip_markup_and_code_spans(F.col("html")).alias("text"))
 
 
 def page_text_light(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", strip_markup(F.col("html")).alias("text"))
+    return spread(table(spark, sf_dir, "pages"), "page_id").select("page_id", strip_markup(F.col("html")).alias("text"))
 
 
 def _corpus(spark, sf_dir):
@@ -58,7 +58,7 @@ def _corpus(spark, sf_dir):
         replies = F.transform(F.slice(sentences, 2, 1 << 30), as_body)
         return F.struct(sentences[0].alias("body"), replies.alias("comments"))
 
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("question_id"), lines.alias("lines")).select(
+    return documents(spark, sf_dir).select(F.col("doc_id").alias("question_id"), lines.alias("lines")).select(
         "question_id", F.get("lines", F.lit(0)).alias("title"), F.get("lines", F.lit(1)).alias("body"),
         F.transform(F.slice("lines", 3, 2), as_body).alias("comments"),
         F.transform(F.slice("lines", 5, 1 << 30), answer).alias("answers"),
@@ -102,7 +102,7 @@ def flat_conversations(spark, sf_dir):
         F.concat(F.lit("问题评论"), number))
     text = strip_markup_and_code_spans(F.col("text"))
     part = F.when(text != "", F.concat(prefix, F.lit(": "), text)).otherwise("")
-    parts = table(spark, sf_dir, "conversations").select("conv_id", "turn", part.alias("part"))
+    parts = spread(table(spark, sf_dir, "conversations"), "conv_id").select("conv_id", "turn", part.alias("part"))
     return docs.combine_flat(parts, "conv_id", "turn", "part")
 
 
@@ -151,7 +151,7 @@ def embedded_documents(spark, sf_dir):
 
 
 def hashed_document_vectors(spark, sf_dir):
-    words = table(spark, sf_dir, "documents").select(
+    words = documents(spark, sf_dir).select(
         F.col("doc_id").alias("id"), tokens(F.col("text"), []).alias("words"))
     return hashed_tfidf(words, DIMS).select("id", F.posexplode("vec").alias("j", "x")).select(
         "id", F.col("j").cast("long"), F.round("x", 6).alias("x"))

@@ -86,8 +86,8 @@ QUERIES = {
     "metric_silhouette": _one("silhouette", lambda ev: ev.silhouette(SAMPLE, SEED)),
     "metric_dbi": _one("dbi", lambda ev: ev.dbi()),
     "metric_chi": _one("chi", lambda ev: ev.chi()),
-    "metric_dunn": _one("dunn", lambda ev: ev.cohesion_and_dunn()),
-    "metric_cohesion": _one("cohesion", lambda ev: ev.cohesion_and_dunn()),
+    "metric_dunn": _one("dunn", lambda ev: ev.dunn()),
+    "metric_cohesion": _one("cohesion", lambda ev: ev.cohesion()),
     "metric_separation": _one("separation", lambda ev: ev.separation()),
     "metric_cosine_intra": _one("cosine_intra", lambda ev: ev.cosine_intra()),
     "metric_cosine_inter": _one("cosine_inter", lambda ev: ev.cosine_inter()),

@@ -128,15 +128,14 @@ def centroids(labelled: Labelled) -> DataFrame:
     return sums.select("lab", "cluster_id", "n", mean)
 
 
-def spreads(labelled: Labelled, means: DataFrame, limit_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def spreads(labelled: Labelled, means: DataFrame, sizes: dict[int, int], limit_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(lab, cluster_id, n, sum_dist, sum_sq, sum_cos) of the rows against their own centroid.
 
-    `means` is the materialised table of `centroids`. It is measured per labeling and shipped in groups of
+    `means` is the materialised table of `centroids` and `sizes` its bytes per labeling. It is shipped in groups of
     labelings that fit `limit_bytes`; a single labeling beyond that joins its centroids by key.
     """
-    sizes = means.groupBy("lab").agg((F.count("*") * F.max(F.size("vec")) * 8).alias("b")).collect()
     chunks, current, held, parts = [], [], 0, []
-    for lab, cost in sorted((r["lab"], r["b"]) for r in sizes):
+    for lab, cost in sorted(sizes.items()):
         if cost > limit_bytes:
             parts.append(_spread_by_join(labelled, lab, means))
             continue
@@ -166,9 +165,13 @@ def _against(x: np.ndarray, m: np.ndarray) -> np.ndarray:
 
 
 def _spread_by_broadcast(labelled: Labelled, means: DataFrame) -> DataFrame:
-    table = means.select("lab", "cluster_id", "vec").orderBy("lab", "cluster_id").toArrow()
+    table = means.select("lab", "cluster_id", "vec").toArrow()
     labs, ids, matrix = values(table.column("lab")), values(table.column("cluster_id")), block(table.column("vec"))
-    tables = {int(lab): (ids[labs == lab], matrix[labs == lab]) for lab in np.unique(labs)}
+    tables = {}
+    for lab in np.unique(labs):
+        mine = np.flatnonzero(labs == lab)
+        mine = mine[np.argsort(ids[mine])]
+        tables[int(lab)] = (ids[mine], matrix[mine])
     shipped = labelled.rows.sparkSession.sparkContext.broadcast(tables)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shoal.functions.text import strip_markup_and_code_spans, strip_markup_dropping_code
+from shoal.session import computed_once
 
 # Separator of title and body, part prefixes of a combined document, length limits.
 TITLE_BODY_SEPARATOR = " [SEP] "
@@ -57,32 +58,34 @@ def _numbered(template: str, *numbers: Column) -> Column:
     return F.concat(*out, F.lit(rest))
 
 
-def _part(prefix: Column, text: Column) -> Column:
-    return F.when(text != "", F.concat(prefix, text)).otherwise(F.lit(""))
+def _labelled(texts: Column, prefix) -> Column:
+    """Prefix every non-empty text; `prefix(i)` gives the prefix of 0-based position i."""
+    return F.transform(texts, lambda t, i: F.when(t != "", F.concat(prefix(i), t)).otherwise(F.lit("")))
 
 
 def combine_nested(title: Column, body: Column, comments: Column, answers: Column, clean=strip_markup_and_code_spans) -> Column:
     """All text of a nested document: title, body, comments, each answer followed by its comments.
 
-    Numbers are the original 1-based positions, so an empty part leaves a gap; empty parts are dropped.
+    Numbers are the original 1-based positions, so an empty part leaves a gap; empty parts are dropped. Every text
+    is cleaned once, in a first pass over the arrays; the second pass only adds the prefixes.
     """
     no_parts = F.array().cast("array<string>")
 
-    def comment(c: Column, i: Column) -> Column:
-        return _part(_numbered(COMMENT_PREFIX, i + 1), clean(c["body"]))
+    def answer(texts: Column, j: Column) -> Column:
+        def prefix(m: Column) -> Column:
+            return F.when(m == 0, _numbered(ANSWER_PREFIX, j + 1)).otherwise(
+                _numbered(ANSWER_COMMENT_PREFIX, j + 1, m))
 
-    def answer(a: Column, j: Column) -> Column:
-        own = F.array(_part(_numbered(ANSWER_PREFIX, j + 1), clean(a["body"])))
-        replies = F.transform(
-            a["comments"],
-            lambda c, k: _part(_numbered(ANSWER_COMMENT_PREFIX, j + 1, k + 1), clean(c["body"])),
-        )
-        return F.concat(own, F.coalesce(replies, no_parts))
+        return _labelled(texts, prefix)
 
+    heads = _labelled(F.array(clean(title), clean(body)), lambda i: F.when(i == 0, TITLE_PREFIX).otherwise(BODY_PREFIX))
+    cleaned_comments = F.transform(comments, lambda c: clean(c["body"]))
+    cleaned_answers = F.transform(answers, lambda a: F.concat(
+        F.array(clean(a["body"])), F.coalesce(F.transform(a["comments"], lambda c: clean(c["body"])), no_parts)))
     parts = F.concat(
-        F.array(_part(F.lit(TITLE_PREFIX), clean(title)), _part(F.lit(BODY_PREFIX), clean(body))),
-        F.coalesce(F.transform(comments, comment), no_parts),
-        F.coalesce(F.flatten(F.transform(answers, answer)), no_parts),
+        heads,
+        F.coalesce(_labelled(cleaned_comments, lambda i: _numbered(COMMENT_PREFIX, i + 1)), no_parts),
+        F.coalesce(F.flatten(F.transform(cleaned_answers, answer)), no_parts),
     )
     return F.array_join(F.filter(parts, lambda p: p != ""), " ")
 
@@ -101,18 +104,15 @@ def truncate(text: Column, title: Column | None = None, limit: int = MAX_LENGTH)
 
 def full_documents(corpus: DataFrame) -> DataFrame:
     """(question_id, title, answer_count, text_length, full_text) of every document long enough to encode."""
-    title = strip_markup_and_code_spans(F.col("title"))
-    combined = combine_nested(F.col("title"), F.col("body"), F.col("comments"), F.col("answers"))
-    docs = corpus.select(
-        "question_id", title.alias("title"), F.coalesce(F.size("answers"), F.lit(0)).alias("n_answers"),
-        combined.alias("combined"),
-    ).select(
-        "question_id", "title", F.greatest("n_answers", F.lit(0)).alias("answer_count"),
-        truncate(F.col("combined"), F.col("title")).alias("full_text"),
+    docs = computed_once(
+        corpus,
+        title=strip_markup_and_code_spans(F.col("title")),
+        answer_count=F.greatest(F.coalesce(F.size("answers"), F.lit(0)), F.lit(0)),
+        combined=combine_nested(F.col("title"), F.col("body"), F.col("comments"), F.col("answers")),
     )
-    return longer_than(docs.select(
-        "question_id", "title", "answer_count", F.length("full_text").alias("text_length"), "full_text"
-    ))
+    docs = computed_once(docs, full_text=truncate(F.col("combined"), F.col("title")))
+    return longer_than(docs).select(
+        "question_id", "title", "answer_count", F.length("full_text").alias("text_length"), "full_text")
 
 
 def metadata(documents: DataFrame) -> DataFrame:
@@ -126,7 +126,7 @@ def combine_flat(parts: DataFrame, id_col: str, order_col: str, part_col: str, l
     are gathered (the rank limit is applied before the shuffle too); the full length comes from a plain sum. An id
     with very many parts therefore never gathers into one row.
     """
-    kept = parts.filter(F.col(part_col) != "").select(id_col, order_col, F.col(part_col).alias("_part"))
+    kept = computed_once(parts.select(id_col, order_col, part_col), _part=F.col(part_col)).filter("_part <> ''")
     lengths = kept.groupBy(id_col).agg((F.sum(F.length("_part") + 1) - 1).alias("full_length"))
     window = _window(id_col).orderBy(order_col)
     leading = kept.withColumn("_rn", F.row_number().over(window)).filter(F.col("_rn") <= limit)

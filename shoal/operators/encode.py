@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from shoal.functions.hashing import leading_bits
 from shoal.functions.vectors import list_column, values
+from shoal.session import checkpoint
 
-HOT_TERMS = 20_000
+HOT_TERMS = 500_000
 
 
 def embed(df: DataFrame, make_encoder: Callable[[], Callable[[list[str]], np.ndarray]], text: str = "text",
@@ -95,16 +96,19 @@ def smooth_idf(df_col, n_docs: int):
 def with_idf(counts: DataFrame, n_docs: int, hot_terms: int = HOT_TERMS) -> DataFrame:
     """Add `df` and `idf` to `counts(id, term, tf)`.
 
-    A common word occurs in most documents, so a plain join on the term would put all its rows in one task. The
-    `hot_terms` most common terms (a bounded table) are shipped; only rarer ones are shuffled.
+    A common word occurs in most documents, so a plain join on the term would put all its rows in one task. A
+    vocabulary of up to `hot_terms` terms is shipped whole; of a larger one the most common `hot_terms` are shipped,
+    and only rows of rarer terms are shuffled.
     """
-    per_term = counts.groupBy("term").agg(F.count("*").alias("df"))
+    per_term = checkpoint(counts.groupBy("term").agg(F.count("*").alias("df")))
     per_term = per_term.withColumn("idf", smooth_idf(F.col("df"), n_docs))
+    columns = ["id", "term", "tf", "df", "idf"]
+    if per_term.count() <= hot_terms:
+        return counts.join(F.broadcast(per_term), "term").select(*columns)
     hot = per_term.orderBy(F.col("df").desc(), "term").limit(hot_terms)
     with_hot = counts.join(F.broadcast(hot), "term", "left")
     known = with_hot.filter(F.col("idf").isNotNull())
     rare = with_hot.filter(F.col("idf").isNull()).select("id", "term", "tf").join(per_term, "term")
-    columns = ["id", "term", "tf", "df", "idf"]
     return known.select(*columns).unionByName(rare.select(*columns))
 
 

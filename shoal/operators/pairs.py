@@ -17,10 +17,16 @@ from shoal.session import BROADCAST_ROWS
 TILE_ROWS = 4096
 
 
-def tile_pairs(df: DataFrame, group_cols: list[str], id_cols: list[str], tile_rows: int = TILE_ROWS) -> DataFrame:
-    """Send every row to each unordered pair (`ta` <= `tb`) of its group's tiles that contains its own tile."""
-    sizes = df.groupBy(*group_cols).agg(F.count("*").alias("_n")).filter(F.col("_n") > tile_rows)
-    large = sizes.select(*group_cols, F.ceil(F.col("_n") / tile_rows).cast("int").alias("_tiles"))
+def tile_pairs(df: DataFrame, group_cols: list[str], id_cols: list[str], tile_rows: int = TILE_ROWS,
+               sizes: DataFrame | None = None) -> DataFrame:
+    """Send every row to each unordered pair (`ta` <= `tb`) of its group's tiles that contains its own tile.
+
+    `sizes(group_cols..., n)` saves counting the groups again. Only groups of more than one tile are looked up.
+    """
+    if sizes is None:
+        sizes = df.groupBy(*group_cols).agg(F.count("*").alias("n"))
+    large = sizes.filter(F.col("n") > tile_rows).select(
+        *group_cols, F.ceil(F.col("n") / tile_rows).cast("int").alias("_tiles"))
     n_large = large.count()
     if n_large == 0:
         zero = F.lit(0)
@@ -44,7 +50,8 @@ def split_tiles(table: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
     return np.flatnonzero(tile == ta), np.flatnonzero(tile == tb), ta == tb
 
 
-def within_group_distances(df: DataFrame, group_cols: list[str], tile_rows: int = TILE_ROWS) -> DataFrame:
+def within_group_distances(df: DataFrame, group_cols: list[str], tile_rows: int = TILE_ROWS,
+                           sizes: DataFrame | None = None) -> DataFrame:
     """(group, pair_sum, pair_max): over all ordered pairs of a group's rows, the self pairs included.
 
     `df(group_cols..., id, vec)`. The number of pairs is the squared group size, which the caller already has.
@@ -68,6 +75,6 @@ def within_group_distances(df: DataFrame, group_cols: list[str], tile_rows: int
         keys = {c: table.column(c).slice(0, 1) for c in group_cols}
         return pa.table({**keys, "pair_sum": [total if same else 2.0 * total], "pair_max": [largest]})
 
-    tiles = tile_pairs(df.select(*group_cols, "id", "vec"), group_cols, ["id"], tile_rows)
+    tiles = tile_pairs(df.select(*group_cols, "id", "vec"), group_cols, ["id"], tile_rows, sizes)
     partials = tiles.groupBy(*group_cols, "ta", "tb").applyInArrow(partial, f"{fields}, pair_sum double, pair_max double")
     return partials.groupBy(*group_cols).agg(F.sum("pair_sum").alias("pair_sum"), F.max("pair_max").alias("pair_max"))

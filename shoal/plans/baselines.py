@@ -177,7 +177,7 @@ def _draw(vectors: DataFrame, rows: np.ndarray, seed: str, factor: float) -> pa.
 
     with_u = vectors.select(F.col("id").cast("long"), F.col("vec").cast("array<double>").alias("vec"),
                             uniform(F.col("id"), seed).alias("u"))
-    return with_u.mapInArrow(pick, "id long, vec array<double>").orderBy("id").toArrow()
+    return with_u.mapInArrow(pick, "id long, vec array<double>").toArrow()
 
 
 def _weighted_choice(rows: np.ndarray, weights: np.ndarray, k: int, seed) -> np.ndarray:

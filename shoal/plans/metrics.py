@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,7 +52,7 @@ class Evaluation:
 
     def _start(self, labelled: Labelled, tile_rows: int, limit_bytes: int) -> None:
         self.labelled, self.tile_rows, self.limit_bytes = labelled, tile_rows, limit_bytes
-        self._means = self._stats = self._between = None
+        self._means = self._sizes = self._stats = None
 
     @property
     def means(self) -> DataFrame:
@@ -60,60 +61,67 @@ class Evaluation:
             self._means = checkpoint(centroids(self.labelled))
         return self._means
 
+    @property
+    def sizes(self) -> dict:
+        """Per labeling: number of clusters, rows and bytes of the centroid table."""
+        if self._sizes is None:
+            totals = self.means.groupBy("lab").agg(
+                F.count("*").alias("clusters"), F.sum("n").alias("rows"), F.max(F.size("vec")).alias("d"))
+            self._sizes = {
+                r["lab"]: (r["clusters"], r["rows"], r["clusters"] * r["d"] * 8) for r in totals.collect()
+            }
+        return self._sizes
+
     @property
     def stats(self) -> DataFrame:
         """`means` with the distance and cosine sums of the rows around each centroid."""
         if self._stats is None:
-            spread = spreads(self.labelled, self.means, self.limit_bytes).drop("n")
+            cost = {lab: size for lab, (_, _, size) in self.sizes.items()}
+            spread = spreads(self.labelled, self.means, cost, self.limit_bytes).drop("n")
             self._stats = checkpoint(self.means.join(spread, ["lab", "cluster_id"]))
         return self._stats
 
     def check_cluster_counts(self) -> None:
         """Silhouette, DBI and CHI exist only for 2 <= clusters <= rows - 1."""
-        bad = (
-            self.means.groupBy("lab").agg(F.count("*").alias("clusters"), F.sum("n").alias("rows"))
-            .filter((F.col("clusters") < 2) | (F.col("clusters") > F.col("rows") - 1)).collect()
-        )
+        bad = [lab for lab, (clusters, rows, _) in self.sizes.items() if clusters < 2 or clusters > rows - 1]
         if bad:
-            names = [self.labelled.labelings[r["lab"]] for r in bad]
+            names = [self.labelled.labelings[lab] for lab in bad]
             raise ValueError(f"need 2 <= number of clusters <= rows - 1, not so for {names}")
 
     # -- centroid level ---------------------------------------------------------------------------------------
 
-    @property
     def between(self) -> DataFrame:
-        """(lab, clusters, dbi_mean, dist_sum, min_dist_multi): all ordered centroid pairs of each labeling.
+        """(lab, dbi, separation, min_dist_multi) from all ordered centroid pairs of each labeling.
 
         The centroids of a labeling are tiled like any other group, so the pair work is spread over tasks.
         """
-        if self._between is None:
-            cols = self.stats.select("lab", "cluster_id", "n", "vec", (F.col("sum_dist") / F.col("n")).alias("spread"))
-            per_centroid = (
-                tile_pairs(cols, ["lab"], ["cluster_id"], self.tile_rows)
-                .groupBy("lab", "ta", "tb").applyInArrow(_centroid_pairs, _CENTROID_SCHEMA)
-                .groupBy("lab", "cluster_id")
-                .agg(F.max("ratio").alias("ratio"), F.sum("dist_sum").alias("dist_sum"),
-                     F.min("min_dist_multi").alias("min_dist_multi"), F.max("max_dist").alias("max_dist"),
-                     F.max("spread").alias("spread"))
-            )
-            # All spreads or all centroid distances near zero: the index is 0, by definition.
-            flat = (F.max("spread") <= 1e-8) | (F.max("max_dist") <= 1e-8)
-            self._between = checkpoint(per_centroid.groupBy("lab").agg(
-                F.count("*").alias("clusters"),
-                F.when(flat, F.lit(0.0)).otherwise(F.avg("ratio")).alias("dbi_mean"),
-                F.sum("dist_sum").alias("dist_sum"),
-                F.min("min_dist_multi").alias("min_dist_multi"),
-            ))
-        return self._between
+        cols = self.stats.select("lab", "cluster_id", "n", "vec", (F.col("sum_dist") / F.col("n")).alias("spread"))
+        counts = [(lab, clusters) for lab, (clusters, _, _) in self.sizes.items()]
+        counts = self.means.sparkSession.createDataFrame(counts, "lab int, n long")
+        per_centroid = (
+            tile_pairs(cols, ["lab"], ["cluster_id"], self.tile_rows, counts)
+            .groupBy("lab", "ta", "tb").applyInArrow(_centroid_pairs, _CENTROID_SCHEMA)
+            .groupBy("lab", "cluster_id")
+            .agg(F.max("ratio").alias("ratio"), F.sum("dist_sum").alias("dist_sum"),
+                 F.min("min_dist_multi").alias("min_dist_multi"), F.max("max_dist").alias("max_dist"),
+                 F.max("spread").alias("spread"))
+        )
+        # All spreads or all centroid distances near zero: the index is 0, by definition.
+        flat = (F.max("spread") <= 1e-8) | (F.max("max_dist") <= 1e-8)
+        clusters = F.count("*")
+        return per_centroid.groupBy("lab").agg(
+            F.when(flat, F.lit(0.0)).otherwise(F.avg("ratio")).alias("dbi"),
+            F.when(clusters >= 2, F.sum("dist_sum") / (clusters * (clusters - 1)))
+            .otherwise(F.lit(float("nan"))).alias("separation"),
+            F.min("min_dist_multi").alias("min_dist_multi"),
+        )
 
     def dbi(self) -> DataFrame:
         self.check_cluster_counts()
-        return self.between.select("lab", F.col("dbi_mean").alias("dbi"))
+        return self.between().select("lab", "dbi")
 
     def separation(self) -> DataFrame:
-        pairs = F.col("clusters") * (F.col("clusters") - 1)
-        value = F.when(F.col("clusters") >= 2, F.col("dist_sum") / pairs).otherwise(F.lit(float("nan")))
-        return self.between.select("lab", value.alias("separation"))
+        return self.between().select("lab", "separation")
 
     def chi(self) -> DataFrame:
         """Between-cluster over within-cluster dispersion, each by its degrees of freedom."""
@@ -159,22 +167,31 @@ class Evaluation:
     def within_pairs(self) -> DataFrame:
         """(lab, cluster_id, n, pair_sum, pair_max) for clusters of more than one row."""
         exploded = self.labelled.rows.select("id", "vec", F.inline("labs"))
-        sums = within_group_distances(exploded, ["lab", "cluster_id"], self.tile_rows)
+        sums = within_group_distances(exploded, ["lab", "cluster_id"], self.tile_rows, self.means)
         return self.means.filter("n > 1").select("lab", "cluster_id", "n").join(sums, ["lab", "cluster_id"])
 
-    def cohesion_and_dunn(self) -> DataFrame:
-        """Cohesion pools all ordered pairs of all multi-row clusters; Dunn is nearest centroids over widest cluster."""
+    def pair_metrics(self) -> DataFrame:
+        """(lab, dbi, separation, cohesion, dunn).
+
+        Cohesion pools all ordered pairs of all multi-row clusters; Dunn is nearest centroids over widest cluster.
+        """
         per_lab = self.within_pairs().groupBy("lab").agg(
             (F.sum("pair_sum") / F.sum(F.col("n") * F.col("n"))).alias("cohesion"),
             F.max("pair_max").alias("widest"), F.count("*").alias("multi"),
         )
         nan = F.lit(float("nan"))
         valid = (F.col("multi") >= 2) & (F.col("widest") > 0)
-        return self.between.select("lab", "min_dist_multi").join(per_lab, "lab", "left").select(
-            "lab", F.coalesce("cohesion", nan).alias("cohesion"),
+        return self.between().join(per_lab, "lab", "left").select(
+            "lab", "dbi", "separation", F.coalesce("cohesion", nan).alias("cohesion"),
             F.when(valid, F.col("min_dist_multi") / F.col("widest")).otherwise(nan).alias("dunn"),
         )
 
+    def cohesion(self) -> DataFrame:
+        return self.pair_metrics().select("lab", "cohesion")
+
+    def dunn(self) -> DataFrame:
+        return self.pair_metrics().select("lab", "dunn")
+
     def silhouette(self, sample_size: int = SILHOUETTE_SAMPLE, seed=42, metric: str = "euclidean") -> DataFrame:
         self.check_cluster_counts()
         return sampled_silhouette(self.labelled, sample_size, seed, metric)
@@ -184,8 +201,8 @@ class Evaluation:
     def table(self, sample_size: int = SILHOUETTE_SAMPLE, seed=42) -> DataFrame:
         """One row per labeling with the nine metrics, `k` and `variant`."""
         out = self.labelled.labeling_table()
-        for part in (self.silhouette(sample_size, seed), self.dbi(), self.chi(), self.cohesion_and_dunn(),
-                     self.separation(), self.cosine_intra(), self.cosine_inter(), self.singleton_ratio()):
+        for part in (self.silhouette(sample_size, seed), self.chi(), self.pair_metrics(), self.cosine_intra(),
+                     self.cosine_inter(), self.singleton_ratio()):
             out = out.join(part, "lab", "left")
         return out.select(*METRICS, "k", "variant")
 
@@ -251,7 +268,8 @@ def sampled_silhouette(labelled: Labelled, sample_size: int, seed=42, metric: st
     spark = labelled.rows.sparkSession
     ids = sample_ids(labelled.rows, sample_size, seed)
     rows = labelled.rows.join(F.broadcast(ids) if sample_size <= BROADCAST_ROWS else ids, "id", "left_semi")
-    table = rows.orderBy("id").toArrow().combine_chunks()
+    table = rows.toArrow().combine_chunks()
+    table = table.take(pa.array(np.argsort(values(table.column("id"))))).combine_chunks()
     n = table.num_rows
     x = block(table.column("vec"))
     if x.nbytes > BROADCAST_BYTES:
@@ -310,8 +328,16 @@ def _silhouette_sum(dist: np.ndarray, mine: np.ndarray, names: np.ndarray, missi
 
 
 def evaluate(vectors: DataFrame, assignments: DataFrame, sample_size: int = SILHOUETTE_SAMPLE, seed=42) -> DataFrame:
-    """The metric table of every labeling in `assignments`; the vectors are expected to be normalised."""
-    return Evaluation(vectors, assignments).table(sample_size, seed)
+    """The metric table of every labeling in `assignments`; the vectors are expected to be normalised.
+
+    The labelled vectors are read four times, so they are kept for the duration of the call.
+    """
+    labelled = with_labels(vectors, assignments)
+    labelled.rows.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return checkpoint(Evaluation.of(labelled).table(sample_size, seed))
+    finally:
+        labelled.rows.unpersist()
 
 
 def main_only(metrics: DataFrame) -> DataFrame:

@@ -9,8 +9,9 @@ from shoal.plans.metrics import HIGHER_IS_BETTER, METRICS
 
 
 def unpivot(metrics: DataFrame) -> DataFrame:
-    """(k, variant, metric, value)"""
-    return metrics.unpivot(["k", "variant"], METRICS, "metric", "value")
+    """(k, variant, metric, value); an undefined metric (NaN) is null, so that it never ranks first."""
+    long = metrics.unpivot(["k", "variant"], METRICS, "metric", "value")
+    return long.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
 
 
 def _signed() -> Column:
@@ -29,7 +30,7 @@ def scaled(metrics: DataFrame) -> DataFrame:
 
 def ranked(metrics: DataFrame) -> DataFrame:
     """(k, variant, metric, value, rank): rank 1 is best, equal values share a rank."""
-    window = Window.partitionBy("k", "metric").orderBy(F.col("_s").desc())
+    window = Window.partitionBy("k", "metric").orderBy(F.col("_s").desc_nulls_last())
     long = unpivot(metrics).withColumn("_s", _signed())
     return long.withColumn("rank", F.rank().over(window)).drop("_s")
 

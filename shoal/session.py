@@ -53,3 +53,25 @@ def checkpoint(df):
     """Materialise `df` in the shared folder, so that lost executors only cost a re-read."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df, key: str):
+    """Use all cores on an input that is read in fewer partitions than there are cores; else leave it alone.
+
+    Large inputs come in many splits and pass unchanged, so no shuffle is added to them.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
+def computed_once(df, **columns):
+    """Add computed columns behind a generator, which filters and projections are not merged into.
+
+    Spark pushes a filter on a computed column below the projection and so repeats its expression in the filter,
+    once per reference; for chains of regular expressions that multiplies the work.
+    """
+    from pyspark.sql import functions as F
+
+    row = F.struct(*[expression.alias(name) for name, expression in columns.items()])
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline_outer(F.array(row)))
