@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from shoal.functions.text import WORD, ngrams, tokens
 from shoal.operators.clusters import top_n_per_group
 from shoal.operators.encode import exploded, smooth_idf
-from shoal.session import BROADCAST_ROWS, checkpoint
+from shoal.session import BROADCAST_ROWS, checkpoint, computed_once
 
 # Fixed values of the breakdown.
 NGRAM_RANGE = (1, 5)
@@ -31,8 +31,8 @@ def english_stop_words() -> list[str]:
 
 def title_terms(titles: DataFrame, stop_words: list[str]) -> DataFrame:
     """(id, terms array<string>): all 1- to 5-grams of the title tokens, stop words removed first."""
-    words = titles.select("id", tokens(F.col("title"), stop_words).alias("words"))
-    return words.select("id", ngrams(F.col("words"), *NGRAM_RANGE).alias("terms"))
+    words = computed_once(titles.select("id", "title"), words=tokens(F.col("title"), stop_words))
+    return computed_once(words, terms=ngrams(F.col("words"), *NGRAM_RANGE)).select("id", "terms")
 
 
 def vocabulary(terms: DataFrame, max_terms: int = MAX_TERMS) -> DataFrame:
@@ -42,7 +42,7 @@ def vocabulary(terms: DataFrame, max_terms: int = MAX_TERMS) -> DataFrame:
     least that count are sorted.
     """
     n_docs = terms.count()
-    counts = _term_totals(terms)
+    counts = checkpoint(_term_totals(terms))
     histogram = counts.groupBy("total").agg(F.count("*").alias("n"))
     above = Window.orderBy(F.col("total").desc())  # over distinct counts, not terms
     cut = histogram.withColumn("_sum", F.sum("n").over(above)).filter(F.col("_sum") >= max_terms)
