@@ -149,6 +149,8 @@ def _window(*cols: str):
 
 def corpus_statistics(all_rows: DataFrame, valid: DataFrame, length_col: str = "text_length") -> DataFrame:
     """One row: rows read, rows kept, mean text length of the kept ones."""
-    total = all_rows.agg(F.count("*").alias("row_count"))
-    kept = valid.agg(F.count("*").alias("valid_count"), F.avg(length_col).alias("mean_length"))
-    return total.join(kept, how="cross")
+    read = all_rows.select(F.lit(1).alias("r"), F.lit(0).alias("v"), F.lit(None).cast("double").alias("n"))
+    kept = valid.select(F.lit(0).alias("r"), F.lit(1).alias("v"), F.col(length_col).cast("double").alias("n"))
+    return read.unionByName(kept).agg(
+        F.coalesce(F.sum("r"), F.lit(0)).alias("row_count"), F.coalesce(F.sum("v"), F.lit(0)).alias("valid_count"),
+        F.avg("n").alias("mean_length"))

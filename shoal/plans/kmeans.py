@@ -40,7 +40,9 @@ def features(vectors: DataFrame, partitions: int | None = None) -> DataFrame:
 
 
 def fit(feature_rows: DataFrame, k: int, seed: int = SEED, max_iter: int = 20) -> KMeansModel:
-    return KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="features", predictionCol="cluster_id").fit(feature_rows)
+    """Embeddings are dense, so the solver that works on blocks of rows is named instead of left to be guessed."""
+    return KMeans(k=k, seed=seed, maxIter=max_iter, solver="block", featuresCol="features",
+                  predictionCol="cluster_id").fit(feature_rows)
 
 
 def assign(model: KMeansModel, feature_rows: DataFrame, k: int) -> DataFrame:

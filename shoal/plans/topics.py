@@ -157,11 +157,11 @@ def term_frequencies(titles: DataFrame, stop_words: list[str], n: int = CLOUD_TE
     if stop_words:
         pairs = pairs.filter(~F.col("a").isin(list(stop_words)) & ~F.col("b").isin(list(stop_words)))
     pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("both"))
-    total = words.agg(F.sum("c").alias("words"))
+    total = F.lit(words.agg(F.sum("c")).first()[0] or 0)
     first = words.select(F.col("word").alias("a"), F.col("c").alias("ca"))
     second = words.select(F.col("word").alias("b"), F.col("c").alias("cb"))
-    scored = pairs.join(first, "a").join(second, "b").crossJoin(F.broadcast(total))  # one row
-    kept = scored.filter(collocation_score(F.col("both"), F.col("ca"), F.col("cb"), F.col("words")) > min_score)
+    scored = pairs.join(first, "a").join(second, "b")
+    kept = scored.filter(collocation_score(F.col("both"), F.col("ca"), F.col("cb"), total) > min_score)
     taken = kept.select(F.explode(F.array("a", "b")).alias("word"), "both").groupBy("word").agg(
         F.sum("both").alias("taken"))
     singles = words.join(taken, "word", "left").select(
