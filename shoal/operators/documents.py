@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoal.functions.text import strip_markup_and_code_spans, strip_markup_dropping_code
@@ -18,6 +18,8 @@ ANSWER_COMMENT_PREFIX = "回答{n}评论{m}: "
 MAX_LENGTH = 4000
 MIN_LENGTH = 10
 
+_SALTS = 64
+
 
 def require_fields(df: DataFrame, *names: str) -> DataFrame:
     """Rows in which every named field is present."""
@@ -123,13 +125,16 @@ def combine_flat(parts: DataFrame, id_col: str, order_col: str, part_col: str, l
     """(id, full_length, text): the non-empty parts of each id, in order, joined by one space and cut at `limit`.
 
     Each kept part adds a character and a space, so no more than `limit` parts can reach the cut text. Only those
-    are gathered (the rank limit is applied before the shuffle too); the full length comes from a plain sum. An id
-    with very many parts therefore never gathers into one row.
+    are gathered; the full length comes from a plain sum. An id with very many parts is first ranked in `_SALTS`
+    separate groups, whose leading parts include its leading parts, so neither its rows nor its text meet in one task.
     """
     kept = computed_once(parts.select(id_col, order_col, part_col), _part=F.col(part_col)).filter("_part <> ''")
     lengths = kept.groupBy(id_col).agg((F.sum(F.length("_part") + 1) - 1).alias("full_length"))
-    window = _window(id_col).orderBy(order_col)
-    leading = kept.withColumn("_rn", F.row_number().over(window)).filter(F.col("_rn") <= limit)
+    salted = kept.withColumn("_salt", F.pmod(F.xxhash64(id_col, order_col), F.lit(_SALTS)))
+    in_group = Window.partitionBy(id_col, "_salt").orderBy(order_col)
+    near = salted.withColumn("_rn", F.row_number().over(in_group)).filter(F.col("_rn") <= limit)
+    over_all = Window.partitionBy(id_col).orderBy(order_col)
+    leading = near.withColumn("_rn", F.row_number().over(over_all)).filter(F.col("_rn") <= limit)
     gathered = leading.groupBy(id_col).agg(
         F.array_join(
             F.transform(F.array_sort(F.collect_list(F.struct("_rn", "_part"))), lambda p: p["_part"]), " "
@@ -141,12 +146,6 @@ def combine_flat(parts: DataFrame, id_col: str, order_col: str, part_col: str, l
     )
 
 
-def _window(*cols: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*cols)
-
-
 def corpus_statistics(all_rows: DataFrame, valid: DataFrame, length_col: str = "text_length") -> DataFrame:
     """One row: rows read, rows kept, mean text length of the kept ones."""
     read = all_rows.select(F.lit(1).alias("r"), F.lit(0).alias("v"), F.lit(None).cast("double").alias("n"))
