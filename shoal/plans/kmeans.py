@@ -18,6 +18,7 @@ from shoal.plans.metrics import HIGHER_IS_BETTER, Evaluation
 SEED = 42
 START_SCORE = 999.0
 PARTITION_BYTES = 64 * 1024 * 1024
+SMALL_PARTITION_BYTES = 2 * 1024 * 1024
 SEARCH_SCHEMA = "k int, dbi double, inertia double, seconds double"
 
 
@@ -26,6 +27,11 @@ def zero_vectors(vectors: DataFrame) -> DataFrame:
     return vectors.filter(~F.exists("vec", lambda x: x != 0)).select("id")
 
 
+def partitions_for(size: int) -> int:
+    """Up to 64 small partitions for small tables, then one per PARTITION_BYTES."""
+    return max(1, min(64, math.ceil(size / SMALL_PARTITION_BYTES)), math.ceil(size / PARTITION_BYTES))
+
+
 def features(vectors: DataFrame, partitions: int | None = None) -> DataFrame:
     """(id, vec, features) without zero rows, in partitions that depend only on the data.
 
@@ -34,7 +40,7 @@ def features(vectors: DataFrame, partitions: int | None = None) -> DataFrame:
     rows = vectors.filter(F.exists("vec", lambda x: x != 0))
     if partitions is None:
         size = vectors.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("d")).first()
-        partitions = max(8, math.ceil(size["n"] * (size["d"] or 0) * 8 / PARTITION_BYTES))
+        partitions = partitions_for(size["n"] * (size["d"] or 0) * 8)
     pinned = rows.repartition(partitions, "id").sortWithinPartitions("id")
     return pinned.select("id", "vec", array_to_vector(F.col("vec").cast("array<double>")).alias("features"))
 
