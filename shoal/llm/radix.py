@@ -35,17 +35,20 @@ def _split(rows: DataFrame, width: int, carried: list[str]) -> DataFrame:
     Adds to each row its group's size, its smallest id and whether it is done; `rest` loses the digit, and is null when
     it is not needed any more.
     """
-    digit = F.substring("rest", 1, width)
-    cut = rows.withColumn("_digit", digit)
+    cut = rows.withColumn("_digit", F.substring("rest", 1, width)).drop("group_size", "keep_id")
     groups = cut.groupBy("_group", "_digit").agg(
         F.count("*").alias("group_size"), F.min(F.struct(F.col("doc_id"))).getField("doc_id").alias("keep_id"),
-        F.min("text_sha256").alias("_name"))
-    done = (F.col("group_size") == 1) | (F.length("_digit") < width)
-    joined = cut.drop("group_size", "keep_id").join(
-        groups.select(F.col("_group").alias("_g"), F.col("_digit").alias("_d"), "group_size", "keep_id", "_name"),
-        (F.col("_group") == F.col("_g")) & (F.col("_digit") == F.col("_d")))
+        F.min("text_sha256").alias("_name")).filter("group_size > 1")
+    # Saved, so that the join reads plain shuffles on both sides and a hot group's rows can be split.
+    groups = saved(groups.select(
+        F.col("_group").alias("_g"), F.col("_digit").alias("_d"), "group_size", "keep_id", "_name"), "radix-groups")
+    joined = cut.join(groups, (F.col("_group") == F.col("_g")) & (F.col("_digit") == F.col("_d")), "left")
+    alone = F.col("group_size").isNull()
+    done = alone | (F.length("_digit") < width)
     return joined.select(
-        *carried, "group_size", "keep_id", done.alias("done"), F.col("_name").alias("_group"),
+        *carried, F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), done.alias("done"),
+        F.coalesce("_name", F.lit("")).alias("_group"),
         F.when(~done, F.expr(f"substring(rest, {width + 1})")).alias("rest"))
 
 
