@@ -7,14 +7,21 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shoal.llm import bpe, radix, tiling
+from shoal.llm import bpe, radix, simple8b, tiling
 from shoal.llm.scratch import table
+from shoal.session import scratch_path
 
 
 def op4_benchmark_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "ids")
+    files = simple8b.write_ids(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
+    return simple8b.read_ids(spark, files)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return radix.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -26,6 +33,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_benchmark_tiling": op4_benchmark_tiling,
+    "op7_token_files": op7_token_files,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_byte_bpe": op10_byte_bpe,
 }
