@@ -7,11 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shoal.llm import bpe, markup, radix, simple8b, tiling
+from shoal.llm import bpe, disclosure, markup, radix, simple8b, tiling
 from shoal.llm.scratch import table
 from shoal.session import scratch_path
 
 
+def op2_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return disclosure.report(disclosure.spans(docs, disclosure.telling_terms(docs)))
+
+
 def op4_benchmark_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -36,6 +41,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_disclosure": op2_disclosure,
     "op4_benchmark_tiling": op4_benchmark_tiling,
     "op5_main_text": op5_main_text,
     "op7_token_files": op7_token_files,
