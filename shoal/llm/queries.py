@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from shoal.llm import bpe, disclosure, markup, radix, simple8b, tiling
-from shoal.llm.scratch import table
+from shoal.llm import bpe, disclosure, markup, radix, simple8b, tiling, zlang
+from shoal.llm.scratch import bucket_of, table
 from shoal.session import scratch_path
 
 
@@ -17,6 +18,12 @@ def op2_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return disclosure.report(disclosure.spans(docs, disclosure.telling_terms(docs)))
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = bucket_of(F.col("doc_id"), 3) == 1
+    return zlang.predicted(docs, zlang.dictionaries(docs.filter(~held_out)), held_out=held_out)
+
+
 def op4_benchmark_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -42,6 +49,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_disclosure": op2_disclosure,
+    "op3_language": op3_language,
     "op4_benchmark_tiling": op4_benchmark_tiling,
     "op5_main_text": op5_main_text,
     "op7_token_files": op7_token_files,
