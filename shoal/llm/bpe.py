@@ -23,9 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LOOKAHEAD = 1024
-MAX_STATES = 250_000
-MAX_PAIRS = 400_000
-MAX_WORDS = 150_000
+MAX_STATES = 400_000
+MAX_PAIRS = 600_000
+MAX_WORDS = 200_000
+MAX_PIECES = 200_000
 BLOCK_TOKENS = 8192
 _TIGHT = re.compile(r" \s|\s ")
 
@@ -225,7 +226,7 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.transducer = Transducer(ranks)
         self.pattern = regex.compile(pattern)
-        self._words, self._pieces = _Memory(MAX_WORDS), _Memory(MAX_WORDS)
+        self._words, self._pieces = _Memory(MAX_WORDS), _Memory(MAX_PIECES)
 
     def _word(self, word: str) -> bytes:
         ids = self._words.get(word)
@@ -271,12 +272,13 @@ class Utf8Machine:
 
 
 class Decoder:
-    """Text pieces of a stream of ids: what is complete goes out, an open character waits for its other bytes."""
+    """Bytes of a stream of ids, in pieces of whole characters: an open character waits for its other bytes."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.table: list[bytes] = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.table[rank] = token
+        self.digits = [str(i) for i in range(len(self.table))]
         self.alone = np.array([_complete(token) for token in self.table], dtype=bool)
 
     def pieces(self, ids: np.ndarray, block: int = BLOCK_TOKENS):
@@ -294,7 +296,7 @@ class Decoder:
                 while data[cut] & 0xC0 == 0x80:
                     cut -= 1
                 data, held = data[:cut], data[cut:]
-            yield data.decode("utf-8")
+            yield data
         if machine.need:
             raise ValueError("the last character breaks off")
 
@@ -334,20 +336,20 @@ def encoded(docs: DataFrame, rank_file: str, pattern: str, text: str = "text", d
 
     def run(batches):
         encoder, decoder = _of_worker(held)
+        digits = decoder.digits
         for batch in batches:
             counts, shas, decoded, lists = [], [], [], []
-            for value in batch.column("text"):
-                content = value.as_py() or ""
+            for content in batch.column("text").to_pylist():
+                content = content or ""
                 ids = encoder.encode(content)
                 counts.append(len(ids))
-                shas.append(hashlib.sha256(" ".join(map(str, ids.tolist())).encode()).hexdigest())
-                digest, length = hashlib.sha256(), 0
+                shas.append(hashlib.sha256(" ".join([digits[i] for i in ids.tolist()]).encode()).hexdigest())
+                digest = hashlib.sha256()
                 for piece in decoder.pieces(ids):
-                    digest.update(piece.encode("utf-8"))
-                    length += len(piece)
-                if length != len(content):
-                    raise ValueError("a text is not what its ids decode to")
+                    digest.update(piece)
                 decoded.append(digest.hexdigest())
+                if decoded[-1] != hashlib.sha256(content.encode("utf-8")).hexdigest():
+                    raise ValueError("a text is not what its ids decode to")
                 if with_ids:
                     lists.append(ids.astype(np.int32))
             columns = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(shas, pa.string()),
