@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoal.llm import bpe, disclosure, markup, radix, simple8b, tiling, zlang
+from shoal.llm import adaptjoin, bpe, disclosure, markup, radix, simple8b, tiling, zlang
 from shoal.llm.scratch import bucket_of, table
 from shoal.session import scratch_path
 
@@ -32,6 +32,10 @@ def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markup.extracted(table(spark, sf_dir, "pages"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adaptjoin.similar_groups(table(spark, sf_dir, "documents"), 4, 85)
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "ids")
     files = simple8b.write_ids(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language": op3_language,
     "op4_benchmark_tiling": op4_benchmark_tiling,
     "op5_main_text": op5_main_text,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_token_files": op7_token_files,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_byte_bpe": op10_byte_bpe,
