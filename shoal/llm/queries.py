@@ -8,11 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoal.llm import adaptjoin, bpe, disclosure, markup, radix, simple8b, tiling, zlang
+from shoal.llm import adaptjoin, bpe, disclosure, markup, radix, simple8b, tiling, weak, zlang
 from shoal.llm.scratch import bucket_of, table
 from shoal.session import scratch_path
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = bucket_of(F.col("doc_id"), 4) == 2
+    return weak.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out)
+
+
 def op2_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return disclosure.report(disclosure.spans(docs, disclosure.telling_terms(docs)))
@@ -52,6 +57,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_disclosure": op2_disclosure,
     "op3_language": op3_language,
     "op4_benchmark_tiling": op4_benchmark_tiling,
