@@ -1,24 +1,46 @@
-"""A training corpus from raw documents: the stages below, each written as Parquet and read again by the next."""
+"""A training corpus from raw documents: the stages below, each written as Parquet and read again by the next.
+
+A stage works on all that its predecessor kept. All but the last return the columns of `documents`; the last returns the
+token counts and digests of the documents that are left. No stage has SQL: toxicity, near copies and tilings are not SQL's
+to say, so the pipeline is tested against its parts and against brute force.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shoal.llm import radix, tiling
+from shoal.llm import adaptjoin, bpe, radix, tiling, weak
 from shoal.llm.scratch import saved, table
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents predicted to be toxic go."""
+    return weak.clean_documents(docs, table(spark, sf_dir, "labels"))
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the smallest doc_id stays."""
     return radix.distinct_documents(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by similar sets of five-word shingles (0.8 or more) the smallest doc_id stays."""
+    return adaptjoin.distinct_documents(docs, 5, 80)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that leak a benchmark item go."""
     return tiling.clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("exact_dedup", exact_dedup), ("decontamination", decontamination)]
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of what is left."""
+    return bpe.encoded(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [("toxicity", toxicity), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup),
+          ("decontamination", decontamination), ("tokens", tokens)]
 
 ORACLE_SQL = None
 

@@ -215,3 +215,10 @@ def similar_groups(docs: DataFrame, n: int, percent: int, text: str = "text", do
     none = found.filter("size = 0 or doc_id is null").select(
         "doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_copies"))
     return out.unionByName(none)
+
+
+def distinct_documents(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The rows of `docs` whose id is the smallest of their component, all columns unchanged; rows without an id stay."""
+    groups = similar_groups(docs, n, percent, text, doc_id)
+    dropped = saved(groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct(), "near-copies")
+    return docs.join(small(dropped), F.col(doc_id) == F.col("_id"), "left_anti")
