@@ -17,9 +17,11 @@ renamed, so a task that runs again replaces it whole.
 from __future__ import annotations
 
 import posixpath
+import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,10 +35,11 @@ from shoal.llm.bpe import _Memory, space_pieces
 from shoal.llm.scratch import saved
 
 BLOCK_IDS = 1 << 14
-FILE_CHARS = 32 << 20
-MAX_PIECES = 120_000
-MAX_STEMS = 350_000
+FILE_CHARS = 16 << 20
+MAX_STEMS = 300_000
+TEXTS_AT_ONCE = 1024
 _CLOSING = ".,;:!?"
+_RUN = re.compile(r" ?[^\W\d_]+")
 _MAGIC = b"S8B1\0\0\0\0"
 # Fixed values of the format: ids in a word and bits of each, by selector; 0 is the escape.
 COUNTS = np.array([0, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], dtype=np.int64)
@@ -56,12 +59,20 @@ def pack(ids: np.ndarray) -> np.ndarray:
     n = len(ids)
     if n == 0:
         return np.zeros(0, np.uint64)
-    bits = _bits(ids)
-    chosen = np.where(bits > 60, 0, len(COUNTS) - 1)
-    for selector in range(len(COUNTS) - 2, 0, -1):  # from few wide ids to many narrow ones
-        wide = np.concatenate([[0], np.cumsum(bits > WIDTHS[selector], dtype=np.int32)])
-        ends = np.minimum(np.arange(n) + COUNTS[selector], n)
-        chosen[wide[ends] == wide[:-1]] = selector
+    # bits[k] is 0 beyond the last id, so that a word at the end may stay short
+    bits = np.concatenate([_bits(ids).astype(np.uint8), np.zeros(int(COUNTS.max()), np.uint8)])
+    chosen = np.where(bits[:n] > 60, 0, len(COUNTS) - 1)
+    # from few wide ids to many narrow ones; what does not fit fewer ids does not fit more
+    at, widest, count = np.flatnonzero(chosen), bits[:n][chosen > 0], 1
+    for selector in range(len(COUNTS) - 2, 0, -1):
+        for k in range(count, int(COUNTS[selector])):
+            widest = np.maximum(widest, bits[at + k])
+        count = int(COUNTS[selector])
+        fits = widest <= WIDTHS[selector]
+        at, widest = at[fits], widest[fits]
+        if not len(at):
+            break
+        chosen[at] = selector
     steps = np.where(chosen == 0, 1, COUNTS[chosen])
     following = (np.arange(n) + steps).tolist()
     starts, at = [], 0
@@ -114,17 +125,40 @@ def unpack(words: np.ndarray, n: int) -> np.ndarray:
     return out[:n]
 
 
-def file_bytes(documents: list[tuple[int | None, int]], ids: np.ndarray) -> bytes:
-    """A file of documents (doc_id, number of ids) and all their ids in order."""
-    blocks = [pack(ids[at:at + BLOCK_IDS]) for at in range(0, len(ids), BLOCK_IDS)]
-    firsts = np.concatenate([[0], np.cumsum([len(b) for b in blocks])])[:-1].astype("<u8")
-    words = np.concatenate(blocks) if blocks else np.zeros(0, np.uint64)
-    table = np.zeros(len(documents), dtype=[("id", "<i8"), ("n", "<u8"), ("null", "u1")])
-    table["id"] = [d or 0 for d, _ in documents]
-    table["n"] = [n for _, n in documents]
-    table["null"] = [d is None for d, _ in documents]
-    head = _MAGIC + struct.pack("<4Q", len(documents), len(ids), len(words), len(blocks))
-    return b"".join([head, words.astype("<u8").tobytes(), firsts.tobytes(), table.tobytes()])
+class FileBuilder:
+    """The bytes of a file; ids are packed as soon as they fill a block."""
+
+    def __init__(self):
+        self.documents: list[tuple[int | None, int]] = []
+        self.blocks: list[bytes] = []
+        self.sizes: list[int] = []
+        self.n_ids, self.held, self.waiting = 0, [], 0
+
+    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+        self.documents.append((doc_id, len(ids)))
+        self.held.append(ids)
+        self.waiting += len(ids)
+        if self.waiting >= 16 * BLOCK_IDS:
+            self._pack(self.waiting // BLOCK_IDS * BLOCK_IDS)
+
+    def _pack(self, upto: int) -> None:
+        ids = np.concatenate(self.held) if self.held else np.zeros(0, "<u4")
+        for at in range(0, upto, BLOCK_IDS):
+            words = pack(ids[at:min(at + BLOCK_IDS, upto)])
+            self.blocks.append(words.astype("<u8").tobytes())
+            self.sizes.append(len(words))
+        self.n_ids += upto
+        self.held, self.waiting = [ids[upto:].copy()], len(ids) - upto
+
+    def bytes(self) -> bytes:
+        self._pack(self.waiting)
+        firsts = np.concatenate([[0], np.cumsum(self.sizes)])[:-1].astype("<u8")
+        table = np.zeros(len(self.documents), dtype=[("id", "<i8"), ("n", "<u8"), ("null", "u1")])
+        table["id"] = [d or 0 for d, _ in self.documents]
+        table["n"] = [n for _, n in self.documents]
+        table["null"] = [d is None for d, _ in self.documents]
+        head = _MAGIC + struct.pack("<4Q", len(self.documents), self.n_ids, sum(self.sizes), len(self.sizes))
+        return b"".join([head, *self.blocks, firsts.tobytes(), table.tobytes()])
 
 
 def read_file(data) -> Iterator[tuple[int | None, np.ndarray]]:
@@ -148,11 +182,19 @@ def read_file(data) -> Iterator[tuple[int | None, np.ndarray]]:
         held = held[n:]
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself if it can be seen, else one from U+0100 on."""
+    seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
 class _Tokens:
     """Ids of texts by the tokenizers library.
 
     Texts are cut at single spaces, and closing marks from the letter or digit before them, where byte-level vocabularies
-    always cut. The ids of pieces are kept; the new ones of a batch of texts are encoded together.
+    always cut. The ids of what comes before the marks are kept; the new ones of a batch of texts are encoded together, those
+    that are one run of letters straight by the library's model, which is what its pre-tokenizer would hand on.
     """
 
     def __init__(self, definition: str):
@@ -160,27 +202,53 @@ class _Tokens:
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True
-        self.pieces, self.stems = _Memory(MAX_PIECES), _Memory(MAX_STEMS)
+        self.letters = _byte_letters()
+        self.stems = _Memory(MAX_STEMS)
+        probe = [" the", "The", "été", " Größe", " 日本", "x"]
+        self.direct = self._straight(probe) == self._fully(probe)
+
+    def _fully(self, stems: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(stems, add_special_tokens=False)]
+
+    def _straight(self, stems: list[str]) -> list[bytes]:
+        split, model = self.letters[10], self.tokenizer.model
+        spelt = "\n".join(stems).encode().decode("latin-1").translate(self.letters).split(split) if stems else []
+        return [array("I", [t.id for t in model.tokenize(s)]).tobytes() for s in spelt]
 
-    def _stems(self, wanted: set[str]) -> dict[str, bytes]:
-        known = {s: self.stems.get(s) for s in wanted}
-        new = [s for s, ids in known.items() if ids is None]
-        for s, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            known[s] = self.stems.put(s, np.array(e.ids, dtype="<u4").tobytes())
-        return known
+    def _learn(self, stems: list[str]) -> dict[str, bytes]:
+        runs, others = [], []
+        for s in stems:
+            (runs if self.direct and _RUN.fullmatch(s) else others).append(s)
+        return dict(zip(runs, self._straight(runs))) | dict(zip(others, self._fully(others)))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = [space_pieces(t) for t in texts]
-        known, new = {}, []
+        new, old = self.stems.new.get, self.stems.old.get
+        known: dict[str, bytes] = {}
+        stems: dict[str, bytes] = {}
+        wanted, parts_of = [], []
         for p in set().union(*cut):
-            ids = known[p] = self.pieces.get(p)
-            if ids is None:
-                stem = p.rstrip(_CLOSING)
-                at = len(stem)
-                new.append((p, stem, p[at:]) if 0 < at < len(p) and stem[-1].isalnum() else (p, p, ""))
-        stems = self._stems({s for _, stem, tail in new for s in (stem, tail)})
-        for p, stem, tail in new:
-            known[p] = self.pieces.put(p, stems[stem] + stems[tail])
+            stem = p.rstrip(_CLOSING)
+            if stem != p and not (stem and stem[-1].isalnum()):
+                stem = p
+            parts_of.append((p, stem))
+            if stem not in stems:
+                ids = new(stem)
+                if ids is None:
+                    ids = old(stem)
+                    if ids is None:
+                        wanted.append(stem)
+                        ids = b""
+                stems[stem] = ids
+        tails = {p[len(stem):] for p, stem in parts_of} - {""}
+        made = self._learn(wanted)
+        stems.update(made)
+        for stem, ids in stems.items():
+            if new(stem) is None:
+                self.stems.put(stem, ids)
+        ends = dict(zip(tails, self._fully(list(tails)))) | {"": b""}
+        for p, stem in parts_of:
+            known[p] = stems[stem] + ends[p[len(stem):]]
         return [np.frombuffer(b"".join(map(known.__getitem__, parts)), dtype="<u4") for parts in cut]
 
 
@@ -214,20 +282,17 @@ def write_ids(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int = 0
     ordered = rows.repartitionByRange(int(parts), "doc_id").sortWithinPartitions("doc_id")
 
     def run(batches):
-        tokens, documents, chunks = _of_worker(held.value), [], []
+        tokens, file, end = _of_worker(held.value), FileBuilder(), np.array([end_id], "<u4")
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            ids_of = batch.column("doc_id").to_pylist()
-            for at in range(0, len(texts), 256):
-                for d, ids in zip(ids_of[at:at + 256], tokens.encode(texts[at:at + 256])):
-                    documents.append((d, len(ids) + 1))
-                    chunks += [ids, np.array([end_id], "<u4")]
-        number = TaskContext.get().partitionId()
-        ids = np.concatenate(chunks) if chunks else np.zeros(0, "<u4")
-        path = _write(folder, f"ids-{number:08d}.s8b", file_bytes(documents, ids))
+            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                part = batch.slice(at, TEXTS_AT_ONCE)
+                for d, ids in zip(part.column("doc_id").to_pylist(), tokens.encode(part.column("text").to_pylist())):
+                    file.add(d, np.concatenate([ids, end]))
+        number, data = TaskContext.get().partitionId(), file.bytes()
+        path = _write(folder, f"ids-{number:08d}.s8b", data)
         yield pa.RecordBatch.from_pydict({
-            "file": pa.array([number], pa.int64()), "path": [path], "n_docs": pa.array([len(documents)], pa.int64()),
-            "n_ids": pa.array([len(ids)], pa.int64())})
+            "file": pa.array([number], pa.int64()), "path": [path], "n_docs": pa.array([len(file.documents)], pa.int64()),
+            "n_ids": pa.array([file.n_ids], pa.int64())})
 
     return saved(ordered.mapInArrow(run, "file long, path string, n_docs long, n_ids long"), "ids-files")
 
