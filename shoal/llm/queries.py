@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoal.llm import adaptjoin, bpe, disclosure, markup, radix, simple8b, tiling, weak, zlang
+from shoal.llm import adaptjoin, bpe, disclosure, fixity, markup, radix, simple8b, tiling, weak, zlang
 from shoal.llm.scratch import bucket_of, table
 from shoal.session import scratch_path
 
@@ -47,6 +48,22 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.read_ids(spark, files)
 
 
+def _flipped(page_id: int | None, record: bytes) -> bytes:
+    """A drill: one bit of the payload's middle byte is flipped in about one record of 61, chosen by page_id."""
+    if page_id is None or int(hashlib.md5(str(page_id).encode()).hexdigest()[:8], 16) % 61:
+        return record
+    at = (record.find(b"\r\n\r\n") + 4 + len(record) - 4) // 2
+    return record[:at] + bytes([record[at] ^ 1]) + record[at + 1:]
+
+
+def op8_fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as an archive, a replica with some damaged records, and what the audit of the two finds."""
+    ours = fixity.write_archive(table(spark, sf_dir, "pages"), scratch_path(spark, "archive"))
+    theirs = fixity.replicate(ours, scratch_path(spark, "replica"), _flipped)
+    found = fixity.audit(fixity.leaves(ours), fixity.leaves(theirs))
+    return found.select("page_id", "problem", "damaged", "payload_bytes", "payload_sha256")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return radix.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -64,12 +81,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_main_text": op5_main_text,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_token_files": op7_token_files,
+    "op8_fixity_audit": op8_fixity_audit,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
 _NORMAL = "regexp_replace(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')"
 SQL: dict[str, str] = {
+    "op8_fixity_audit": """
+SELECT page_id, 'changed' AS problem, 'theirs' AS damaged, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
+       sha256(coalesce(html, '')) AS payload_sha256
+FROM pages WHERE CAST('0x' || substr(md5(CAST(page_id AS VARCHAR)), 1, 8) AS BIGINT) % 61 = 0""",
     "op9_exact_dedup": f"""
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
