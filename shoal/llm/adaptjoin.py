@@ -10,8 +10,8 @@ How often a gram occurs is estimated over all documents by a sketch of fixed siz
 any common order is right, a better one only makes fewer candidates.
 
 Equal sets count as one: the smallest doc_id stands for its copies. Near-copies come in large groups, whose pairs are never
-listed. First each posting list is compared with one document, the one whose prefix holds the commonest grams;
-what is similar becomes one component. What is left are pairs across components in a posting list, and of those only ones that
+listed. First each posting list names one document, the one whose prefix holds the commonest grams, and each
+document is compared with the one named most often in its lists; what is similar becomes one component. What is left are pairs across components in a posting list, and of those only ones that
 the distances to the common document allow (the Jaccard distance is a metric): |d(x, p) - d(y, p)| <= 1 - threshold.
 Nothing is capped: a hot posting list is a skewed join, which adaptive execution splits.
 
@@ -22,6 +22,7 @@ Other columns are ignored. Texts are read whole; very long ones only make long s
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,46 +35,62 @@ from shoal.llm.words import shingle_sets
 from shoal.operators.components import connected_components
 
 SKETCH_BITS = 20
+MAX_SKETCH_BITS = 26
 MAX_MATCHES = 8
 VERIFY_COST = 30.0
 
 
 def sketch(docs: DataFrame, n: int, text: str = "text", bits: int = SKETCH_BITS) -> np.ndarray:
-    """Counters of the n-grams of all documents, by the upper bits of their hashes. Its size does not grow with the input."""
+    """About 16 log2 (1 + how often a gram occurs), in a byte for each of 2**bits remainders of the hash, over all documents."""
     pieces = 64
     width = (1 << bits) // pieces
 
     def count(batches):
-        total = np.zeros(1 << bits, dtype=np.int64)
+        total = np.zeros(1 << bits, dtype=np.int32)
         for batch in batches:
             held, size = [], 0
             for grams in shingle_sets(batch.column("text"), n):
-                held.append((grams >> np.uint64(64 - bits)).astype(np.int64))
+                held.append(grams >> np.uint64(64 - bits))
                 size += len(grams)
-                if size > 1 << 19:
-                    total += np.bincount(np.concatenate(held), minlength=1 << bits)
+                if size > 1 << 20:
+                    _add(total, held)
                     held, size = [], 0
-            if held:
-                total += np.bincount(np.concatenate(held), minlength=1 << bits)
+            _add(total, held)
         for k in range(pieces):
             part = total[k * width:(k + 1) * width]
             if part.any():
-                yield pa.RecordBatch.from_pydict({"piece": pa.array([k], pa.int32()), "counts": pa.array([part], pa.list_(pa.int64()))})
+                yield pa.RecordBatch.from_pydict({"piece": pa.array([k], pa.int32()), "counts": pa.array([part], pa.list_(pa.int32()))})
 
     def add(key: tuple[pa.Scalar, ...], parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(width, dtype=np.int64)
         for part in parts:
             for counts in part.column("counts"):
                 total += counts.values.to_numpy()
-        yield pa.RecordBatch.from_pydict({"piece": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total], pa.list_(pa.int64()))})
-
-    rows = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(count, "piece int, counts array<long>")
-    out = np.zeros(1 << bits, dtype=np.float32)
-    for row in rows.groupBy("piece").applyInArrow(add, "piece int, counts array<long>").collect():
-        out[row.piece * width:(row.piece + 1) * width] = row.counts
+        marks = np.minimum(np.rint(16 * np.log2(1.0 + total)), 255).astype(np.uint8)
+        yield pa.RecordBatch.from_pydict({"piece": pa.array([key[0].as_py()], pa.int32()), "marks": pa.array([marks.tobytes()], pa.binary())})
+
+    rows = docs.select(F.col(text).cast("string").alias("text"))
+    tasks = rows.rdd.getNumPartitions()  # each task hands on its counters, so few tasks do
+    rows = rows.coalesce(max(1, min(tasks, max(2 * docs.sparkSession.sparkContext.defaultParallelism, tasks // 4))))
+    summed = rows.mapInArrow(count, "piece int, counts array<int>").groupBy("piece").applyInArrow(add, "piece int, marks binary")
+    out = np.zeros(1 << bits, dtype=np.uint8)
+    for row in summed.collect():
+        out[row.piece * width:(row.piece + 1) * width] = np.frombuffer(row.marks, np.uint8)
     return out
 
 
+def _add(total: np.ndarray, held: list[np.ndarray]) -> None:
+    if held:
+        places, n = np.unique(np.concatenate(held).astype(np.int64), return_counts=True)
+        total[places] += n.astype(np.int32)
+
+
+def sketch_bits(docs: DataFrame, text: str, least: int = SKETCH_BITS, most: int = MAX_SKETCH_BITS) -> int:
+    """So many that about 32 grams share a counter, as far as a byte for each may be sent to every executor."""
+    chars = docs.agg(F.sum(F.length(text))).first()[0] or 0
+    return int(min(most, max(least, math.ceil(math.log2(1 + chars / 6 / 32)))))
+
+
 def need(size: np.ndarray | int, percent: int):
     """The least overlap of a set of `size` with a similar one, which is then no larger than the set itself."""
     return -(-size * percent // 100)
@@ -97,54 +114,65 @@ def prefix(grams: np.ndarray, counts: np.ndarray, percent: int, base: float) ->
     return grams[order[:length]], chosen, float(counts[order[:length]].mean())
 
 
-def features(docs: DataFrame, n: int, percent: int, text: str, doc_id: str, bits: int) -> DataFrame:
-    """(doc_id, size, a, b, grams, least, matches, rank): two hashes of the whole set, and the prefix."""
-    counts = sketch(docs, n, text, bits)
-    held = docs.sparkSession.sparkContext.broadcast((counts, float(np.median(counts))))
-
+def keys(docs: DataFrame, n: int, text: str, doc_id: str) -> DataFrame:
+    """(doc_id, size, a, b): the size of each set and two hashes of the whole of it; equal sets have equal ones."""
     def run(batches):
-        table, base = held.value
         for batch in batches:
-            size, a, b, grams, least, matches, rank = [], [], [], [], [], [], []
+            size, a, b = [], [], []
             for found in shingle_sets(batch.column("text"), n):
                 size.append(len(found))
-                if not len(found):
-                    a.append(0), b.append(0), grams.append([]), least.append(0), matches.append(0), rank.append(0.0)
-                    continue
-                # sums of two mixes of the sorted grams: equal sets have equal pairs
                 a.append(int(((found ^ (found >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)).sum(dtype=np.uint64)))
                 b.append(int(((found ^ (found >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)).sum(dtype=np.uint64)))
-                first, m, mean = prefix(found, table[(found >> np.uint64(64 - bits)).astype(np.int64)], percent, base)
-                grams.append(first.view(np.int64))
-                least.append(len(first) - m)
-                matches.append(m)
-                rank.append(-mean)
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(np.array(a, np.uint64).view(np.int64)),
-                pa.array(np.array(b, np.uint64).view(np.int64)), pa.array(grams, pa.list_(pa.int64())),
-                pa.array(least, pa.int32()), pa.array(matches, pa.int32()), pa.array(rank, pa.float64())],
-                names=["doc_id", "size", "a", "b", "grams", "least", "matches", "rank"])
+                pa.array(np.array(b, np.uint64).view(np.int64))], names=["doc_id", "size", "a", "b"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(
-        run, "doc_id long, size long, a long, b long, grams array<long>, least int, matches int, rank double")
+    return rows.mapInArrow(run, "doc_id long, size long, a long, b long")
+
 
+def postings(docs: DataFrame, n: int, percent: int, marks: np.ndarray) -> DataFrame:
+    """(gram, x, size, matches, level, rank): a row for each gram of each prefix of `docs(doc_id, text)`.
+
+    `level` is the number of matches from which on the gram is in the prefix; `rank` is low where a prefix's grams are common.
+    """
+    bits = int(np.log2(len(marks)))
+    counts = np.exp2(np.arange(256) / 16.0) - 1
+    held = docs.sparkSession.sparkContext.broadcast((marks, float(counts[int(np.median(marks))])))
+    names = ["gram", "x", "size", "matches", "level", "rank"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.int16(), pa.float32()]
 
-def _sets(docs: DataFrame, ids: DataFrame, n: int, text: str, doc_id: str) -> DataFrame:
-    """(id, set) of the documents in `ids`, made anew from their texts."""
     def run(batches):
+        table, base = held.value
         for batch in batches:
-            sets = [s.view(np.int64) for s in shingle_sets(batch.column("text"), n)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.list_(pa.int64()))], names=["id", "set"])
+            out: list[list[np.ndarray]] = [[] for _ in names]
+            for doc, found in zip(batch.column("doc_id").to_pylist(), shingle_sets(batch.column("text"), n)):
+                if len(found):
+                    first, m, mean = prefix(found, counts[table[(found >> np.uint64(64 - bits)).astype(np.int64)]], percent, base)
+                    k = len(first)
+                    levels = np.maximum(1, np.arange(k) - (k - m) + 1)
+                    for column, values in zip(out, (first.view(np.int64), np.full(k, doc), np.full(k, len(found)), np.full(k, m), levels, np.full(k, -mean))):
+                        column.append(values)
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)).cast(k) for c, k in zip(out, kinds)], names=names)
+
+    return docs.mapInArrow(run, "gram long, x long, size int, matches short, level short, rank float")
+
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    return rows.join(small(ids), "id").mapInArrow(run, "id long, set array<long>")
+def _verified(pairs: DataFrame, rows: DataFrame, n: int) -> DataFrame:
+    """`pairs(x, y)`, a saved table, with the sizes of their sets' intersection and union.
 
+    The sets are made anew from the texts of the documents in question, so that no sets of all documents are kept.
+    """
+    def run(batches):
+        for batch in batches:
+            sets = [s.view(np.int64) for s in shingle_sets(batch.column("text"), n)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "set"])
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """`pairs(x, y)` with the sizes of their intersection and union."""
-    left = pairs.join(sets.select(F.col("id").alias("x"), F.col("set").alias("_a")), "x")
-    both = left.join(sets.select(F.col("id").alias("y"), F.col("set").alias("_b")), "y")
+    ids = saved(pairs.select(F.col("x").alias("doc_id")).union(pairs.select("y")).distinct(), "ids")
+    sets = saved(rows.join(small(ids), "doc_id").mapInArrow(run, "doc_id long, set array<long>"), "sets")
+    left = pairs.join(sets.toDF("x", "_a"), "x")
+    both = left.join(sets.toDF("y", "_b"), "y")
     overlap = F.size(F.array_intersect("_a", "_b"))
     counted = both.select("x", "y", overlap.alias("common"), (F.size("_a") + F.size("_b")).alias("_total"))
     return counted.select("x", "y", "common", (F.col("_total") - F.col("common")).alias("together"))
@@ -158,42 +186,37 @@ def _components(links: DataFrame) -> DataFrame:
     return connected_components(links.select(F.lit(0).alias("g"), F.col("x").alias("u"), F.col("y").alias("v"))).select("id", "root")
 
 
-def similar_groups(docs: DataFrame, n: int, percent: int, text: str = "text", doc_id: str = "doc_id",
-                   bits: int = SKETCH_BITS) -> DataFrame:
+def similar_groups(docs: DataFrame, n: int, percent: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, n_shingles, component_id, n_copies): the component of each row over links of at least `percent` % similarity.
 
     `n_copies` counts the rows with the very same set, itself included (0 for an empty set).
     """
-    found = saved(features(docs, n, percent, text, doc_id, bits), "features")
+    found = saved(keys(docs, n, text, doc_id), "keys")
     own = found.filter("size > 0 and doc_id is not null")
     copies = saved(own.groupBy("a", "b", "size").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"))
                    .filter("n_copies > 1"), "copies")
-    is_same = ["a", "b", "size"]
-    named = own.join(copies, is_same, "left").select(
-        "doc_id", "size", F.coalesce("rep", "doc_id").alias("rep"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"),
-        F.when(F.col("rep").isNull() | (F.col("rep") == F.col("doc_id")), F.col("grams")).alias("grams"),
-        "least", "matches", "rank")
-    named = saved(named, "named")
-
-    lists = named.filter("grams is not null").select(
-        F.col("doc_id").alias("x"), "size", "least", "matches", "rank", F.posexplode("grams").alias("at", "gram"))
-    # level: the number of matches from which on the gram is in the prefix
-    lists = lists.select("gram", "x", "size", "matches", "rank", F.greatest(F.lit(1), F.col("at") - F.col("least") + 1).alias("level"))
-    pivots = saved(lists.groupBy("gram").agg(
-        F.count("*").alias("met"), F.min(F.struct("rank", "x")).getField("x").alias("pivot")).filter("met > 1").drop("met"), "pivots")
+    named = saved(own.join(copies, ["a", "b", "size"], "left").select(
+        "doc_id", F.col("size").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("rep"),
+        F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies")), "named")
+
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    others = saved(named.filter("rep <> doc_id").select("doc_id").distinct(), "others")
+    single = rows.filter("doc_id is not null").join(small(others), "doc_id", "left_anti")
+    lists = postings(single, n, percent, sketch(docs, n, text, sketch_bits(docs, text)))
+
+    pivots = saved(lists.groupBy("gram").agg(F.count("*").alias("met"), F.min(F.struct("rank", "x", "size")).alias("p"))
+                   .filter("met > 1").select("gram", "p.x", "p.size").toDF("gram", "pivot", "pivot_size"), "pivots")
     lists = saved(lists.drop("rank").join(pivots, "gram"), "lists")
 
-    ids = lists.select(F.col("x").alias("id")).distinct()
-    sets = saved(_sets(docs, saved(ids, "ids"), n, text, doc_id), "sets")
-    sizes = sets.select(F.col("id").alias("y"), F.size("set").alias("other"))
-    stars = lists.filter("x <> pivot").select("x", F.col("pivot").alias("y"), "size").distinct().join(small(sizes), "y")
-    stars = stars.filter(f"100 * least(size, other) >= {percent} * greatest(size, other)").select("x", "y")
-    stars = saved(_verified(stars, sets, percent), "stars")
+    # Each document and the pivot it meets most: cheap, and enough to make one component of a large group.
+    near = lists.filter(f"x <> pivot and 100 * least(size, pivot_size) >= {percent} * greatest(size, pivot_size)")
+    met = near.groupBy("x", "pivot").agg(F.count("*").alias("met"), F.max("matches").alias("asked"), F.max("size").alias("size"))
+    best = met.filter("met >= 2 or met >= asked or size < 20").groupBy("x").agg(F.max(F.struct("met", "pivot")).alias("best"))
+    stars = saved(_verified(saved(best.select("x", F.col("best.pivot").alias("y")), "star-pairs"), rows, n), "stars")
     first = _components(_linked(stars, percent))
 
     # What is left: pairs across the components of a posting list.
-    placed = lists.join(first.withColumnRenamed("id", "x"), "x", "left").withColumn("root", F.coalesce("root", "x"))
-    placed = saved(placed, "placed")
+    placed = saved(lists.join(first.withColumnRenamed("id", "x"), "x", "left").withColumn("root", F.coalesce("root", "x")), "placed")
     mixed = saved(placed.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("gram"), "mixed")
     known = stars.select("x", F.col("y").alias("pivot"), (1 - F.col("common") / F.col("together")).alias("far"))
     side = placed.join(mixed, "gram").join(known, ["x", "pivot"], "left").withColumn(
@@ -205,12 +228,13 @@ def similar_groups(docs: DataFrame, n: int, percent: int, text: str = "text", do
         f"x < x_y and root <> root_y and 100 * least(size, size_y) >= {percent} * greatest(size, size_y)"
         f" and greatest(level, level_y) <= least(matches, matches_y) and coalesce(abs(far - far_y) <= {limit}, true)")
     pairs = pairs.groupBy("x", F.col("x_y").alias("y")).agg(F.count("*").alias("met"), F.first(F.least("matches", "matches_y")).alias("asked"))
-    rest = saved(_verified(saved(pairs.filter("met >= asked").select("x", "y"), "pairs"), sets, percent), "rest")
-    links = saved(_linked(stars, percent).unionByName(_linked(rest, percent)), "links")
+    pairs = saved(pairs.filter("met >= asked").select("x", "y"), "pairs")
+    links = _linked(stars, percent)
+    if not pairs.isEmpty():
+        links = links.unionByName(_linked(saved(_verified(pairs, rows, n), "rest"), percent))
     groups = _components(links)
 
-    out = named.select("doc_id", F.col("size").alias("n_shingles"), "rep", "n_copies").join(
-        groups.withColumnRenamed("id", "rep"), "rep", "left")
+    out = named.join(groups.withColumnRenamed("id", "rep"), "rep", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("root", "rep").alias("component_id"), "n_copies")
     none = found.filter("size = 0 or doc_id is null").select(
         "doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_copies"))
