@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoal.llm.scratch import saved, small
+from shoal.llm.scratch import saved, small, without
 from shoal.llm.words import shingle_sets
 from shoal.operators.components import connected_components
 
@@ -244,5 +244,4 @@ def similar_groups(docs: DataFrame, n: int, percent: int, text: str = "text", do
 def distinct_documents(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of `docs` whose id is the smallest of their component, all columns unchanged; rows without an id stay."""
     groups = similar_groups(docs, n, percent, text, doc_id)
-    dropped = saved(groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct(), "near-copies")
-    return docs.join(small(dropped), F.col(doc_id) == F.col("_id"), "left_anti")
+    return without(docs, doc_id, groups.filter("doc_id <> component_id").select("doc_id"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoal.llm.scratch import saved, small
+from shoal.llm.scratch import fresh, saved, small
 from shoal.llm.words import byte_classes, text_blocks, word_hashes
 
 # The kinds in their order, and the patterns.
@@ -266,6 +266,6 @@ def sanitise(docs: DataFrame, found: DataFrame, text: str = "text", doc_id: str
         every = [(s["start"], s["end"], s["kind"], s["action"]) for s in [*(base or []), *(telling or [])]]
         return None if value is None else sanitised(value, every)
 
-    marks = found.select(F.col("doc_id").alias("_id"), F.col("base").alias("_base"), F.col("telling").alias("_telling"))
-    joined = docs.join(marks, F.col(doc_id).eqNullSafe(F.col("_id")), "left")
-    return joined.withColumn(text, apply(text, "_base", "_telling")).drop("_id", "_base", "_telling")
+    names = [fresh(docs, n) for n in ("span_id", "span_base", "span_telling")]
+    joined = docs.join(found.select("doc_id", "base", "telling").toDF(*names), F.col(doc_id).eqNullSafe(F.col(names[0])), "left")
+    return joined.withColumn(text, apply(text, *names[1:])).drop(*names)

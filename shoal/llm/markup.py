@@ -2,9 +2,9 @@
 
 The standard library's parser is fed a page piece by piece. Its events become lines, one for each block of text, with the
 number of characters and of tags. The ratios of the two are smoothed by a Gaussian over neighbouring lines and split
-into two clusters by the threshold between them; the lines above it say where the content is. The content region is then
-the smallest element (or the outermost article or main element) that holds most of their text, and all of its lines are
-kept, short ones too. Elements that by their tag, role or class are menus, headers, footers, side bars,
+into two clusters by the threshold between them; the lines above it say where the content is, or, where a page has article or main elements, the
+lines in these. The content region is then the smallest element (or the outermost article or main element) that holds most of
+their text, and all of its lines are kept, short ones too. Elements that by their tag, role or class are menus, headers, footers, side bars,
 notices, adverts, forms, scripts, styles or reader comments give no lines at all.
 
 A null or empty page gives an empty text. Each row is a page of its own: repeated rows give repeated results, null ids
@@ -190,8 +190,9 @@ def main_text(html: str | None) -> str:
     border = threshold(ratios)
     inside = [0] * len(page.elements)
     total = 0
+    marked = any(element.core for _, _, element in lines)  # the page says itself where its content is
     for (text, _, element), ratio in zip(lines, ratios):
-        if ratio >= border or element.core:
+        if element.core if marked else ratio >= border:
             total += len(text)
             while element is not None:
                 inside[element.number] += len(text)

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shoal.llm.scratch import saved, small
+from shoal.llm.scratch import fresh, saved, small
 
 FIRST_DIGIT = 64
 GROWTH = 16
@@ -87,9 +87,10 @@ def distinct_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     """
     groups = saved(exact_groups(docs, text, doc_id), "copies")
     own = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    dropped = groups.filter(~own).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
+    name, sha = fresh(docs, "dropped"), fresh(docs, "dropped_sha256")
+    dropped = groups.filter(~own).select("doc_id", "text_sha256").distinct().toDF(name, sha)
     digest = F.sha2(normalised(F.col(text)), 256)
-    out = docs.join(small(dropped, 200_000), F.col(doc_id).eqNullSafe(F.col("_id")) & (digest == F.col("_sha")), "left_anti")
+    out = docs.join(small(dropped, 200_000), F.col(doc_id).eqNullSafe(F.col(name)) & (digest == F.col(sha)), "left_anti")
     if not groups.filter(own & ~F.col("kept")).isEmpty():
-        out = out.withColumn("_sha", digest).dropDuplicates([doc_id, "_sha"]).drop("_sha")
+        out = out.withColumn(sha, digest).dropDuplicates([doc_id, sha]).drop(sha)
     return out

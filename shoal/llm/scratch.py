@@ -27,6 +27,21 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that `df` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def without(docs: DataFrame, doc_id: str, ids: DataFrame) -> DataFrame:
+    """The rows of `docs` whose id is not in the one column of `ids`; a null id is an id like others."""
+    name = fresh(docs, "dropped")
+    ids = saved(ids.toDF(name).distinct(), "dropped")
+    return docs.join(small(ids), F.col(doc_id).eqNullSafe(F.col(name)), "left_anti")
+
+
 def bucket_of(column: Column, modulus: int) -> Column:
     """crc32 of the value as text, modulo `modulus`; null counts as empty."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % modulus

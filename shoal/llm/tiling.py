@@ -26,6 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shoal.llm.scratch import without
 from shoal.llm.words import byte_classes, gram_hashes, text_blocks, word_hashes
 
 MIN_TILE = 5
@@ -187,7 +188,4 @@ def _leak_finder(held, coverage: float):
 
 def clean_documents(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
     """The rows of `docs` that leak no item, all columns unchanged. Rows with the id of a leaking document go too."""
-    from shoal.llm.scratch import saved, small
-
-    found = saved(leaks(docs, items, text, doc_id, **options).select(F.col("doc_id").alias("_id")).distinct(), "leaks")
-    return docs.join(small(found), F.col(doc_id).eqNullSafe(F.col("_id")), "left_anti")
+    return without(docs, doc_id, leaks(docs, items, text, doc_id, **options).select("doc_id"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shoal.llm.scratch import saved, share
+from shoal.llm.scratch import saved, share, without
 
 SAMPLE_ROWS = 20_000
 FEATURES = 1500
@@ -264,8 +264,8 @@ def scored(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, t
            label: str = "toxic", sample_rows: int = SAMPLE_ROWS, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, held_out, score, predicted, posterior) of each row of `docs`; labels of held-out rows are not looked at."""
     flag = F.coalesce(held_out, F.lit(False)) if held_out is not None else F.lit(False)
-    rows = docs.withColumn("_out", flag).select(
-        F.col(doc_id).cast("long").alias("doc_id"), F.col("_out").alias("held_out"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(
+        F.col(doc_id).cast("long").alias("doc_id"), flag.alias("held_out"), F.col(text).cast("string").alias("text"))
     known = labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
     known = known.filter("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label"))
     learnt = rows.select("doc_id", "held_out").filter("not held_out and doc_id is not null").distinct()
@@ -310,8 +310,5 @@ def scored(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, t
 
 def clean_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of `docs` that are not predicted to be toxic, all columns unchanged. Decisions meet the rows by id."""
-    from shoal.llm.scratch import small
-
-    doc_id = options.get("doc_id", "doc_id")
-    toxic = saved(scored(docs, labels, **options).filter("predicted = 1").select(F.col("doc_id").alias("_id")).distinct(), "toxic")
-    return docs.join(small(toxic), F.col(doc_id).eqNullSafe(F.col("_id")), "left_anti")
+    toxic = scored(docs, labels, **options).filter("predicted = 1").select("doc_id")
+    return without(docs, options.get("doc_id", "doc_id"), toxic)
