@@ -4,7 +4,7 @@ A document's set is that of its word n-grams, as 64-bit hashes. All sets share o
 sets that are similar enough, the first len - need + m grams of either (need: the least possible overlap) have at least
 m grams in common, for any m. Each document picks its own m: it lengthens its prefix while the estimated cost of
 what it meets (postings to go through, and candidates to verify) falls. Two documents are held to the smaller m of the two,
-and are verified only if that many prefix grams match.
+and are verified only if that many grams match within the prefixes that their two sizes call for.
 
 How often a gram occurs is estimated over all documents by a sketch of fixed size (counters by remainder of the hash, which never count too low);
 any common order is right, a better one only makes fewer candidates.
@@ -36,7 +36,8 @@ from shoal.operators.components import connected_components
 
 SKETCH_BITS = 20
 MAX_SKETCH_BITS = 26
-MAX_MATCHES = 8
+MAX_MATCHES = 32
+FLUSH = 1 << 19
 VERIFY_COST = 30.0
 
 
@@ -132,31 +133,37 @@ def keys(docs: DataFrame, n: int, text: str, doc_id: str) -> DataFrame:
 
 
 def postings(docs: DataFrame, n: int, percent: int, marks: np.ndarray) -> DataFrame:
-    """(gram, x, size, matches, level, rank): a row for each gram of each prefix of `docs(doc_id, text)`.
+    """(gram, x, size, matches, at, rank): a row for each gram of each prefix of `docs(doc_id, text)`.
 
-    `level` is the number of matches from which on the gram is in the prefix; `rank` is low where a prefix's grams are common.
+    `at` is the gram's place in the prefix; `rank` is low where a prefix's grams are common.
     """
     bits = int(np.log2(len(marks)))
     counts = np.exp2(np.arange(256) / 16.0) - 1
     held = docs.sparkSession.sparkContext.broadcast((marks, float(counts[int(np.median(marks))])))
-    names = ["gram", "x", "size", "matches", "level", "rank"]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.int16(), pa.float32()]
+    names = ["gram", "x", "size", "matches", "at", "rank"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.int32(), pa.float32()]
+
+    def batch_of(out):
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)).cast(k) for c, k in zip(out, kinds)], names=names)
 
     def run(batches):
         table, base = held.value
         for batch in batches:
-            out: list[list[np.ndarray]] = [[] for _ in names]
+            out, waiting = [[] for _ in names], 0
             for doc, found in zip(batch.column("doc_id").to_pylist(), shingle_sets(batch.column("text"), n)):
                 if len(found):
                     first, m, mean = prefix(found, counts[table[(found >> np.uint64(64 - bits)).astype(np.int64)]], percent, base)
                     k = len(first)
-                    levels = np.maximum(1, np.arange(k) - (k - m) + 1)
-                    for column, values in zip(out, (first.view(np.int64), np.full(k, doc), np.full(k, len(found)), np.full(k, m), levels, np.full(k, -mean))):
+                    for column, values in zip(out, (first.view(np.int64), np.full(k, doc), np.full(k, len(found)), np.full(k, m), np.arange(k), np.full(k, -mean))):
                         column.append(values)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)).cast(k) for c, k in zip(out, kinds)], names=names)
+                    waiting += k
+                    if waiting > FLUSH:
+                        yield batch_of(out)
+                        out, waiting = [[] for _ in names], 0
+            if waiting:
+                yield batch_of(out)
 
-    return docs.mapInArrow(run, "gram long, x long, size int, matches short, level short, rank float")
+    return docs.mapInArrow(run, "gram long, x long, size int, matches short, at int, rank float")
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, n: int) -> DataFrame:
@@ -221,13 +228,17 @@ def similar_groups(docs: DataFrame, n: int, percent: int, text: str = "text", do
     known = stars.select("x", F.col("y").alias("pivot"), (1 - F.col("common") / F.col("together")).alias("far"))
     side = placed.join(mixed, "gram").join(known, ["x", "pivot"], "left").withColumn(
         "far", F.when(F.col("x") == F.col("pivot"), F.lit(0.0)).otherwise(F.col("far")))
-    side = saved(side.select("gram", "x", "size", "matches", "level", "root", "far"), "side")
-    other = side.select("gram", *[F.col(c).alias(f"{c}_y") for c in ("x", "size", "matches", "level", "root", "far")])
+    side = saved(side.select("gram", "x", "size", "matches", "at", "root", "far"), "side")
+    other = side.select("gram", *[F.col(c).alias(f"{c}_y") for c in ("x", "size", "matches", "at", "root", "far")])
     limit = 1 - percent / 100 + 1e-9
+    # the two sizes give the overlap they need, and with it how long a prefix of either has to show the matches
+    overlap = f"(({percent} * (size + size_y) + {99 + percent}) div {100 + percent})"
+    asked = "least(matches, matches_y)"
     pairs = side.join(other, "gram").filter(
         f"x < x_y and root <> root_y and 100 * least(size, size_y) >= {percent} * greatest(size, size_y)"
-        f" and greatest(level, level_y) <= least(matches, matches_y) and coalesce(abs(far - far_y) <= {limit}, true)")
-    pairs = pairs.groupBy("x", F.col("x_y").alias("y")).agg(F.count("*").alias("met"), F.first(F.least("matches", "matches_y")).alias("asked"))
+        f" and at < size - {overlap} + {asked} and at_y < size_y - {overlap} + {asked}"
+        f" and coalesce(abs(far - far_y) <= {limit}, true)")
+    pairs = pairs.groupBy("x", F.col("x_y").alias("y")).agg(F.count("*").alias("met"), F.first(F.expr(asked)).alias("asked"))
     pairs = saved(pairs.filter("met >= asked").select("x", "y"), "pairs")
     links = _linked(stars, percent)
     if not pairs.isEmpty():
