@@ -41,6 +41,11 @@ def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").alias("id"), strip_markup(first_line(F.col("text"))).alias("title"))
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, title): the whole text of each document, for word statistics."""
+    return documents(spark, sf_dir).select(F.col("doc_id").alias("id"), strip_markup(F.col("text")).alias("title"))
+
+
 def meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(question_id, title, answer_count, text_length) of the documents."""
     return table(spark, sf_dir, "documents").select(
@@ -70,6 +75,7 @@ def sql_bits(x: str) -> str:
 
 
 SQL_TITLE = sql_strip("split_part(text, chr(10), 1)")
+SQL_TEXT = sql_strip("text")
 SQL_META = f"""meta AS (
   SELECT doc_id AS question_id, {SQL_TITLE} AS title,
          CAST(len(string_split(text, chr(10))) AS INT) AS answer_count, CAST(length(text) AS INT) AS text_length

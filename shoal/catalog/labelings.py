@@ -68,14 +68,6 @@ def one_shot_check(spark, sf_dir):
         F.count("*").alias("rows"), F.countDistinct("cluster_id").alias("clusters"), outside.alias("outside"))
 
 
-def gaussian_directions(spark, sf_dir):
-    """The random unit centres drawn for the width of the embeddings."""
-    dims = table(spark, sf_dir, "embeddings").agg(F.max(F.size("embedding"))).first()[0]
-    centres = baselines.gaussian_directions(spark, max(KS), dims, SEED)
-    return centres.select("cluster_id", F.posexplode("vec").alias("j", "x")).select(
-        "cluster_id", F.col("j").cast("long"), F.round("x", 6).alias("x"))
-
-
 def _fitted(spark, sf_dir, k=10):
     rows = kmeans.features(vectors(spark, sf_dir))
     return rows, kmeans.fit(rows, k)
@@ -120,7 +112,7 @@ def k_search_check(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     uniform_random, shuffle_size, length_buckets, document_length_buckets, pca1_buckets, pca1_bucket_sizes,
-    random_centroid, gaussian_directions, kmeanspp_one_shot, one_shot_check, kmeans_labels, kmeans_check, inertia,
+    random_centroid, kmeanspp_one_shot, one_shot_check, kmeans_labels, kmeans_check, inertia,
     k_search, k_search_check,
 )}
 
@@ -153,8 +145,6 @@ SQL = {
       SELECT k, 'baseline_pca1_buckets' AS variant, CAST(c AS INT) AS cluster_id,
         CAST(CASE WHEN c = k - 1 THEN n - (k - 1) * (n // k) ELSE n // k END AS BIGINT) AS cluster_size
       FROM n, (VALUES {_KS}) AS g(k), range(k) AS cs(c)""",
-    "gaussian_directions": f"""WITH {_sql_centres(_DIMS)}
-      SELECT CAST(cluster_id AS INT) AS cluster_id, j, round(x, 6) AS x FROM centres WHERE k = {max(KS)}""",
     "random_centroid": f"""WITH {SQL_VECTORS}, {_sql_centres(_DIMS)},
       c AS (SELECT k, cluster_id, list(x ORDER BY j) AS mean FROM centres GROUP BY k, cluster_id),
       d AS (SELECT id, k, cluster_id, list_distance(vec, mean) AS dist FROM vectors, c)

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from shoal.catalog.common import SEED, SQL_ASSIGNMENTS, SQL_VECTORS, assignments, vectors
 from shoal.plans import kmeans, report
-from shoal.plans.metrics import HIGHER_IS_BETTER, METRICS, Evaluation, evaluate, main_only
+from shoal.plans.metrics import HIGHER_IS_BETTER, METRICS, SILHOUETTE_SAMPLE, Evaluation, evaluate, main_only
 
-SAMPLE = 300
+SAMPLE = SILHOUETTE_SAMPLE
 
 
 def _evaluation(spark, sf_dir):

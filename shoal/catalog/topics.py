@@ -1,20 +1,20 @@
-"""Topic breakdown queries on document titles (first lines)."""
+"""Topic breakdown queries: word statistics on whole texts, sample titles on first lines."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shoal.catalog.common import SEED, SQL_TITLE, sql_bits, titles
+from shoal.catalog.common import SEED, SQL_TEXT, SQL_TITLE, sql_bits, texts, titles
 from shoal.functions.hashing import digest, leading_bits
 from shoal.functions.text import TOKEN, WORD
 from shoal.plans import topics
 
-MAX_TERMS = 2000
+MAX_TERMS = topics.MAX_TERMS
 STOP_WORDS = ["the", "of", "and", "to", "in", "is", "it", "that", "for", "on", "with", "as", "at", "by", "an", "be"]
 
 
 def _terms(spark, sf_dir):
-    return topics.title_terms(titles(spark, sf_dir), STOP_WORDS)
+    return topics.title_terms(texts(spark, sf_dir), STOP_WORDS)
 
 
 def _labels(spark, sf_dir):
@@ -63,11 +63,11 @@ def topic_tree(spark, sf_dir):
 
 
 def extracted_subtopics(spark, sf_dir):
-    return topics.extract_subtopics(titles(spark, sf_dir), stop_words=STOP_WORDS)
+    return topics.extract_subtopics(texts(spark, sf_dir), stop_words=STOP_WORDS, shown=titles(spark, sf_dir))
 
 
 def title_term_frequencies(spark, sf_dir):
-    return topics.term_frequencies(titles(spark, sf_dir), STOP_WORDS)
+    return topics.term_frequencies(texts(spark, sf_dir), STOP_WORDS)
 
 
 QUERIES = {f.__name__: f for f in (
@@ -83,7 +83,8 @@ _GRAMS = " UNION ALL ".join(
     for n in range(topics.NGRAM_RANGE[0], topics.NGRAM_RANGE[1] + 1)
 )
 _BASE = f"""WITH titles AS (SELECT doc_id AS id, {SQL_TITLE} AS title FROM documents),
-words AS (SELECT id, list_filter(regexp_extract_all(lower(title), '{TOKEN}'), lambda t: t NOT IN ({_STOP})) AS words FROM titles),
+texts AS (SELECT doc_id AS id, {SQL_TEXT} AS text FROM documents),
+words AS (SELECT id, list_filter(regexp_extract_all(lower(text), '{TOKEN}'), lambda t: t NOT IN ({_STOP})) AS words FROM texts),
 grams AS ({_GRAMS}),
 tf AS (SELECT id, term, count(*) AS tf FROM grams GROUP BY ALL),
 vocab AS (SELECT term, CAST(sum(tf) AS BIGINT) AS total, count(*) AS df,
@@ -120,7 +121,7 @@ SQL = {
         coalesce((SELECT string_agg(term, ' | ' ORDER BY rank) FROM top_terms t WHERE t.subtopic = s.subtopic), '') AS terms,
         coalesce((SELECT string_agg(title, ' | ' ORDER BY rank) FROM top_titles t WHERE t.subtopic = s.subtopic), '') AS titles
       FROM sizes s""",
-    "title_term_frequencies": f"""WITH titles AS (SELECT doc_id AS id, {SQL_TITLE} AS title FROM documents),
+    "title_term_frequencies": f"""WITH titles AS (SELECT doc_id AS id, {SQL_TEXT} AS title FROM documents),
       found AS (SELECT regexp_extract_all(lower(title), '{_WORD}') AS words FROM titles),
       words AS (SELECT word, count(*) AS c FROM (SELECT unnest(words) AS word FROM found)
         WHERE word NOT IN ({_STOP}) GROUP BY word),

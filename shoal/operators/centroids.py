@@ -38,7 +38,10 @@ class Labelled:
 
 
 def with_labels(vectors: DataFrame, assignments: DataFrame) -> Labelled:
-    """Join `vectors(id, vec)` with `assignments(question_id, k, variant, cluster_id)`."""
+    """Join `vectors(id, vec)` with `assignments(question_id, k, variant, cluster_id)`.
+
+    An id that only one side has fails the job that reads the rows: metrics of a part would pass for those of the whole.
+    """
     spark = vectors.sparkSession
     found = assignments.select("k", "variant").distinct().collect()
     labelings = sorted((r["k"], r["variant"]) for r in found)
@@ -50,7 +53,10 @@ def with_labels(vectors: DataFrame, assignments: DataFrame) -> Labelled:
         .groupBy(F.col("question_id").alias("id"))
         .agg(F.collect_list(F.struct("lab", F.col("cluster_id").cast("int").alias("cluster_id"))).alias("labs"))
     )
-    rows = vectors.select("id", F.col("vec").cast("array<double>").alias("vec")).join(per_id, "id")
+    joined = vectors.select("id", F.col("vec").cast("array<double>").alias("vec")).join(per_id, "id", "full")
+    lonely = F.raise_error(F.concat(F.lit("vectors and labels do not hold the same ids, e.g. "), F.col("id").cast("string")))
+    complete = F.col("vec").isNotNull() & F.col("labs").isNotNull()
+    rows = joined.select("id", F.when(complete, F.col("vec")).otherwise(lonely.cast("array<double>")).alias("vec"), "labs")
     return Labelled(rows, labelings)
 
 

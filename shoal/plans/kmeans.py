@@ -23,7 +23,7 @@ SEARCH_SCHEMA = "k int, dbi double, inertia double, seconds double"
 
 
 def zero_vectors(vectors: DataFrame) -> DataFrame:
-    """Ids of rows without any direction (empty texts); they are left out of fits."""
+    """Ids of rows without any direction (empty texts), to report; fits label them like any other row."""
     return vectors.filter(~F.exists("vec", lambda x: x != 0)).select("id")
 
 
@@ -33,15 +33,14 @@ def partitions_for(size: int) -> int:
 
 
 def features(vectors: DataFrame, partitions: int | None = None) -> DataFrame:
-    """(id, vec, features) without zero rows, in partitions that depend only on the data.
+    """(id, vec, features) of every row, in partitions that depend only on the data.
 
     MLlib draws its starting centres per partition, so placement and order of the rows are pinned by id.
     """
-    rows = vectors.filter(F.exists("vec", lambda x: x != 0))
     if partitions is None:
         size = vectors.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("d")).first()
         partitions = partitions_for(size["n"] * (size["d"] or 0) * 8)
-    pinned = rows.repartition(partitions, "id").sortWithinPartitions("id")
+    pinned = vectors.repartition(partitions, "id").sortWithinPartitions("id")
     return pinned.select("id", "vec", array_to_vector(F.col("vec").cast("array<double>")).alias("features"))
 
 

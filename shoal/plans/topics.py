@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer, StopWordsRemover
+from pyspark.ml.feature import IDF, CountVectorizerModel, ElementwiseProduct, Normalizer, StopWordsRemover
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from shoal.functions.text import WORD, ngrams, tokens
 from shoal.operators.clusters import top_n_per_group
 from shoal.operators.encode import exploded, smooth_idf
+from shoal.plans.kmeans import partitions_for
 from shoal.session import BROADCAST_ROWS, checkpoint, computed_once
 
 # Fixed values of the breakdown.
@@ -22,6 +23,7 @@ SAMPLE_TITLES = 5
 CLOUD_TERMS = 50
 COLLOCATION_SCORE = 30.0
 SEED = 42
+TERM_BYTES = 24
 
 
 def english_stop_words() -> list[str]:
@@ -73,11 +75,18 @@ def tfidf(terms: DataFrame, vocab: DataFrame, max_terms: int = MAX_TERMS) -> Dat
 
 
 def subtopics(terms: DataFrame, k: int = SUBTOPICS, seed: int = SEED, max_terms: int = MAX_TERMS,
-              partitions: int = 8) -> DataFrame:
-    """(id, subtopic): k-means on the sparse TF-IDF rows of one cluster's titles."""
-    pinned = terms.repartition(partitions, "id").sortWithinPartitions("id")
-    counter = CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=max_terms).fit(pinned)
-    tf = counter.transform(pinned)
+              vocab: DataFrame | None = None) -> DataFrame:
+    """(id, subtopic): k-means on the sparse TF-IDF rows of one cluster's titles.
+
+    The vocabulary is that of `vocabulary`, at most `max_terms` terms; the number of partitions follows from the data.
+    """
+    kept = (vocabulary(terms, max_terms) if vocab is None else vocab).select("term", "total").collect()
+    if not kept:
+        return terms.select("id", F.lit(0).alias("subtopic"))
+    names = [r["term"] for r in sorted(kept, key=lambda r: (-r["total"], r["term"]))]
+    size = terms.agg(F.sum(F.size("terms") * F.lit(TERM_BYTES))).first()[0] or 0
+    pinned = terms.repartition(partitions_for(size), "id").sortWithinPartitions("id")
+    tf = CountVectorizerModel.from_vocabulary(names, inputCol="terms", outputCol="tf").transform(pinned)
     idf = IDF(inputCol="tf", outputCol="_").fit(tf).idf.toArray() + 1.0
     weigh = ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="tf", outputCol="weighted")
     rows = Normalizer(p=2.0, inputCol="weighted", outputCol="features").transform(weigh.transform(tf))
@@ -115,11 +124,13 @@ def _in_order(column: str) -> Column:
     return F.transform(ordered, lambda r: r[column])
 
 
-def extract_subtopics(titles: DataFrame, k: int = SUBTOPICS, stop_words: list[str] | None = None) -> DataFrame:
-    """The topic tree of `titles(id, title)`."""
+def extract_subtopics(titles: DataFrame, k: int = SUBTOPICS, stop_words: list[str] | None = None,
+                      shown: DataFrame | None = None) -> DataFrame:
+    """The topic tree of `titles(id, title)`; `shown(id, title)` has other titles to show as samples."""
     terms = checkpoint(title_terms(titles, english_stop_words() if stop_words is None else stop_words))
-    labels = checkpoint(subtopics(terms, k))
-    return topic_tree(titles, tfidf(terms, vocabulary(terms)), labels)
+    vocab = checkpoint(vocabulary(terms))
+    labels = checkpoint(subtopics(terms, k, vocab=vocab))
+    return topic_tree(titles if shown is None else shown, tfidf(terms, vocab), labels)
 
 
 def _log_likelihood(k: Column, n: Column, x: Column) -> Column:

@@ -100,7 +100,7 @@ def test_pca_matches_svd(spark):
     assert (parts.loadings[np.abs(parts.loadings).argmax(0), range(4)] > 0).all()
 
 
-def test_kmeans_is_repeatable_and_leaves_out_zero_rows(spark):
+def test_kmeans_is_repeatable_and_labels_zero_rows(spark):
     rng = np.random.default_rng(3)
     x = np.vstack([rng.normal(size=(60, 4)), np.zeros((2, 4))])
     runs = []
@@ -108,10 +108,19 @@ def test_kmeans_is_repeatable_and_leaves_out_zero_rows(spark):
         f = kmeans.features(rows, 4)
         runs.append(sorted(map(tuple, kmeans.assign(kmeans.fit(f, 5), f, 5).collect())))
     assert runs[0] == runs[1]
-    assert len(runs[0]) == 60
+    assert sorted(r[0] for r in runs[0]) == list(range(62))
     assert kmeans.zero_vectors(vectors(spark, x)).count() == 2
 
 
+def test_gaussian_directions_are_unit_and_fixed_by_the_seed(spark):
+    rows = baselines.gaussian_directions(spark, 7, 16, 42).orderBy("cluster_id").collect()
+    assert [r.cluster_id for r in rows] == list(range(7))
+    x = np.array([r.vec for r in rows])
+    assert x.shape == (7, 16) and np.allclose(np.linalg.norm(x, axis=1), 1)
+    assert rows == baselines.gaussian_directions(spark, 7, 16, 42).orderBy("cluster_id").collect()
+    assert rows != baselines.gaussian_directions(spark, 7, 16, 43).orderBy("cluster_id").collect()
+
+
 def test_running_best_is_strict(spark):
     rows = list(zip([20, 40, 60, 80, 100], [4.1, 3.9, 3.9, 3.95, 3.8]))
     out = kmeans.running_best(spark.createDataFrame(rows, "k int, dbi double")).orderBy("k").collect()

@@ -97,3 +97,9 @@ def test_structure_beats_random_labels(spark):
     scaled = {(r.metric, r.variant): r.scaled for r in report.scaled(metrics).collect()}
     assert scaled["dbi", "kmeans"] == 1 and scaled["dbi", "baseline_shuffle_size"] == 0
     assert scaled["singleton_ratio", "kmeans"] == 0
+
+
+@pytest.mark.parametrize("clusters", [[0, 0, 1], [0, 0, 1, 1, 1]])
+def test_ids_that_one_side_lacks_fail_the_job(spark, clusters):
+    with pytest.raises(Exception, match="do not hold the same ids"):
+        Evaluation(vectors(spark, PAIRS), labels(spark, clusters)).table().first()
