@@ -4,7 +4,8 @@ A document's set is that of its word n-grams, as 64-bit hashes. All sets share o
 sets that are similar enough, the first len - need + m grams of either (need: the least possible overlap) have at least
 m grams in common, for any m. Each document picks its own m: it lengthens its prefix while the estimated cost of
 what it meets (postings to go through, and candidates to verify) falls. Two documents are held to the smaller m of the two,
-and are verified only if that many grams match within the prefixes that their two sizes call for.
+and are verified only if that many grams match within the prefixes that their two sizes call for. Posting lists hold
+the prefixes for a single match, which every such pair shares one gram of; the longer ones are compared pair by pair.
 
 How often a gram occurs is estimated over all documents by a sketch of fixed size (counters by remainder of the hash, which never count too low);
 any common order is right, a better one only makes fewer candidates.
@@ -132,30 +133,43 @@ def keys(docs: DataFrame, n: int, text: str, doc_id: str) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, size long, a long, b long")
 
 
-def postings(docs: DataFrame, n: int, percent: int, marks: np.ndarray) -> DataFrame:
-    """(gram, x, size, matches, at, rank): a row for each gram of each prefix of `docs(doc_id, text)`.
-
-    `at` is the gram's place in the prefix; `rank` is low where a prefix's grams are common.
-    """
+def _prefixes(docs: DataFrame, n: int, percent: int, marks: np.ndarray):
+    """A function from a batch's texts to (set, prefix, matches asked for, mean estimate of its grams) of each."""
     bits = int(np.log2(len(marks)))
     counts = np.exp2(np.arange(256) / 16.0) - 1
     held = docs.sparkSession.sparkContext.broadcast((marks, float(counts[int(np.median(marks))])))
-    names = ["gram", "x", "size", "matches", "at", "rank"]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.int32(), pa.float32()]
+
+    def of(column):
+        table, base = held.value
+        for found in shingle_sets(column, n):
+            if len(found):
+                yield found, *prefix(found, counts[table[(found >> np.uint64(64 - bits)).astype(np.int64)]], percent, base)
+            else:
+                yield found, found, 0, 0.0
+
+    return of
+
+
+def postings(docs: DataFrame, prefixes) -> DataFrame:
+    """(gram, x, size, at, rank): a row for each gram of `docs(doc_id, text)` that a similar set has to meet one of.
+
+    These are the prefixes for a single match. `at` is the gram's place; `rank` is low where a prefix's grams are common.
+    """
+    names = ["gram", "x", "size", "at", "rank"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float32()]
 
     def batch_of(out):
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)).cast(k) for c, k in zip(out, kinds)], names=names)
 
     def run(batches):
-        table, base = held.value
         for batch in batches:
             out, waiting = [[] for _ in names], 0
-            for doc, found in zip(batch.column("doc_id").to_pylist(), shingle_sets(batch.column("text"), n)):
-                if len(found):
-                    first, m, mean = prefix(found, counts[table[(found >> np.uint64(64 - bits)).astype(np.int64)]], percent, base)
-                    k = len(first)
-                    for column, values in zip(out, (first.view(np.int64), np.full(k, doc), np.full(k, len(found)), np.full(k, m), np.arange(k), np.full(k, -mean))):
-                        column.append(values)
+            for doc, (found, first, m, mean) in zip(batch.column("doc_id").to_pylist(), prefixes(batch.column("text"))):
+                if m:
+                    k = len(first) - m + 1
+                    values = first[:k].view(np.int64), np.full(k, doc), np.full(k, len(found)), np.arange(k), np.full(k, -mean)
+                    for column, value in zip(out, values):
+                        column.append(value)
                     waiting += k
                     if waiting > FLUSH:
                         yield batch_of(out)
@@ -163,26 +177,40 @@ def postings(docs: DataFrame, n: int, percent: int, marks: np.ndarray) -> DataFr
             if waiting:
                 yield batch_of(out)
 
-    return docs.mapInArrow(run, "gram long, x long, size int, matches short, at int, rank float")
+    return docs.mapInArrow(run, "gram long, x long, size int, at int, rank float")
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, n: int) -> DataFrame:
+def _verified(pairs: DataFrame, rows: DataFrame, prefixes, percent: int | None) -> DataFrame:
     """`pairs(x, y)`, a saved table, with the sizes of their sets' intersection and union.
 
-    The sets are made anew from the texts of the documents in question, so that no sets of all documents are kept.
+    With `percent`, a pair of which too few grams match in the longer prefixes is not compared further and gets nulls. Sets
+    and prefixes are made anew from the texts of the documents in question, so that those of all documents are not kept.
     """
     def run(batches):
         for batch in batches:
-            sets = [s.view(np.int64) for s in shingle_sets(batch.column("text"), n)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "set"])
+            sets, grams, matches = [], [], []
+            for found, first, m, _ in prefixes(batch.column("text")):
+                sets.append(found.view(np.int64))
+                grams.append(first.view(np.int64))
+                matches.append(m)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64())), pa.array(grams, pa.list_(pa.int64())), pa.array(matches, pa.int32())],
+                names=["doc_id", "set", "grams", "matches"])
 
     ids = saved(pairs.select(F.col("x").alias("doc_id")).union(pairs.select("y")).distinct(), "ids")
-    sets = saved(rows.join(small(ids), "doc_id").mapInArrow(run, "doc_id long, set array<long>"), "sets")
-    left = pairs.join(sets.toDF("x", "_a"), "x")
-    both = left.join(sets.toDF("y", "_b"), "y")
-    overlap = F.size(F.array_intersect("_a", "_b"))
-    counted = both.select("x", "y", overlap.alias("common"), (F.size("_a") + F.size("_b")).alias("_total"))
-    return counted.select("x", "y", "common", (F.col("_total") - F.col("common")).alias("together"))
+    sets = saved(rows.join(small(ids), "doc_id").mapInArrow(
+        run, "doc_id long, set array<long>, grams array<long>, matches int"), "sets")
+    left = pairs.join(sets.toDF("x", "set_x", "grams_x", "m_x"), "x")
+    both = left.join(sets.toDF("y", "set_y", "grams_y", "m_y"), "y")
+    total = F.size("set_x") + F.size("set_y")
+    common = F.size(F.array_intersect("set_x", "set_y"))
+    if percent is not None:
+        asked = F.least("m_x", "m_y")
+        overlap = F.ceil(total * percent / (100 + percent)).cast("int")
+        shown = [F.slice(f"grams_{s}", F.lit(1), F.greatest(F.lit(0), F.size(f"set_{s}") - overlap + asked)) for s in "xy"]
+        common = F.when(F.size(F.array_intersect(*shown)) >= asked, common)
+    return both.select("x", "y", common.alias("common"), total.alias("total")).select(
+        "x", "y", "common", (F.col("total") - F.col("common")).alias("together"))
 
 
 def _linked(pairs: DataFrame, percent: int) -> DataFrame:
@@ -209,7 +237,8 @@ def similar_groups(docs: DataFrame, n: int, percent: int, text: str = "text", do
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     others = saved(named.filter("rep <> doc_id").select("doc_id").distinct(), "others")
     single = rows.filter("doc_id is not null").join(small(others), "doc_id", "left_anti")
-    lists = postings(single, n, percent, sketch(docs, n, text, sketch_bits(docs, text)))
+    prefixes = _prefixes(docs, n, percent, sketch(docs, n, text, sketch_bits(docs, text)))
+    lists = postings(single, prefixes)
 
     pivots = saved(lists.groupBy("gram").agg(F.count("*").alias("met"), F.min(F.struct("rank", "x", "size")).alias("p"))
                    .filter("met > 1").select("gram", "p.x", "p.size").toDF("gram", "pivot", "pivot_size"), "pivots")
@@ -217,9 +246,9 @@ def similar_groups(docs: DataFrame, n: int, percent: int, text: str = "text", do
 
     # Each document and the pivot it meets most: cheap, and enough to make one component of a large group.
     near = lists.filter(f"x <> pivot and 100 * least(size, pivot_size) >= {percent} * greatest(size, pivot_size)")
-    met = near.groupBy("x", "pivot").agg(F.count("*").alias("met"), F.max("matches").alias("asked"), F.max("size").alias("size"))
-    best = met.filter("met >= 2 or met >= asked or size < 20").groupBy("x").agg(F.max(F.struct("met", "pivot")).alias("best"))
-    stars = saved(_verified(saved(best.select("x", F.col("best.pivot").alias("y")), "star-pairs"), rows, n), "stars")
+    met = near.groupBy("x", "pivot").agg(F.count("*").alias("met"), F.max("size").alias("size"))
+    best = met.filter("met >= 2 or size < 20").groupBy("x").agg(F.max(F.struct("met", "pivot")).alias("best"))
+    stars = saved(_verified(saved(best.select("x", F.col("best.pivot").alias("y")), "star-pairs"), rows, prefixes, None), "stars")
     first = _components(_linked(stars, percent))
 
     # What is left: pairs across the components of a posting list.
@@ -228,21 +257,19 @@ def similar_groups(docs: DataFrame, n: int, percent: int, text: str = "text", do
     known = stars.select("x", F.col("y").alias("pivot"), (1 - F.col("common") / F.col("together")).alias("far"))
     side = placed.join(mixed, "gram").join(known, ["x", "pivot"], "left").withColumn(
         "far", F.when(F.col("x") == F.col("pivot"), F.lit(0.0)).otherwise(F.col("far")))
-    side = saved(side.select("gram", "x", "size", "matches", "at", "root", "far"), "side")
-    other = side.select("gram", *[F.col(c).alias(f"{c}_y") for c in ("x", "size", "matches", "at", "root", "far")])
+    side = saved(side.select("gram", "x", "size", "at", "root", "far"), "side")
+    other = side.select("gram", *[F.col(c).alias(f"{c}_y") for c in ("x", "size", "at", "root", "far")])
     limit = 1 - percent / 100 + 1e-9
-    # the two sizes give the overlap they need, and with it how long a prefix of either has to show the matches
+    # the two sizes give the overlap they need, and with it how far a prefix of either goes that has to show a match
     overlap = f"(({percent} * (size + size_y) + {99 + percent}) div {100 + percent})"
-    asked = "least(matches, matches_y)"
     pairs = side.join(other, "gram").filter(
         f"x < x_y and root <> root_y and 100 * least(size, size_y) >= {percent} * greatest(size, size_y)"
-        f" and at < size - {overlap} + {asked} and at_y < size_y - {overlap} + {asked}"
+        f" and at <= size - {overlap} and at_y <= size_y - {overlap}"
         f" and coalesce(abs(far - far_y) <= {limit}, true)")
-    pairs = pairs.groupBy("x", F.col("x_y").alias("y")).agg(F.count("*").alias("met"), F.first(F.expr(asked)).alias("asked"))
-    pairs = saved(pairs.filter("met >= asked").select("x", "y"), "pairs")
+    pairs = saved(pairs.select("x", F.col("x_y").alias("y")).distinct(), "pairs")
     links = _linked(stars, percent)
     if not pairs.isEmpty():
-        links = links.unionByName(_linked(saved(_verified(pairs, rows, n), "rest"), percent))
+        links = links.unionByName(_linked(saved(_verified(pairs, rows, prefixes, percent), "rest"), percent))
     groups = _components(links)
 
     out = named.join(groups.withColumnRenamed("id", "rep"), "rep", "left")
