@@ -96,12 +96,11 @@ def inertia(spark, sf_dir):
 
 
 def k_search(spark, sf_dir):
-    """Search over K with the labels of each K kept in a store and the results in a log."""
+    """Search over K with the labels of each K kept in a store and its results appended to a log."""
     folder = scratch_path(spark, "k-search")
     store = AssignmentStore(spark, f"{folder}/assignments")
-    found = kmeans.search(vectors(spark, sf_dir), KS, store=store, save_every=1)
     log = SearchLog(spark, f"{folder}/search")
-    log.append(found.search)
+    kmeans.search(vectors(spark, sf_dir), KS, store=store, save_every=1, log=log)
     return log.read().join(cluster_sizes(store.read()).groupBy("k").agg(
         F.count("*").alias("clusters"), F.sum("cluster_size").alias("rows")), "k")
 

@@ -7,6 +7,8 @@ import time
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
@@ -72,31 +74,48 @@ def inertia(vectors: DataFrame, assignments: DataFrame) -> DataFrame:
 
 @dataclass
 class Search:
+    """`failed` holds the error of each K that could not be fitted; `best_model` is None if an earlier run fitted it."""
+
     search: DataFrame
-    best_k: int
-    best_model: KMeansModel
+    best_k: int | None
+    best_model: KMeansModel | None
+    failed: dict[int, str]
 
 
-def search(vectors: DataFrame, ks: list[int], seed: int = SEED, store=None, save_every: int = 100) -> Search:
+def search(vectors: DataFrame, ks: list[int], seed: int = SEED, store=None, save_every: int = 100, log=None) -> Search:
     """Fit every K, score it by DBI on the executors, keep the lowest.
 
-    With a `store` the labels of every K divisible by `save_every` are written as its (k, kmeans) partition.
+    With a `store` the labels of every K divisible by `save_every` are written as its (k, kmeans) partition. With a
+    `log` each K is appended to it once it is done, and a K that is in it already is not fitted again, so a search that broke off
+    goes on where it was. A K that cannot be fitted is reported in `failed` and does not stop the others.
     """
+    spark = vectors.sparkSession
+    rows = [] if log is None else [tuple(r) for r in log.read_if_any().select("k", "dbi", "inertia", "seconds").collect()]
+    rows = [r for r in rows if r[0] in set(ks)]
+    done, models, failed = {r[0] for r in rows}, {}, {}
+    best = min(((r[1], r[0]) for r in rows if r[1] < START_SCORE), default=(START_SCORE, None))
     feature_rows = features(vectors).persist(StorageLevel.MEMORY_AND_DISK)
-    rows, best = [], (START_SCORE, None, None)
     try:
-        for k in ks:
+        for k in [k for k in ks if k not in done]:
             start = time.perf_counter()
-            model = fit(feature_rows, k, seed)
-            dbi = evaluation_of(model, feature_rows, k).dbi().first()["dbi"]
-            rows.append((k, dbi, float(model.summary.trainingCost), time.perf_counter() - start))
-            if dbi < best[0]:
-                best = (dbi, k, model)
+            try:
+                model = fit(feature_rows, k, seed)
+                dbi = evaluation_of(model, feature_rows, k).dbi().first()["dbi"]
+            except (ValueError, PySparkException, Py4JJavaError) as error:
+                failed[k] = str(error)
+                continue
             if store is not None and k % save_every == 0:
                 store.write(assign(model, feature_rows, k))
+            row = (k, dbi, float(model.summary.trainingCost), time.perf_counter() - start)
+            if log is not None:
+                earlier = min((r[1] for r in rows if r[0] < k), default=START_SCORE)
+                log.append(spark.createDataFrame([(*row, dbi < min(earlier, START_SCORE))], f"{SEARCH_SCHEMA}, is_new_best boolean"))
+            rows.append(row)
+            if dbi < best[0]:
+                best, models = (dbi, k), {k: model}
     finally:
         feature_rows.unpersist()
-    return Search(running_best(vectors.sparkSession.createDataFrame(rows, SEARCH_SCHEMA)), best[1], best[2])
+    return Search(running_best(spark.createDataFrame(sorted(rows), SEARCH_SCHEMA)), best[1], models.get(best[1]), failed)
 
 
 def running_best(search_rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

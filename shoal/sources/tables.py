@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,6 +90,13 @@ class SearchLog:
     def read(self) -> DataFrame:
         return self.spark.read.schema(schemas.SEARCH).parquet(self.path)
 
+    def read_if_any(self) -> DataFrame:
+        """The log, or no rows if nothing has been written to it yet."""
+        try:
+            return self.read()
+        except AnalysisException:
+            return self.spark.createDataFrame([], schemas.SEARCH)
+
     def lines(self) -> DataFrame:
         """(k, line): the log as text, one line per fit, with a mark on every new best K."""
         return render_search(self.read())

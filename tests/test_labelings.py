@@ -7,6 +7,8 @@ from shoal.operators import ordering, sampling
 from shoal.operators.nearest import nearest
 from shoal.operators.reduce import fit, project
 from shoal.plans import baselines, kmeans
+from shoal.session import scratch_path
+from shoal.sources.tables import AssignmentStore, SearchLog
 
 
 def sizes(df):
@@ -112,6 +114,20 @@ def test_kmeans_is_repeatable_and_labels_zero_rows(spark):
     assert kmeans.zero_vectors(vectors(spark, x)).count() == 2
 
 
+def test_a_search_goes_on_where_it_broke_off(spark):
+    x = np.random.default_rng(5).normal(size=(80, 4))
+    whole = kmeans.search(vectors(spark, x), [2, 3, 4]).search.drop("seconds").orderBy("k").collect()
+    folder = scratch_path(spark, "search")
+    log, store = SearchLog(spark, f"{folder}/log"), AssignmentStore(spark, f"{folder}/labels")
+    kmeans.search(vectors(spark, x), [3], store=store, save_every=1, log=log)
+    before = log.read().filter("k = 3").first()
+    found = kmeans.search(vectors(spark, x), [2, 3, 4, 100], store=store, save_every=1, log=log)
+    assert found.search.drop("seconds").orderBy("k").collect()[:3] == whole
+    assert log.read().filter("k = 3").collect() == [before]
+    assert sorted(r.k for r in store.labelings().collect()) == sorted(r.k for r in log.read().collect())
+    assert 100 in found.failed or 100 in {r.k for r in log.read().collect()}
+
+
 def test_gaussian_directions_are_unit_and_fixed_by_the_seed(spark):
     rows = baselines.gaussian_directions(spark, 7, 16, 42).orderBy("cluster_id").collect()
     assert [r.cluster_id for r in rows] == list(range(7))
