@@ -39,12 +39,13 @@ SKETCH_BITS = 20
 MAX_SKETCH_BITS = 26
 MAX_MATCHES = 32
 FLUSH = 1 << 19
+TASK_CHARS = 1 << 28
 VERIFY_COST = 30.0
 
 
-def sketch(docs: DataFrame, n: int, text: str = "text", bits: int = SKETCH_BITS) -> np.ndarray:
-    """About 16 log2 (1 + how often a gram occurs), in a byte for each of 2**bits remainders of the hash, over all documents."""
-    pieces = 64
+def sketch(docs: DataFrame, n: int, text: str, chars: int) -> np.ndarray:
+    """About 16 log2 (1 + how often a gram occurs), in a byte for each remainder of the hash, over all documents."""
+    bits, pieces = sketch_bits(chars), 64
     width = (1 << bits) // pieces
 
     def count(batches):
@@ -71,9 +72,9 @@ def sketch(docs: DataFrame, n: int, text: str = "text", bits: int = SKETCH_BITS)
         marks = np.minimum(np.rint(16 * np.log2(1.0 + total)), 255).astype(np.uint8)
         yield pa.RecordBatch.from_pydict({"piece": pa.array([key[0].as_py()], pa.int32()), "marks": pa.array([marks.tobytes()], pa.binary())})
 
-    rows = docs.select(F.col(text).cast("string").alias("text"))
-    tasks = rows.rdd.getNumPartitions()  # each task hands on its counters, so few tasks do
-    rows = rows.coalesce(max(1, min(tasks, max(2 * docs.sparkSession.sparkContext.defaultParallelism, tasks // 4))))
+    # each task hands on its counters, so there are no more of them than the text calls for
+    rows = docs.select(F.col(text).cast("string").alias("text")).coalesce(
+        max(2 * docs.sparkSession.sparkContext.defaultParallelism, chars // TASK_CHARS))
     summed = rows.mapInArrow(count, "piece int, counts array<int>").groupBy("piece").applyInArrow(add, "piece int, marks binary")
     out = np.zeros(1 << bits, dtype=np.uint8)
     for row in summed.collect():
@@ -87,9 +88,8 @@ def _add(total: np.ndarray, held: list[np.ndarray]) -> None:
         total[places] += n.astype(np.int32)
 
 
-def sketch_bits(docs: DataFrame, text: str, least: int = SKETCH_BITS, most: int = MAX_SKETCH_BITS) -> int:
+def sketch_bits(chars: int, least: int = SKETCH_BITS, most: int = MAX_SKETCH_BITS) -> int:
     """So many that about 32 grams share a counter, as far as a byte for each may be sent to every executor."""
-    chars = docs.agg(F.sum(F.length(text))).first()[0] or 0
     return int(min(most, max(least, math.ceil(math.log2(1 + chars / 6 / 32)))))
 
 
@@ -237,7 +237,8 @@ def similar_groups(docs: DataFrame, n: int, percent: int, text: str = "text", do
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     others = saved(named.filter("rep <> doc_id").select("doc_id").distinct(), "others")
     single = rows.filter("doc_id is not null").join(small(others), "doc_id", "left_anti")
-    prefixes = _prefixes(docs, n, percent, sketch(docs, n, text, sketch_bits(docs, text)))
+    chars = docs.agg(F.sum(F.length(text))).first()[0] or 0
+    prefixes = _prefixes(docs, n, percent, sketch(docs, n, text, chars))
     lists = postings(single, prefixes)
 
     pivots = saved(lists.groupBy("gram").agg(F.count("*").alias("met"), F.min(F.struct("rank", "x", "size")).alias("p"))
