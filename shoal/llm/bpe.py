@@ -23,10 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LOOKAHEAD = 1024
-MAX_STATES = 400_000
-MAX_PAIRS = 600_000
-MAX_WORDS = 200_000
-MAX_PIECES = 200_000
+MAX_STATES = 300_000
+MAX_PAIRS = 400_000
+MAX_WORDS = 150_000
+MAX_PIECES = 150_000
 BLOCK_TOKENS = 8192
 _TIGHT = re.compile(r" \s|\s ")
 
