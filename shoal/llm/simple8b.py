@@ -17,7 +17,6 @@ renamed, so a task that runs again replaces it whole.
 from __future__ import annotations
 
 import posixpath
-import re
 import struct
 import uuid
 import zlib
@@ -39,7 +38,6 @@ FILE_CHARS = 16 << 20
 MAX_STEMS = 300_000
 TEXTS_AT_ONCE = 1024
 _CLOSING = ".,;:!?"
-_RUN = re.compile(r" ?[^\W\d_]+")
 _MAGIC = b"S8B1\0\0\0\0"
 # Fixed values of the format: ids in a word and bits of each, by selector; 0 is the escape.
 COUNTS = np.array([0, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], dtype=np.int64)
@@ -218,37 +216,35 @@ class _Tokens:
     def _learn(self, stems: list[str]) -> dict[str, bytes]:
         runs, others = [], []
         for s in stems:
-            (runs if self.direct and _RUN.fullmatch(s) else others).append(s)
+            (runs if self.direct and s.removeprefix(" ").isalpha() else others).append(s)
         return dict(zip(runs, self._straight(runs))) | dict(zip(others, self._fully(others)))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = [space_pieces(t) for t in texts]
         new, old = self.stems.new.get, self.stems.old.get
         known: dict[str, bytes] = {}
-        stems: dict[str, bytes] = {}
-        wanted, parts_of = [], []
+        ends: dict[str, bytes] = {"": b""}
+        waiting: list[tuple[str, str, str]] = []
         for p in set().union(*cut):
             stem = p.rstrip(_CLOSING)
-            if stem != p and not (stem and stem[-1].isalnum()):
-                stem = p
-            parts_of.append((p, stem))
-            if stem not in stems:
-                ids = new(stem)
+            tail = p[len(stem):]
+            if tail and not (stem and stem[-1].isalnum()):
+                stem, tail = p, ""
+            if tail not in ends:
+                ends[tail] = self._fully([tail])[0]
+            ids = new(stem)
+            if ids is None:
+                ids = old(stem)
                 if ids is None:
-                    ids = old(stem)
-                    if ids is None:
-                        wanted.append(stem)
-                        ids = b""
-                stems[stem] = ids
-        tails = {p[len(stem):] for p, stem in parts_of} - {""}
-        made = self._learn(wanted)
-        stems.update(made)
-        for stem, ids in stems.items():
-            if new(stem) is None:
+                    waiting.append((p, stem, tail))
+                    continue
                 self.stems.put(stem, ids)
-        ends = dict(zip(tails, self._fully(list(tails)))) | {"": b""}
-        for p, stem in parts_of:
-            known[p] = stems[stem] + ends[p[len(stem):]]
+            known[p] = ids + ends[tail] if tail else ids
+        for stem, ids in self._learn(list({stem for _, stem, _ in waiting})).items():
+            self.stems.put(stem, ids)
+            known[stem] = ids
+        for p, stem, tail in waiting:
+            known[p] = known[stem] + ends[tail]
         return [np.frombuffer(b"".join(map(known.__getitem__, parts)), dtype="<u4") for parts in cut]
 
 
