@@ -23,10 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LOOKAHEAD = 1024
-MAX_STATES = 300_000
-MAX_PAIRS = 400_000
-MAX_WORDS = 150_000
-MAX_PIECES = 150_000
+MAX_STATES = 150_000
+MAX_PAIRS = 250_000
+MAX_WORDS = 100_000
+MAX_PIECES = 100_000
 BLOCK_TOKENS = 8192
 _TIGHT = re.compile(r" \s|\s ")
 
@@ -72,7 +72,7 @@ class _Memory:
 
 
 class _State:
-    """Places where a token may begin: (trie node of the bytes since then, the last token before it)."""
+    """Places where a token may begin: the trie node of the bytes since then, and in the lower 32 bits the last token before it plus 1."""
 
     __slots__ = ("places", "next")
 
@@ -110,7 +110,7 @@ class Transducer:
         self._reset()
 
     def _reset(self) -> None:
-        self.start = _State(((0, -1),))
+        self.start = _State((0,))
         self.states = {self.start.places: self.start}
 
     def merges(self, data: bytes, below: int = 1 << 60) -> list[int]:
@@ -167,17 +167,17 @@ class Transducer:
         """The one token that ends with `byte`, and the state after it."""
         places, ended = [], -1
         child, token_at, grows, pairs = self.child, self.token_at, self.grows, self._pairs
-        for node, before in state.places:
-            node = child.get(node << 8 | byte)
+        for place in state.places:
+            node = child.get((place >> 32) << 8 | byte)
             if node is not None:
-                token = token_at[node]
+                token, before = token_at[node], (place & 0xFFFFFFFF) - 1
                 if token >= 0 and ended < 0:
                     fits = pairs.get(before << 32 | token)
                     if fits or fits is None and self._fits(before, token):
                         ended = token
                 if grows[node]:
-                    places.append((node, before))
-        places.append((0, ended))
+                    places.append(node << 32 | (before + 1))
+        places.append(ended + 1)
         key = tuple(places)
         following = self.states.get(key)
         if following is None:
@@ -187,7 +187,7 @@ class Transducer:
 
     def _agreed(self, state: _State, ends: list[int]) -> int:
         """How far the ways to all places of `state` are the same."""
-        at = {len(ends) - 1 - self.depth[node] for node, _ in state.places}
+        at = {len(ends) - 1 - self.depth[place >> 32] for place in state.places}
         while len(at) > 1:
             last = max(at)
             at.remove(last)
