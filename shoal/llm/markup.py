@@ -3,9 +3,10 @@
 The standard library's parser is fed a page piece by piece. Its events become lines, one for each block of text, with the
 number of characters and of tags. The ratios of the two are smoothed by a Gaussian over neighbouring lines and split
 into two clusters by the threshold between them; the lines above it say where the content is, or, where a page has article or main elements, the
-lines in these. The content region is then the smallest element (or the outermost article or main element) that holds most of
+lines in these. The content region is then the smallest element (or the outermost article or main element) that holds all of
 their text, and all of its lines are kept, short ones too. Elements that by their tag, role or class are menus, headers, footers, side bars,
-notices, adverts, forms, scripts, styles or reader comments give no lines at all.
+notices, adverts, forms, scripts, styles or reader comments give no lines at all. A class or id says so only if it does not qualify the
+word ("no-sidebar"), and does not count for an element that holds all of the text, or with other words beside it most of the text.
 
 A null or empty page gives an empty text. Each row is a page of its own: repeated rows give repeated results, null ids
 and urls are kept, other columns are ignored. Pages are read whole, in time linear in their length but for joining pieces.
@@ -23,7 +24,6 @@ from pyspark.sql import functions as F
 
 PIECE = 1 << 16
 RADIUS = 2
-DOMINANT = 0.7
 
 # HTML's elements by how they lay out text.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -43,11 +43,19 @@ sponsored subscribe subscription teaser toolbar widget widgets""".split())
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+")
 
 
+# Words that turn round what a class or id says ("no-sidebar", "article-with-sidebar").
+_QUALIFIERS = set("no not non without with has have had is hide hides".split())
+SHARE = 0.5
+SPREAD = 4.0
+
+
 class _Element:
-    __slots__ = ("tag", "parent", "hidden", "core", "number")
+    """`named`: 0, or 1 if a class or id says that it is no content, 2 if the words of these say nothing else."""
 
-    def __init__(self, tag, parent, hidden, core, number):
-        self.tag, self.parent, self.hidden, self.core, self.number = tag, parent, hidden, core, number
+    __slots__ = ("tag", "parent", "hidden", "core", "number", "named")
+
+    def __init__(self, tag, parent, hidden, core, number, named=0):
+        self.tag, self.parent, self.hidden, self.core, self.number, self.named = tag, parent, hidden, core, number, named
 
 
 class Lines(HTMLParser):
@@ -58,26 +66,49 @@ class Lines(HTMLParser):
         self.root = _Element("", None, False, False, 0)
         self.open, self.elements = [self.root], [self.root]
         self.lines: list[tuple[str, int, _Element]] = []
-        self.held: list[str] = []
+        self.found: list[tuple[list[tuple[str, _Element]], int, _Element]] = []
+        self.held: list[tuple[str, _Element]] = []
         self.tags = 0
 
     def flush(self) -> None:
-        text = " ".join("".join(self.held).split())
-        self.held = []
-        if text:
-            self.lines.append((text, self.tags, self.open[-1]))
+        held, self.held = self.held, []
+        if any(piece and not piece.isspace() for piece, _ in held):
+            self.found.append((held, self.tags, self.open[-1]))
             self.tags = 0
 
+    def resolve(self) -> None:
+        """Take out what lies in elements named as no content, unless their share of the page's text says otherwise."""
+        sizes, total = [0] * len(self.elements), 0
+        for held, _, _ in self.found:
+            for piece, element in held:
+                n = len("".join(piece.split()))
+                total += n
+                sizes[element.number] += n
+        for e in reversed(self.elements[1:]):  # parents have lower numbers
+            sizes[e.parent.number] += sizes[e.number]
+        out = [False] * len(self.elements)
+        for e in self.elements[1:]:
+            n = sizes[e.number]
+            content = n == total or n > SHARE * total and e.named == 1
+            out[e.number] = out[e.parent.number] or bool(e.named) and not content
+        tags = 0
+        for held, met, element in self.found:
+            tags += met
+            text = " ".join("".join(piece for piece, e in held if not out[e.number]).split())
+            if text:
+                self.lines.append((text, tags, element))
+                tags = 0
+
     def handle_starttag(self, tag, attrs):
         self.tags += 1
         if tag in BLOCKS:
             self.flush()
         elif tag == "br":
-            self.held.append(" ")
+            self.held.append((" ", self.open[-1]))
         if tag in VOID:
             return
         if tag in ("article", "main"):  # what is left open before the content does not hold it
-            while self.open[-1].hidden and not self.open[-1].core:
+            while not self.open[-1].core and self._out(self.open[-1]):
                 self.open.pop()
         ends = ENDS.get(tag) or ({"p"} if tag in BLOCKS else None)
         if ends:
@@ -85,7 +116,8 @@ class Lines(HTMLParser):
         above = self.open[-1]
         core = above.core or tag in ("article", "main")
         hidden = above.hidden or self._hidden(tag, attrs, above.core)
-        self.open.append(_Element(tag, above, hidden, core, len(self.elements)))
+        named = 0 if hidden else self._named(tag, attrs, above.core)
+        self.open.append(_Element(tag, above, hidden, core, len(self.elements), named))
         self.elements.append(self.open[-1])
 
     def handle_startendtag(self, tag, attrs):
@@ -106,6 +138,14 @@ class Lines(HTMLParser):
             if tag in BLOCKS:
                 return
 
+    @staticmethod
+    def _out(element: _Element | None) -> bool:
+        while element is not None:
+            if element.hidden or element.named:
+                return True
+            element = element.parent
+        return False
+
     @staticmethod
     def _hidden(tag: str, attrs: list, in_core: bool) -> bool:
         if tag in NEVER_TEXT or tag == "header" and not in_core:
@@ -119,12 +159,22 @@ class Lines(HTMLParser):
                 return True
             if name == "style" and value and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                 return True
-            if name in ("class", "id") and value:
-                words = {w.lower() for w in _WORD.findall(value)}
-                if words & NAMES or "header" in words and not in_core:
-                    return True
         return False
 
+    @staticmethod
+    def _named(tag: str, attrs: list, in_core: bool) -> int:
+        if tag in ("html", "body", "article", "main"):
+            return 0
+        names, others = False, False
+        for name, value in attrs:
+            if name in ("class", "id") and value:
+                for token in value.split():
+                    words = {w.lower() for w in _WORD.findall(token)}
+                    plain = not words & _QUALIFIERS and bool(words & NAMES or "header" in words and not in_core)
+                    names |= plain
+                    others |= not plain or not words <= NAMES | {"header"}
+        return (1 if others else 2) if names else 0
+
     def handle_endtag(self, tag):
         self.tags += 1
         if tag in BLOCKS:
@@ -138,7 +188,7 @@ class Lines(HTMLParser):
 
     def handle_data(self, data):
         if not self.open[-1].hidden:
-            self.held.append(data)
+            self.held.append((data, self.open[-1]))
 
 
 def lines_of(html: str) -> Lines:
@@ -147,6 +197,7 @@ def lines_of(html: str) -> Lines:
         parser.feed(html[at:at + PIECE])
     parser.close()
     parser.flush()
+    parser.resolve()
     return parser
 
 
@@ -166,7 +217,10 @@ def smoothed(ratios: list[float], radius: int = RADIUS) -> list[float]:
 
 
 def threshold(values: list[float]) -> float:
-    """The border between two clusters on a line: each value nearer to its own cluster's mean. Nothing is below it if all are equal."""
+    """The border between two clusters on a line: each value nearer to its own cluster's mean.
+
+    Nothing is below it if all are equal, or if the means differ by less than SPREAD times: long and short paragraphs are both text.
+    """
     low, high = min(values), max(values)
     for _ in range(50):
         border = (low + high) / 2
@@ -177,7 +231,7 @@ def threshold(values: list[float]) -> float:
         if moved == (low, high):
             break
         low, high = moved
-    return (low + high) / 2
+    return min(values) if high < SPREAD * low else (low + high) / 2
 
 
 def main_text(html: str | None) -> str:
@@ -204,7 +258,7 @@ def main_text(html: str | None) -> str:
     region = page.root
     while region.tag not in ("article", "main"):
         best = max(children.get(region.number, []), key=lambda e: inside[e.number], default=None)
-        if best is None or inside[best.number] < DOMINANT * total or best.tag not in _HOLDERS:
+        if best is None or inside[best.number] < total or best.tag not in _HOLDERS:
             break
         region = best
     kept = []
@@ -216,7 +270,8 @@ def main_text(html: str | None) -> str:
     return "\n".join(kept)
 
 
-_HOLDERS = set("html body main article section div center td th tr table tbody ul ol dl blockquote details figure".split())
+# What the way down may enter. Lists, quotations and figures are parts of a text, not its frame.
+_HOLDERS = set("html body main article section div center td th tr table tbody".split())
 
 
 def extracted(pages: DataFrame, html: str = "html", page_id: str = "page_id", url: str = "url") -> DataFrame:

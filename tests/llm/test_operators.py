@@ -260,6 +260,24 @@ def test_main_text(spark):
     assert all(r.n_chars == len(r.text) for r in got.values()) and got[5].n_chars == 179_999
 
 
+def test_no_part_of_a_text_is_left_out():
+    long, short = "long words of content that go on for a while and on " * 6, "fewer words of content here " * 5
+    frame = "<html><body><nav>menu</nav>{}</body></html>"
+    for parts in ("<div><p>{0}</div><div><p>{1}</div>", "<section><p>{0}</section><section><p>{1}</section>",
+                  "<div><p>{1}<ul><li>{0}<li>{0}</ul></div>", "<div><p>{1}<table><tr><td>{0}</table></div>",
+                  "<div><p>{1}<blockquote>{0}</blockquote></div>", "<article><p>{0}</article><article><p>{1}</article>"):
+        got = markup.main_text(frame.format(parts.format(*[f"<b>{x}</b>" if x == short and "div" in parts and "<ul" in parts else x for x in (long, short)])))
+        assert long.strip() in got and short.strip() in got and "menu" not in got, parts
+
+
+def test_a_class_hides_only_what_is_no_content():
+    text = "words of the content that are many and go on " * 3
+    side = "<div class='sidebar'><p>side words</p></div>"
+    for name in ("content no-sidebar", "article-with-sidebar", "page-banner-layout", "has-sidebar", "search"):
+        assert "side words" not in (got := markup.main_text(f"<body><div class='{name}'><p>{text}<p>{text}{'' if name == 'search' else side}</div></body>")) and text.strip() in got, name
+    assert markup.main_text(f"<body><div><p>{text}<p>x <span class=ad>buy</span> y</div><div class='comments'><p>{text * 9}</div></body>").endswith("x y")
+
+
 # -- 2: personal data -----------------------------------------------------------------------------------------
 
 
