@@ -2,8 +2,8 @@
 
 The standard library's parser is fed a page piece by piece. Its events become lines, one for each block of text, with the
 number of characters and of tags. The ratios of the two are smoothed by a Gaussian over neighbouring lines and split
-into two clusters by the threshold between them; the lines above it say where the content is, or, where a page has article or main elements, the
-lines in these. The content region is then the smallest element (or the outermost article or main element) that holds all of
+into two clusters by the threshold between them; the lines above it say where the content is. Where one of them lies in an article or main
+element, these elements settle the borders; where none does, the region takes in both. The content region is the smallest element that holds all of
 their text, and all of its lines are kept, short ones too. Elements that by their tag, role or class are menus, headers, footers, side bars,
 notices, adverts, forms, scripts, styles or reader comments give no lines at all. A class or id says so only if it does not qualify the
 word ("no-sidebar"), and does not count for an element that holds all of the text, or with other words beside it most of the text.
@@ -244,9 +244,14 @@ def main_text(html: str | None) -> str:
     border = threshold(ratios)
     inside = [0] * len(page.elements)
     total = 0
-    marked = any(element.core for _, _, element in lines)  # the page says itself where its content is
-    for (text, _, element), ratio in zip(lines, ratios):
-        if element.core if marked else ratio >= border:
+    over = [ratio >= border for ratio in ratios]
+    core = [element.core for _, _, element in lines]
+    if any(a and b for a, b in zip(over, core)):  # the page says itself where its content is, and the ratios confirm it
+        chosen = core
+    else:  # without such elements, or if the content lies elsewhere too
+        chosen = [a or b for a, b in zip(over, core)]
+    for (text, _, element), taken in zip(lines, chosen):
+        if taken:
             total += len(text)
             while element is not None:
                 inside[element.number] += len(text)

@@ -278,6 +278,15 @@ def test_a_class_hides_only_what_is_no_content():
     assert markup.main_text(f"<body><div><p>{text}<p>x <span class=ad>buy</span> y</div><div class='comments'><p>{text * 9}</div></body>").endswith("x y")
 
 
+def test_ratios_decide_beside_a_teaser_in_an_article():
+    text = [f"paragraph {k} of the content, whose words are many and go on for a while, so that its ratio is high" for k in range(6)]
+    teaser = "<article><ul>" + "<li><a href=/><b><i>x</i></b></a>" * 8 + "</ul></article>"
+    got = markup.main_text(f"<body>{teaser}<div>{''.join(f'<p>{t}</p>' for t in text)}</div></body>")
+    assert all(t in got for t in text)
+    plain = "".join(f"<p>{t}</p>" for t in text)
+    assert markup.main_text(f"<body><div>{plain}</div><div><p>short</p></div><article>{plain}</article></body>") == "\n".join(text)
+
+
 # -- 2: personal data -----------------------------------------------------------------------------------------
 
 
