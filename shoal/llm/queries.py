@@ -48,18 +48,35 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.read_ids(spark, files)
 
 
+def _drilled(page_id: int | None) -> int:
+    """Which records a drill damages, about one of 61, chosen by page_id: 1 before they are compressed, 2 as stored, 0 not at all."""
+    number = 1 if page_id is None else int(hashlib.md5(str(page_id).encode()).hexdigest()[:8], 16)
+    return 0 if number % 61 else 1 + number // 61 % 2
+
+
 def _flipped(page_id: int | None, record: bytes) -> bytes:
-    """A drill: one bit of the payload's middle byte is flipped in about one record of 61, chosen by page_id."""
-    if page_id is None or int(hashlib.md5(str(page_id).encode()).hexdigest()[:8], 16) % 61:
+    """A drill: one bit of the payload's middle byte is flipped."""
+    if _drilled(page_id) != 1:
         return record
     at = (record.find(b"\r\n\r\n") + 4 + len(record) - 4) // 2
     return record[:at] + bytes([record[at] ^ 1]) + record[at + 1:]
 
 
+def _flipped_stored(page_id: int | None, stored: bytes) -> bytes:
+    """A drill: one bit of the gzip member is flipped, from its middle byte on the first that makes it unreadable."""
+    if _drilled(page_id) != 2:
+        return stored
+    for at in range(len(stored) // 2, len(stored)):  # a flip in the closing checksum always does
+        other = stored[:at] + bytes([stored[at] ^ 1]) + stored[at + 1:]
+        if fixity.unpacked(other) is None:
+            return other
+    return stored
+
+
 def op8_fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as an archive, a replica with some damaged records, and what the audit of the two finds."""
     ours = fixity.write_archive(table(spark, sf_dir, "pages"), scratch_path(spark, "archive"))
-    theirs = fixity.replicate(ours, scratch_path(spark, "replica"), _flipped)
+    theirs = fixity.replicate(ours, scratch_path(spark, "replica"), _flipped, _flipped_stored)
     found = fixity.audit(fixity.leaves(ours), fixity.leaves(theirs))
     return found.select("page_id", "problem", "damaged", "payload_bytes", "payload_sha256")
 

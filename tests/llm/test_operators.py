@@ -432,3 +432,49 @@ def test_records_are_read_as_written(tmp_path):
     file.close()
     got = list(fixity.read_records(os.path.join(tmp_path.as_uri(), "x.warc.gz")))
     assert [fixity.payload_of(w, f) for _, f, w in got] == texts and [o for o, _, _ in got][1] == len(got[0][2])
+
+
+def packed_pages(folder, n=40):
+    """Stored records of a file, and that file as a table row for `leaves`."""
+    return [fixity.packed(fixity.record(k, f"http://h/{k}", f"<p>page {k} {k * k}</p>".encode() * (1 + k % 7))) for k in range(n)]
+
+
+def file_table(spark, folder, stored):
+    os.makedirs(folder, exist_ok=True)
+    (folder / "x.warc.gz").write_bytes(b"".join(stored))
+    return spark.createDataFrame([("x.warc.gz", f"{folder.as_uri()}/x.warc.gz")], "file string, path string")
+
+
+def test_every_flipped_bit_of_a_stored_member_is_located(tmp_path):
+    stored = packed_pages(tmp_path, 3)
+    whole = b"".join(stored)
+    a, b = len(stored[0]), len(stored[0]) + len(stored[1])
+    path = tmp_path / "x.warc.gz"
+    for at in range(a, b):
+        path.write_bytes(whole[:at] + bytes([whole[at] ^ 1 << at % 8]) + whole[at + 1:])
+        got = list(fixity.read_members(path.as_uri()))
+        assert [(o, o + len(s)) for o, s, _ in got] == [(0, a), (a, b), (b, len(whole))], at
+        assert got[1][1] != stored[1] and got[0][1] == stored[0] and got[2][1] == stored[2]
+    path.write_bytes(whole[:-5])
+    assert [w is None for _, _, w in fixity.read_members(path.as_uri())] == [False, False, True]
+
+
+def test_damage_in_the_stored_file(spark, tmp_path):
+    stored = packed_pages(tmp_path)
+    ours = fixity.leaves(file_table(spark, tmp_path / "a", stored))
+    start = [sum(map(len, stored[:k])) for k in range(41)]
+
+    def found(theirs):
+        got = fixity.audit(ours, fixity.leaves(file_table(spark, tmp_path / str(len(os.listdir(tmp_path))), theirs)), fanout=3).collect()
+        return sorted((r.number, r.page_id, r.problem, r.damaged, r.start, r.end) for r in got)
+
+    def flip(k, at):
+        return stored[k][:at] + bytes([stored[k][at] ^ 4]) + stored[k][at + 1:]
+
+    bad = {k: flip(k, at) for k, at in ((0, 0), (9, len(stored[9]) // 2), (20, -3), (39, 11))}
+    assert found([bad.get(k, s) for k, s in enumerate(stored)]) == [(k, k, "changed", "theirs", start[k], start[k + 1]) for k in sorted(bad)]
+    lost = [bad.get(k, s) for k, s in enumerate(stored) if k not in (5, 17)]
+    assert found(lost) == sorted([(k, k, "changed", "theirs", start[k], start[k + 1]) for k in bad] +
+                                 [(k, k, "missing", None, start[k], start[k + 1]) for k in (5, 17)])
+    more = stored[:12] + [stored[3]] + stored[12:]  # a record that stands twice
+    assert [(r[1], r[2]) for r in found(more)] == [(3, "extra")]
