@@ -109,30 +109,33 @@ def _value_of(text: str) -> int:
 
 
 def _near(batches):
-    """(term, kind, value, n): for each document its terms near an entity; with a null term, documents by kind ("" for all)."""
+    """(term, kind, value, n): for each document its terms near an entity; with a null term, documents by kind ("" for all).
+
+    A row for each entity (value) that the term stands near; n is 1 in one of them and 0 in the others, so that it adds up to documents.
+    """
     for batch in batches:
-        terms, kinds, values, totals = [], [], [], {"": batch.num_rows}
+        terms, kinds, values, firsts, totals = [], [], [], [], {"": batch.num_rows}
         for text, hashes, starts in _texts_with_words(batch.column("text")):
             spans = base_spans(text)
-            found: dict[tuple[str, int], int] = {}
+            found: dict[tuple[str, int], set[int]] = {}
             for start, end, kind in spans:
                 a = len(text[:start].encode())
                 b = a + len(text[start:end].encode())
                 left, right = np.searchsorted(starts, [a, b])
                 value = _value_of(text[start:end])
                 for h in (*hashes[max(0, left - WINDOW):left].tolist(), *hashes[right:right + WINDOW].tolist()):
-                    found.setdefault((kind, h), value)
-            for (kind, h), value in found.items():
-                terms.append(h)
-                kinds.append(kind)
-                values.append(value)
+                    found.setdefault((kind, h), set()).add(value)
+            for (kind, h), near in found.items():
+                terms += [h] * len(near)
+                kinds += [kind] * len(near)
+                values += near
+                firsts += [1] + [0] * (len(near) - 1)
             for kind in {k for _, _, k in spans}:
                 totals[kind] = totals.get(kind, 0) + 1
-        n = len(terms)
         yield pa.RecordBatch.from_arrays([
             pa.concat_arrays([pa.array(np.array(terms, np.uint64).view(np.int64)), pa.nulls(len(totals), pa.int64())]),
             pa.array([*kinds, *totals]), pa.array([*values, *[0] * len(totals)], pa.int64()),
-            pa.array([*[1] * n, *totals.values()], pa.int64())], names=["term", "kind", "value", "n"])
+            pa.array([*firsts, *totals.values()], pa.int64())], names=["term", "kind", "value", "n"])
 
 
 def _bitmap(terms: DataFrame, bits: int) -> np.ndarray:

@@ -329,6 +329,14 @@ def test_telling_terms(spark):
     assert disclosure.sanitised("see zorblat at 10.0.0.3", [(4, 11, "term", "removed"), (15, 23, "ip", "generalised")]) == "see  at [IP]"
 
 
+def test_every_entity_near_a_term_counts(spark):
+    rows = [(k, f"zorblat all@here.org {'filler ' * 20} zorblat own{k}@there.org") for k in range(6)]
+    rows += [(100 + k, "some other words at rest") for k in range(60)]
+    got = disclosure.telling_terms(documents(spark, rows)).collect()
+    term = {r.near_docs for r in got if r.kind == "email"}
+    assert len(got) >= 1 and term == {6}  # once per document, though near two addresses each
+
+
 # -- 3: language ----------------------------------------------------------------------------------------------
 
 
