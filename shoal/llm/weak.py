@@ -140,9 +140,9 @@ def votes(text: str, words: set[str], found: list[int], mined: Mined) -> int:
         if mined.lexicon[k] >= 0:
             out |= 1 << mined.lexicon[k]
     lower = text.lower()
-    letters = sum(map(str.isalpha, text[:400]))
+    letters = sum(map(str.isalpha, text))
     patterns = (bool(words & INSULTS), "you" in words and bool(_AT_YOU.search(lower)), bool(_MARKED.search(text)),
-                letters > 20 and sum(map(str.isupper, text[:400])) > letters / 2, bool(_PILED.search(text)))
+                letters > 20 and sum(map(str.isupper, text)) > letters / 2, bool(_PILED.search(text)))
     for k, fires in enumerate(patterns):
         out |= fires << (LEXICONS + k)
     return out

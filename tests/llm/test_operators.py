@@ -390,6 +390,14 @@ def test_toxicity(spark):
     assert alone == {1: 1, 2: 0}
 
 
+def test_shouting_is_that_of_the_whole_text():
+    mined = weak.Mined([], [])
+    quiet, loud = "quiet words of a text " * 20, "LOUD WORDS OF A TEXT " * 60
+    bit = 1 << (weak.LEXICONS + 3)
+    assert weak.votes(quiet + loud, set(), [], mined) & bit  # only after the first 400 characters
+    assert not weak.votes(loud[:450] + quiet * 9, set(), [], mined) & bit  # only in a heading
+
+
 def test_label_model_finds_accuracies_and_correlation():
     rng = np.random.default_rng(0)
     n = 20_000
