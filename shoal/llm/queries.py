@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import string
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoal.llm import adaptjoin, bpe, disclosure, fixity, markup, radix, simple8b, tiling, weak, zlang
+from shoal.llm import adaptjoin, bpe, disclosure, fixity, manifest, markup, radix, simple8b, tiling, weak, zlang
 from shoal.llm.scratch import bucket_of, table
 from shoal.session import scratch_path
 
@@ -90,6 +91,15 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of all documents, and a check of it against a copy in which every fifth text (by doc_id) is lower-cased."""
+    docs = table(spark, sf_dir, "documents")
+    lower = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    copy = [lower if c == "text" else F.col(c) for c in manifest.FIELDS]
+    checked = F.when(bucket_of(F.col("doc_id"), 5) == 0, manifest.leaf(*copy))
+    return manifest.proofs(manifest.manifest(docs, checked=checked)).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_disclosure": op2_disclosure,
@@ -101,9 +111,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fixity_audit": op8_fixity_audit,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_byte_bpe": op10_byte_bpe,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 _NORMAL = "regexp_replace(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')"
+
+
+def _crc32(number: str) -> str:
+    """SQL of the unsigned crc32 of a number's decimal text."""
+    bits = "list_reduce([0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, 3988292384 * (v & 1)), xor(c, b))"
+    return f"""xor(list_reduce(list_transform(string_split(CAST({number} AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT)),
+        lambda c, b: {bits}, 4294967295::BIGINT), 4294967295)"""
+
+
+def _field(value: str) -> str:
+    return f"coalesce(octet_length(encode(CAST({value} AS VARCHAR))) || ':' || {value}, '-')"
+
+
+_LEAF = " || ".join(map(_field, manifest.FIELDS))
+_TAMPERED = _LEAF.replace(_field("text"), _field(f"translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"))
+
 SQL: dict[str, str] = {
     "op8_fixity_audit": """
 SELECT page_id, 'changed' AS problem, 'theirs' AS damaged, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
@@ -114,4 +141,39 @@ SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
 FROM (SELECT doc_id, {_NORMAL} AS t FROM documents)
 WINDOW w AS (PARTITION BY t)""",
+    "op13_merkle_manifest": f"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, coalesce('1' || source, '0') AS key, sha256({_LEAF}) AS h,
+         CASE WHEN {_crc32('doc_id')} % 5 = 0 THEN sha256({_TAMPERED}) ELSE sha256({_LEAF}) END AS checked
+  FROM documents),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id) - 1 AS idx, count(*) OVER (PARTITION BY key) AS n FROM leaves),
+tree AS (
+  SELECT key, 0 AS lvl, idx, h, n FROM ranked
+  UNION ALL
+  SELECT key, lvl + 1, idx // 16, sha256(string_agg(h, '' ORDER BY idx)), (any_value(n) + 15) // 16
+  FROM tree WHERE n > 1 GROUP BY key, lvl, idx // 16),
+subroots AS (SELECT key, h, row_number() OVER (ORDER BY encode(key)) - 1 AS idx, count(*) OVER () AS n FROM tree WHERE n = 1),
+top AS (
+  SELECT 'all' AS key, 0 AS lvl, idx, h, n FROM subroots
+  UNION ALL
+  SELECT key, lvl + 1, idx // 16, sha256(string_agg(h, '' ORDER BY idx)), (any_value(n) + 15) // 16
+  FROM top WHERE n > 1 GROUP BY key, lvl, idx // 16),
+steps AS (
+  SELECT key, lvl, idx, n, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS a,
+         coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS b
+  FROM (SELECT * FROM tree UNION ALL SELECT * FROM top) AS t WHERE n > 1
+  WINDOW w AS (PARTITION BY key, lvl, idx // 16 ORDER BY idx)),
+climbed AS (
+  SELECT r.doc_id, r.key, 0 AS lvl, r.idx, r.n, r.checked AS h, '' AS proof, false AS above FROM ranked AS r
+  UNION ALL
+  SELECT c.doc_id, CASE WHEN c.n > 1 THEN c.key ELSE 'all' END, CASE WHEN c.n > 1 THEN c.lvl + 1 ELSE 0 END,
+         CASE WHEN c.n > 1 THEN c.idx // 16 ELSE s.idx END, CASE WHEN c.n > 1 THEN (c.n + 15) // 16 ELSE s.n END,
+         CASE WHEN c.n > 1 THEN sha256(t.a || c.h || t.b) ELSE c.h END, CASE WHEN c.n > 1 THEN c.proof || t.a || t.b ELSE c.proof END,
+         c.above OR c.n = 1
+  FROM climbed AS c LEFT JOIN steps AS t ON t.key = c.key AND t.lvl = c.lvl AND t.idx = c.idx
+       LEFT JOIN subroots AS s ON s.key = c.key
+  WHERE c.n > 1 OR NOT c.above)
+SELECT r.doc_id, r.h AS leaf, s.h AS subroot, t.h AS root, sha256(c.proof) AS proof_sha256, c.h AS folded_root, c.h = t.h AS verified
+FROM ranked AS r JOIN subroots AS s USING (key) JOIN (SELECT * FROM climbed WHERE above AND n = 1) AS c ON c.doc_id = r.doc_id
+     CROSS JOIN (SELECT h FROM top WHERE n = 1) AS t""",
 }

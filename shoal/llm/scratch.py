@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shoal.session import BROADCAST_ROWS, scratch_path
@@ -35,6 +35,28 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def ranked(df: DataFrame, groups: list[str], order: list[str]) -> DataFrame:
+    """`df` with `rank`, the place (from 0) of a row among those of its group in `order`, and `n`, the rows of the group.
+
+    One range shuffle sorts the rows, so a large group is spread; counts of (partition, group) give the offsets. Groups must
+    not be null. `df` is read twice (range bounds come from a sample), so it should be a saved table.
+    """
+    ranged = df.repartitionByRange(*groups, *order).sortWithinPartitions(*groups, *order)
+    ranged = saved(ranged.withColumn("_line", F.monotonically_increasing_id()), "ranged")
+    part = F.shiftright("_line", 33)  # the id keeps the partition above its lower 33 bits
+    runs = ranged.groupBy(part.alias("_part"), *groups).agg(F.min("_line").alias("_first"), F.count("*").alias("_rows"))
+    group = Window.partitionBy(*groups)
+    before = F.sum("_rows").over(group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    runs = saved(runs.select(
+        "_part", "_first", F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_rows").over(group).alias("n"),
+        *[F.col(g).alias(f"_of_{g}") for g in groups]), "runs")
+    match = part == F.col("_part")
+    for g in groups:
+        match = match & (F.col(g) == F.col(f"_of_{g}"))
+    rank = F.col("_line") - F.col("_first") + F.col("_before")
+    return ranged.join(small(runs), match).select(*df.columns, rank.alias("rank"), "n")
+
+
 def without(docs: DataFrame, doc_id: str, ids: DataFrame) -> DataFrame:
     """The rows of `docs` whose id is not in the one column of `ids`; a null id is an id like others."""
     name = fresh(docs, "dropped")
