@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoal.llm import adaptjoin, bpe, disclosure, fixity, manifest, markup, radix, simple8b, tiling, weak, zlang
+from shoal.llm import adaptjoin, bpe, disclosure, fixity, impact, manifest, markup, radix, simple8b, tiling, trie, weak, zlang
 from shoal.llm.scratch import bucket_of, table
 from shoal.session import scratch_path
 
@@ -91,6 +91,14 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(trie.grafted_sequences(trie.turns_of(table(spark, sf_dir, "conversations"))))
+
+
+def op12_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The manifest of all documents, and a check of it against a copy in which every fifth text (by doc_id) is lower-cased."""
     docs = table(spark, sf_dir, "documents")
@@ -111,6 +119,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fixity_audit": op8_fixity_audit,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_exact_top_k": op12_exact_top_k,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
@@ -141,6 +151,46 @@ SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
 FROM (SELECT doc_id, {_NORMAL} AS t FROM documents)
 WINDOW w AS (PARTITION BY t)""",
+    "op11_prefix_trie": f"""
+WITH t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS p
+  FROM conversations WHERE conv_id IS NOT NULL),
+cs AS (SELECT c, {_crc32('c')} % 9 AS h, c - c % 5 AS base FROM (SELECT DISTINCT c FROM t)),
+heads AS (SELECT cs.c, t.p, t.r, t.x FROM cs JOIN t ON t.c = cs.base AND t.p <= cs.h),
+taken AS (SELECT c, count(*) AS b FROM heads GROUP BY c),
+rebuilt AS (
+  SELECT * FROM heads
+  UNION ALL
+  SELECT t.c, t.p - cs.h + coalesce(b, 0), r, x FROM t JOIN cs USING (c) LEFT JOIN taken USING (c) WHERE t.p > cs.h),
+prefixes AS (
+  SELECT c, p AS d, octet_length(encode(x)) AS size,
+         md5(string_agg(octet_length(encode(r)) || ':' || r || octet_length(encode(x)) || ':' || x, '') OVER (PARTITION BY c ORDER BY p)) AS k
+  FROM rebuilt
+  UNION ALL
+  SELECT c, 0, 0, '' FROM cs),
+last AS (SELECT c, max(d) AS d FROM prefixes GROUP BY c),
+nodes AS (SELECT k, min(c) AS c, any_value(d) AS d, count(*) AS n, any_value(size) AS size FROM prefixes GROUP BY k),
+ends AS (SELECT k, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS ids FROM prefixes JOIN last USING (c, d) GROUP BY k),
+linked AS (
+  SELECT n.*, o.k AS above, m.c AS over
+  FROM nodes AS n LEFT JOIN prefixes AS o ON o.c = n.c AND o.d = n.d - 1 LEFT JOIN nodes AS m ON m.k = o.k),
+children AS (SELECT above AS k, count(*) AS n_children FROM linked WHERE above IS NOT NULL GROUP BY above),
+full_nodes AS (SELECT l.*, coalesce(n_children, 0) AS n_children FROM linked AS l LEFT JOIN children USING (k)),
+sums AS (
+  SELECT o.k, count(*) FILTER (WHERE n.n_children = 0) AS n_leaves, sum((n.n - 1) * n.size) AS saved
+  FROM full_nodes AS n JOIN prefixes AS o ON o.c = n.c AND o.d <= n.d GROUP BY o.k)
+SELECT n.c AS conv_id, n.d AS depth, n.over AS parent_conv_id, n.n AS n_convs, n.n_children, s.n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens,
+       sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM full_nodes AS n JOIN sums AS s USING (k) LEFT JOIN ends AS e USING (k)""",
+    "op12_exact_top_k": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 256)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v AS q JOIN v AS c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",
     "op13_merkle_manifest": f"""
 WITH RECURSIVE leaves AS (
   SELECT doc_id, coalesce('1' || source, '0') AS key, sha256({_LEAF}) AS h,
