@@ -8,8 +8,9 @@ from shoal.catalog.common import (
     KS, SEED, SQL_GIVEN, SQL_LENGTH_BUCKETS, SQL_UNIFORM, SQL_VECTORS, given_labels, sql_bits, table, vectors,
 )
 from shoal.operators.clusters import cluster_sizes
-from shoal.operators.nearest import nearest_to_matrix
+from shoal.operators.nearest import nearest_all, nearest_to_matrix
 from shoal.plans import baselines, kmeans
+from shoal.plans.metrics import Evaluation
 from shoal.session import scratch_path
 from shoal.sources.tables import AssignmentStore, SearchLog
 
@@ -61,11 +62,16 @@ def kmeanspp_one_shot(spark, sf_dir):
 
 
 def one_shot_check(spark, sf_dir):
-    """Per k: rows labelled, non-empty clusters (each centre is a row, so none is empty), labels outside [0, k)."""
-    labels = kmeanspp_one_shot(spark, sf_dir)
-    outside = F.count(F.when((F.col("cluster_id") < 0) | (F.col("cluster_id") >= F.col("k")), 1))
-    return labels.groupBy("k").agg(
-        F.count("*").alias("rows"), F.countDistinct("cluster_id").alias("clusters"), outside.alias("outside"))
+    """Per k: rows labelled, non-empty clusters (each centre is a row, so none is empty), centres that are rows, and labels that are not
+    the nearest centre."""
+    rows = vectors(spark, sf_dir)
+    centres = {k: c for k, (_, c) in baselines.all_seeds(rows, KS, SEED).items()}
+    near = nearest_all(rows, centres)
+    labels = baselines.kmeanspp_one_shot(rows, KS, SEED).withColumnsRenamed({"question_id": "id", "cluster_id": "given"})
+    other = F.count(F.when(F.col("given") != F.col("cluster_id"), 1))
+    met = F.countDistinct(F.when(F.col("dist") < 1e-6, F.col("cluster_id")))
+    return near.join(labels, ["id", "k"]).groupBy("k").agg(
+        F.count("*").alias("rows"), F.countDistinct("given").alias("clusters"), met.alias("centres_met"), other.alias("not_nearest"))
 
 
 def _fitted(spark, sf_dir, k=10):
@@ -95,24 +101,56 @@ def inertia(spark, sf_dir):
     return kmeans.inertia(vectors(spark, sf_dir), labels).withColumn("inertia", F.round("inertia", 6))
 
 
-def k_search(spark, sf_dir):
-    """Search over K with the labels of each K kept in a store and its results appended to a log."""
+def _search(spark, sf_dir):
     folder = scratch_path(spark, "k-search")
     store = AssignmentStore(spark, f"{folder}/assignments")
     log = SearchLog(spark, f"{folder}/search")
-    kmeans.search(vectors(spark, sf_dir), KS, store=store, save_every=1, log=log)
-    return log.read().join(cluster_sizes(store.read()).groupBy("k").agg(
-        F.count("*").alias("clusters"), F.sum("cluster_size").alias("rows")), "k")
+    found = kmeans.search(vectors(spark, sf_dir), KS, store=store, save_every=1, log=log)
+    return found, store, log
+
+
+def k_search(spark, sf_dir):
+    """Search over K with the labels of each K kept in a store and its results appended to a log; a K that fails has a row too."""
+    found, store, log = _search(spark, sf_dir)
+    sizes = cluster_sizes(store.read()).groupBy("k").agg(F.count("*").alias("clusters"), F.sum("cluster_size").alias("rows"))
+    done = log.read().join(sizes, "k").withColumn("failed", F.lit(None).cast("string"))
+    failed = spark.createDataFrame(list(found.failed.items()), "k int, failed string")
+    return done.unionByName(failed, allowMissingColumns=True)
 
 
 def k_search_check(spark, sf_dir):
-    return k_search(spark, sf_dir).select("k", "rows")
+    """Per K: rows labelled, and whether DBI and inertia of the log are those recomputed from the stored labels."""
+    _, store, log = _search(spark, sf_dir)
+    evaluation = Evaluation(vectors(spark, sf_dir), store.read())
+    again = evaluation.named(evaluation.dbi()).select("k", F.col("dbi").alias("dbi_again"))
+    cost = kmeans.inertia(vectors(spark, sf_dir), store.read()).select("k", F.col("inertia").alias("inertia_again"))
+    rows = store.read().groupBy("k").agg(F.count("*").alias("rows"))
+    # The labels are those of the last centres, whose cost is at most a little above that around the means of the labels.
+    return log.read().join(again, "k").join(cost, "k").join(rows, "k").select(
+        "k", "rows", (F.abs(F.col("dbi") - F.col("dbi_again")) < 1e-6).alias("dbi_agrees"),
+        ((F.col("inertia") >= F.col("inertia_again") - 1e-6) & (F.col("inertia") <= F.col("inertia_again") * 1.05)).alias("inertia_agrees"))
+
+
+def final_labels(spark, sf_dir):
+    rows = vectors(spark, sf_dir)
+    return kmeans.final_labels(rows, kmeans.search(rows, KS))
+
+
+def final_labels_check(spark, sf_dir):
+    """Rows labelled by the best model, and whether its DBI is the lowest of the search."""
+    rows = vectors(spark, sf_dir)
+    found = kmeans.search(rows, KS)
+    labels = kmeans.final_labels(rows, found)
+    dbi = Evaluation(rows, labels).dbi().first()["dbi"]
+    lowest = found.search.agg(F.min("dbi")).first()[0]
+    return labels.agg(F.count("*").alias("rows"), F.countDistinct("question_id").alias("ids")).withColumn(
+        "lowest", F.lit(abs(dbi - lowest) < 1e-6))
 
 
 QUERIES = {f.__name__: f for f in (
     uniform_random, shuffle_size, length_buckets, document_length_buckets, pca1_buckets, pca1_bucket_sizes,
     random_centroid, kmeanspp_one_shot, one_shot_check, kmeans_labels, kmeans_check, inertia,
-    k_search, k_search_check,
+    k_search, k_search_check, final_labels, final_labels_check,
 )}
 
 _KS = ", ".join(f"({k})" for k in KS)
@@ -150,7 +188,7 @@ SQL = {
       SELECT id AS question_id, k, 'baseline_random_centroid' AS variant,
         CAST(arg_min(cluster_id, dist) AS INT) AS cluster_id FROM d GROUP BY id, k""",
     "one_shot_check": f"""SELECT k, (SELECT count(*) FROM embeddings) AS rows, CAST(k AS BIGINT) AS clusters,
-      CAST(0 AS BIGINT) AS outside FROM (VALUES {_KS}) AS g(k)""",
+      CAST(k AS BIGINT) AS centres_met, CAST(0 AS BIGINT) AS not_nearest FROM (VALUES {_KS}) AS g(k)""",
     "kmeans_check": """SELECT count(*) AS rows, CAST(0 AS BIGINT) AS not_nearest, TRUE AS cost_agrees
       FROM embeddings""",
     "inertia": f"""WITH {SQL_VECTORS}, {SQL_GIVEN}, {SQL_UNIFORM},
@@ -158,5 +196,7 @@ SQL = {
       m AS (SELECT k, variant, cluster_id, j, avg(x) AS mx FROM a JOIN dims ON id = question_id GROUP BY ALL)
       SELECT k, variant, round(sum((x - mx) * (x - mx)), 6) AS inertia
       FROM a JOIN dims ON id = question_id JOIN m USING (k, variant, cluster_id, j) GROUP BY k, variant""",
-    "k_search_check": f"SELECT k, (SELECT count(*) FROM embeddings) AS rows FROM (VALUES {_KS}) AS g(k)",
+    "k_search_check": f"""SELECT k, (SELECT count(*) FROM embeddings) AS rows, TRUE AS dbi_agrees, TRUE AS inertia_agrees
+      FROM (VALUES {_KS}) AS g(k)""",
+    "final_labels_check": "SELECT count(*) AS rows, count(DISTINCT vec_id) AS ids, TRUE AS lowest FROM embeddings",
 }

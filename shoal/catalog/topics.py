@@ -4,17 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shoal.catalog.common import SEED, SQL_TEXT, SQL_TITLE, sql_bits, texts, titles
+from shoal.catalog.common import SEED, SQL_TEXT, SQL_TITLE, sql_bits, table, texts, titles
 from shoal.functions.hashing import digest, leading_bits
 from shoal.functions.text import TOKEN, WORD
 from shoal.plans import topics
+from shoal.plans.subclusters import subtopics_of_clusters
+from shoal.session import checkpoint
 
 MAX_TERMS = topics.MAX_TERMS
 STOP_WORDS = ["the", "of", "and", "to", "in", "is", "it", "that", "for", "on", "with", "as", "at", "by", "an", "be"]
 
 
 def _terms(spark, sf_dir):
-    return topics.title_terms(texts(spark, sf_dir), STOP_WORDS)
+    return topics.title_terms(topics.title_words(texts(spark, sf_dir), STOP_WORDS), MAX_TERMS)
 
 
 def _labels(spark, sf_dir):
@@ -24,26 +26,65 @@ def _labels(spark, sf_dir):
 
 
 def _weights(spark, sf_dir):
-    terms = _terms(spark, sf_dir)
-    return topics.tfidf(terms, topics.vocabulary(terms, MAX_TERMS), MAX_TERMS)
+    return topics.tfidf(_terms(spark, sf_dir))
 
 
 def title_vocabulary(spark, sf_dir):
-    return topics.vocabulary(_terms(spark, sf_dir), MAX_TERMS).withColumn("idf", F.round("idf", 6))
+    return _terms(spark, sf_dir).vocabulary.drop("code").withColumn("idf", F.round("idf", 6))
 
 
 def title_tfidf(spark, sf_dir):
-    return _weights(spark, sf_dir).withColumn("weight", F.round("weight", 6))
+    return _weights(spark, sf_dir).drop("code").withColumn("weight", F.round("weight", 6))
+
+
+def _ids(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
+
+
+def _sources(spark, sf_dir):
+    """The documents by language and source, standing in for clusters."""
+    name = F.concat_ws(" ", F.coalesce("lang", F.lit("-")), F.coalesce("source", F.lit("-")))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.pmod(F.xxhash64(name), F.lit(7)).alias("cluster_id"))
 
 
 def subtopic_labels(spark, sf_dir):
-    return topics.subtopics(_terms(spark, sf_dir))
+    return topics.subtopics(_weights(spark, sf_dir), _ids(spark, sf_dir))
 
 
 def subtopic_check(spark, sf_dir):
-    labels = subtopic_labels(spark, sf_dir)
+    """Rows labelled, labels outside [0, k), and rows with another centre of their cluster nearer than their own."""
+    return _checked(checkpoint(_weights(spark, sf_dir)), _ids(spark, sf_dir).withColumn("cluster_id", F.lit(0))).drop("cluster_id")
+
+
+def _checked(weights, clusters):
+    """Per cluster; the distances are measured anew from the weights and the centres as tables."""
+    found = subtopics_of_clusters(weights, clusters, topics.SUBTOPICS)
+    spark = weights.sparkSession
+    cells = [(c, j, int(code), float(w)) for c, m in found.centres.items() for j, row in enumerate(m.matrix) for code, w in zip(m.codes, row) if w]
+    lengths = [(c, j, float(n)) for c, m in found.centres.items() for j, n in enumerate(m.lengths)]
+    centres = spark.createDataFrame(cells, "cluster_id long, centre int, code int, c double")
+    lengths = spark.createDataFrame(lengths, "cluster_id long, centre int, length double")
+    labels = found.labels
+    dots = weights.select("id", "code", "weight").join(labels, "id").join(centres, ["cluster_id", "code"]).groupBy("id", "centre").agg(
+        F.sum(F.col("weight") * F.col("c")).alias("dot"))
+    away = labels.join(F.broadcast(lengths), "cluster_id").join(dots, ["id", "centre"], "left").withColumn(
+        "d", F.col("length") - 2 * F.coalesce("dot", F.lit(0.0)))
+    own = F.max(F.when(F.col("centre") == F.col("subtopic"), F.col("d")))
+    rows = away.groupBy("cluster_id", "id", "subtopic").agg(own.alias("own"), F.min("d").alias("least"))
     outside = F.count(F.when(~F.col("subtopic").between(0, topics.SUBTOPICS - 1), 1))
-    return labels.agg(F.count("*").alias("rows"), F.countDistinct("id").alias("ids"), outside.alias("outside"))
+    return rows.groupBy("cluster_id").agg(
+        F.count("*").alias("rows"), F.countDistinct("id").alias("ids"), outside.alias("outside"),
+        F.count(F.when(F.col("own") > F.col("least") + 1e-9, 1)).alias("not_nearest"))
+
+
+def subtopics_of_sources(spark, sf_dir):
+    """The topic trees of all source clusters at once."""
+    return topics.topics_of_clusters(texts(spark, sf_dir), _sources(spark, sf_dir), stop_words=STOP_WORDS, shown=titles(spark, sf_dir))
+
+
+def subtopics_of_clusters_check(spark, sf_dir):
+    """The check of every cluster, added up."""
+    return _checked(checkpoint(_weights(spark, sf_dir)), _sources(spark, sf_dir)).agg(*[F.sum(c).alias(c) for c in ("rows", "ids", "outside", "not_nearest")])
 
 
 def subtopic_terms(spark, sf_dir):
@@ -72,7 +113,7 @@ def title_term_frequencies(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     title_vocabulary, title_tfidf, subtopic_labels, subtopic_check, subtopic_terms, subtopic_titles, topic_tree,
-    extracted_subtopics, title_term_frequencies,
+    extracted_subtopics, subtopics_of_sources, subtopics_of_clusters_check, title_term_frequencies,
 )}
 
 _WORD = WORD.replace("'", "''")
@@ -111,10 +152,14 @@ _P, _P1, _P2 = "(cb / n)", "(both_n / ca)", "((cb - both_n) / greatest(n - ca, 1
 _SCORE = (f"-2.0 * ({_ll('both_n', 'ca', _P)} + {_ll('(cb - both_n)', '(n - ca)', _P)} "
           f"- {_ll('both_n', 'ca', _P1)} - {_ll('(cb - both_n)', '(n - ca)', _P2)})")
 
+_CHECK = """SELECT count(*) AS rows, count(DISTINCT doc_id) AS ids, CAST(0 AS BIGINT) AS outside,
+  CAST(0 AS BIGINT) AS not_nearest FROM documents"""
+
 SQL = {
     "title_vocabulary": _BASE + "SELECT term, total, df, round(idf, 6) AS idf FROM vocab",
     "title_tfidf": _BASE + "SELECT id, term, tf, round(weight, 6) AS weight FROM weights",
-    "subtopic_check": "SELECT count(*) AS rows, count(DISTINCT doc_id) AS ids, CAST(0 AS BIGINT) AS outside FROM documents",
+    "subtopic_check": _CHECK,
+    "subtopics_of_clusters_check": _CHECK,
     "subtopic_terms": _BASE + "SELECT subtopic, rank, term, round(weight, 6) AS weight FROM top_terms",
     "subtopic_titles": _BASE + "SELECT subtopic, rank, id, title FROM top_titles",
     "topic_tree": _BASE + """SELECT subtopic, size,

@@ -10,7 +10,7 @@ from shoal.catalog.common import (
 from shoal.functions.vectors import cosine, euclidean, l2_norm
 from shoal.operators.centroids import centroids, with_labels
 from shoal.operators.nearest import nearest
-from shoal.operators.proximity import k_distance, neighbour_counts
+from shoal.operators.proximity import k_distance, k_distance_curve, neighbour_counts
 from shoal.operators.reduce import fit, kept_variance, project, project_2d, reduce_to
 from shoal.operators.sampling import sample_ids
 
@@ -56,6 +56,10 @@ def k_distance_cosine(spark, sf_dir):
     return k_distance(vectors(spark, sf_dir), 5, "cosine").withColumn("k_dist", F.round("k_dist", 6))
 
 
+def k_distance_curve_euclidean(spark, sf_dir):
+    return k_distance_curve(vectors(spark, sf_dir), 5, "euclidean")
+
+
 def neighbours_within_eps(spark, sf_dir):
     return neighbour_counts(vectors(spark, sf_dir), EPS_EUCLIDEAN, "euclidean")
 
@@ -95,7 +99,7 @@ def plane_projection(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     unit_vectors, cluster_centroids, own_centroid_distances, nearest_centroid, k_distance_euclidean, k_distance_cosine,
-    neighbours_within_eps, neighbours_within_cosine, sampled_ids, total_variance, reduced_vectors, kept_variance_shares,
+    k_distance_curve_euclidean, neighbours_within_eps, neighbours_within_cosine, sampled_ids, total_variance, reduced_vectors, kept_variance_shares,
     plane_projection,
 )}
 
@@ -121,6 +125,11 @@ SQL = {
     "k_distance_cosine": f"""WITH {SQL_VECTORS}, d AS (SELECT a.id, 1 - {_SQL_COS} AS dist FROM vectors a, vectors b),
       r AS (SELECT id, dist, row_number() OVER (PARTITION BY id ORDER BY dist) AS rn FROM d)
       SELECT id, round(dist, 6) AS k_dist FROM r WHERE rn = 5""",
+    "k_distance_curve_euclidean": f"""WITH {SQL_VECTORS},
+      d AS (SELECT a.id, list_distance(a.vec, b.vec) AS dist FROM vectors a, vectors b),
+      r AS (SELECT id, dist, row_number() OVER (PARTITION BY id ORDER BY dist) AS rn FROM d),
+      k AS (SELECT id, round(dist, 6) AS k_dist FROM r WHERE rn = 5)
+      SELECT row_number() OVER (ORDER BY k_dist, id) AS rank, id, k_dist FROM k""",
     "neighbours_within_eps": f"""WITH {SQL_VECTORS}
       SELECT a.id, count(*) AS neighbours FROM vectors a, vectors b
       WHERE list_distance(a.vec, b.vec) <= {EPS_EUCLIDEAN} GROUP BY a.id""",

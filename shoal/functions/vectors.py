@@ -45,6 +45,8 @@ def block(column) -> np.ndarray:
         column = column.combine_chunks()
         if isinstance(column, pa.ChunkedArray):
             column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.list_(pa.float64()))
+    if len(column) == 0:
+        return np.zeros((0, 0))
     values = column.flatten().to_numpy(zero_copy_only=False)
     return np.asarray(values, dtype=np.float64).reshape(len(column), -1)
 

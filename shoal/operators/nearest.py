@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from shoal.functions.vectors import block, squared_distances, values
 from shoal.session import BROADCAST_BYTES
 
+STRIP_BYTES = 64 * 1024 * 1024
 _SCHEMA = "id long, cluster_id int, dist double"
 
 
@@ -49,8 +50,43 @@ def nearest_to_matrix(vectors: DataFrame, ids: np.ndarray, matrix: np.ndarray) -
     return vectors.select(F.col("id").cast("long"), "vec").mapInArrow(assign, _SCHEMA)
 
 
-def _argmin(x: np.ndarray, centres: np.ndarray, strip: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+def nearest_all(vectors: DataFrame, tables: dict[int, np.ndarray], limit_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(id, k, cluster_id, dist): the nearest row of every table `tables[k]`, all tables in one scan as far as they fit `limit_bytes` together."""
+    spark, groups, held, out = vectors.sparkSession, [[]], 0, []
+    for k, matrix in sorted(tables.items()):
+        if matrix.nbytes > limit_bytes:
+            centroids = spark.createDataFrame(list(enumerate(matrix.tolist())), "cluster_id int, vec array<double>")
+            out.append(nearest(vectors, centroids, limit_bytes).select("id", F.lit(k).alias("k"), "cluster_id", "dist"))
+            continue
+        if groups[-1] and held + matrix.nbytes > limit_bytes:
+            groups.append([])
+            held = 0
+        groups[-1].append(k)
+        held += matrix.nbytes
+    for group in filter(None, groups):
+        shipped = spark.sparkContext.broadcast({k: tables[k] for k in group})
+
+        def assign(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows == 0:
+                    continue
+                x = block(batch.column("vec"))
+                for k, centres in shipped.value.items():
+                    best, dist = _argmin(x, centres)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("id"), pa.array(np.full(len(x), k, np.int32)), pa.array(best.astype(np.int32)), pa.array(dist)],
+                        names=["id", "k", "cluster_id", "dist"])
+
+        out.append(vectors.select(F.col("id").cast("long"), "vec").mapInArrow(assign, "id long, k int, cluster_id int, dist double"))
+    found = out[0]
+    for part in out[1:]:
+        found = found.unionByName(part)
+    return found
+
+
+def _argmin(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     best = np.empty(len(x), dtype=np.int64)
+    strip = max(1, STRIP_BYTES // (8 * max(len(centres), 1)))
     for start in range(0, len(x), strip):
         best[start:start + strip] = squared_distances(x[start:start + strip], centres).argmin(axis=1)
     diff = x - centres[best]

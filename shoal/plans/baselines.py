@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from shoal.functions.hashing import digest, leading_bits, uniform
 from shoal.functions.vectors import block, list_column, squared_distances, values
-from shoal.operators.nearest import nearest, nearest_to_matrix
+from shoal.operators.nearest import STRIP_BYTES, nearest_all
 from shoal.operators.ordering import equal_count_buckets, with_row_number
 from shoal.operators.reduce import fit, project
 from shoal.operators.sampling import sample_ids
+from shoal.plans.lloyd import groups_of
+from shoal.session import discard, scratch_path
 
 # Names of the control labelings and the grid of K.
 UNIFORM_RANDOM = "baseline_uniform_random"
@@ -110,74 +112,129 @@ def gaussian_directions(spark, k: int, dims: int, seed=42) -> DataFrame:
 
 
 def random_centroid(vectors: DataFrame, ks: list[int], seed=42) -> DataFrame:
-    """Nearest of k random unit vectors; cells may stay empty."""
+    """Nearest of k random unit vectors, for all k in one scan; cells may stay empty."""
+    spark = vectors.sparkSession
     dims = len(vectors.select("vec").first()["vec"])
-    out = None
-    for k in ks:
-        cells = nearest(vectors, gaussian_directions(vectors.sparkSession, k, dims, seed))
-        cells = cells.select(F.col("id").alias("question_id"), F.lit(k).alias("k"), "cluster_id")
-        out = cells if out is None else out.unionByName(cells)
-    return _as_assignments(out, RANDOM_CENTROID)
+    tables = {}
+    for group in groups_of(ks, dims):  # what the driver holds is bounded by the k asked for, and measured
+        drawn = None
+        for k in group:
+            rows = gaussian_directions(spark, k, dims, seed).withColumn("k", F.lit(k))
+            drawn = rows if drawn is None else drawn.unionByName(rows)
+        table = drawn.orderBy("k", "cluster_id").toArrow()
+        of = values(table.column("k"))
+        tables |= {k: block(table.column("vec"))[of == k] for k in group}
+    return _as_assignments(nearest_all(vectors, tables).withColumnRenamed("id", "question_id"), RANDOM_CENTROID)
+
+
+# -- one-shot seeding -----------------------------------------------------------------------------------------
+
+_SEED_STATE = "id long, vec array<double>, near array<int>, cost array<double>"
+
+
+def _size_for(k: int) -> int:
+    """Seeds are drawn for powers of two, so that those of a k do not depend on the others asked for."""
+    return 1 << max(0, k - 1).bit_length()
 
 
-def seed_centres(vectors: DataFrame, k: int, seed=42, rounds: int = 5, oversample: float = 2.0) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and rows of k starting centres by D-squared sampling; every centre is a data row.
+def all_seeds(vectors: DataFrame, ks: list[int], seed=42, rounds: int = 5, oversample: float = 2.0) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each k, ids and rows of k starting centres by D-squared sampling; every centre is a data row.
 
-    A few oversampling rounds pick about `oversample * k` rows each, with chance in proportion to the squared
-    distance to the rows picked so far; then weighted k-means++ runs over those candidates, a set whose size
-    depends on k alone.
+    A few rounds pick about `oversample * size` rows each (size is the next power of two), with chance in proportion to the squared
+    distance to the rows picked so far; then weighted k-means++ runs over those candidates, a set whose size depends on k alone. One
+    set of rounds serves all k: each row keeps its distance to the nearest candidate of every size, in a written table, and a round
+    compares it with the new candidates only.
     """
-    first = vectors.join(F.broadcast(sample_ids(vectors, 1, f"{seed}:0")), "id", "left_semi").toArrow()
-    ids, rows = values(first.column("id")), block(first.column("vec"))
-    per_round = oversample * k
-    number = 0
-    while number < rounds or len(ids) < k:
+    spark = vectors.sparkSession
+    sizes = sorted({_size_for(k) for k in ks})
+    plain = vectors.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
+    first = plain.join(F.broadcast(sample_ids(plain, 1, f"{seed}:0")), "id", "left_semi").toArrow()
+    ids = {s: values(first.column("id")) for s in sizes}
+    rows = {s: block(first.column("vec")) for s in sizes}
+    state, path, new, number = plain, None, {s: (0, rows[s]) for s in sizes}, 0
+    while True:
+        state, path = _seed_scan(state, path, [new[s] for s in sizes])
+        total = state.agg(*[F.sum(F.col("cost")[i]).alias(f"c{i}") for i in range(len(sizes))]).first()
         number += 1
-        dist = nearest_to_matrix(vectors, np.arange(len(ids), dtype=np.int32), rows)
-        cost = dist.agg(F.sum(F.col("dist") * F.col("dist"))).first()[0]
-        if not cost or number > rounds + 20:
+        most = {s: max(k for k in ks if _size_for(k) == s) for s in sizes}
+        wanted = [i for i, s in enumerate(sizes) if total[i] and (number <= rounds or len(ids[s]) < most[s])]
+        if not wanted or number > rounds + 20:
             break
-        drawn = _draw(vectors, rows, f"{seed}:{number}", per_round / cost)
-        fresh = ~np.isin(values(drawn.column("id")), ids)
-        ids = np.concatenate([ids, values(drawn.column("id"))[fresh]])
-        rows = np.vstack([rows, block(drawn.column("vec")).reshape(-1, rows.shape[1])[fresh]])
-    if len(ids) < k:  # fewer distinct rows than centres: fill up with further rows in md5 order
-        more = vectors.join(F.broadcast(sample_ids(vectors, k + len(ids), f"{seed}:fill")), "id", "left_semi").toArrow()
-        fresh = np.flatnonzero(~np.isin(values(more.column("id")), ids))[:k - len(ids)]
-        ids = np.concatenate([ids, values(more.column("id"))[fresh]])
-        rows = np.vstack([rows, block(more.column("vec"))[fresh]])
-    if len(ids) < k:
-        raise ValueError(f"{len(ids)} rows cannot give {k} centres")
-    order = np.argsort(ids)
-    ids, rows = ids[order], rows[order]
-    near = nearest_to_matrix(vectors, np.arange(len(ids), dtype=np.int32), rows)
-    weights = np.zeros(len(ids))
-    for r in near.groupBy("cluster_id").agg(F.count("*").alias("n")).collect():
-        weights[r["cluster_id"]] = r["n"]
-    chosen = _weighted_choice(rows, weights, k, seed)
-    return ids[chosen], rows[chosen]
+        chosen = {i: uniform(F.col("id"), f"{seed}:{sizes[i]}:{number}") < F.lit(oversample * sizes[i] / total[i]) * F.col("cost")[i] for i in wanted}
+        drawn = state.select("id", "vec", F.array(*[chosen.get(i, F.lit(False)) for i in range(len(sizes))]).alias("of")).filter(F.exists("of", lambda x: x))
+        table = drawn.orderBy("id").toArrow()  # about oversample * size rows a size
+        of = block(table.column("of")).reshape(table.num_rows, len(sizes)) > 0
+        found, matrix = values(table.column("id")), block(table.column("vec")).reshape(table.num_rows, -1)
+        for i, s in enumerate(sizes):
+            at = np.flatnonzero(of[:, i])
+            new[s] = (len(ids[s]), matrix[at])
+            ids[s], rows[s] = np.concatenate([ids[s], found[at]]), np.vstack([rows[s], matrix[at]]) if len(at) else rows[s]
+    weights = {s: np.zeros(len(ids[s])) for s in sizes}
+    counted = state.select(F.posexplode("near").alias("i", "at")).groupBy("i", "at").agg(F.count("*").alias("n"))
+    for r in counted.toLocalIterator():  # a row to a candidate
+        weights[sizes[r["i"]]][r["at"]] = r["n"]
+    discard(spark, path)
+    out = {}
+    for k in ks:
+        s = _size_for(k)
+        own, matrix, weight = _filled(plain, ids[s], rows[s], weights[s], k, seed)
+        chosen = _weighted_choice(matrix, weight, k, seed)
+        out[k] = own[chosen], matrix[chosen]
+    return out
 
 
-def _draw(vectors: DataFrame, rows: np.ndarray, seed: str, factor: float) -> pa.Table:
-    """Rows whose md5 uniform is below factor times their squared distance to `rows`."""
-    shipped = vectors.sparkSession.sparkContext.broadcast(rows)
+def _seed_scan(state: DataFrame, path: str | None, new: list[tuple[int, np.ndarray]]) -> tuple[DataFrame, str]:
+    """The rows with their nearest candidate and its squared distance for each size, after the new candidates (first number, rows)."""
+    spark = state.sparkSession
+    shipped, first, out = spark.sparkContext.broadcast(new), path is None, scratch_path(spark, "seeds")
 
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows == 0:
+            n, sizes = batch.num_rows, len(shipped.value)
+            if n == 0:
                 continue
-            x, chance = block(batch.column("vec")), values(batch.column("u"))
-            nearest_sq = np.concatenate([
-                squared_distances(x[i:i + 2048], shipped.value).min(axis=1) for i in range(0, len(x), 2048)
-            ])
-            at = np.flatnonzero(chance < factor * nearest_sq)
+            x = block(batch.column("vec"))
+            near = np.zeros((n, sizes), np.int32) if first else block(batch.column("near")).astype(np.int32)
+            cost = np.full((n, sizes), np.inf) if first else block(batch.column("cost")).copy()
+            for i, (number, rows) in enumerate(shipped.value):
+                if len(rows) == 0:
+                    continue
+                strip = max(1, STRIP_BYTES // (8 * len(rows)))
+                for start in range(0, n, strip):
+                    part = slice(start, start + strip)
+                    dist = squared_distances(x[part], rows)
+                    best = dist.argmin(axis=1)
+                    diff = x[part] - rows[best]
+                    least = np.einsum("ij,ij->i", diff, diff)  # exact, so that a copy of a candidate costs nothing
+                    closer = least < cost[part, i]
+                    cost[part, i] = np.where(closer, least, cost[part, i])
+                    near[part, i] = np.where(closer, number + best, near[part, i])
+            offsets = pa.array(np.arange(0, (n + 1) * sizes, sizes, dtype=np.int32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(pa.array(at)), list_column(x[at])], names=["id", "vec"]
-            )
+                [batch.column("id"), batch.column("vec"), pa.ListArray.from_arrays(offsets, pa.array(near.reshape(-1))), list_column(cost)],
+                names=["id", "vec", "near", "cost"])
 
-    with_u = vectors.select(F.col("id").cast("long"), F.col("vec").cast("array<double>").alias("vec"),
-                            uniform(F.col("id"), seed).alias("u"))
-    return with_u.mapInArrow(pick, "id long, vec array<double>").toArrow()
+    state.mapInArrow(compare, _SEED_STATE).write.parquet(out)
+    if path is not None:
+        discard(spark, path)
+    return spark.read.schema(_SEED_STATE).parquet(out), out
+
+
+def _filled(vectors: DataFrame, ids: np.ndarray, rows: np.ndarray, weights: np.ndarray, k: int, seed):
+    """Candidates with further rows in md5 order where there are fewer distinct rows than centres."""
+    if len(ids) < k:
+        more = vectors.join(F.broadcast(sample_ids(vectors, k + len(ids), f"{seed}:fill")), "id", "left_semi").orderBy("id").toArrow()
+        fresh = np.flatnonzero(~np.isin(values(more.column("id")), ids))[:k - len(ids)]
+        ids = np.concatenate([ids, values(more.column("id"))[fresh]])
+        rows, weights = np.vstack([rows, block(more.column("vec"))[fresh]]), np.concatenate([weights, np.ones(len(fresh))])
+    if len(ids) < k:
+        raise ValueError(f"{len(ids)} rows cannot give {k} centres")
+    return ids, rows, weights
+
+
+def seed_centres(vectors: DataFrame, k: int, seed=42) -> tuple[np.ndarray, np.ndarray]:
+    """`all_seeds` for one k."""
+    return all_seeds(vectors, [k], seed)[k]
 
 
 def _weighted_choice(rows: np.ndarray, weights: np.ndarray, k: int, seed) -> np.ndarray:
@@ -198,14 +255,9 @@ def _weighted_choice(rows: np.ndarray, weights: np.ndarray, k: int, seed) -> np.
 
 
 def kmeanspp_one_shot(vectors: DataFrame, ks: list[int], seed=42) -> DataFrame:
-    """One assignment to k-means++ starting centres, without iterations."""
-    out = None
-    for k in ks:
-        _, centres = seed_centres(vectors, k, seed)
-        cells = nearest_to_matrix(vectors, np.arange(k, dtype=np.int32), centres)
-        cells = cells.select(F.col("id").alias("question_id"), F.lit(k).alias("k"), "cluster_id")
-        out = cells if out is None else out.unionByName(cells)
-    return _as_assignments(out, KMEANSPP_ONE_SHOT)
+    """One assignment to k-means++ starting centres, without iterations, for all k in one scan."""
+    centres = {k: rows for k, (_, rows) in all_seeds(vectors, ks, seed).items()}
+    return _as_assignments(nearest_all(vectors, centres).withColumnRenamed("id", "question_id"), KMEANSPP_ONE_SHOT)
 
 
 def all_baselines(vectors: DataFrame, meta: DataFrame, true_labels: DataFrame, ks: list[int], seed=42) -> DataFrame:

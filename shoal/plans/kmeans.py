@@ -6,15 +6,15 @@ import math
 import time
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
-from py4j.protocol import Py4JJavaError
-from pyspark.errors import PySparkException
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoal.operators.centroids import Labelled
+from shoal.operators.nearest import nearest_all
+from shoal.plans.baselines import all_seeds
+from shoal.plans.lloyd import Fit, JointFit, groups_of, joint_fit
 from shoal.plans.metrics import HIGHER_IS_BETTER, Evaluation
 
 SEED = 42
@@ -74,48 +74,75 @@ def inertia(vectors: DataFrame, assignments: DataFrame) -> DataFrame:
 
 @dataclass
 class Search:
-    """`failed` holds the error of each K that could not be fitted; `best_model` is None if an earlier run fitted it."""
+    """`failed` holds the reason for each K that cannot be fitted; `best_fit` is None if an earlier run fitted the best K."""
 
     search: DataFrame
     best_k: int | None
-    best_model: KMeansModel | None
+    best_fit: Fit | None
     failed: dict[int, str]
 
 
+def distinct_rows(vectors: DataFrame) -> int:
+    """Rows without exact copies, by a 128-bit hash."""
+    return vectors.select(F.xxhash64("vec").alias("a"), F.xxhash64(F.lit("b"), "vec").alias("b")).distinct().count()
+
+
 def search(vectors: DataFrame, ks: list[int], seed: int = SEED, store=None, save_every: int = 100, log=None) -> Search:
     """Fit every K, score it by DBI on the executors, keep the lowest.
 
-    With a `store` the labels of every K divisible by `save_every` are written as its (k, kmeans) partition. With a
-    `log` each K is appended to it once it is done, and a K that is in it already is not fitted again, so a search that broke off
-    goes on where it was. A K that cannot be fitted is reported in `failed` and does not stop the others.
+    All K are seeded in one set of rounds and fitted by one scan for each Lloyd step (`lloyd.joint_fit`), in groups whose centres fit a
+    broadcast; a K gives the same result whichever others are asked for. With a `store` the labels of every K divisible by
+    `save_every` are written as its (k, kmeans) partition. With a `log` each K is appended to it once its group is done, and a K that is in
+    it already is not fitted again, so a search that broke off goes on where it was. A K with more centres than there are distinct
+    rows, or without a DBI, is reported in `failed`; any other error stops the search. `seconds` is a group's time, shared out evenly.
     """
     spark = vectors.sparkSession
     rows = [] if log is None else [tuple(r) for r in log.read_if_any().select("k", "dbi", "inertia", "seconds").collect()]
     rows = [r for r in rows if r[0] in set(ks)]
-    done, models, failed = {r[0] for r in rows}, {}, {}
     best = min(((r[1], r[0]) for r in rows if r[1] < START_SCORE), default=(START_SCORE, None))
-    feature_rows = features(vectors).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        for k in [k for k in ks if k not in done]:
-            start = time.perf_counter()
-            try:
-                model = fit(feature_rows, k, seed)
-                dbi = evaluation_of(model, feature_rows, k).dbi().first()["dbi"]
-            except (ValueError, PySparkException, Py4JJavaError) as error:
-                failed[k] = str(error)
+    todo, failed, best_fit = sorted(set(ks) - {r[0] for r in rows}), {}, None
+    size = vectors.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("d")).first()
+    if todo:
+        distinct = distinct_rows(vectors)
+        failed = {k: f"{k} centres, but {distinct} distinct rows" for k in todo if k > distinct}
+        todo = [k for k in todo if k not in failed]
+        vectors = vectors.repartition(partitions_for(size["n"] * (size["d"] or 0) * 8), "id")
+    for group in groups_of(todo, size["d"] or 0) if todo else []:
+        start = time.perf_counter()
+        joint = joint_fit(vectors, {k: centres for k, (_, centres) in all_seeds(vectors, group, seed).items()})
+        scores = scores_of(joint)
+        seconds = (time.perf_counter() - start) / len(group)
+        for k in group:
+            if k not in scores:
+                failed[k] = "no DBI: it needs 2 <= number of clusters <= rows - 1"
                 continue
             if store is not None and k % save_every == 0:
-                store.write(assign(model, feature_rows, k))
-            row = (k, dbi, float(model.summary.trainingCost), time.perf_counter() - start)
+                store.write(joint.assignments([k]))
+            row = (k, scores[k], joint.fits[k].cost, seconds)
             if log is not None:
                 earlier = min((r[1] for r in rows if r[0] < k), default=START_SCORE)
-                log.append(spark.createDataFrame([(*row, dbi < min(earlier, START_SCORE))], f"{SEARCH_SCHEMA}, is_new_best boolean"))
+                log.append(spark.createDataFrame([(*row, row[1] < min(earlier, START_SCORE))], f"{SEARCH_SCHEMA}, is_new_best boolean"))
             rows.append(row)
-            if dbi < best[0]:
-                best, models = (dbi, k), {k: model}
-    finally:
-        feature_rows.unpersist()
-    return Search(running_best(spark.createDataFrame(sorted(rows), SEARCH_SCHEMA)), best[1], models.get(best[1]), failed)
+            if row[1] < best[0]:
+                best, best_fit = (row[1], k), joint.fits[k]
+        joint.discard()
+    return Search(running_best(spark.createDataFrame(sorted(rows), SEARCH_SCHEMA)), best[1], best_fit, failed)
+
+
+def scores_of(joint: JointFit) -> dict[int, float]:
+    """DBI of every K of a joint fit that has one; labels and vectors are in one row, so nothing is joined."""
+    labels = [F.struct(F.lit(i).alias("lab"), F.col("labels")[i].alias("cluster_id")) for i in range(len(joint.ks))]
+    evaluation = Evaluation.of(Labelled(joint.rows.select("id", "vec", F.array(*labels).alias("labs")), [(k, "kmeans") for k in joint.ks]))
+    defined = {lab for lab, (clusters, rows, _) in evaluation.sizes.items() if 2 <= clusters <= rows - 1}
+    return {joint.ks[r["lab"]]: r["dbi"] for r in evaluation.between().select("lab", "dbi").collect() if r["lab"] in defined}
+
+
+def final_labels(vectors: DataFrame, found: Search) -> DataFrame:
+    """(question_id, k, variant, cluster_id): every row with its nearest centre of the best fit."""
+    if found.best_fit is None:
+        raise ValueError("this search did not fit the best K itself; its labels are in the store")
+    near = nearest_all(vectors, {found.best_k: found.best_fit.centres})
+    return near.select(F.col("id").alias("question_id"), "k", F.lit("kmeans").alias("variant"), "cluster_id")
 
 
 def running_best(search_rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import IDF, CountVectorizerModel, ElementwiseProduct, Normalizer, StopWordsRemover
-from pyspark.ml.linalg import Vectors
+from dataclasses import dataclass
+
+from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shoal.functions.text import WORD, ngrams, tokens
+from shoal.functions.text import WORD, tokens
 from shoal.operators.clusters import top_n_per_group
 from shoal.operators.encode import exploded, smooth_idf
-from shoal.plans.kmeans import partitions_for
-from shoal.session import BROADCAST_ROWS, checkpoint, computed_once
+from shoal.operators.grams import hashed_words, most_frequent
+from shoal.plans.subclusters import subtopics_of_clusters
+from shoal.session import BROADCAST_ROWS, checkpoint
 
 # Fixed values of the breakdown.
 NGRAM_RANGE = (1, 5)
@@ -23,7 +24,6 @@ SAMPLE_TITLES = 5
 CLOUD_TERMS = 50
 COLLOCATION_SCORE = 30.0
 SEED = 42
-TERM_BYTES = 24
 
 
 def english_stop_words() -> list[str]:
@@ -31,92 +31,67 @@ def english_stop_words() -> list[str]:
     return StopWordsRemover.loadDefaultStopWords("english")
 
 
-def title_terms(titles: DataFrame, stop_words: list[str]) -> DataFrame:
-    """(id, terms array<string>): all 1- to 5-grams of the title tokens, stop words removed first."""
-    words = computed_once(titles.select("id", "title"), words=tokens(F.col("title"), stop_words))
-    return computed_once(words, terms=ngrams(F.col("words"), *NGRAM_RANGE)).select("id", "terms")
+def title_words(titles: DataFrame, stop_words: list[str]) -> DataFrame:
+    """(id, words, h1, h2): the tokens of the titles without stop words, hashed for counting."""
+    return hashed_words(titles.select("id", "title"), tokens(F.col("title"), stop_words))
 
 
-def vocabulary(terms: DataFrame, max_terms: int = MAX_TERMS) -> DataFrame:
-    """(term, total, df, idf) of the most frequent terms, ties by term.
+@dataclass
+class Terms:
+    """`vocabulary(code, term, total, df, idf)` and `counts(id, code, tf)` of its terms; at most `max_terms` terms."""
 
-    The count that the last term in must have is found on the histogram of counts first, so that only terms with at
-    least that count are sorted.
-    """
-    n_docs = terms.count()
-    counts = checkpoint(_term_totals(terms))
-    histogram = counts.groupBy("total").agg(F.count("*").alias("n"))
-    above = Window.orderBy(F.col("total").desc())  # over distinct counts, not terms
-    cut = histogram.withColumn("_sum", F.sum("n").over(above)).filter(F.col("_sum") >= max_terms)
-    threshold = cut.agg(F.max("total")).first()[0] or 0
-    kept = counts.filter(F.col("total") >= threshold).orderBy(F.col("total").desc(), "term").limit(max_terms)
-    return kept.withColumn("idf", smooth_idf(F.col("df"), n_docs))
-
-
-def _term_totals(terms: DataFrame) -> DataFrame:
-    """(term, total, df). Rows are placed by id first, so counting per (id, term) needs no further shuffle."""
-    placed = terms.repartition("id")
-    per_row = exploded(placed, "terms", "term").groupBy("id", "term").agg(F.count("*").alias("tf"))
-    return per_row.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
-
-
-def tfidf(terms: DataFrame, vocab: DataFrame, max_terms: int = MAX_TERMS) -> DataFrame:
-    """(id, term, tf, weight): tf * idf, each title scaled to unit length. The vocabulary is bounded by `max_terms`."""
-    side = vocab.select("term", "idf")
-    side = F.broadcast(side) if max_terms <= BROADCAST_ROWS else side
-    placed = terms.repartition("id")
-    counts = (
-        exploded(placed, "terms", "term").join(side, "term")
-        .groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("idf").alias("idf"))
-    )
-    raw = counts.withColumn("_w", F.col("tf") * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy("id")))
-    return raw.select("id", "term", "tf", (F.col("_w") / norm).alias("weight"))
+    vocabulary: DataFrame
+    counts: DataFrame
+    max_terms: int
 
 
-def subtopics(terms: DataFrame, k: int = SUBTOPICS, seed: int = SEED, max_terms: int = MAX_TERMS,
-              vocab: DataFrame | None = None) -> DataFrame:
-    """(id, subtopic): k-means on the sparse TF-IDF rows of one cluster's titles.
+def title_terms(words: DataFrame, max_terms: int = MAX_TERMS) -> Terms:
+    """The most frequent 1- to 5-grams of `title_words`, ties by term, and where they occur."""
+    found = most_frequent(words, *NGRAM_RANGE, max_terms)
+    return Terms(found.terms.withColumn("idf", smooth_idf(F.col("df"), found.rows)), found.counts, max_terms)
 
-    The vocabulary is that of `vocabulary`, at most `max_terms` terms; the number of partitions follows from the data.
-    """
-    kept = (vocabulary(terms, max_terms) if vocab is None else vocab).select("term", "total").collect()
-    if not kept:
-        return terms.select("id", F.lit(0).alias("subtopic"))
-    names = [r["term"] for r in sorted(kept, key=lambda r: (-r["total"], r["term"]))]
-    size = terms.agg(F.sum(F.size("terms") * F.lit(TERM_BYTES))).first()[0] or 0
-    pinned = terms.repartition(partitions_for(size), "id").sortWithinPartitions("id")
-    tf = CountVectorizerModel.from_vocabulary(names, inputCol="terms", outputCol="tf").transform(pinned)
-    idf = IDF(inputCol="tf", outputCol="_").fit(tf).idf.toArray() + 1.0
-    weigh = ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="tf", outputCol="weighted")
-    rows = Normalizer(p=2.0, inputCol="weighted", outputCol="features").transform(weigh.transform(tf))
-    model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="subtopic").fit(rows)
-    return model.transform(rows).select("id", "subtopic")
+
+def tfidf(terms: Terms) -> DataFrame:
+    """(id, code, term, tf, weight): tf * idf, each title scaled to unit length."""
+    side = terms.vocabulary.select("code", "term", "idf")
+    side = F.broadcast(side) if terms.max_terms <= BROADCAST_ROWS else side
+    raw = terms.counts.join(side, "code").withColumn("_w", F.col("tf") * F.col("idf"))
+    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy("id")))
+    return raw.select("id", "code", "term", "tf", (F.col("_w") / norm).alias("weight"))
+
+
+def subtopics(weights: DataFrame, ids: DataFrame, k: int = SUBTOPICS, seed: int = SEED) -> DataFrame:
+    """(id, subtopic): k-means on the TF-IDF rows of one cluster's titles, `ids(id)`."""
+    one = ids.select("id", F.lit(0).alias("cluster_id"))
+    return subtopics_of_clusters(weights, one, k, seed).labels.select("id", "subtopic")
 
 
 def top_terms(weights: DataFrame, labels: DataFrame, n: int = TOP_TERMS) -> DataFrame:
-    """(subtopic, rank, term, weight): largest mean weights of each subtopic; rows without a term count as 0."""
-    sizes = labels.groupBy("subtopic").agg(F.count("*").alias("size"))
-    sums = weights.join(labels, "id").groupBy("subtopic", "term").agg(F.sum("weight").alias("_sum"))
-    means = sums.join(F.broadcast(sizes), "subtopic").withColumn("weight", F.round(F.col("_sum") / F.col("size"), 12))
-    best = top_n_per_group(means, ["subtopic"], [F.col("weight").desc(), "term"], n)
-    return best.select("subtopic", "rank", "term", "weight")
+    """(subtopic, rank, term, weight): largest mean weights of each subtopic; rows without a term count as 0. `labels` may have a cluster_id."""
+    by = [c for c in labels.columns if c in ("cluster_id", "subtopic")]
+    sizes = labels.groupBy(*by).agg(F.count("*").alias("size"))
+    sums = weights.join(labels, "id").groupBy(*by, "term").agg(F.sum("weight").alias("_sum"))
+    few = sizes.count() <= BROADCAST_ROWS
+    means = sums.join(F.broadcast(sizes) if few else sizes, by).withColumn("weight", F.round(F.col("_sum") / F.col("size"), 12))
+    best = top_n_per_group(means, by, [F.col("weight").desc(), "term"], n)
+    return best.select(*by, "rank", "term", "weight")
 
 
 def sample_titles(titles: DataFrame, labels: DataFrame, n: int = SAMPLE_TITLES) -> DataFrame:
-    """(subtopic, rank, id, title): the first titles of each subtopic by id."""
-    best = top_n_per_group(titles.join(labels, "id"), ["subtopic"], ["id"], n)
-    return best.select("subtopic", "rank", "id", "title")
+    """(subtopic, rank, id, title): the first titles of each subtopic by id. `labels` may have a cluster_id."""
+    by = [c for c in labels.columns if c in ("cluster_id", "subtopic")]
+    return top_n_per_group(titles.join(labels, "id"), by, ["id"], n).select(*by, "rank", "id", "title")
 
 
 def topic_tree(titles: DataFrame, weights: DataFrame, labels: DataFrame) -> DataFrame:
-    """(subtopic, size, terms, titles), at most 7 terms and 5 titles per subtopic."""
-    sizes = labels.groupBy("subtopic").agg(F.count("*").alias("size"))
-    terms = top_terms(weights, labels).groupBy("subtopic").agg(_in_order("term").alias("terms"))
-    shown = sample_titles(titles, labels).groupBy("subtopic").agg(_in_order("title").alias("titles"))
+    """(subtopic, size, terms, titles), at most 7 terms and 5 titles per subtopic; per cluster too if `labels` has a cluster_id."""
+    by = [c for c in labels.columns if c in ("cluster_id", "subtopic")]
+    sizes = labels.groupBy(*by).agg(F.count("*").alias("size"))
+    terms = top_terms(weights, labels).groupBy(*by).agg(_in_order("term").alias("terms"))
+    shown = sample_titles(titles, labels).groupBy(*by).agg(_in_order("title").alias("titles"))
     empty = F.array().cast("array<string>")
-    return sizes.join(terms, "subtopic", "left").join(shown, "subtopic", "left").select(
-        "subtopic", "size", F.coalesce("terms", empty).alias("terms"), F.coalesce("titles", empty).alias("titles"))
+    return sizes.join(terms, by, "left").join(shown, by, "left").select(
+        *by, "size", F.coalesce("terms", empty).alias("terms"), F.coalesce("titles", empty).alias("titles"))
 
 
 def _in_order(column: str) -> Column:
@@ -127,10 +102,20 @@ def _in_order(column: str) -> Column:
 def extract_subtopics(titles: DataFrame, k: int = SUBTOPICS, stop_words: list[str] | None = None,
                       shown: DataFrame | None = None) -> DataFrame:
     """The topic tree of `titles(id, title)`; `shown(id, title)` has other titles to show as samples."""
-    terms = checkpoint(title_terms(titles, english_stop_words() if stop_words is None else stop_words))
-    vocab = checkpoint(vocabulary(terms))
-    labels = checkpoint(subtopics(terms, k, vocab=vocab))
-    return topic_tree(titles if shown is None else shown, tfidf(terms, vocab), labels)
+    one = titles.select("id", F.lit(0).alias("cluster_id"))
+    return topics_of_clusters(titles, one, k, stop_words, shown).drop("cluster_id")
+
+
+def topics_of_clusters(titles: DataFrame, clusters: DataFrame, k: int = SUBTOPICS, stop_words: list[str] | None = None,
+                       shown: DataFrame | None = None, max_terms: int = MAX_TERMS) -> DataFrame:
+    """The topic trees (cluster_id, subtopic, size, terms, titles) of the clusters in `clusters(id, cluster_id)`, all in the same jobs.
+
+    The vocabulary is that of all titles together.
+    """
+    terms = title_terms(title_words(titles, english_stop_words() if stop_words is None else stop_words), max_terms)
+    weights = checkpoint(tfidf(terms))
+    labels = subtopics_of_clusters(weights, clusters, k).labels
+    return topic_tree(titles if shown is None else shown, weights, checkpoint(labels))
 
 
 def _log_likelihood(k: Column, n: Column, x: Column) -> Column:

@@ -7,12 +7,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoal.sources import schemas
+from shoal.sources.json_arrays import read_array
 
 _CSV = {"header": True, "quote": '"', "escape": '"', "multiLine": True}
 
 
-def read_corpus(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """Question objects from JSON: whole-file arrays, or one object per line (splittable, for large inputs)."""
+def read_corpus(spark: SparkSession, path: str, lines: bool = False, array: bool = False) -> DataFrame:
+    """Question objects from JSON: one object per line (`lines`), or whole-file arrays.
+
+    With `array` an array is read by many tasks; without either, a file is parsed by one, which small ones take less time for.
+    """
+    if array:
+        return read_array(spark, path, schemas.CORPUS)
     return spark.read.schema(schemas.CORPUS).json(path, multiLine=not lines)
 
 

@@ -106,10 +106,11 @@ def test_hashed_vectors(spark):
 
 def test_title_terms_and_weights(spark):
     titles = spark.createDataFrame([(0, "The pl SQL package"), (1, "version control")], "id long, title string")
-    terms = topics.title_terms(titles, ["the"])
-    assert {r.id: set(r.terms) for r in terms.collect()} == {
+    words = topics.title_words(titles, ["the"])
+    terms = topics.title_terms(words)
+    weights = topics.tfidf(terms).collect()
+    assert {i: {r.term for r in weights if r.id == i} for i in (0, 1)} == {
         0: {"pl", "sql", "package", "pl sql", "sql package", "pl sql package"}, 1: {"version", "control", "version control"}}
-    weights = topics.tfidf(terms, topics.vocabulary(terms)).collect()
     assert sum(r.weight**2 for r in weights if r.id == 1) == pytest.approx(1)
-    few = topics.vocabulary(terms, 2).collect()
+    few = topics.title_terms(words, 2).vocabulary.orderBy("code").collect()
     assert [r.term for r in few] == ["control", "package"]
