@@ -8,6 +8,7 @@ measured size, which may let too many through but none too few. Of n-grams tied
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -93,17 +94,21 @@ class _Bitmap:
         return (self.bits[(at >> np.uint64(5)).astype(np.int64)] >> (at & np.uint64(31)).astype(np.uint32)) & np.uint32(1) > 0
 
 
-def _alive(text: _Text, kept: list[_Bitmap], high: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+def _survived(places: np.ndarray, kept: _Bitmap | None, g: np.ndarray) -> np.ndarray:
+    return places if kept is None else places & kept.has(g)
+
+
+def _alive(text: _Text, kept: list[_Bitmap | None], high: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """Per level, the hashes and the places where an n-gram begins whose parts have all survived so far."""
     before = None
     for n, g, g2, begins in text.levels(1, high):
         open_places = begins if before is None else begins & before & np.append(before[1:], False)
         yield n, g, g2, open_places
         if n <= len(kept):
-            before = open_places & kept[n - 1].has(g)
+            before = _survived(open_places, kept[n - 1], g)
 
 
-def _tally(batches: Iterator[pa.RecordBatch], kept: list[_Bitmap], level: int, seed: int) -> Iterator[pa.RecordBatch]:
+def _tally(batches: Iterator[pa.RecordBatch], kept: list[_Bitmap | None], level: int, seed: int) -> Iterator[pa.RecordBatch]:
     held, size = [], 0
 
     def summed():
@@ -131,13 +136,13 @@ def _tally(batches: Iterator[pa.RecordBatch], kept: list[_Bitmap], level: int, s
         yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(counts)], names=["g", "total"])
 
 
-def _threshold(counts: DataFrame, terms: int) -> tuple[int, int]:
+def _threshold(histogram: dict[int, int], terms: int) -> tuple[int, int]:
     """The count that the last of the `terms` most frequent has (1 if there are fewer), and how many are above it."""
     above = 0
-    for r in counts.groupBy("total").agg(F.count("*").alias("n")).orderBy(F.col("total").desc()).toLocalIterator():  # a row to a count
-        if r["total"] == 1 or above + r["n"] >= terms:
-            return r["total"], above
-        above += r["n"]
+    for total in sorted(histogram, reverse=True):
+        if total == 1 or above + histogram[total] >= terms:
+            return total, above
+        above += histogram[total]
     return 1, above
 
 
@@ -147,32 +152,35 @@ def most_frequent(words: DataFrame, low: int, high: int, terms: int, seed: int =
     n-grams with a digest in common (128 bits) would show in counts that do not add up; another seed is taken then.
     """
     spark, rows = words.sparkSession, words.count()
-    counts, kept, least = None, [], 1
+    counts, kept, least, histogram = None, [], 1, Counter()
     for n in range(1, high + 1):
         shipped = spark.sparkContext.broadcast(list(kept))
         partial = words.select("h1").mapInArrow(lambda b, s=shipped, n=n: _tally(b, s.value, n, seed), "g long, total long")
         found = checkpoint(partial.groupBy("g").agg(F.sum("total").alias("total")).filter(F.col("total") >= least).withColumn("n", F.lit(n)))
+        own = {r["total"]: r["n"] for r in found.groupBy("total").agg(F.count("*").alias("n")).collect()}  # a row to a count
         if n >= low:
             counts = found if counts is None else counts.unionByName(found)
-            least = max(least, _threshold(counts, terms)[0])
-        survivors = found.filter(F.col("total") >= least).select("g")
-        kept.append(_Bitmap.of(survivors, survivors.count()))
-    least, above = _threshold(counts, terms)
-    counts = checkpoint(counts.filter(F.col("total") >= least))
+            histogram.update(own)
+            least = max(least, _threshold(histogram, terms)[0])
+        # While nothing is ruled out there is no need to ask.
+        kept.append(None if least == 1 else _Bitmap.of(found.filter(F.col("total") >= least).select("g"), sum(c for t, c in own.items() if t >= least)))
+    least, above = _threshold(histogram, terms)
+    counts = counts.filter(F.col("total") >= least)
     strings = _strings(words, counts, kept, least, low, high, terms, above, seed)
     code = strings.orderBy(F.col("total").desc(), "term").limit(terms).toArrow()  # bounded by `terms`
     table = {c: code.column(c).to_pylist() for c in ("term", "total")} | {c: values(code.column(c)) for c in ("g", "g2", "n")}
     occurrences = checkpoint(_occurrences(words, table, low, high, seed))
-    per_term = occurrences.groupBy("code").agg(F.sum("tf").alias("found"), F.count("*").alias("df"))
-    named = spark.createDataFrame(pa.table({
-        "code": pa.array(range(len(table["term"])), pa.int32()), "term": pa.array(table["term"], pa.string()), "total": pa.array(table["total"], pa.int64())}))
-    vocabulary = checkpoint(named.join(per_term, "code").select("code", "term", "total", "df", "found"))
-    if vocabulary.filter("found <> total").limit(1).count():
+    per_term = occurrences.groupBy("code").agg(F.sum("tf").alias("found"), F.count("*").alias("df")).toArrow()  # bounded by `terms`
+    at = np.argsort(values(per_term.column("code")))
+    found, total = values(per_term.column("found"))[at], np.array(table["total"], np.int64)
+    if len(found) != len(total) or (found != total).any():
         return most_frequent(words, low, high, terms, seed + 1)
-    return Vocabulary(vocabulary.drop("found"), occurrences, rows)
+    vocabulary = pa.table({"code": pa.array(range(len(total)), pa.int32()), "term": pa.array(table["term"], pa.string()), "total": total,
+                           "df": values(per_term.column("df"))[at].astype(np.int64)})
+    return Vocabulary(spark.createDataFrame(vocabulary), occurrences, rows)
 
 
-def _strings(words: DataFrame, counts: DataFrame, kept: list[_Bitmap], least: int, low: int, high: int, terms: int, above: int, seed: int) -> DataFrame:
+def _strings(words: DataFrame, counts: DataFrame, kept: list[_Bitmap | None], least: int, low: int, high: int, terms: int, above: int, seed: int) -> DataFrame:
     """(g, g2, n, term, total) of the n-grams above the last count, and of enough of those tied at it."""
     spark = words.sparkSession
     sure = counts.filter(F.col("total") > least).select("g").toArrow()  # fewer than `terms`
@@ -189,7 +197,7 @@ def _strings(words: DataFrame, counts: DataFrame, kept: list[_Bitmap], least: in
             for n, g, g2, places in _alive(text, maps, high):
                 if n < low:
                     continue
-                at = np.flatnonzero(places & maps[n - 1].has(g))
+                at = np.flatnonzero(_survived(places, maps[n - 1], g))
                 found, first = np.unique(g[at].view(np.int64), return_index=True)
                 new = ~np.isin(found, seen, assume_unique=True)
                 if not new.any():

@@ -171,7 +171,7 @@ def all_seeds(vectors: DataFrame, ks: list[int], seed=42, rounds: int = 5, overs
             ids[s], rows[s] = np.concatenate([ids[s], found[at]]), np.vstack([rows[s], matrix[at]]) if len(at) else rows[s]
     weights = {s: np.zeros(len(ids[s])) for s in sizes}
     counted = state.select(F.posexplode("near").alias("i", "at")).groupBy("i", "at").agg(F.count("*").alias("n"))
-    for r in counted.toLocalIterator():  # a row to a candidate
+    for r in counted.collect():  # a row to a candidate
         weights[sizes[r["i"]]][r["at"]] = r["n"]
     discard(spark, path)
     out = {}

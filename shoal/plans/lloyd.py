@@ -2,9 +2,10 @@
 
 Each row carries, for every run, its label, an upper bound of the distance to its own centre and a lower bound of that to any other.
 When centres move, the bounds are moved by as much, and only rows whose bounds meet are measured against all centres again; so a step
-costs little once most rows have settled. A scan writes the rows with their new bounds, and next to them, per run and cluster, the sums of the rows that
-changed sides; the driver holds the centres (bounded by the K asked for and measured), never rows. A step is a written table, so
-a lost executor costs its tasks alone.
+costs little once most rows have settled. A scan adds up, per run and cluster, the rows that changed sides; only these sums leave a task, and the driver
+holds the centres (bounded by the K asked for and measured), never rows. Bounds are written in the 1st, 2nd, 4th, 8th, ... scan, next to the
+sums; in between they follow from the written ones and from how far each centre is from where it was then. So a step is one job over a
+written table, and a lost executor costs its tasks alone.
 """
 
 from __future__ import annotations
@@ -62,7 +63,7 @@ class _Run:
     """What a scan needs to know of a run."""
 
     centres: np.ndarray
-    moved: np.ndarray  # by how much each centre moved since the last scan
+    moved: np.ndarray  # how far each centre is from where it was when the bounds were written
     half: np.ndarray  # half the distance from each centre to its nearest other one
     active: bool
 
@@ -118,7 +119,8 @@ class _Sums:
         self.touched[found] = True
 
 
-def _scan(batches: Iterator[pa.RecordBatch], runs: list[_Run], first: bool, last: bool) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], runs: list[_Run], first: bool, write: bool, exact: bool) -> Iterator[pa.RecordBatch]:
+    """Sums of the rows that are on another side than written, and, to `write`, the rows with all bounds made anew (`exact`: tight ones)."""
     sums: list[_Sums] = []
     for batch in batches:
         n = batch.num_rows
@@ -132,7 +134,7 @@ def _scan(batches: Iterator[pa.RecordBatch], runs: list[_Run], first: bool, last
             labels = block(batch.column("labels")).astype(np.int32)
             upper, lower = block(batch.column("upper")).copy(), block(batch.column("lower")).copy()
         for i, run in enumerate(runs):
-            if not run.active and not last:
+            if not run.active and not write:
                 continue
             old = labels[:, i].copy()
             if first:
@@ -141,7 +143,7 @@ def _scan(batches: Iterator[pa.RecordBatch], runs: list[_Run], first: bool, last
                 upper[:, i] += run.moved[old]
                 lower[:, i] -= run.furthest_other(old)
                 bound = np.maximum(run.half[old], lower[:, i])
-                todo = np.arange(n) if last else np.flatnonzero(upper[:, i] + _SLACK >= bound)
+                todo = np.arange(n) if exact else np.flatnonzero(upper[:, i] + _SLACK >= bound)
                 upper[todo, i] = _own(x[todo], run.centres, old[todo])
                 todo = todo[upper[todo, i] + _SLACK >= bound[todo]]
                 if len(todo):
@@ -150,9 +152,11 @@ def _scan(batches: Iterator[pa.RecordBatch], runs: list[_Run], first: bool, last
             if len(changed):
                 sums[i].add(x[changed], labels[changed, i], 1)
                 sums[i].add(x[changed], old[changed], -1)
+        if not write:
+            continue
         width = pa.array(np.arange(0, (n + 1) * len(runs), len(runs), dtype=np.int32))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.zeros(n, np.int32)), batch.column("id"), batch.column("vec"), pa.ListArray.from_arrays(width, pa.array(labels.reshape(-1))),
+            [pa.array(np.zeros(n, np.int32)), batch.column("id"), list_column(x), pa.ListArray.from_arrays(width, pa.array(labels.reshape(-1))),
              list_column(upper), list_column(lower), *[pa.nulls(n, t) for t in (pa.int32(), pa.int32(), pa.int64())]], names=_NAMES)
     for i, s in enumerate(sums):
         at = np.flatnonzero(s.touched)
@@ -176,45 +180,56 @@ def joint_fit(vectors: DataFrame, starts: dict[int, np.ndarray], max_iter: int =
     """
     spark = vectors.sparkSession
     ks = sorted(starts)
+    settled = [False] * len(ks)
     if sum(c.nbytes for c in starts.values()) > BROADCAST_BYTES:
         raise ValueError(f"the centres of {ks} are too large to go to every executor at once; fit them in groups")
-    centres = [np.asarray(starts[k], np.float64) for k in ks]
-    runs = [_Run.of(c, c, True) for c in centres]
-    totals, counts = [np.zeros_like(c) for c in centres], [np.zeros(len(c), np.int64) for c in centres]
+    bases = [np.asarray(starts[k], np.float64) for k in ks]  # the centres when the bounds were written
+    runs = [_Run.of(c, c, True) for c in bases]
+    totals, counts = [np.zeros_like(c) for c in bases], [np.zeros(len(c), np.int64) for c in bases]
     state, path, steps = vectors.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec")), None, [0] * len(ks)
 
-    def scanned(last: bool) -> DataFrame:
-        nonlocal state, path
+    def scanned(write: bool, exact: bool = False) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Sums and sizes of all clusters for the centres of now."""
+        nonlocal state, path, bases, totals, counts
         shipped, first = spark.sparkContext.broadcast(runs), path is None
-        out = scratch_path(spark, "lloyd")
-        state.mapInArrow(lambda batches: _scan(batches, shipped.value, first, last), _SCHEMA).write.partitionBy("kind").parquet(out)
+        found = state.mapInArrow(lambda batches: _scan(batches, shipped.value, first, write, exact), _SCHEMA)
+        if write:
+            out = scratch_path(spark, "lloyd")
+            found.write.partitionBy("kind").parquet(out)
+            if path is not None:
+                discard(spark, path)
+            path, found = out, spark.read.schema(_SCHEMA).parquet(out)
+            state = found.filter("kind = 0").select(*[f.split()[0] for f in _STATE.split(", ")])
+        sums = found.filter("kind = 1").groupBy("run", "cluster").agg(
+            F.sum("n").alias("n"), vector_to_array(Summarizer.sum(array_to_vector("vec"))).alias("vec")).toArrow()  # no more than the centres
         shipped.unpersist()
-        if path is not None:
-            discard(spark, path)
-        path = out
-        written = spark.read.schema(_SCHEMA).parquet(out)
-        state = written.filter("kind = 0").select(*[f.split()[0] for f in _STATE.split(", ")])
-        return written.filter("kind = 1")
-
-    while True:
-        sums = scanned(False).groupBy("run", "cluster").agg(
-            F.sum("n").alias("n"), vector_to_array(Summarizer.sum(array_to_vector("vec"))).alias("vec"))
-        for r in sums.toLocalIterator():
-            totals[r["run"]][r["cluster"]] += r["vec"]
-            counts[r["run"]][r["cluster"]] += r["n"]
+        new_totals, new_counts = [t.copy() for t in totals], [c.copy() for c in counts]
+        rows = block(sums.column("vec"))
+        for at, (i, c, n) in enumerate(zip(*(sums.column(name).to_pylist() for name in ("run", "cluster", "n")))):
+            new_totals[i][c] += rows[at]
+            new_counts[i][c] += n
+        if write:
+            totals, counts, bases = new_totals, new_counts, [run.centres for run in runs]
+        return new_totals, new_counts
+
+    scans = 0
+    while any(run.active for run in runs):
+        scans += 1
+        sums, sizes = scanned(scans & (scans - 1) == 0)
         for i, run in enumerate(runs):
-            if run.active:  # one that has stopped keeps its last move for the last scan
-                full = counts[i] > 0
+            if run.active:
+                full = sizes[i] > 0
                 new = run.centres.copy()
-                new[full] = totals[i][full] / counts[i][full][:, None]
+                new[full] = sums[i][full] / sizes[i][full][:, None]
                 steps[i] += 1
-                runs[i] = _Run.of(new, run.centres, True)
-                runs[i].active = steps[i] < max_iter and bool(runs[i].moved.max(initial=0.0) > tolerance)
-        if not any(run.active for run in runs):
-            break
-    scanned(True)
+                moved = np.sqrt(((new - run.centres) ** 2).sum(axis=1)).max(initial=0.0)
+                settled[i] = bool(moved <= tolerance)
+                runs[i] = _Run.of(new, bases[i], steps[i] < max_iter and not settled[i])
+            else:
+                runs[i] = _Run.of(run.centres, bases[i], False)
+    scanned(True, exact=True)
     cost = state.agg(*[F.sum(F.col("upper")[i] * F.col("upper")[i]).alias(f"c{i}") for i in range(len(ks))]).first()
-    fits = {k: Fit(runs[i].centres, float(cost[i] or 0.0), steps[i], bool(runs[i].moved.max(initial=0.0) <= tolerance)) for i, k in enumerate(ks)}
+    fits = {k: Fit(runs[i].centres, float(cost[i] or 0.0), steps[i], settled[i]) for i, k in enumerate(ks)}
     return JointFit(state.select("id", "vec", "labels", "upper"), ks, fits, path)
 
 

@@ -136,7 +136,7 @@ def _seeds(rows: DataFrame, clusters: list[int], k: int, seed: int) -> dict[int,
         id_type = rows.schema["id"].dataType.simpleString()
         found = _scan(with_u, centres, keyed, f"cluster long, key double, id {id_type}, codes array<int>, weights array<double>")
         best = F.min_by(F.struct("codes", "weights"), F.struct("key", "id")).alias("s")
-        for r in found.groupBy("cluster").agg(best).toLocalIterator():  # a row to a cluster
+        for r in found.groupBy("cluster").agg(best).collect():  # a row to a cluster
             drawn[r["cluster"]].append((np.array(r["s"]["codes"], np.int32), np.array(r["s"]["weights"], float)))
     return {c: _centres(s) for c, s in drawn.items() if s}
 
@@ -208,7 +208,7 @@ def subtopics_of_clusters(weights: DataFrame, clusters: DataFrame, k: int, seed:
     # A cluster's centres have at most its distinct terms, and at most its cells.
     terms = rows.select("cluster", F.explode_outer("codes").alias("code")).groupBy("cluster").agg(F.count_distinct("code").alias("terms"))
     groups, held = [[]], 0
-    for r in terms.orderBy("cluster").toLocalIterator():  # a row to a cluster
+    for r in terms.orderBy("cluster").collect():  # a row to a cluster
         size = r["terms"] * (8 * k + 4)
         if size > limit_bytes:
             raise ValueError(f"the centres of cluster {r['cluster']} take {size} bytes; use a smaller vocabulary")
