@@ -30,6 +30,13 @@ class Labelled:
 
     rows: DataFrame
     labelings: list[tuple[int, str]]
+    expected: int | None = None
+
+    def check(self, counted: dict[int, int]) -> None:
+        """Fail if the rows counted for some labeling are not those expected of all."""
+        wrong = [self.labelings[lab] for lab in range(len(self.labelings)) if self.expected is not None and counted.get(lab, 0) != self.expected]
+        if wrong:
+            raise ValueError(f"vectors and labels do not hold the same ids, see {wrong[:3]}")
 
     def labeling_table(self) -> DataFrame:
         spark = self.rows.sparkSession
@@ -40,24 +47,26 @@ class Labelled:
 def with_labels(vectors: DataFrame, assignments: DataFrame) -> Labelled:
     """Join `vectors(id, vec)` with `assignments(question_id, k, variant, cluster_id)`.
 
-    An id that only one side has fails the job that reads the rows: metrics of a part would pass for those of the whole.
+    Metrics of a part would pass for those of the whole, so vectors and labels must hold the same ids: as many of each, which is counted
+    here, and all of them in the join, which is counted where clusters are (`Labelled.check`). So the join itself can be an inner one.
     """
     spark = vectors.sparkSession
-    found = assignments.select("k", "variant").distinct().collect()
+    found = assignments.groupBy("k", "variant").agg(F.count("*").alias("n")).collect()
     labelings = sorted((r["k"], r["variant"]) for r in found)
     if not labelings:
         raise ValueError("no labelings")
+    rows = vectors.count()
+    wrong = sorted((r["k"], r["variant"]) for r in found if r["n"] != rows)
+    if wrong:
+        raise ValueError(f"vectors and labels do not hold the same ids, see {wrong[:3]}")
     index = spark.createDataFrame([(i, k, v) for i, (k, v) in enumerate(labelings)], "lab int, k int, variant string")
     per_id = (
         assignments.join(F.broadcast(index), ["k", "variant"])
         .groupBy(F.col("question_id").alias("id"))
         .agg(F.collect_list(F.struct("lab", F.col("cluster_id").cast("int").alias("cluster_id"))).alias("labs"))
     )
-    joined = vectors.select("id", F.col("vec").cast("array<double>").alias("vec")).join(per_id, "id", "full")
-    lonely = F.raise_error(F.concat(F.lit("vectors and labels do not hold the same ids, e.g. "), F.col("id").cast("string")))
-    complete = F.col("vec").isNotNull() & F.col("labs").isNotNull()
-    rows = joined.select("id", F.when(complete, F.col("vec")).otherwise(lonely.cast("array<double>")).alias("vec"), "labs")
-    return Labelled(rows, labelings)
+    joined = vectors.select("id", F.col("vec").cast("array<double>").alias("vec")).join(per_id, "id")
+    return Labelled(joined, labelings, rows)
 
 
 def _per_labeling(batch: pa.RecordBatch):

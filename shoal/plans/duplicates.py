@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shoal.operators.components import connected_components
 from shoal.operators.proximity import TILE_ROWS, Block, build_tree, distances, distinct_points, metric_space, search, to_euclidean
-from shoal.plans.density import FOREST, Forest
+from shoal.plans.density import FOREST, Forest, _spanning
 from shoal.session import checkpoint
 
 MIN_COSINE = 0.9
@@ -43,9 +43,13 @@ class Links(Forest):
                 self._join(0, dist[first], mine[rows[first]], theirs, np.zeros(int(first.sum())), none)
 
     def result(self) -> pa.Table:
+        links = []
+        for m, a, b, level, weight in self.found():
+            kept = _spanning(len(self.ids), level, a, b)
+            links.append((m, level[kept], a[kept], b[kept], weight[kept]))
         n = len(self.counts)
         counts = {"m": np.full(n, -1, np.int32), "level": np.zeros(n, np.int32), "u": self.q.ids, "v": self.counts, "weight": np.zeros(n)}
-        return pa.concat_tables([super().result(), pa.table(counts)])
+        return pa.concat_tables([self.table(links), pa.table(counts)])
 
 
 def linked(vectors: DataFrame, labels: DataFrame | None = None, min_cosine: float = MIN_COSINE,

@@ -112,19 +112,19 @@ def search(vectors: DataFrame, ks: list[int], seed: int = SEED, store=None, save
         joint = joint_fit(vectors, {k: centres for k, (_, centres) in all_seeds(vectors, group, seed).items()})
         scores = scores_of(joint)
         seconds = (time.perf_counter() - start) / len(group)
-        for k in group:
-            if k not in scores:
-                failed[k] = "no DBI: it needs 2 <= number of clusters <= rows - 1"
-                continue
-            if store is not None and k % save_every == 0:
-                store.write(joint.assignments([k]))
-            row = (k, scores[k], joint.fits[k].cost, seconds)
-            if log is not None:
-                earlier = min((r[1] for r in rows if r[0] < k), default=START_SCORE)
-                log.append(spark.createDataFrame([(*row, row[1] < min(earlier, START_SCORE))], f"{SEARCH_SCHEMA}, is_new_best boolean"))
-            rows.append(row)
+        failed |= {k: "no DBI: it needs 2 <= number of clusters <= rows - 1" for k in group if k not in scores}
+        kept = [k for k in group if k in scores and k % save_every == 0]
+        if store is not None and kept:
+            store.write(joint.assignments(kept))  # before the log, which says that a K is done
+        new = [(k, scores[k], joint.fits[k].cost, seconds) for k in group if k in scores]
+        if log is not None and new:
+            earlier = lambda k: min((r[1] for r in rows + new if r[0] < k), default=START_SCORE)
+            log.append(spark.createDataFrame(
+                [(*row, row[1] < min(earlier(row[0]), START_SCORE)) for row in new], f"{SEARCH_SCHEMA}, is_new_best boolean"))
+        rows += new
+        for row in new:
             if row[1] < best[0]:
-                best, best_fit = (row[1], k), joint.fits[k]
+                best, best_fit = (row[1], row[0]), joint.fits[row[0]]
         joint.discard()
     return Search(running_best(spark.createDataFrame(sorted(rows), SEARCH_SCHEMA)), best[1], best_fit, failed)
 

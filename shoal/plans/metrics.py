@@ -70,6 +70,7 @@ class Evaluation:
             self._sizes = {
                 r["lab"]: (r["clusters"], r["rows"], r["clusters"] * r["d"] * 8) for r in totals.collect()
             }
+            self.labelled.check({lab: rows for lab, (_, rows, _) in self._sizes.items()})
         return self._sizes
 
     @property
@@ -145,6 +146,7 @@ class Evaluation:
 
     def cosine_inter(self) -> DataFrame:
         """Mean cosine over ordered centroid pairs from the sum of unit centroids, without forming pairs."""
+        _ = self.sizes  # checks the ids
         sq = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)
         unit = self.means.withColumn("_n", F.sqrt(sq)).select(
             "lab", F.posexplode(F.transform("vec", lambda x: F.when(F.col("_n") > 0, x / F.col("_n")).otherwise(0.0)))
@@ -159,6 +161,7 @@ class Evaluation:
         )
 
     def singleton_ratio(self) -> DataFrame:
+        _ = self.sizes  # checks the ids
         ones = F.sum(F.when(F.col("n") == 1, 1).otherwise(0))
         return self.means.groupBy("lab").agg((ones / F.count("*")).alias("singleton_ratio"))
 

@@ -27,7 +27,7 @@ def brute(x, cluster, least):
     return root, alike
 
 
-@pytest.mark.parametrize("tile_rows, least", [(2048, 0.9), (16, 0.9), (8, 0.99)])
+@pytest.mark.parametrize("tile_rows, least", [(2048, 0.9), (32, 0.9)])
 def test_classes_against_brute_force(spark, cloud, tile_rows, least):
     cluster = np.arange(len(cloud)) % 3
     cluster[240:270] = 0
