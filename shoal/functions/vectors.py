@@ -64,6 +64,21 @@ def list_column(matrix: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(matrix).reshape(-1)))
 
 
+def packed_column(matrix: np.ndarray) -> pa.Array:
+    """The rows of a matrix as bytes, which Spark hands to Python and back without looking into them."""
+    rows, width = matrix.shape
+    data = np.ascontiguousarray(matrix)
+    offsets = np.arange(rows + 1, dtype=np.int32) * np.int32(width * matrix.itemsize)
+    return pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def unpacked(column: pa.Array, kind) -> np.ndarray:
+    """The matrix whose rows `packed_column` made."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0]:offsets[-1]]
+    return np.frombuffer(data.tobytes() if offsets[0] % np.dtype(kind).itemsize else data, kind).reshape(len(column), -1)
+
+
 def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """All squared Euclidean distances between two blocks by one matrix product."""
     out = a @ b.T

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoal.functions.hashing import digest, leading_bits, uniform
-from shoal.functions.vectors import block, list_column, squared_distances, values
+from shoal.functions.vectors import block, list_column, packed_column, squared_distances, unpacked, values
 from shoal.operators.nearest import STRIP_BYTES, nearest_all
 from shoal.operators.ordering import equal_count_buckets, with_row_number
 from shoal.operators.reduce import fit, project
@@ -129,7 +129,7 @@ def random_centroid(vectors: DataFrame, ks: list[int], seed=42) -> DataFrame:
 
 # -- one-shot seeding -----------------------------------------------------------------------------------------
 
-_SEED_STATE = "id long, vec array<double>, near array<int>, cost array<double>"
+_SEED_STATE = "id long, vec binary, near array<int>, cost array<double>"  # vectors as bytes
 
 
 def _size_for(k: int) -> int:
@@ -164,7 +164,8 @@ def all_seeds(vectors: DataFrame, ks: list[int], seed=42, rounds: int = 5, overs
         drawn = state.select("id", "vec", F.array(*[chosen.get(i, F.lit(False)) for i in range(len(sizes))]).alias("of")).filter(F.exists("of", lambda x: x))
         table = drawn.orderBy("id").toArrow()  # about oversample * size rows a size
         of = block(table.column("of")).reshape(table.num_rows, len(sizes)) > 0
-        found, matrix = values(table.column("id")), block(table.column("vec")).reshape(table.num_rows, -1)
+        found = values(table.column("id"))
+        matrix = np.frombuffer(b"".join(table.column("vec").to_pylist()), np.float64).reshape(table.num_rows, -1) if table.num_rows else rows[sizes[0]][:0]
         for i, s in enumerate(sizes):
             at = np.flatnonzero(of[:, i])
             new[s] = (len(ids[s]), matrix[at])
@@ -193,7 +194,7 @@ def _seed_scan(state: DataFrame, path: str | None, new: list[tuple[int, np.ndarr
             n, sizes = batch.num_rows, len(shipped.value)
             if n == 0:
                 continue
-            x = block(batch.column("vec"))
+            x = block(batch.column("vec")) if first else unpacked(batch.column("vec"), np.float64)
             near = np.zeros((n, sizes), np.int32) if first else block(batch.column("near")).astype(np.int32)
             cost = np.full((n, sizes), np.inf) if first else block(batch.column("cost")).copy()
             for i, (number, rows) in enumerate(shipped.value):
@@ -211,7 +212,7 @@ def _seed_scan(state: DataFrame, path: str | None, new: list[tuple[int, np.ndarr
                     near[part, i] = np.where(closer, number + best, near[part, i])
             offsets = pa.array(np.arange(0, (n + 1) * sizes, sizes, dtype=np.int32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("vec"), pa.ListArray.from_arrays(offsets, pa.array(near.reshape(-1))), list_column(cost)],
+                [batch.column("id"), packed_column(x), pa.ListArray.from_arrays(offsets, pa.array(near.reshape(-1))), list_column(cost)],
                 names=["id", "vec", "near", "cost"])
 
     state.mapInArrow(compare, _SEED_STATE).write.parquet(out)

@@ -20,15 +20,16 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoal.functions.vectors import block, list_column, squared_distances, values
+from shoal.functions.vectors import block, list_column, packed_column, squared_distances, unpacked
 from shoal.session import BROADCAST_BYTES, discard, scratch_path
 
 MAX_ITER = 20
 TOLERANCE = 1e-4
 STRIP_BYTES = 64 * 1024 * 1024
 _SLACK = 1e-6  # rounding of the matrix product; bounds this close are measured again
-_STATE = "id long, vec array<double>, labels array<int>, upper array<double>, lower array<double>"
-_SCHEMA = f"kind int, {_STATE}, run int, cluster int, n long"
+# Vectors and bounds are kept as bytes; a row's bounds are (label, upper, lower) of each run.
+_SCHEMA = "kind int, id long, vec binary, bounds binary, sums array<double>, run int, cluster int, n long"
+_RESULT = "id long, vec array<double>, labels array<int>, upper array<double>"
 
 
 @dataclass
@@ -119,54 +120,68 @@ class _Sums:
         self.touched[found] = True
 
 
-def _scan(batches: Iterator[pa.RecordBatch], runs: list[_Run], first: bool, write: bool, exact: bool) -> Iterator[pa.RecordBatch]:
-    """Sums of the rows that are on another side than written, and, to `write`, the rows with all bounds made anew (`exact`: tight ones)."""
-    sums: list[_Sums] = []
+def _bounded(batches: Iterator[pa.RecordBatch], runs: list[_Run], sums: list[_Sums], first: bool, every: bool, exact: bool):
+    """(batch, x, bounds) with the bounds of the runs that are active (of `every` run) made anew, tight ones if `exact`; adds to `sums`."""
     for batch in batches:
         n = batch.num_rows
         if n == 0:
             continue
-        x = block(batch.column("vec"))
-        sums = sums or [_Sums(len(r.centres), x.shape[1]) for r in runs]
-        if first:
-            labels, upper, lower = np.full((n, len(runs)), -1, np.int32), np.zeros((n, len(runs))), np.zeros((n, len(runs)))
-        else:
-            labels = block(batch.column("labels")).astype(np.int32)
-            upper, lower = block(batch.column("upper")).copy(), block(batch.column("lower")).copy()
+        x = block(batch.column("vec")) if first else unpacked(batch.column("vec"), np.float64)
+        bounds = np.full((n, len(runs), 3), -1.0) if first else unpacked(batch.column("bounds"), np.float64).reshape(n, len(runs), 3).copy()
+        if not sums:
+            sums += [_Sums(len(r.centres), x.shape[1]) for r in runs]
         for i, run in enumerate(runs):
-            if not run.active and not write:
+            if not run.active and not every:
                 continue
-            old = labels[:, i].copy()
+            old = bounds[:, i, 0].astype(np.int32)
+            labels, upper, lower = old.copy(), bounds[:, i, 1], bounds[:, i, 2]
             if first:
-                labels[:, i], upper[:, i], lower[:, i] = _measured(x, run.centres)
+                labels, upper[:], lower[:] = _measured(x, run.centres)
             else:
-                upper[:, i] += run.moved[old]
-                lower[:, i] -= run.furthest_other(old)
-                bound = np.maximum(run.half[old], lower[:, i])
-                todo = np.arange(n) if exact else np.flatnonzero(upper[:, i] + _SLACK >= bound)
-                upper[todo, i] = _own(x[todo], run.centres, old[todo])
-                todo = todo[upper[todo, i] + _SLACK >= bound[todo]]
+                upper += run.moved[old]
+                lower -= run.furthest_other(old)
+                bound = np.maximum(run.half[old], lower)
+                todo = np.arange(n) if exact else np.flatnonzero(upper + _SLACK >= bound)
+                upper[todo] = _own(x[todo], run.centres, old[todo])
+                todo = todo[upper[todo] + _SLACK >= bound[todo]]
                 if len(todo):
-                    labels[todo, i], upper[todo, i], lower[todo, i] = _measured(x[todo], run.centres)
-            changed = np.flatnonzero(labels[:, i] != old)
+                    labels[todo], upper[todo], lower[todo] = _measured(x[todo], run.centres)
+            bounds[:, i, 0] = labels
+            changed = np.flatnonzero(labels != old)
             if len(changed):
-                sums[i].add(x[changed], labels[changed, i], 1)
+                sums[i].add(x[changed], labels[changed], 1)
                 sums[i].add(x[changed], old[changed], -1)
-        if not write:
-            continue
-        width = pa.array(np.arange(0, (n + 1) * len(runs), len(runs), dtype=np.int32))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.zeros(n, np.int32)), batch.column("id"), list_column(x), pa.ListArray.from_arrays(width, pa.array(labels.reshape(-1))),
-             list_column(upper), list_column(lower), *[pa.nulls(n, t) for t in (pa.int32(), pa.int32(), pa.int64())]], names=_NAMES)
+        yield batch, x, bounds
+
+
+def _scan(batches: Iterator[pa.RecordBatch], runs: list[_Run], first: bool, write: bool) -> Iterator[pa.RecordBatch]:
+    """Sums of the rows that are on another side than written, and, to `write`, the rows with their new bounds."""
+    sums: list[_Sums] = []
+    for batch, x, bounds in _bounded(batches, runs, sums, first, write, False):
+        if write:
+            n = len(x)
+            none = [pa.nulls(n, t) for t in (pa.list_(pa.float64()), pa.int32(), pa.int32(), pa.int64())]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.zeros(n, np.int32)), batch.column("id"), packed_column(x), packed_column(bounds.reshape(n, -1)), *none], names=_NAMES)
     for i, s in enumerate(sums):
         at = np.flatnonzero(s.touched)
         for start in range(0, len(at), 4096):
             part = at[start:start + 4096]
             n = len(part)
-            none = [pa.nulls(n, pa.list_(t)) for t in (pa.int32(), pa.float64(), pa.float64())]
+            none = [pa.nulls(n, t) for t in (pa.int64(), pa.binary(), pa.binary())]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.ones(n, np.int32)), pa.nulls(n, pa.int64()), list_column(s.total[part]), *none, pa.array(np.full(n, i, np.int32)),
-                 pa.array(part.astype(np.int32)), pa.array(s.n[part])], names=_NAMES)
+                [pa.array(np.ones(n, np.int32)), *none, list_column(s.total[part]),
+                 pa.array(np.full(n, i, np.int32)), pa.array(part.astype(np.int32)), pa.array(s.n[part])], names=_NAMES)
+
+
+def _last(batches: Iterator[pa.RecordBatch], runs: list[_Run]) -> Iterator[pa.RecordBatch]:
+    """The rows with their labels for the centres a run ended with, and the distances to them."""
+    for batch, x, bounds in _bounded(batches, runs, [], False, True, True):
+        labels = bounds[:, :, 0].astype(np.int32)
+        offsets = pa.array(np.arange(0, (len(x) + 1) * len(runs), len(runs), dtype=np.int32))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("id"), list_column(x), pa.ListArray.from_arrays(offsets, pa.array(labels.reshape(-1))), list_column(bounds[:, :, 1])],
+            names=["id", "vec", "labels", "upper"])
 
 
 _NAMES = [f.split()[0] for f in _SCHEMA.split(", ")]
@@ -188,23 +203,23 @@ def joint_fit(vectors: DataFrame, starts: dict[int, np.ndarray], max_iter: int =
     totals, counts = [np.zeros_like(c) for c in bases], [np.zeros(len(c), np.int64) for c in bases]
     state, path, steps = vectors.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec")), None, [0] * len(ks)
 
-    def scanned(write: bool, exact: bool = False) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    def scanned(write: bool) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Sums and sizes of all clusters for the centres of now."""
         nonlocal state, path, bases, totals, counts
         shipped, first = spark.sparkContext.broadcast(runs), path is None
-        found = state.mapInArrow(lambda batches: _scan(batches, shipped.value, first, write, exact), _SCHEMA)
+        found = state.mapInArrow(lambda batches: _scan(batches, shipped.value, first, write), _SCHEMA)
         if write:
             out = scratch_path(spark, "lloyd")
             found.write.partitionBy("kind").parquet(out)
             if path is not None:
                 discard(spark, path)
             path, found = out, spark.read.schema(_SCHEMA).parquet(out)
-            state = found.filter("kind = 0").select(*[f.split()[0] for f in _STATE.split(", ")])
+            state = found.filter("kind = 0").select("id", "vec", "bounds")
         sums = found.filter("kind = 1").groupBy("run", "cluster").agg(
-            F.sum("n").alias("n"), vector_to_array(Summarizer.sum(array_to_vector("vec"))).alias("vec")).toArrow()  # no more than the centres
+            F.sum("n").alias("n"), vector_to_array(Summarizer.sum(array_to_vector("sums"))).alias("sums")).toArrow()  # no more than the centres
         shipped.unpersist()
         new_totals, new_counts = [t.copy() for t in totals], [c.copy() for c in counts]
-        rows = block(sums.column("vec"))
+        rows = block(sums.column("sums"))
         for at, (i, c, n) in enumerate(zip(*(sums.column(name).to_pylist() for name in ("run", "cluster", "n")))):
             new_totals[i][c] += rows[at]
             new_counts[i][c] += n
@@ -227,10 +242,13 @@ def joint_fit(vectors: DataFrame, starts: dict[int, np.ndarray], max_iter: int =
                 runs[i] = _Run.of(new, bases[i], steps[i] < max_iter and not settled[i])
             else:
                 runs[i] = _Run.of(run.centres, bases[i], False)
-    scanned(True, exact=True)
+    shipped, out = spark.sparkContext.broadcast(runs), scratch_path(spark, "lloyd")
+    state.mapInArrow(lambda batches: _last(batches, shipped.value), _RESULT).write.parquet(out)
+    discard(spark, path)
+    state = spark.read.schema(_RESULT).parquet(out)
     cost = state.agg(*[F.sum(F.col("upper")[i] * F.col("upper")[i]).alias(f"c{i}") for i in range(len(ks))]).first()
     fits = {k: Fit(runs[i].centres, float(cost[i] or 0.0), steps[i], settled[i]) for i, k in enumerate(ks)}
-    return JointFit(state.select("id", "vec", "labels", "upper"), ks, fits, path)
+    return JointFit(state, ks, fits, out)
 
 
 def groups_of(ks: list[int], dims: int, limit_bytes: int = BROADCAST_BYTES) -> list[list[int]]:
