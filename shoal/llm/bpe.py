@@ -26,7 +26,6 @@ LOOKAHEAD = 1024
 MAX_STATES = 150_000
 MAX_PAIRS = 250_000
 MAX_WORDS = 100_000
-MAX_PIECES = 100_000
 BLOCK_TOKENS = 8192
 _TIGHT = re.compile(r" \s|\s ")
 
@@ -84,8 +83,8 @@ class _State:
 class Transducer:
     """Tokens of one pretoken, read byte by byte. The compiled vocabulary: a trie of tokens, and how each is merged."""
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], max_states: int = MAX_STATES):
+        self.ranks, self.max_states = ranks, max_states
         self.token_bytes = {rank: token for token, rank in ranks.items()}
         self.child: dict[int, int] = {}
         self.token_at, self.grows = [-1], [False]
@@ -204,7 +203,7 @@ class Transducer:
 
     def encode(self, data: bytes) -> list[int]:
         """Tokens of a pretoken. `ends` holds, for each byte since the last token that went out, the token ending there."""
-        if len(self.states) > MAX_STATES:
+        if len(self.states) > self.max_states:
             self._reset()
         state, ends, out = self.start, [-1], []
         for byte in data:
@@ -223,10 +222,10 @@ class Transducer:
 class Encoder:
     """Token ids of whole texts, each match of `pattern` by itself."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.transducer = Transducer(ranks)
+    def __init__(self, ranks: dict[bytes, int], pattern: str, max_states: int = MAX_STATES, max_words: int = MAX_WORDS):
+        self.transducer = Transducer(ranks, max_states)
         self.pattern = regex.compile(pattern)
-        self._words, self._pieces = _Memory(MAX_WORDS), _Memory(MAX_PIECES)
+        self._words, self._pieces = _Memory(max_words), _Memory(max_words)
 
     def _word(self, word: str) -> bytes:
         ids = self._words.get(word)
@@ -314,24 +313,24 @@ _workers: dict[str, tuple[Encoder, Decoder]] = {}
 
 def _of_worker(held) -> tuple[Encoder, Decoder]:
     """One encoder and decoder for each worker process and vocabulary."""
-    data, pattern = held.value
-    key = hashlib.sha256(data + pattern.encode()).hexdigest()
+    data, pattern, *limits = held.value
+    key = hashlib.sha256(data + repr((pattern, limits)).encode()).hexdigest()
     if key not in _workers:
         _workers.clear()
         ranks = parse_ranks(data)
-        _workers[key] = Encoder(ranks, pattern), Decoder(ranks)
+        _workers[key] = Encoder(ranks, pattern, *limits), Decoder(ranks)
     return _workers[key]
 
 
 def encoded(docs: DataFrame, rank_file: str, pattern: str, text: str = "text", doc_id: str = "doc_id",
-            with_ids: bool = False) -> DataFrame:
+            with_ids: bool = False, max_states: int = MAX_STATES, max_words: int = MAX_WORDS) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256, and `ids` if asked for): each text encoded and decoded again.
 
-    The vocabulary file is read by the driver and sent to the executors. A null text is empty; ids of rows may be null
+    The limits say how many states and words a worker process keeps, so less time or less memory; the result is the same. The vocabulary file is read by the driver and sent to the executors. A null text is empty; ids of rows may be null
     or repeat; other columns are ignored. A text that comes back changed fails the job.
     """
     with open(rank_file, "rb") as f:
-        held = docs.sparkSession.sparkContext.broadcast((f.read(), pattern))
+        held = docs.sparkSession.sparkContext.broadcast((f.read(), pattern, max_states, max_words))
     fields = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
 
     def run(batches):

@@ -88,7 +88,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return bpe.encoded(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return bpe.encoded(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, max_states=400_000, max_words=400_000)
 
 
 def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
+import time
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -64,6 +70,29 @@ def without(docs: DataFrame, doc_id: str, ids: DataFrame) -> DataFrame:
     return docs.join(small(ids), F.col(doc_id).eqNullSafe(F.col(name)), "left_anti")
 
 
+def release(spark: SparkSession) -> None:
+    """Let the idle worker processes forget what they keep and give their free memory back to the system.
+
+    A worker is used again for the next job, and the allocators hold what the last one needed. Several short tasks a core reach
+    the workers; one that is missed only keeps its memory.
+    """
+    def run(batches):
+        yield from batches
+        for name in ("bpe", "simple8b", "words", "zlang"):
+            module = sys.modules.get(f"shoal.llm.{name}")
+            for kept in ("_workers", "_powers"):
+                getattr(module, kept, {}).clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
+        if trim is not None:
+            trim(0)
+        time.sleep(0.1)  # so that one worker does not take all tasks of its executor
+
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    spark.range(0, tasks, 1, tasks).mapInArrow(run, "id long").count()
+
+
 def bucket_of(column: Column, modulus: int) -> Column:
     """crc32 of the value as text, modulo `modulus`; null counts as empty."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % modulus
