@@ -1,7 +1,8 @@
 """A training corpus from raw documents: the stages below, each written as Parquet and read again by the next.
 
 A stage works on all that its predecessor kept. All but the last return the columns of `documents`; the last returns the
-token counts and digests of the documents that are left. No stage has SQL: toxicity, near copies and tilings are not SQL's
+token counts and digests of the documents that are left. Workers give back the memory of the stage before. Null and empty texts, null and
+repeated ids and tables without rows pass through as each operator's docstring says: none is a failure, and an empty table gives an empty one. No stage has SQL: toxicity, near copies and tilings are not SQL's
 to say, so the pipeline is tested against its parts and against brute force.
 """
 
@@ -11,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from shoal.llm import adaptjoin, bpe, radix, tiling, weak
-from shoal.llm.scratch import saved, table
+from shoal.llm.scratch import release, saved, table
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,21 +22,25 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the smallest doc_id stays."""
+    release(spark)
     return radix.distinct_documents(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by similar sets of five-word shingles (0.8 or more) the smallest doc_id stays."""
+    release(spark)
     return adaptjoin.distinct_documents(docs, 5, 80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that leak a benchmark item go."""
+    release(spark)
     return tiling.clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of what is left."""
+    release(spark)
     return bpe.encoded(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
