@@ -192,14 +192,15 @@ class _Tokens:
 
     Texts are cut at single spaces, and closing marks from the letter or digit before them, where byte-level vocabularies
     always cut. The ids of what comes before the marks are kept; the new ones of a batch of texts are encoded together, those
-    that are one run of letters straight by the library's model, which is what its pre-tokenizer would hand on.
+    that are one run of letters straight by the library's model, which is what its pre-tokenizer would hand on. A text that holds an
+    added token (such as one that marks the end of a text) goes to the library whole, which gives that token its own id.
     """
 
     def __init__(self, definition: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.letters = _byte_letters()
         self.stems = _Memory(MAX_STEMS)
         probe = [" the", "The", "été", " Größe", " 日本", "x"]
@@ -220,6 +221,15 @@ class _Tokens:
         return dict(zip(runs, self._straight(runs))) | dict(zip(others, self._fully(others)))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        whole = [k for k, t in enumerate(texts) if any(a in t for a in self.added)]
+        if whole:
+            found = self._pieced([t for t in texts if not any(a in t for a in self.added)])
+            for k, ids in zip(whole, self._fully([texts[k] for k in whole])):  # in ascending order, so each lands in its place
+                found.insert(k, np.frombuffer(ids, dtype="<u4"))
+            return found
+        return self._pieced(texts)
+
+    def _pieced(self, texts: list[str]) -> list[np.ndarray]:
         cut = [space_pieces(t) for t in texts]
         new, old = self.stems.new.get, self.stems.old.get
         known: dict[str, bytes] = {}

@@ -93,6 +93,8 @@ def test_empty_tables(spark):
     assert zlang.predicted(none, zlang.dictionaries(none)).count() == 0
     assert disclosure.report(disclosure.spans(none, disclosure.telling_terms(none))).count() == 0
     assert bpe.encoded(none, RANKS, public_tokenizers.PATTERN).count() == 0
+    written = simple8b.write_ids(none, scratch_path(spark, "ids"), public_tokenizers.path("byte_bpe_50k.json"))
+    assert simple8b.read_ids(spark, written).count() == 0
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert markup.extracted(pages).count() == 0
     archive = fixity.write_archive(pages, scratch_path(spark, "none"))
@@ -226,11 +228,10 @@ def test_token_files(spark):
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    rows = [(5, "later words, é!"), (1, None), (2, ""), (None, "no id"), (3, "<|endoftext|> a  b\n"), (3, "again"), (4, "long " * 9000)]
+    rows = [(5, "later words, é!"), (1, None), (2, ""), (None, "no id"), (3, "<|endoftext|> a  b\n"), (3, "again"), (4, "long " * 9000), (6, "hello <|endoftext|> x"), (7, "a<|endoftext|><|endoftext|>b <|endof text|>")]
     files = simple8b.write_ids(documents(spark, rows), scratch_path(spark, "ids"), path, file_chars=1 << 14)
     got = simple8b.read_ids(spark, files, with_ids=True).collect()
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     assert sorted((r.doc_id is not None, r.doc_id or 0) for r in got) == sorted((i is not None, i or 0) for i, _ in rows)
     start = 0
     for r in sorted(got, key=lambda r: r.start):
@@ -240,7 +241,8 @@ def test_token_files(spark):
         texts = [t or "" for i, t in rows if i == r.doc_id]
         assert r.ids in [tokenizer.encode(t, add_special_tokens=False).ids + [0] for t in texts]
     order = [r.doc_id for r in sorted(got, key=lambda r: r.start)]
-    assert order == [None, 1, 2, 3, 3, 4, 5]
+    assert order == [None, 1, 2, 3, 3, 4, 5, 6, 7]
+    assert [r.ids for r in got if r.doc_id == 6] == [[31373, 220, 50256, 2124, 0]]
 
 
 # -- 5: pages -------------------------------------------------------------------------------------------------
