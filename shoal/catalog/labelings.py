@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from shoal.catalog.common import (
     KS, SEED, SQL_GIVEN, SQL_LENGTH_BUCKETS, SQL_UNIFORM, SQL_VECTORS, given_labels, sql_bits, table, vectors,
 )
+from shoal.functions.vectors import euclidean
 from shoal.operators.clusters import cluster_sizes
 from shoal.operators.nearest import nearest_all, nearest_to_matrix
 from shoal.plans import baselines, kmeans
 from shoal.plans.metrics import Evaluation
+from shoal.plans.minibatch import minibatch_fit
 from shoal.session import scratch_path
 from shoal.sources.tables import AssignmentStore, SearchLog
 
@@ -96,6 +98,31 @@ def kmeans_check(spark, sf_dir):
         (F.abs(cost - F.lit(model.summary.trainingCost)) < 1e-6).alias("cost_agrees"))
 
 
+def _minibatch(spark, sf_dir, k=10):
+    rows = vectors(spark, sf_dir)
+    centres, _ = minibatch_fit(rows, k)
+    return nearest_all(rows, {k: centres}), centres
+
+
+def minibatch_labels(spark, sf_dir):
+    near, _ = _minibatch(spark, sf_dir)
+    return near.select(F.col("id").alias("question_id"), "k", F.lit("minibatch").alias("variant"), "cluster_id")
+
+
+def minibatch_check(spark, sf_dir):
+    """Rows labelled, labels with a nearer centre (measured anew, pair by pair), and whether the mean squared distance is below that to the mean
+    of all rows."""
+    near, centres = _minibatch(spark, sf_dir)
+    rows = vectors(spark, sf_dir)
+    one = [euclidean(F.col("vec"), F.array(*map(F.lit, c))) for c in centres.tolist()]
+    away = rows.select("id", F.least(*one).alias("least"))
+    spread = rows.select("id", F.posexplode("vec").alias("j", "x")).groupBy("j").agg(F.var_pop("x").alias("v")).agg(F.sum("v")).first()[0]
+    cost = F.avg(F.col("dist") * F.col("dist"))
+    return near.join(away, "id").agg(
+        F.count("*").alias("rows"), F.count(F.when(F.col("dist") > F.col("least") + 1e-9, 1)).alias("not_nearest"),
+        (cost < F.lit(spread)).alias("cost_below_variance"))
+
+
 def inertia(spark, sf_dir):
     labels = given_labels(spark, sf_dir).unionByName(uniform_random(spark, sf_dir))
     return kmeans.inertia(vectors(spark, sf_dir), labels).withColumn("inertia", F.round("inertia", 6))
@@ -149,7 +176,7 @@ def final_labels_check(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     uniform_random, shuffle_size, length_buckets, document_length_buckets, pca1_buckets, pca1_bucket_sizes,
-    random_centroid, kmeanspp_one_shot, one_shot_check, kmeans_labels, kmeans_check, inertia,
+    random_centroid, kmeanspp_one_shot, one_shot_check, kmeans_labels, kmeans_check, minibatch_labels, minibatch_check, inertia,
     k_search, k_search_check, final_labels, final_labels_check,
 )}
 
@@ -191,6 +218,7 @@ SQL = {
       CAST(k AS BIGINT) AS centres_met, CAST(0 AS BIGINT) AS not_nearest FROM (VALUES {_KS}) AS g(k)""",
     "kmeans_check": """SELECT count(*) AS rows, CAST(0 AS BIGINT) AS not_nearest, TRUE AS cost_agrees
       FROM embeddings""",
+    "minibatch_check": "SELECT count(*) AS rows, CAST(0 AS BIGINT) AS not_nearest, TRUE AS cost_below_variance FROM embeddings",
     "inertia": f"""WITH {SQL_VECTORS}, {SQL_GIVEN}, {SQL_UNIFORM},
       a AS (SELECT * FROM given UNION ALL SELECT * FROM uniform_random),
       m AS (SELECT k, variant, cluster_id, j, avg(x) AS mx FROM a JOIN dims ON id = question_id GROUP BY ALL)

@@ -167,17 +167,24 @@ SQL = {
         coalesce((SELECT string_agg(title, ' | ' ORDER BY rank) FROM top_titles t WHERE t.subtopic = s.subtopic), '') AS titles
       FROM sizes s""",
     "title_term_frequencies": f"""WITH titles AS (SELECT doc_id AS id, {SQL_TEXT} AS title FROM documents),
-      found AS (SELECT regexp_extract_all(lower(title), '{_WORD}') AS words FROM titles),
-      words AS (SELECT word, count(*) AS c FROM (SELECT unnest(words) AS word FROM found)
+      found AS (SELECT list_filter(list_transform(regexp_extract_all(lower(title), '{_WORD}'), lambda w: regexp_replace(w, '''s$', '')),
+        lambda w: NOT regexp_full_match(w, '\\p{{Nd}}+')) AS words FROM titles),
+      words AS (SELECT word AS term, count(*) AS c FROM (SELECT unnest(words) AS word FROM found)
         WHERE word NOT IN ({_STOP}) GROUP BY word),
-      pairs AS (SELECT a, b, count(*) AS both_n FROM (
+      singles AS (SELECT w.term, w.c, coalesce(s.term, w.term) AS standard FROM words w
+        LEFT JOIN words s ON regexp_matches(w.term, '[^s]s$') AND s.term = w.term[:-2]),
+      totals AS (SELECT standard, CAST(sum(c) AS BIGINT) AS c FROM singles GROUP BY standard),
+      under AS (SELECT s.term, s.standard, t.c FROM singles s JOIN totals t ON t.standard = s.standard),
+      raw_pairs AS (SELECT a || ' ' || b AS term, count(*) AS c FROM (
           SELECT unnest(words[:-2]) AS a, unnest(words[2:]) AS b FROM found WHERE len(words) > 1)
-        WHERE a NOT IN ({_STOP}) AND b NOT IN ({_STOP}) GROUP BY a, b),
-      scored AS (SELECT a, b, both_n, x.c AS ca, y.c AS cb, (SELECT sum(c) FROM words) AS n
-        FROM pairs JOIN words x ON x.word = a JOIN words y ON y.word = b),
-      kept AS (SELECT a, b, both_n FROM scored WHERE {_SCORE} > {topics.COLLOCATION_SCORE}),
-      taken AS (SELECT word, sum(both_n) AS t FROM (SELECT a AS word, both_n FROM kept UNION ALL SELECT b, both_n FROM kept) GROUP BY word)
+        WHERE a NOT IN ({_STOP}) AND b NOT IN ({_STOP}) GROUP BY 1),
+      pairs AS (SELECT coalesce(s.term, p.term) AS term, CAST(sum(p.c) AS BIGINT) AS both_n FROM raw_pairs p
+        LEFT JOIN raw_pairs s ON regexp_matches(p.term, '[^s]s$') AND s.term = p.term[:-2] GROUP BY 1),
+      scored AS (SELECT p.term, both_n, x.standard AS a, y.standard AS b, x.c AS ca, y.c AS cb, (SELECT sum(c) FROM words) AS n
+        FROM pairs p JOIN under x ON x.term = split_part(p.term, ' ', 1) JOIN under y ON y.term = split_part(p.term, ' ', 2)),
+      kept AS (SELECT term, a, b, both_n FROM scored WHERE {_SCORE} > {topics.COLLOCATION_SCORE}),
+      taken AS (SELECT standard, sum(both_n) AS t FROM (SELECT a AS standard, both_n FROM kept UNION ALL SELECT b, both_n FROM kept) GROUP BY standard)
       SELECT term, CAST(count AS BIGINT) AS count FROM (
-        SELECT word AS term, c - coalesce(t, 0) AS count FROM words LEFT JOIN taken USING (word)
-        UNION ALL SELECT a || ' ' || b, both_n FROM kept) WHERE count > 0 ORDER BY count DESC, term LIMIT {topics.CLOUD_TERMS}""",
+        SELECT totals.standard AS term, c - coalesce(t, 0) AS count FROM totals LEFT JOIN taken ON taken.standard = totals.standard
+        UNION ALL SELECT term, both_n FROM kept) WHERE count > 0 ORDER BY count DESC, term LIMIT {topics.CLOUD_TERMS}""",
 }

@@ -13,6 +13,7 @@ from shoal.operators.nearest import nearest
 from shoal.operators.proximity import k_distance, k_distance_curve, neighbour_counts
 from shoal.operators.reduce import fit, kept_variance, project, project_2d, reduce_to
 from shoal.operators.sampling import sample_ids
+from shoal.session import BROADCAST_BYTES, checkpoint
 
 EPS_EUCLIDEAN = 1.15
 EPS_COSINE = 0.6
@@ -37,6 +38,10 @@ def cluster_centroids(spark, sf_dir):
 
 def own_centroid_distances(spark, sf_dir):
     means = _centroids(spark, sf_dir, given_labels(spark, sf_dir)).select("cluster_id", F.col("vec").alias("mean"))
+    means = checkpoint(means)
+    size = means.agg(F.count("*"), F.max(F.size("mean"))).first()
+    if size[0] * (size[1] or 0) * 8 <= BROADCAST_BYTES:  # a cluster with a third of the rows is no hot key then
+        means = F.broadcast(means)
     rows = vectors(spark, sf_dir).join(
         given_labels(spark, sf_dir).select(F.col("question_id").alias("id"), "cluster_id"), "id").join(means, "cluster_id")
     return rows.select("id", F.round(euclidean(F.col("vec"), F.col("mean")), 6).alias("euclidean"),

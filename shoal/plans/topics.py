@@ -13,7 +13,7 @@ from shoal.operators.clusters import top_n_per_group
 from shoal.operators.encode import exploded, smooth_idf
 from shoal.operators.grams import hashed_words, most_frequent
 from shoal.plans.subclusters import subtopics_of_clusters
-from shoal.session import BROADCAST_ROWS, checkpoint
+from shoal.session import BROADCAST_ROWS, checkpoint, computed_once
 
 # Fixed values of the breakdown.
 NGRAM_RANGE = (1, 5)
@@ -134,17 +134,30 @@ def collocation_score(both: Column, first: Column, second: Column, words: Column
     )
 
 
+def _merged(counts: DataFrame) -> DataFrame:
+    """(term, c, standard): a plural in s (not ss) stands under its singular where that occurs too; `c` is the count of the term itself."""
+    plural = F.col("term").rlike("[^s]s$")
+    singles = counts.select(F.col("term").alias("_single"))
+    few = counts.count() <= BROADCAST_ROWS
+    looked = counts.withColumn("_cut", F.when(plural, F.expr("substring(term, 1, length(term) - 1)")))
+    return looked.join(F.broadcast(singles) if few else singles, F.col("_cut") == F.col("_single"), "left").select(
+        "term", "c", F.coalesce("_single", "term").alias("standard"))
+
+
 def term_frequencies(titles: DataFrame, stop_words: list[str], n: int = CLOUD_TERMS,
                      min_score: float = COLLOCATION_SCORE) -> DataFrame:
     """(term, count): most frequent words and collocations of the titles.
 
-    A pair of neighbouring words counts as a term when its score passes `min_score`; its occurrences are then taken
-    off the counts of its two words.
+    A closing 's is cut off, numbers are dropped, plurals count with their singular. A pair of neighbouring words counts as a
+    term when its score passes `min_score`; its occurrences are then taken off the counts of its two words. Titles are tokenised once.
     """
     found = F.regexp_extract_all(F.lower("title"), F.lit(f"({WORD})"), F.lit(1))
-    rows = titles.select("id", found.alias("words"))
-    keep = ~F.col("word").isin(list(stop_words)) if stop_words else F.lit(True)
-    words = exploded(rows, "words", "word").filter(keep).groupBy("word").agg(F.count("*").alias("c"))
+    words = F.filter(F.transform(found, lambda w: F.regexp_replace(w, "'s$", "")), lambda w: ~w.rlike(r"^\p{Nd}+$"))
+    rows = checkpoint(computed_once(titles.select("id", "title"), words=words).select("id", "words"))
+    few = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    keep = ~F.col("term").isin(list(stop_words)) if stop_words else F.lit(True)
+    counts = checkpoint(exploded(rows, "words", "term").filter(keep).groupBy("term").agg(F.count("*").alias("c")))
+    singles = checkpoint(_merged(counts))
     size = F.size("words")
     neighbours = F.arrays_zip(
         F.slice("words", 1, size - 1).alias("a"), F.slice("words", 2, size - 1).alias("b"))
@@ -152,15 +165,19 @@ def term_frequencies(titles: DataFrame, stop_words: list[str], n: int = CLOUD_TE
     pairs = exploded(zipped, "pairs", "p").select(F.col("p.a").alias("a"), F.col("p.b").alias("b"))
     if stop_words:
         pairs = pairs.filter(~F.col("a").isin(list(stop_words)) & ~F.col("b").isin(list(stop_words)))
-    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("both"))
-    total = F.lit(words.agg(F.sum("c")).first()[0] or 0)
-    first = words.select(F.col("word").alias("a"), F.col("c").alias("ca"))
-    second = words.select(F.col("word").alias("b"), F.col("c").alias("cb"))
-    scored = pairs.join(first, "a").join(second, "b")
-    kept = scored.filter(collocation_score(F.col("both"), F.col("ca"), F.col("cb"), total) > min_score)
-    taken = kept.select(F.explode(F.array("a", "b")).alias("word"), "both").groupBy("word").agg(
+    pairs = checkpoint(pairs.groupBy(F.concat_ws(" ", "a", "b").alias("term")).agg(F.count("*").alias("c")))
+    pairs = _merged(pairs).groupBy(F.col("standard").alias("term")).agg(F.sum("c").alias("both"))
+    # What a word counts under, and how often that occurs.
+    totals = checkpoint(singles.groupBy("standard").agg(F.sum("c").alias("c")))
+    under = few(checkpoint(singles.select("term", "standard").join(few(totals), "standard")))
+    total = F.lit(singles.agg(F.sum("c")).first()[0] or 0)
+    one = lambda name: under.select(F.col("term").alias(name), F.col("standard").alias(f"{name}_std"), F.col("c").alias(f"c{name}"))
+    parts = pairs.select("term", "both", F.split("term", " ")[0].alias("a"), F.split("term", " ")[1].alias("b"))
+    scored = parts.join(one("a"), "a").join(one("b"), "b")
+    kept = checkpoint(scored.filter(collocation_score(F.col("both"), F.col("ca"), F.col("cb"), total) > min_score))
+    taken = kept.select(F.explode(F.array("a_std", "b_std")).alias("standard"), "both").groupBy("standard").agg(
         F.sum("both").alias("taken"))
-    singles = words.join(taken, "word", "left").select(
-        F.col("word").alias("term"), (F.col("c") - F.coalesce("taken", F.lit(0))).alias("count")).filter("count > 0")
-    both = kept.select(F.concat_ws(" ", "a", "b").alias("term"), F.col("both").alias("count"))
-    return singles.unionByName(both).orderBy(F.col("count").desc(), "term").limit(n)
+    alone = totals.join(taken, "standard", "left").select(
+        F.col("standard").alias("term"), (F.col("c") - F.coalesce("taken", F.lit(0))).alias("count")).filter("count > 0")
+    both = kept.select("term", F.col("both").alias("count"))
+    return alone.unionByName(both).orderBy(F.col("count").desc(), "term").limit(n)

@@ -87,3 +87,47 @@ def test_trees_of_clusters(spark):
     tree = topics.topics_of_clusters(titles, clusters, 2, []).collect()
     assert sum(r["size"] for r in tree) == 12 and {r.cluster_id for r in tree} == {1, 2}
     assert all(set(r.terms) <= {"gamma", "delta", "gamma delta"} for r in tree if r.cluster_id == 2)
+
+
+def cloud_terms(texts, stop, least):
+    """Counts by the definition: closing 's cut, no numbers, plurals under their singular, collocations taken off their words."""
+    import math
+    import re
+
+    def merged(counts):
+        return {t: t[:-1] if re.search("[^s]s$", t) and t[:-1] in counts else t for t in counts}
+
+    def likelihood(k, n, x):
+        return math.log(max(x, 1e-10)) * k + math.log(max(1 - x, 1e-10)) * (n - k)
+
+    words = [[re.sub("'s$", "", w) for w in re.findall(r"\w[\w']+", t.lower())] for t in texts]
+    words = [[w for w in ws if not w.isdecimal()] for ws in words]
+    own = Counter(w for ws in words for w in ws if w not in stop)
+    pairs = Counter(f"{a} {b}" for ws in words for a, b in zip(ws, ws[1:]) if a not in stop and b not in stop)
+    standard, total = merged(own), Counter()
+    for w, c in own.items():
+        total[standard[w]] += c
+    both = Counter()
+    for p, c in pairs.items():
+        both[merged(pairs)[p]] += c
+    n, out = sum(own.values()), Counter(total)
+    for p, c in both.items():
+        a, b = (standard[w] for w in p.split(" "))
+        ca, cb = total[a], total[b]
+        score = -2 * (likelihood(c, ca, cb / n) + likelihood(cb - c, n - ca, cb / n) - likelihood(c, ca, c / ca) - likelihood(cb - c, n - ca, (cb - c) / max(n - ca, 1)))
+        if score > least:
+            out[a] -= c
+            out[b] -= c
+            out[p] = c
+    return sorted(((t, c) for t, c in out.items() if c > 0), key=lambda r: (-r[1], r[0]))
+
+
+def test_word_frequencies_merge_plurals_and_drop_numbers(spark):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["cat", "cats", "dog's", "dogs", "glass", "12", "2024", "data base", "data bases", "the", "x9"]) for _ in range(12)) for _ in range(60)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, title string")
+    for least in (1.0, 30.0):
+        got = [(r.term, r["count"]) for r in topics.term_frequencies(rows, ["the"], 1000, least).collect()]
+        assert got == cloud_terms(texts, {"the"}, least)
+        assert "cats" not in dict(got) and "12" not in dict(got) and "glass" in dict(got)
+    assert topics.term_frequencies(spark.createDataFrame([], "id long, title string"), []).count() == 0

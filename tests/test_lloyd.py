@@ -76,3 +76,26 @@ def test_search_reports_what_it_cannot_fit_and_final_labels_are_nearest(spark, c
     assert set(one.failed) == {1, 2} and one.best_k is None
     with pytest.raises(Exception):
         kmeans.search(vectors(spark, cloud).withColumn("vec", F.raise_error(F.lit("broken")).cast("array<double>")), [2])
+
+
+def test_minibatch_follows_its_definition(spark, cloud):
+    import hashlib
+
+    from shoal.plans.minibatch import minibatch_fit
+
+    starts = cloud[[0, 130, 250, 370, 490, 610]]
+    centres, steps = minibatch_fit(vectors(spark, cloud).repartition(3), 6, batch_rows=100, max_epochs=2, patience=100, starts=starts)
+    order = sorted(range(len(cloud)), key=lambda i: (hashlib.md5(f"{i}:42".encode()).hexdigest(), i))
+    want, taken, done = starts.copy(), np.zeros(6), 0
+    for _ in range(2):
+        for a in range(0, len(order), 100):
+            x = cloud[order[a:a + 100]]
+            label = ((x[:, None] - want[None]) ** 2).sum(-1).argmin(1)
+            for c in range(6):
+                if (label == c).any():
+                    n = (label == c).sum()
+                    want[c] = (want[c] * taken[c] + x[label == c].sum(0)) / (taken[c] + n)
+                    taken[c] += n
+            done += 1
+    assert steps == done and np.allclose(centres, want)
+    assert minibatch_fit(vectors(spark, cloud), 6, batch_rows=4096, patience=3)[1] < 100 * 1
