@@ -15,32 +15,42 @@ from shoal.llm import adaptjoin, bpe, radix, tiling, weak
 from shoal.llm.scratch import release, saved, table
 
 
+BATCH_ROWS = "1000"
+
+
+def _ready(spark: SparkSession) -> None:
+    """Stages follow each other in the same workers, so they get small batches, and give back the memory of the stage before."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    release(spark)
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted to be toxic go."""
+    _ready(spark)
     return weak.clean_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the smallest doc_id stays."""
-    release(spark)
+    _ready(spark)
     return radix.distinct_documents(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by similar sets of five-word shingles (0.8 or more) the smallest doc_id stays."""
-    release(spark)
+    _ready(spark)
     return adaptjoin.distinct_documents(docs, 5, 80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that leak a benchmark item go."""
-    release(spark)
+    _ready(spark)
     return tiling.clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of what is left."""
-    release(spark)
+    _ready(spark)
     return bpe.encoded(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
