@@ -6,12 +6,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shoal.functions.hashing import leading_bits
 from shoal.functions.vectors import list_column, values
-from shoal.session import checkpoint
+from shoal.session import checkpoint, stored
 
 HOT_TERMS = 500_000
 
@@ -93,16 +93,16 @@ def smooth_idf(df_col, n_docs: int):
     return F.log(F.lit(1.0 + n_docs) / (F.lit(1.0) + df_col)) + F.lit(1.0)
 
 
-def with_idf(counts: DataFrame, n_docs: int, hot_terms: int = HOT_TERMS) -> DataFrame:
-    """Add `df` and `idf` to `counts(id, term, tf)`.
+def with_idf(counts: DataFrame, n_docs: int, hot_terms: int = HOT_TERMS, **of_term: Column) -> DataFrame:
+    """Add `df`, `idf` and the columns `of_term`, made once for each term, to `counts(id, term, tf)`.
 
     A common word occurs in most documents, so a plain join on the term would put all its rows in one task. A
     vocabulary of up to `hot_terms` terms is shipped whole; of a larger one the most common `hot_terms` are shipped,
     and only rows of rarer terms are shuffled.
     """
-    per_term = checkpoint(counts.groupBy("term").agg(F.count("*").alias("df")))
-    per_term = per_term.withColumn("idf", smooth_idf(F.col("df"), n_docs))
-    columns = ["id", "term", "tf", "df", "idf"]
+    per_term = counts.groupBy("term").agg(F.count("*").alias("df"))
+    per_term = checkpoint(per_term.withColumns({"idf": smooth_idf(F.col("df"), n_docs)} | of_term))
+    columns = ["id", "term", "tf", "df", "idf", *of_term]
     if per_term.count() <= hot_terms:
         return counts.join(F.broadcast(per_term), "term").select(*columns)
     hot = per_term.orderBy(F.col("df").desc(), "term").limit(hot_terms)
@@ -113,15 +113,33 @@ def with_idf(counts: DataFrame, n_docs: int, hot_terms: int = HOT_TERMS) -> Data
 
 
 def hashed_tfidf(tokens: DataFrame, dims: int, n_docs: int | None = None) -> DataFrame:
-    """(id, vec): TF-IDF weights added up in `dims` signed hash buckets, unit length; no terms give a zero vector."""
+    """(id, vec): TF-IDF weights added up in `dims` signed hash buckets, unit length; no terms give a zero vector.
+
+    Counts are made once; a task adds up its rows by (id, bucket), so about one row to an id is shuffled after that.
+    """
     n_docs = tokens.count() if n_docs is None else n_docs
-    weighted = with_idf(term_counts(tokens), n_docs)
     digest = F.md5("term")
     bucket = F.pmod(leading_bits(digest), F.lit(dims)).cast("int")
     sign = F.when(F.pmod(leading_bits(F.substring(digest, 9, 8)), F.lit(2)) == 0, 1.0).otherwise(-1.0)
-    cells = weighted.select("id", bucket.alias("dim"), (sign * F.col("tf") * F.col("idf")).alias("w"))
-    summed = cells.groupBy("id", "dim").agg(F.sum("w").alias("w"))
-    gathered = summed.groupBy("id").agg(F.collect_list(F.struct("dim", "w")).alias("cells"))  # at most `dims` entries
+    weighted = with_idf(stored(term_counts(tokens), "counts"), n_docs, dim=bucket, sign=sign)
+    cells = weighted.filter(F.col("id").isNotNull()).select("id", "dim", (F.col("sign") * F.col("tf") * F.col("idf")).alias("w"))
+    id_type = cells.schema["id"].dataType.simpleString()
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            ids = batch.column("id").dictionary_encode()
+            key = values(ids.indices).astype(np.int64) * dims + values(batch.column("dim"))
+            found, at = np.unique(key, return_inverse=True)
+            row, first = np.unique(found // dims, return_index=True)
+            sums = pa.array(np.bincount(at, weights=values(batch.column("w"))))
+            parts = pa.StructArray.from_arrays([pa.array((found % dims).astype(np.int32)), sums], names=["dim", "w"])
+            lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(found)).astype(np.int32)), parts)
+            yield pa.RecordBatch.from_arrays([ids.dictionary.take(pa.array(row)), lists], names=["id", "cells"])
+
+    folded = cells.mapInArrow(fold, f"id {id_type}, cells array<struct<dim:int,w:double>>")
+    gathered = folded.groupBy("id").agg(F.flatten(F.collect_list("cells")).alias("cells"))  # a few times `dims` entries
     rows = tokens.select(F.col("id").cast("long").alias("id")).join(gathered, "id", "left")
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,8 +148,8 @@ def hashed_tfidf(tokens: DataFrame, dims: int, n_docs: int | None = None) -> Dat
             lengths = np.diff(column.offsets.to_numpy())
             lengths[np.flatnonzero(~values(column.is_valid()).astype(bool))] = 0
             flat = column.flatten()
-            dense = np.zeros((batch.num_rows, dims))
-            dense[np.repeat(np.arange(batch.num_rows), lengths), values(flat.field("dim"))] = values(flat.field("w"))
+            at = np.repeat(np.arange(batch.num_rows), lengths) * dims + values(flat.field("dim"))
+            dense = np.bincount(at, weights=values(flat.field("w")), minlength=batch.num_rows * dims).reshape(-1, dims)
             norm = np.sqrt(np.einsum("ij,ij->i", dense, dense))[:, None]
             dense = np.divide(dense, norm, out=np.zeros_like(dense), where=norm > 0)
             yield pa.RecordBatch.from_arrays([batch.column("id"), list_column(dense)], names=["id", "vec"])

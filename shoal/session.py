@@ -61,6 +61,14 @@ def checkpoint(df):
     return df.checkpoint(eager=True)
 
 
+def stored(df, name: str):
+    """`df` as Parquet in the shared folder: what is read several times, and not always all columns of it."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def spread(df, key: str):
     """Use all cores on an input that is read in fewer partitions than there are cores; else leave it alone.
 
