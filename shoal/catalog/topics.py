@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from shoal.catalog.common import SEED, SQL_TEXT, SQL_TITLE, sql_bits, table, texts, titles
 from shoal.functions.hashing import digest, leading_bits
 from shoal.functions.text import TOKEN, WORD
+from shoal.functions.vectors import list_column
 from shoal.plans import topics
 from shoal.plans.subclusters import subtopics_of_clusters
-from shoal.session import checkpoint
+from shoal.session import BROADCAST_ROWS, stored
 
 MAX_TERMS = topics.MAX_TERMS
 STOP_WORDS = ["the", "of", "and", "to", "in", "is", "it", "that", "for", "on", "with", "as", "at", "by", "an", "be"]
@@ -26,7 +29,7 @@ def _labels(spark, sf_dir):
 
 
 def _weights(spark, sf_dir):
-    return topics.tfidf(_terms(spark, sf_dir))
+    return topics.weighted(_terms(spark, sf_dir))
 
 
 def title_vocabulary(spark, sf_dir):
@@ -34,7 +37,7 @@ def title_vocabulary(spark, sf_dir):
 
 
 def title_tfidf(spark, sf_dir):
-    return _weights(spark, sf_dir).drop("code").withColumn("weight", F.round("weight", 6))
+    return topics.tfidf(_terms(spark, sf_dir)).drop("code").withColumn("weight", F.round("weight", 6))
 
 
 def _ids(spark, sf_dir):
@@ -53,20 +56,25 @@ def subtopic_labels(spark, sf_dir):
 
 def subtopic_check(spark, sf_dir):
     """Rows labelled, labels outside [0, k), and rows with another centre of their cluster nearer than their own."""
-    return _checked(checkpoint(_weights(spark, sf_dir)), _ids(spark, sf_dir).withColumn("cluster_id", F.lit(0))).drop("cluster_id")
+    return _checked(stored(_weights(spark, sf_dir), "weights"), _ids(spark, sf_dir).withColumn("cluster_id", F.lit(0))).drop("cluster_id")
 
 
 def _checked(weights, clusters):
     """Per cluster; the distances are measured anew from the weights and the centres as tables."""
     found = subtopics_of_clusters(weights, clusters, topics.SUBTOPICS)
     spark = weights.sparkSession
-    cells = [(c, j, int(code), float(w)) for c, m in found.centres.items() for j, row in enumerate(m.matrix) for code, w in zip(m.codes, row) if w]
+    codes = [m.codes for m in found.centres.values()]
+    columns = [np.pad(m.matrix, ((0, topics.SUBTOPICS - len(m.matrix)), (0, 0))).T for m in found.centres.values()]
+    centres = spark.createDataFrame(pa.table({
+        "cluster_id": np.repeat(np.array(list(found.centres), np.int64), [len(c) for c in codes]),
+        "code": np.concatenate(codes or [[]]).astype(np.int32), "c": list_column(np.concatenate(columns or [np.zeros((0, topics.SUBTOPICS))]))}))
     lengths = [(c, j, float(n)) for c, m in found.centres.items() for j, n in enumerate(m.lengths)]
-    centres = spark.createDataFrame(cells, "cluster_id long, centre int, code int, c double")
     lengths = spark.createDataFrame(lengths, "cluster_id long, centre int, length double")
     labels = found.labels
-    dots = weights.select("id", "code", "weight").join(labels, "id").join(centres, ["cluster_id", "code"]).groupBy("id", "centre").agg(
-        F.sum(F.col("weight") * F.col("c")).alias("dot"))
+    few = F.broadcast(centres) if sum(map(len, codes)) <= BROADCAST_ROWS else centres
+    cells = weights.join(labels, "id").select("cluster_id", "id", F.inline("cells")).join(few, ["cluster_id", "code"])
+    dots = cells.groupBy("id").agg(*[F.sum(F.col("weight") * F.col("c")[j]).alias(f"d{j}") for j in range(topics.SUBTOPICS)])
+    dots = dots.select("id", F.posexplode(F.array(*[f"d{j}" for j in range(topics.SUBTOPICS)])).alias("centre", "dot"))
     away = labels.join(F.broadcast(lengths), "cluster_id").join(dots, ["id", "centre"], "left").withColumn(
         "d", F.col("length") - 2 * F.coalesce("dot", F.lit(0.0)))
     own = F.max(F.when(F.col("centre") == F.col("subtopic"), F.col("d")))
@@ -84,11 +92,12 @@ def subtopics_of_sources(spark, sf_dir):
 
 def subtopics_of_clusters_check(spark, sf_dir):
     """The check of every cluster, added up."""
-    return _checked(checkpoint(_weights(spark, sf_dir)), _sources(spark, sf_dir)).agg(*[F.sum(c).alias(c) for c in ("rows", "ids", "outside", "not_nearest")])
+    return _checked(stored(_weights(spark, sf_dir), "weights"), _sources(spark, sf_dir)).agg(*[F.sum(c).alias(c) for c in ("rows", "ids", "outside", "not_nearest")])
 
 
 def subtopic_terms(spark, sf_dir):
-    best = topics.top_terms(_weights(spark, sf_dir), _labels(spark, sf_dir))
+    terms = _terms(spark, sf_dir)
+    best = topics.top_terms(topics.weighted(terms), _labels(spark, sf_dir), terms=terms)
     return best.withColumn("rank", F.col("rank").cast("long")).withColumn("weight", F.round("weight", 6))
 
 
@@ -98,7 +107,8 @@ def subtopic_titles(spark, sf_dir):
 
 
 def topic_tree(spark, sf_dir):
-    tree = topics.topic_tree(titles(spark, sf_dir), _weights(spark, sf_dir), _labels(spark, sf_dir))
+    terms = _terms(spark, sf_dir)
+    tree = topics.topic_tree(titles(spark, sf_dir), topics.weighted(terms), _labels(spark, sf_dir), terms)
     return tree.select("subtopic", "size", F.concat_ws(" | ", "terms").alias("terms"),
                        F.concat_ws(" | ", "titles").alias("titles"))
 

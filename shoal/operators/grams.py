@@ -4,6 +4,9 @@ An n-gram is at most as frequent as the two (n-1)-grams it is made of. So level
 among the most frequent, and the count they must reach grows with every level. What is counted and shuffled are 64-bit hashes; rows hold their words
 and two hashes a word, never their n-grams. Strings are made for the survivors alone. Which parts survived is shipped as bitmaps of a
 measured size, which may let too many through but none too few. Of n-grams tied at the last count, the first ones by string are taken.
+
+Tasks work on up to `WORDS_AT_ONCE` words at a time (or one longer row), however many rows Spark hands them at once. Where n-grams occur is kept
+as one list to a row.
 """
 
 from __future__ import annotations
@@ -18,27 +21,54 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoal.functions.vectors import values
-from shoal.session import checkpoint, computed_once
+from shoal.session import computed_once, stored
 
 MAX_BITS = 27
-FLUSH = 1 << 22
+FLUSH = 1 << 20
+WORDS_AT_ONCE = 1 << 18
 _ODD = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
 
 
 @dataclass
 class Vocabulary:
-    """`terms(code, term, total, df)` from the most frequent on, and `counts(id, code, tf)` of their occurrences."""
+    """`terms(code, term, total, df)` from the most frequent on, and their occurrences: `cells(id, cells(code, tf))`, a row to a row that has any."""
 
     terms: DataFrame
-    counts: DataFrame
+    cells: DataFrame
     rows: int
 
+    @property
+    def counts(self) -> DataFrame:
+        """(id, code, tf)"""
+        return self.cells.select("id", F.inline("cells"))
+
 
 def hashed_words(rows: DataFrame, words) -> DataFrame:
     """(id, words, h1, h2): the words of each row with two hashes each, kept for several passes."""
     found = computed_once(rows.select("id", *[c for c in rows.columns if c != "id"]), words=words)
     hashes = [F.expr(f"transform(words, w -> xxhash64({s}, w))").alias(f"h{s}") for s in (1, 2)]
-    return checkpoint(found.select("id", "words", *hashes))
+    return stored(found.select("id", "words", *hashes), "words")
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches, up to WORDS_AT_ONCE words at a time."""
+    for batch in batches:
+        ends = batch.column("h1").offsets.to_numpy()
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + WORDS_AT_ONCE, side="right")) - 1)
+            yield batch.slice(at, to - at)
+            at = to
+
+
+def _summed(g: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of `g`, ascending, and the sums of their `n`."""
+    if len(g) == 0:
+        return g, n
+    order = np.argsort(g)
+    g, n = g[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+    return g[first], np.add.reduceat(n, first)
 
 
 class _Text:
@@ -47,7 +77,7 @@ class _Text:
     def __init__(self, batch: pa.RecordBatch, seed: int):
         column = batch.column("h1")
         self.lengths = np.diff(column.offsets.to_numpy())
-        self.left = np.concatenate([np.arange(n, 0, -1) for n in self.lengths]) if len(self.lengths) else np.zeros(0, int)
+        self.left = np.repeat(np.cumsum(self.lengths), self.lengths) - np.arange(self.lengths.sum())
         self.row = np.repeat(np.arange(len(self.lengths)), self.lengths)
         salt = np.uint64(seed) * _ODD[3]
         lanes = [c for c in ("h1", "h2") if c in batch.schema.names]  # counting needs the first alone
@@ -89,6 +119,15 @@ class _Bitmap:
         bits[values(found.column("word"))] = values(found.column("bits")).astype(np.uint32)
         return cls(bits, size)
 
+    @classmethod
+    def here(cls, g: np.ndarray) -> "_Bitmap":
+        """Of hashes at hand."""
+        size = 1 << min(MAX_BITS, max(10, (16 * len(g)).bit_length()))
+        at = (g & np.uint64(size - 1)).astype(np.int64)
+        bits = np.zeros(size >> 5, np.uint32)
+        np.bitwise_or.at(bits, at >> 5, np.uint32(1) << (at & 31).astype(np.uint32))
+        return cls(bits, size)
+
     def has(self, g: np.ndarray) -> np.ndarray:
         at = g & self.mask
         return (self.bits[(at >> np.uint64(5)).astype(np.int64)] >> (at & np.uint64(31)).astype(np.uint32)) & np.uint32(1) > 0
@@ -112,13 +151,9 @@ def _tally(batches: Iterator[pa.RecordBatch], kept: list[_Bitmap | None], level:
     held, size = [], 0
 
     def summed():
-        g, n = (np.concatenate(c) for c in zip(*held))
-        found, at = np.unique(g, return_inverse=True)
-        return found, np.bincount(at, weights=n).astype(np.int64)
+        return _summed(*(np.concatenate(c) for c in zip(*held)))
 
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
+    for batch in _pieces(batches):
         for n, g, _, places in _alive(_Text(batch, seed), kept, level):
             if n == level:
                 found, counts = np.unique(g[places], return_counts=True)
@@ -156,7 +191,7 @@ def most_frequent(words: DataFrame, low: int, high: int, terms: int, seed: int =
     for n in range(1, high + 1):
         shipped = spark.sparkContext.broadcast(list(kept))
         partial = words.select("h1").mapInArrow(lambda b, s=shipped, n=n: _tally(b, s.value, n, seed), "g long, total long")
-        found = checkpoint(partial.groupBy("g").agg(F.sum("total").alias("total")).filter(F.col("total") >= least).withColumn("n", F.lit(n)))
+        found = stored(partial.groupBy("g").agg(F.sum("total").alias("total")).filter(F.col("total") >= least).withColumn("n", F.lit(n)), "grams")
         own = {r["total"]: r["n"] for r in found.groupBy("total").agg(F.count("*").alias("n")).collect()}  # a row to a count
         if n >= low:
             counts = found if counts is None else counts.unionByName(found)
@@ -169,8 +204,8 @@ def most_frequent(words: DataFrame, low: int, high: int, terms: int, seed: int =
     strings = _strings(words, counts, kept, least, low, high, terms, above, seed)
     code = strings.orderBy(F.col("total").desc(), "term").limit(terms).toArrow()  # bounded by `terms`
     table = {c: code.column(c).to_pylist() for c in ("term", "total")} | {c: values(code.column(c)) for c in ("g", "g2", "n")}
-    occurrences = checkpoint(_occurrences(words, table, low, high, seed))
-    per_term = occurrences.groupBy("code").agg(F.sum("tf").alias("found"), F.count("*").alias("df")).toArrow()  # bounded by `terms`
+    occurrences = stored(_occurrences(words, table, low, high, seed), "occurrences")
+    per_term = occurrences.select(F.inline("cells")).groupBy("code").agg(F.sum("tf").alias("found"), F.count("*").alias("df")).toArrow()  # bounded by `terms`
     at = np.argsort(values(per_term.column("code")))
     found, total = values(per_term.column("found"))[at], np.array(table["total"], np.int64)
     if len(found) != len(total) or (found != total).any():
@@ -190,20 +225,21 @@ def _strings(words: DataFrame, counts: DataFrame, kept: list[_Bitmap | None], le
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         certain, maps = shipped.value
         seen, tied = np.zeros(0, np.int64), {}
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
+        for batch in _pieces(batches):
             text, out, flat = _Text(batch, seed), [], None
             for n, g, g2, places in _alive(text, maps, high):
                 if n < low:
                     continue
                 at = np.flatnonzero(_survived(places, maps[n - 1], g))
                 found, first = np.unique(g[at].view(np.int64), return_index=True)
-                new = ~np.isin(found, seen, assume_unique=True)
+                place = np.searchsorted(seen, found)
+                new = np.ones(len(found), bool)
+                inside = place < len(seen)
+                new[inside] = seen[place[inside]] != found[inside]
                 if not new.any():
                     continue
+                seen = np.insert(seen, place[new], found[new])  # stays ascending
                 found, at = found[new], at[first[new]]
-                seen = np.concatenate([seen, found])
                 flat = flat if flat is not None else batch.column("words").flatten()
                 columns = [flat.take(pa.array(at + k)).to_pylist() for k in range(n)]
                 is_sure = np.isin(found, certain, assume_unique=True)
@@ -227,25 +263,30 @@ def _strings(words: DataFrame, counts: DataFrame, kept: list[_Bitmap | None], le
 
 
 def _occurrences(words: DataFrame, table: dict, low: int, high: int, seed: int) -> DataFrame:
-    """(id, code, tf) of the terms in `table`, whose place is their code."""
+    """(id, cells(code, tf)) of the terms in `table`, whose place is their code; rows without any are left out, cells are in order of code."""
     order = np.argsort(table["g"], kind="stable")
     shipped = words.sparkSession.sparkContext.broadcast((table["g"][order], table["g2"][order], table["n"][order], order.astype(np.int32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g_of, g2_of, n_of, code_of = shipped.value
-        for batch in batches:
-            if batch.num_rows == 0 or len(g_of) == 0:
+        maybe = _Bitmap.here(g_of.view(np.uint64))
+        for batch in _pieces(batches):
+            if len(g_of) == 0:
                 continue
             text, rows, codes = _Text(batch, seed), [], []
             for n, g, g2, begins in text.levels(low, high):
-                at = np.flatnonzero(begins)
+                at = np.flatnonzero(begins & maybe.has(g))
                 place = np.minimum(np.searchsorted(g_of, g[at].view(np.int64)), len(g_of) - 1)
                 hit = (g_of[place] == g[at].view(np.int64)) & (g2_of[place] == g2[at].view(np.int64)) & (n_of[place] == n)
                 rows.append(text.row[at[hit]])
                 codes.append(code_of[place[hit]])
             key = np.concatenate(rows).astype(np.int64) * len(g_of) + np.concatenate(codes)
             found, tf = np.unique(key, return_counts=True)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(pa.array(found // len(g_of))), pa.array((found % len(g_of)).astype(np.int32)), pa.array(tf)], names=["id", "code", "tf"])
+            if len(found) == 0:
+                continue
+            row, first = np.unique(found // len(g_of), return_index=True)
+            cells = pa.StructArray.from_arrays([pa.array((found % len(g_of)).astype(np.int32)), pa.array(tf.astype(np.int64))], names=["code", "tf"])
+            lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(found)).astype(np.int32)), cells)
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row)), lists], names=["id", "cells"])
 
-    return words.select("id", "h1", "h2").mapInArrow(run, f"id {words.schema['id'].dataType.simpleString()}, code int, tf long")
+    return words.select("id", "h1", "h2").mapInArrow(run, f"id {words.schema['id'].dataType.simpleString()}, cells array<struct<code:int,tf:bigint>>")

@@ -1,6 +1,6 @@
 """K-means inside many clusters at once, on sparse rows.
 
-All clusters take a step in the same job. Rows are packed once, a row's terms as one array; a scan meets each row with the centres of its own
+All clusters take a step in the same job. Rows are packed once, a row's terms as bytes that Spark hands on without looking into them; a scan meets each row with the centres of its own
 cluster only, adds the rows up per (cluster, centre, term) in the task, and just these sums are shuffled. Centres are shipped for groups of
 clusters whose centres together fit a broadcast, by the count of their distinct terms. A cluster of any size is spread over tasks.
 """
@@ -17,11 +17,13 @@ from pyspark.sql import functions as F
 
 from shoal.functions.hashing import uniform
 from shoal.functions.vectors import values
-from shoal.session import BROADCAST_BYTES, checkpoint
+from shoal.session import BROADCAST_BYTES, checkpoint, stored
 
 MAX_ITER = 20
 TOLERANCE = 1e-4
-_PACKED = "id, cluster, codes, weights"
+MAX_TABLE = 1 << 24
+CODES_AT_ONCE = 1024
+_CELL = np.dtype([("code", "<i4"), ("centre", "<i4"), ("w", "<f8")])
 
 
 @dataclass
@@ -46,46 +48,121 @@ class Subclusters:
 
 
 def packed(weights: DataFrame, clusters: DataFrame) -> DataFrame:
-    """(id, cluster, codes, weights) of `weights(id, code, weight)`; rows of `clusters(id, cluster_id)` without any term have empty arrays."""
-    cells = weights.select("id", "code", "weight").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("code", "weight"))).alias("cells"))
+    """(id, cluster, codes, weights), int and double arrays as bytes, of `weights(id, code, weight)` or `weights(id, cells(code, weight))`.
+
+    Cells of an id are in order of code. Rows of `clusters(id, cluster_id)` without any term have empty arrays.
+    """
+    pair = lambda c: F.struct(c["code"].alias("code"), c["weight"].alias("weight"))
+    known = weights.filter(F.col("id").isNotNull())
+    if "cells" in weights.columns:  # lists in order of code; most ids have a single one
+        lists = known.groupBy("id").agg(F.collect_list(F.transform("cells", pair)).alias("lists"))
+        cells = lists.select("id", F.when(F.size("lists") == 1, F.col("lists")[0]).otherwise(F.array_sort(F.flatten("lists"))).alias("cells"))
+    else:
+        cells = known.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("code", "weight"))).alias("cells"))
     cells = clusters.select("id", F.col("cluster_id").cast("long").alias("cluster")).join(cells, "id", "left")
     empty = F.array().cast("array<struct<code:int,weight:double>>")
-    cells = cells.withColumn("cells", F.coalesce("cells", empty))
-    return checkpoint(cells.select("id", "cluster", F.col("cells.code").cast("array<int>").alias("codes"), F.col("cells.weight").alias("weights")))
+    cells = cells.select("id", "cluster", F.coalesce(F.col("cells").cast("array<struct<code:int,weight:double>>"), empty).alias("cells"))
+    id_type = cells.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("cells")
+            offsets, flat = column.offsets.to_numpy(), column.flatten()
+            offsets = offsets - offsets[0]
+            arrays = [_as_bytes(offsets, values(flat.field(c)).astype(t)) for c, t in (("code", np.int32), ("weight", np.float64))]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("cluster"), *arrays], names=["id", "cluster", "codes", "weights"])
+
+    return stored(cells.mapInArrow(run, f"id {id_type}, cluster long, codes binary, weights binary"), "packed")
+
+
+def _as_bytes(offsets: np.ndarray, flat: np.ndarray) -> pa.Array:
+    """The lists in `flat` that `offsets` cut, each as bytes."""
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer((offsets * flat.itemsize).astype(np.int32)), pa.py_buffer(flat)])
+
+
+def _lists(column: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and numbers of the lists that `_as_bytes` packed."""
+    size = np.dtype(kind).itemsize
+    if len(column) == 0:
+        return np.zeros(1, np.int64), np.zeros(0, kind)
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1].astype(np.int64)
+    data = column.buffers()[2]
+    flat = np.frombuffer(data, np.uint8)[offsets[0]:offsets[-1]].tobytes() if data is not None else b""
+    return (offsets - offsets[0]) // size, np.frombuffer(flat, kind)
+
+
+class _Places:
+    """Where a code stands among the codes of some centres; beyond all of them if it is not there."""
+
+    def __init__(self):
+        self.table = np.zeros(0, np.int32)
+
+    def __call__(self, known: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        none = len(known)
+        if none == 0:
+            return np.zeros(len(codes), np.int64)
+        if known[-1] >= MAX_TABLE:
+            place = np.minimum(np.searchsorted(known, codes), none - 1)
+            return np.where(known[place] == codes, place, none)
+        if known[-1] + 2 > len(self.table):
+            self.table = np.full(int(known[-1]) + 2, -1, np.int32)  # the last entry is never set
+        self.table[known] = np.arange(none)
+        place = self.table[np.minimum(codes, len(self.table) - 1)]
+        self.table[known] = -1
+        return np.where(place < 0, none, place)
 
 
 class _Rows:
     """The rows of a batch that belong to one cluster, their cells end to end."""
 
-    def __init__(self, at: np.ndarray, offsets: np.ndarray, codes: np.ndarray, weights: np.ndarray):
+    def __init__(self, at: np.ndarray, offsets: np.ndarray, codes: np.ndarray, weights: np.ndarray, places: _Places):
         lengths = offsets[at + 1] - offsets[at]
-        cells = np.repeat(offsets[at] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())
-        self.at, self.row, self.codes, self.weights = at, np.repeat(np.arange(len(at)), lengths), codes[cells], weights[cells]
-        self.lengths = np.bincount(self.row, weights=self.weights ** 2, minlength=len(at))
-
-    def places(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Place of each cell's code among `codes`, and whether it is there."""
-        if len(codes) == 0:
-            return np.zeros(len(self.codes), np.int64), np.zeros(len(self.codes), bool)
-        place = np.minimum(np.searchsorted(codes, self.codes), len(codes) - 1)
-        return place, codes[place] == self.codes
+        self.at, self.row, self._places = at, np.repeat(np.arange(len(at)), lengths), places
+        if len(at) == len(offsets) - 1:  # all of them, in order
+            self.codes, self.weights = codes, weights
+        else:
+            cells = np.repeat(offsets[at] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())
+            self.codes, self.weights = codes[cells], weights[cells]
+        self.full = np.flatnonzero(lengths)
+        self.first = (np.cumsum(lengths) - lengths)[self.full]
+        self.lengths = self._sums(self.weights ** 2)
+
+    def _sums(self, x: np.ndarray) -> np.ndarray:
+        """Sums by row."""
+        out = np.zeros(len(self.at))
+        if len(self.full):
+            out[self.full] = np.add.reduceat(x, self.first)
+        return out
 
     def distances(self, centres: Centres) -> np.ndarray:
         """Squared distances (rows x centres)."""
-        place, known = self.places(centres.codes)
-        dots = np.column_stack([
-            np.bincount(self.row[known], weights=self.weights[known] * c[place[known]], minlength=len(self.at)) for c in centres.matrix])
+        place = self._places(centres.codes, self.codes)
+        dots = np.column_stack([self._sums(self.weights * np.append(c, 0.0)[place]) for c in centres.matrix])
         return np.maximum(self.lengths[:, None] - 2.0 * dots + centres.lengths[None, :], 0.0)
 
 
-def _by_cluster(batch: pa.RecordBatch) -> Iterator[tuple[int, _Rows]]:
+def _by_cluster(batch: pa.RecordBatch, places: _Places) -> Iterator[tuple[int, _Rows]]:
     cluster = values(batch.column("cluster"))
-    offsets = batch.column("codes").offsets.to_numpy().astype(np.int64)
-    offsets = offsets - offsets[0]
-    codes, weights = values(batch.column("codes").flatten()), values(batch.column("weights").flatten()).astype(np.float64)
+    offsets, codes = _lists(batch.column("codes"), np.int32)
+    weights = _lists(batch.column("weights"), np.float64)[1]
     order = np.argsort(cluster, kind="stable")
     for at in np.split(order, np.flatnonzero(np.diff(cluster[order])) + 1):
-        yield int(cluster[at[0]]), _Rows(at, offsets, codes, weights)
+        yield int(cluster[at[0]]), _Rows(at, offsets, codes, weights, places)
+
+
+def _used(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cluster, code), each pair once in a batch, and each cluster with a null too."""
+    for batch in batches:
+        cluster = values(batch.column("cluster"))
+        offsets, codes = _lists(batch.column("codes"), np.int32)
+        of = np.repeat(cluster, np.diff(offsets))
+        order = np.lexsort((codes, of))
+        of, codes = of[order], codes[order]
+        new = np.ones(len(of), bool)
+        new[1:] = (of[1:] != of[:-1]) | (codes[1:] != codes[:-1])
+        names = np.unique(cluster)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate([names, of[new]])), pa.concat_arrays([pa.nulls(len(names), pa.int32()), pa.array(codes[new])])], names=["cluster", "code"])
 
 
 def _scan(rows: DataFrame, centres: dict[int, Centres], emit: Callable, schema: str) -> DataFrame:
@@ -93,9 +170,10 @@ def _scan(rows: DataFrame, centres: dict[int, Centres], emit: Callable, schema:
     shipped = rows.sparkSession.sparkContext.broadcast(centres)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = _Places()
         for batch in batches:
             if batch.num_rows:
-                for cluster, part in _by_cluster(batch):
+                for cluster, part in _by_cluster(batch, places):
                     if cluster in shipped.value:
                         yield from emit(batch, cluster, part, shipped.value[cluster])
 
@@ -134,10 +212,10 @@ def _seeds(rows: DataFrame, clusters: list[int], k: int, seed: int) -> dict[int,
                     names=["cluster", "key", "id", "codes", "weights"])
 
         id_type = rows.schema["id"].dataType.simpleString()
-        found = _scan(with_u, centres, keyed, f"cluster long, key double, id {id_type}, codes array<int>, weights array<double>")
+        found = _scan(with_u, centres, keyed, f"cluster long, key double, id {id_type}, codes binary, weights binary")
         best = F.min_by(F.struct("codes", "weights"), F.struct("key", "id")).alias("s")
         for r in found.groupBy("cluster").agg(best).collect():  # a row to a cluster
-            drawn[r["cluster"]].append((np.array(r["s"]["codes"], np.int32), np.array(r["s"]["weights"], float)))
+            drawn[r["cluster"]].append((np.frombuffer(r["s"]["codes"], np.int32), np.frombuffer(r["s"]["weights"], np.float64)))
     return {c: _centres(s) for c, s in drawn.items() if s}
 
 
@@ -150,23 +228,39 @@ def _centres(rows: list[tuple[np.ndarray, np.ndarray]]) -> Centres:
 
 
 def _step(rows: DataFrame, centres: dict[int, Centres]) -> dict[int, Centres]:
-    """The means of the rows by their nearest centre; a centre without rows stays."""
+    """The means of the rows by their nearest centre; a centre without rows stays.
 
-    def sums(batch, cluster, part, own):
-        label = part.distances(own).argmin(axis=1)
-        codes, place = np.unique(part.codes, return_inverse=True)
-        cell = label[part.row] * max(len(codes), 1) + place
-        total = np.bincount(cell, weights=part.weights, minlength=len(own.matrix) * max(len(codes), 1))
-        full = np.flatnonzero(total)
-        counts = np.bincount(label, minlength=len(own.matrix))
-        centre = np.concatenate([full // max(len(codes), 1), np.arange(len(counts))])
-        code = np.concatenate([codes[full % max(len(codes), 1)] if len(codes) else np.zeros(0, int), np.full(len(counts), -1)])  # -1: the number of rows
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(centre), cluster)), pa.array(centre.astype(np.int32)), pa.array(code.astype(np.int32)),
-             pa.array(np.concatenate([total[full], counts.astype(float)]))], names=["cluster", "centre", "code", "w"])
+    A task adds up its rows and hands on one row of bytes for each cluster and CODES_AT_ONCE codes; these are added up by group.
+    """
+    shipped = rows.sparkSession.sparkContext.broadcast(centres)
 
-    found = _scan(rows, centres, sums, "cluster long, centre int, code int, w double")
-    table = found.groupBy("cluster", "centre", "code").agg(F.sum("w").alias("w")).toArrow()  # no more than the centres, which are measured
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places, held = _Places(), {}
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            for cluster, part in _by_cluster(batch, places):
+                if cluster not in shipped.value:
+                    continue
+                parts = held.setdefault(cluster, [])
+                parts.append(_sums(part, shipped.value[cluster]))
+                if len(parts) > 8:
+                    held[cluster] = [_added(np.concatenate(parts))]
+        for cluster, parts in held.items():
+            cells = _added(np.concatenate(parts))  # in order of code
+            block = cells["code"] // CODES_AT_ONCE
+            first = np.flatnonzero(np.diff(block, prepend=block[0] - 1))
+            offsets = np.append(first, len(cells))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(first), cluster, np.int64)), pa.array(block[first].astype(np.int32)), _as_bytes(offsets, cells)],
+                names=["cluster", "block", "cells"])
+
+    def merged(key: tuple, table: pa.Table) -> pa.Table:
+        cells = _added(np.frombuffer(b"".join(table.column("cells").to_pylist()), _CELL))
+        return pa.table({"cluster": np.full(len(cells), key[0].as_py(), np.int64), **{c: cells[c].copy() for c in ("centre", "code", "w")}})
+
+    found = rows.mapInArrow(run, "cluster long, block int, cells binary")
+    table = found.groupBy("cluster", "block").applyInArrow(merged, "cluster long, centre int, code int, w double").toArrow()  # no more than the centres, which are measured
     cluster, centre, code, w = (values(table.column(c)) for c in ("cluster", "centre", "code", "w"))
     order = np.argsort(cluster, kind="stable")
     out = {}
@@ -189,6 +283,34 @@ def _step(rows: DataFrame, centres: dict[int, Centres]) -> dict[int, Centres]:
     return out
 
 
+def _sums(part: _Rows, own: Centres) -> np.ndarray:
+    """Cells of the sums of the rows by their nearest centre; code -1 holds their number."""
+    label = part.distances(own).argmin(axis=1)
+    width, k = int(part.codes.max(initial=-1)) + 1, len(own.matrix)
+    if width * k <= 4 * len(part.codes):  # so many cells that a sum for each code takes less than sorting them
+        codes, place = np.arange(width), part.codes
+    else:
+        codes, place = np.unique(part.codes, return_inverse=True)
+    total = np.bincount(label[part.row] * max(len(codes), 1) + place, weights=part.weights, minlength=k * max(len(codes), 1))
+    full = np.flatnonzero(total)
+    cells = np.zeros(k + len(full), _CELL)
+    cells["centre"] = np.concatenate([np.arange(k), full // max(len(codes), 1)])
+    cells["code"] = np.concatenate([np.full(k, -1), codes[full % max(len(codes), 1)] if len(codes) else np.zeros(0, int)])
+    cells["w"] = np.concatenate([np.bincount(label, minlength=k), total[full]])
+    return cells
+
+
+def _added(cells: np.ndarray) -> np.ndarray:
+    """Cells of equal code and centre as one, in order of both."""
+    key = cells["code"].astype(np.int64) << 32 | cells["centre"]
+    order = np.argsort(key, kind="stable")
+    first = np.flatnonzero(np.diff(key[order], prepend=np.iinfo(np.int64).min))
+    out = cells[order[first]]
+    if len(first):
+        out["w"] = np.add.reduceat(cells["w"][order], first)
+    return out
+
+
 def _moved(before: Centres, after: Centres) -> float:
     codes = np.union1d(before.codes, after.codes)
     both = np.zeros((2, len(before.matrix), len(codes)))
@@ -206,7 +328,7 @@ def subtopics_of_clusters(weights: DataFrame, clusters: DataFrame, k: int, seed:
     """
     rows = packed(weights, clusters)
     # A cluster's centres have at most its distinct terms, and at most its cells.
-    terms = rows.select("cluster", F.explode_outer("codes").alias("code")).groupBy("cluster").agg(F.count_distinct("code").alias("terms"))
+    terms = rows.select("cluster", "codes").mapInArrow(_used, "cluster long, code int").groupBy("cluster").agg(F.count_distinct("code").alias("terms"))
     groups, held = [[]], 0
     for r in terms.orderBy("cluster").collect():  # a row to a cluster
         size = r["terms"] * (8 * k + 4)

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoal.functions.text import WORD, tokens
+from shoal.functions.vectors import values
 from shoal.operators.clusters import top_n_per_group
 from shoal.operators.encode import exploded, smooth_idf
 from shoal.operators.grams import hashed_words, most_frequent
 from shoal.plans.subclusters import subtopics_of_clusters
-from shoal.session import BROADCAST_ROWS, checkpoint, computed_once
+from shoal.session import BROADCAST_ROWS, checkpoint, computed_once, stored
 
 # Fixed values of the breakdown.
 NGRAM_RANGE = (1, 5)
@@ -38,39 +42,79 @@ def title_words(titles: DataFrame, stop_words: list[str]) -> DataFrame:
 
 @dataclass
 class Terms:
-    """`vocabulary(code, term, total, df, idf)` and `counts(id, code, tf)` of its terms; at most `max_terms` terms."""
+    """`vocabulary(code, term, total, df, idf)` and `cells(id, cells(code, tf))`, where its terms occur; at most `max_terms` terms."""
 
     vocabulary: DataFrame
-    counts: DataFrame
+    cells: DataFrame
     max_terms: int
 
+    @property
+    def counts(self) -> DataFrame:
+        """(id, code, tf)"""
+        return self.cells.select("id", F.inline("cells"))
+
 
 def title_terms(words: DataFrame, max_terms: int = MAX_TERMS) -> Terms:
     """The most frequent 1- to 5-grams of `title_words`, ties by term, and where they occur."""
     found = most_frequent(words, *NGRAM_RANGE, max_terms)
-    return Terms(found.terms.withColumn("idf", smooth_idf(F.col("df"), found.rows)), found.counts, max_terms)
+    return Terms(found.terms.withColumn("idf", smooth_idf(F.col("df"), found.rows)), found.cells, max_terms)
+
+
+def weighted(terms: Terms) -> DataFrame:
+    """(id, cells(code, tf, weight)): tf * idf, each title scaled to unit length. Rows that share an id are scaled together, null ids too."""
+    table = terms.vocabulary.select("code", "idf").toArrow()  # bounded by `max_terms`
+    idf = np.zeros(table.num_rows)
+    idf[values(table.column("code"))] = values(table.column("idf"))
+    shipped = terms.cells.sparkSession.sparkContext.broadcast(idf)
+    id_type = terms.cells.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("cells")
+            if len(column) == 0:
+                continue
+            offsets, flat = column.offsets.to_numpy(), column.flatten()
+            offsets = offsets - offsets[0]
+            w = values(flat.field("tf")) * shipped.value[values(flat.field("code"))]
+            cells = pa.StructArray.from_arrays([flat.field("code"), flat.field("tf"), pa.array(w)], names=["code", "tf", "weight"])
+            yield pa.RecordBatch.from_arrays(  # no row is without cells
+                [batch.column("id"), pa.array(np.add.reduceat(w * w, offsets[:-1])), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), cells)],
+                names=["id", "square", "cells"])
+
+    raw = terms.cells.mapInArrow(run, f"id {id_type}, square double, cells array<struct<code:int,tf:bigint,weight:double>>")
+    raw = raw.withColumn("_norm", F.sqrt(F.sum("square").over(Window.partitionBy("id"))))
+    scaled = F.transform("cells", lambda c: F.struct(c["code"].alias("code"), c["tf"].alias("tf"), (c["weight"] / F.col("_norm")).alias("weight")))
+    return raw.select("id", scaled.alias("cells"))
+
+
+def _names(terms: Terms) -> DataFrame:
+    names = terms.vocabulary.select("code", "term")
+    return F.broadcast(names) if terms.max_terms <= BROADCAST_ROWS else names
 
 
 def tfidf(terms: Terms) -> DataFrame:
-    """(id, code, term, tf, weight): tf * idf, each title scaled to unit length."""
-    side = terms.vocabulary.select("code", "term", "idf")
-    side = F.broadcast(side) if terms.max_terms <= BROADCAST_ROWS else side
-    raw = terms.counts.join(side, "code").withColumn("_w", F.col("tf") * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy("id")))
-    return raw.select("id", "code", "term", "tf", (F.col("_w") / norm).alias("weight"))
+    """(id, code, term, tf, weight): the cells of `weighted`, a row to each."""
+    return weighted(terms).select("id", F.inline("cells")).join(_names(terms), "code").select("id", "code", "term", "tf", "weight")
 
 
 def subtopics(weights: DataFrame, ids: DataFrame, k: int = SUBTOPICS, seed: int = SEED) -> DataFrame:
-    """(id, subtopic): k-means on the TF-IDF rows of one cluster's titles, `ids(id)`."""
+    """(id, subtopic): k-means on the TF-IDF rows (of `tfidf` or `weighted`) of one cluster's titles, `ids(id)`."""
     one = ids.select("id", F.lit(0).alias("cluster_id"))
     return subtopics_of_clusters(weights, one, k, seed).labels.select("id", "subtopic")
 
 
-def top_terms(weights: DataFrame, labels: DataFrame, n: int = TOP_TERMS) -> DataFrame:
-    """(subtopic, rank, term, weight): largest mean weights of each subtopic; rows without a term count as 0. `labels` may have a cluster_id."""
+def top_terms(weights: DataFrame, labels: DataFrame, n: int = TOP_TERMS, terms: Terms | None = None) -> DataFrame:
+    """(subtopic, rank, term, weight): largest mean weights of each subtopic; rows without a term count as 0. `labels` may have a cluster_id.
+
+    `weights` are those of `tfidf`, or those of `weighted` together with their `terms`.
+    """
     by = [c for c in labels.columns if c in ("cluster_id", "subtopic")]
     sizes = labels.groupBy(*by).agg(F.count("*").alias("size"))
-    sums = weights.join(labels, "id").groupBy(*by, "term").agg(F.sum("weight").alias("_sum"))
+    if terms is None:
+        sums = weights.join(labels, "id").groupBy(*by, "term").agg(F.sum("weight").alias("_sum"))
+    else:
+        cells = weights.join(labels, "id").select(*by, F.inline("cells"))
+        sums = cells.groupBy(*by, "code").agg(F.sum("weight").alias("_sum")).join(_names(terms), "code")
     few = sizes.count() <= BROADCAST_ROWS
     means = sums.join(F.broadcast(sizes) if few else sizes, by).withColumn("weight", F.round(F.col("_sum") / F.col("size"), 12))
     best = top_n_per_group(means, by, [F.col("weight").desc(), "term"], n)
@@ -83,11 +127,14 @@ def sample_titles(titles: DataFrame, labels: DataFrame, n: int = SAMPLE_TITLES)
     return top_n_per_group(titles.join(labels, "id"), by, ["id"], n).select(*by, "rank", "id", "title")
 
 
-def topic_tree(titles: DataFrame, weights: DataFrame, labels: DataFrame) -> DataFrame:
-    """(subtopic, size, terms, titles), at most 7 terms and 5 titles per subtopic; per cluster too if `labels` has a cluster_id."""
+def topic_tree(titles: DataFrame, weights: DataFrame, labels: DataFrame, terms: Terms | None = None) -> DataFrame:
+    """(subtopic, size, terms, titles), at most 7 terms and 5 titles per subtopic; per cluster too if `labels` has a cluster_id.
+
+    `weights` and `terms` are as in `top_terms`.
+    """
     by = [c for c in labels.columns if c in ("cluster_id", "subtopic")]
     sizes = labels.groupBy(*by).agg(F.count("*").alias("size"))
-    terms = top_terms(weights, labels).groupBy(*by).agg(_in_order("term").alias("terms"))
+    terms = top_terms(weights, labels, terms=terms).groupBy(*by).agg(_in_order("term").alias("terms"))
     shown = sample_titles(titles, labels).groupBy(*by).agg(_in_order("title").alias("titles"))
     empty = F.array().cast("array<string>")
     return sizes.join(terms, by, "left").join(shown, by, "left").select(
@@ -113,9 +160,9 @@ def topics_of_clusters(titles: DataFrame, clusters: DataFrame, k: int = SUBTOPIC
     The vocabulary is that of all titles together.
     """
     terms = title_terms(title_words(titles, english_stop_words() if stop_words is None else stop_words), max_terms)
-    weights = checkpoint(tfidf(terms))
+    weights = stored(weighted(terms), "weights")
     labels = subtopics_of_clusters(weights, clusters, k).labels
-    return topic_tree(titles if shown is None else shown, weights, checkpoint(labels))
+    return topic_tree(titles if shown is None else shown, weights, checkpoint(labels), terms)
 
 
 def _log_likelihood(k: Column, n: Column, x: Column) -> Column:
@@ -139,9 +186,11 @@ def _merged(counts: DataFrame) -> DataFrame:
     plural = F.col("term").rlike("[^s]s$")
     singles = counts.select(F.col("term").alias("_single"))
     few = counts.count() <= BROADCAST_ROWS
-    looked = counts.withColumn("_cut", F.when(plural, F.expr("substring(term, 1, length(term) - 1)")))
-    return looked.join(F.broadcast(singles) if few else singles, F.col("_cut") == F.col("_single"), "left").select(
+    # Only plurals look for their singular: the others would all meet in one task, by a null.
+    looked = counts.filter(plural).withColumn("_cut", F.expr("substring(term, 1, length(term) - 1)"))
+    found = looked.join(F.broadcast(singles) if few else singles, F.col("_cut") == F.col("_single"), "left").select(
         "term", "c", F.coalesce("_single", "term").alias("standard"))
+    return counts.filter(~plural).select("term", "c", F.col("term").alias("standard")).unionByName(found)
 
 
 def term_frequencies(titles: DataFrame, stop_words: list[str], n: int = CLOUD_TERMS,
@@ -153,7 +202,7 @@ def term_frequencies(titles: DataFrame, stop_words: list[str], n: int = CLOUD_TE
     """
     found = F.regexp_extract_all(F.lower("title"), F.lit(f"({WORD})"), F.lit(1))
     words = F.filter(F.transform(found, lambda w: F.regexp_replace(w, "'s$", "")), lambda w: ~w.rlike(r"^\p{Nd}+$"))
-    rows = checkpoint(computed_once(titles.select("id", "title"), words=words).select("id", "words"))
+    rows = stored(computed_once(titles.select("id", "title"), words=words).select("id", "words"), "words")
     few = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
     keep = ~F.col("term").isin(list(stop_words)) if stop_words else F.lit(True)
     counts = checkpoint(exploded(rows, "words", "term").filter(keep).groupBy("term").agg(F.count("*").alias("c")))
@@ -165,7 +214,7 @@ def term_frequencies(titles: DataFrame, stop_words: list[str], n: int = CLOUD_TE
     pairs = exploded(zipped, "pairs", "p").select(F.col("p.a").alias("a"), F.col("p.b").alias("b"))
     if stop_words:
         pairs = pairs.filter(~F.col("a").isin(list(stop_words)) & ~F.col("b").isin(list(stop_words)))
-    pairs = checkpoint(pairs.groupBy(F.concat_ws(" ", "a", "b").alias("term")).agg(F.count("*").alias("c")))
+    pairs = stored(pairs.groupBy(F.concat_ws(" ", "a", "b").alias("term")).agg(F.count("*").alias("c")), "pairs")
     pairs = _merged(pairs).groupBy(F.col("standard").alias("term")).agg(F.sum("c").alias("both"))
     # What a word counts under, and how often that occurs.
     totals = checkpoint(singles.groupBy("standard").agg(F.sum("c").alias("c")))
