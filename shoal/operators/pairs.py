@@ -15,6 +15,7 @@ from shoal.functions.vectors import block, squared_distances, values
 from shoal.session import BROADCAST_ROWS
 
 TILE_ROWS = 4096
+STRIP_ROWS = 256
 
 
 def tile_pairs(df: DataFrame, group_cols: list[str], id_cols: list[str], tile_rows: int = TILE_ROWS,
@@ -63,8 +64,8 @@ def within_group_distances(df: DataFrame, group_cols: list[str], tile_rows: int
         x = block(table.column("vec"))
         left, right = x[a], x[b]
         total, largest = 0.0, 0.0
-        for start in range(0, len(left), 1024):
-            d2 = squared_distances(left[start:start + 1024], right)
+        for start in range(0, len(left), STRIP_ROWS):
+            d2 = squared_distances(left[start:start + STRIP_ROWS], right)
             if same:
                 at = np.arange(d2.shape[0])
                 d2[at, start + at] = 0.0

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shoal.operators.components import connected_components
 from shoal.operators.proximity import TILE_ROWS, Block, build_tree, distances, distinct_points, metric_space, search, to_euclidean
-from shoal.plans.density import FOREST, Forest, _spanning
+from shoal.plans.density import FOREST, FOREST_TILES, Forest, _spanning
 from shoal.session import checkpoint
 
 MIN_COSINE = 0.9
@@ -74,7 +74,7 @@ def linked(vectors: DataFrame, labels: DataFrame | None = None, min_cosine: floa
     eps = 1.0 - min_cosine
     tree = build_tree(points.drop("cluster"), tile_rows)
     placed = tree.rows.join(points.select("id", "cluster"), "id").withColumn("reach", F.lit(to_euclidean(eps, "cosine")))
-    found = checkpoint(search(tree, placed, ["weight", "cluster"], lambda q: Links(q, eps), FOREST))
+    found = checkpoint(search(tree, placed, ["weight", "cluster"], lambda q: Links(q, eps), FOREST, FOREST_TILES))
     links = found.filter("m = 0")
     counts = found.filter("m = -1").groupBy(F.col("u").alias("rep")).agg(F.sum("v").alias("n"))
     roots = connected_components(links.select(F.lit(0).alias("g"), "u", "v")).select(F.col("id").alias("rep"), "root")
