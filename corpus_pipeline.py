@@ -16,6 +16,8 @@ from shoal.llm.scratch import release, saved, table
 
 
 BATCH_ROWS = "1000"
+# What an encoding worker keeps: less than a query by itself may, since the executors still hold what the stages before needed.
+KEPT_STATES, KEPT_WORDS = 50_000, 30_000
 
 
 def _ready(spark: SparkSession) -> None:
@@ -51,7 +53,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of what is left."""
     _ready(spark)
-    return bpe.encoded(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.encoded(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, max_states=KEPT_STATES, max_words=KEPT_WORDS)
 
 
 STAGES = [("toxicity", toxicity), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup),
