@@ -123,16 +123,11 @@ class _Rows:
         else:
             cells = np.repeat(offsets[at] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())
             self.codes, self.weights = codes[cells], weights[cells]
-        self.full = np.flatnonzero(lengths)
-        self.first = (np.cumsum(lengths) - lengths)[self.full]
         self.lengths = self._sums(self.weights ** 2)
 
     def _sums(self, x: np.ndarray) -> np.ndarray:
-        """Sums by row."""
-        out = np.zeros(len(self.at))
-        if len(self.full):
-            out[self.full] = np.add.reduceat(x, self.first)
-        return out
+        """Sums by row, added one after the other: rows that share no term with a centre tie but for the last digits."""
+        return np.bincount(self.row, weights=x, minlength=len(self.at))
 
     def distances(self, centres: Centres) -> np.ndarray:
         """Squared distances (rows x centres)."""

@@ -77,8 +77,9 @@ def weighted(terms: Terms) -> DataFrame:
             offsets = offsets - offsets[0]
             w = values(flat.field("tf")) * shipped.value[values(flat.field("code"))]
             cells = pa.StructArray.from_arrays([flat.field("code"), flat.field("tf"), pa.array(w)], names=["code", "tf", "weight"])
-            yield pa.RecordBatch.from_arrays(  # no row is without cells
-                [batch.column("id"), pa.array(np.add.reduceat(w * w, offsets[:-1])), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), cells)],
+            row = np.repeat(np.arange(len(column)), np.diff(offsets))
+            yield pa.RecordBatch.from_arrays(  # squares are added one after the other, as Spark adds them
+                [batch.column("id"), pa.array(np.bincount(row, weights=w * w, minlength=len(column))), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), cells)],
                 names=["id", "square", "cells"])
 
     raw = terms.cells.mapInArrow(run, f"id {id_type}, square double, cells array<struct<code:int,tf:bigint,weight:double>>")
