@@ -16,6 +16,7 @@ renamed, so a task that runs again replaces it whole.
 
 from __future__ import annotations
 
+import json
 import posixpath
 import struct
 import uuid
@@ -30,22 +31,25 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoal.llm.bpe import _Memory, space_pieces
+from shoal.llm.bpe import _Memory
 from shoal.llm.scratch import saved
+from shoal.llm.words import text_blocks
 
 BLOCK_IDS = 1 << 14
 FILE_CHARS = 16 << 20
-MAX_STEMS = 300_000
-TEXTS_AT_ONCE = 1024
-_CLOSING = ".,;:!?"
+MAX_PIECES = 200_000
+TEXT_BYTES = 2 << 20
 _MAGIC = b"S8B1\0\0\0\0"
 # Fixed values of the format: ids in a word and bits of each, by selector; 0 is the escape.
 COUNTS = np.array([0, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], dtype=np.int64)
 WIDTHS = np.array([64, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], dtype=np.int64)
+_STEPS = np.maximum(COUNTS, 1).astype(np.uint8)
 
 
 def _bits(ids: np.ndarray) -> np.ndarray:
     """Bits of each id: those of its upper half if that is not zero, else of its lower half (exact as doubles)."""
+    if not len(ids) or ids.max() < 1 << 24:
+        return np.frexp(ids.astype(np.float32))[1]  # exact as floats
     upper = ids >> np.uint64(32)
     bits = np.frexp((ids & np.uint64(0xFFFFFFFF)).astype(np.float64))[1]
     return np.where(upper > 0, np.frexp(upper.astype(np.float64))[1] + 32, bits) if upper.any() else bits
@@ -59,38 +63,32 @@ def pack(ids: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.uint64)
     # bits[k] is 0 beyond the last id, so that a word at the end may stay short
     bits = np.concatenate([_bits(ids).astype(np.uint8), np.zeros(int(COUNTS.max()), np.uint8)])
-    chosen = np.where(bits[:n] > 60, 0, len(COUNTS) - 1)
+    widest, count = bits[:n], 1
+    chosen = np.where(widest > 60, 0, len(COUNTS) - 1).astype(np.uint8)
     # from few wide ids to many narrow ones; what does not fit fewer ids does not fit more
-    at, widest, count = np.flatnonzero(chosen), bits[:n][chosen > 0], 1
     for selector in range(len(COUNTS) - 2, 0, -1):
         for k in range(count, int(COUNTS[selector])):
-            widest = np.maximum(widest, bits[at + k])
+            widest = np.maximum(widest, bits[k:n + k])
         count = int(COUNTS[selector])
         fits = widest <= WIDTHS[selector]
-        at, widest = at[fits], widest[fits]
-        if not len(at):
+        if not fits.any():
             break
-        chosen[at] = selector
-    steps = np.where(chosen == 0, 1, COUNTS[chosen])
-    following = (np.arange(n) + steps).tolist()
+        chosen[fits] = selector
+    steps = _STEPS[chosen].tobytes()
     starts, at = [], 0
     while at < n:
         starts.append(at)
-        at = following[at]
+        at += steps[at]
     starts = np.array(starts)
-    picked = chosen[starts]
-    places = np.arange(len(starts)) + np.concatenate([[0], np.cumsum(picked == 0)[:-1]])
-    words = np.zeros(int(places[-1]) + 1 + int(picked[-1] == 0), dtype=np.uint64)
-    padded = np.concatenate([ids, np.zeros(int(COUNTS.max()), np.uint64)])
-    for selector in np.unique(picked).tolist():
-        here = picked == selector
-        if selector == 0:
-            words[places[here] + 1] = ids[starts[here]]
-            continue
-        word = np.full(int(here.sum()), selector << 60, dtype=np.uint64)
-        for k in range(int(COUNTS[selector])):
-            word |= padded[starts[here] + k] << np.uint64(k * int(WIDTHS[selector]))
-        words[places[here]] = word
+    picked = chosen[starts].astype(np.int64)
+    inside = np.diff(starts, append=n)
+    shifts = (np.arange(n) - np.repeat(starts, inside)) * np.repeat(WIDTHS[picked], inside)
+    packed = np.bitwise_or.reduceat(ids << shifts.astype(np.uint64), starts)
+    raw = picked == 0
+    places = np.arange(len(starts)) + np.cumsum(raw) - raw
+    words = np.zeros(len(starts) + int(raw.sum()), dtype=np.uint64)
+    words[places] = np.where(raw, np.uint64(0), picked.astype(np.uint64) << np.uint64(60) | packed)
+    words[places[raw] + 1] = packed[raw]
     # what lies beyond the last id of a word that is not full belongs to no id
     return words
 
@@ -187,75 +185,138 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in seen} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
+def _kinds() -> np.ndarray:
+    """For each byte: 0 control, 1 space, 2 other white space, 3 part of a longer character, 4 letter or digit, 5 another mark, 6 apostrophe."""
+    kinds = np.zeros(256, np.uint8)
+    kinds[0x21:0x7F], kinds[0x80:], kinds[0x20], kinds[0x09:0x0E] = 5, 3, 1, 2
+    kinds[[b for b in range(128) if chr(b).isalnum()]], kinds[ord("'")] = 4, 6
+    return kinds
+
+
+def _borders() -> np.ndarray:
+    """By the kinds of two bytes side by side: 1 if two pieces always meet there, 2 and 3 if the character that ends must be looked at."""
+    table = np.zeros((8, 8), np.uint8)
+    table[4:7, 1:3] = 1  # white space after what is none
+    table[4, 5:7] = table[5, 4] = 1  # an apostrophe may go with the letters after it
+    table[3, 1:3], table[3, 5:7] = 2, 3
+    return table.ravel()
+
+
+_KINDS, _BORDERS = _kinds(), _borders()
+
+
+def _blank(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Whether the character that ends with the bytes a, b and c is or once was white space."""
+    return ((b == 0xC2) & ((c == 0x85) | (c == 0xA0))
+            | (a == 0xE1) & ((b == 0x9A) & (c == 0x80) | (b == 0xA0) & (c == 0x8E))
+            | (a == 0xE2) & ((b == 0x80) & ((c <= 0x8B) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF)) | (b == 0x81) & (c == 0x9F))
+            | (a == 0xE3) & (b == 0x80) & (c == 0x80))
+
+
+def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where pieces begin in the bytes of some texts: at each text, before white space that follows something else, between
+    letters or digits and marks, and after a single line break or tab.
+
+    The usual pattern of byte-level vocabularies cuts at all these places, whatever stands around them. Where a look at three
+    bytes cannot tell, nothing is cut, which costs time only.
+    """
+    n = len(data)
+    cut = np.zeros(n + 1, dtype=bool)
+    kinds = _KINDS[data]
+    borders = _BORDERS[kinds[:-1] << 3 | kinds[1:]]
+    cut[1:n] = borders == 1
+    at = np.flatnonzero(borders > 1) + 1
+    if len(at):
+        a, b, c = data[np.maximum(at - 3, 0)], data[np.maximum(at - 2, 0)], data[at - 1]
+        latin = (b == 0xC3) & (c != 0x97) & (c != 0xB7)
+        cut[at[np.where(borders[at - 1] == 2, ~_blank(a, b, c), latin)]] = True
+    cut[offsets] = True
+    lone = np.flatnonzero(kinds[:-1] == 2)
+    lone = lone[cut[lone] & (kinds[lone + 1] > 3)]
+    cut[lone + 1] = True
+    return np.flatnonzero(cut[:n])
+
+
 class _Tokens:
     """Ids of texts by the tokenizers library.
 
-    Texts are cut at single spaces, and closing marks from the letter or digit before them, where byte-level vocabularies
-    always cut. The ids of what comes before the marks are kept; the new ones of a batch of texts are encoded together, those
-    that are one run of letters straight by the library's model, which is what its pre-tokenizer would hand on. A text that holds an
-    added token (such as one that marks the end of a text) goes to the library whole, which gives that token its own id.
+    Texts are cut into pieces where byte-level vocabularies always cut (`piece_starts`). The ids of pieces are kept; the new ones
+    of a block of texts are encoded together, those that are one run of letters straight by the library's model, which is
+    what its pre-tokenizer would hand on. A text that holds an added token (such as one that marks the end of a text) goes to
+    the library whole, which gives that token its own id, and so does any text if the definition does not cut as said.
     """
 
-    def __init__(self, definition: str):
+    def __init__(self, definition: str, max_pieces: int = MAX_PIECES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.letters = _byte_letters()
-        self.stems = _Memory(MAX_STEMS)
+        self.pieces = _Memory(max_pieces)
+        parts = json.loads(definition)
+        splits = parts.get("pre_tokenizer") or {}
+        self.cuts = (splits.get("type") == "ByteLevel" and splits.get("use_regex", True) and not splits.get("add_prefix_space", True)
+                     and not parts.get("normalizer") and not parts.get("truncation") and not parts.get("padding"))
         probe = [" the", "The", "été", " Größe", " 日本", "x"]
         self.direct = self._straight(probe) == self._fully(probe)
 
-    def _fully(self, stems: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(stems, add_special_tokens=False)]
+    def _fully(self, pieces: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    def _straight(self, stems: list[str]) -> list[bytes]:
+    def _straight(self, pieces: list[str]) -> list[bytes]:
         split, model = self.letters[10], self.tokenizer.model
-        spelt = "\n".join(stems).encode().decode("latin-1").translate(self.letters).split(split) if stems else []
+        spelt = "\n".join(pieces).encode().decode("latin-1").translate(self.letters).split(split) if pieces else []
         return [array("I", [t.id for t in model.tokenize(s)]).tobytes() for s in spelt]
 
-    def _learn(self, stems: list[str]) -> dict[str, bytes]:
+    def _learn(self, pieces: list[bytes]) -> list[bytes]:
+        texts = [p.decode() for p in pieces]
         runs, others = [], []
-        for s in stems:
-            (runs if self.direct and s.removeprefix(" ").isalpha() else others).append(s)
-        return dict(zip(runs, self._straight(runs))) | dict(zip(others, self._fully(others)))
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        whole = [k for k, t in enumerate(texts) if any(a in t for a in self.added)]
-        if whole:
-            found = self._pieced([t for t in texts if not any(a in t for a in self.added)])
-            for k, ids in zip(whole, self._fully([texts[k] for k in whole])):  # in ascending order, so each lands in its place
-                found.insert(k, np.frombuffer(ids, dtype="<u4"))
-            return found
-        return self._pieced(texts)
-
-    def _pieced(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [space_pieces(t) for t in texts]
-        new, old = self.stems.new.get, self.stems.old.get
-        known: dict[str, bytes] = {}
-        ends: dict[str, bytes] = {"": b""}
-        waiting: list[tuple[str, str, str]] = []
-        for p in set().union(*cut):
-            stem = p.rstrip(_CLOSING)
-            tail = p[len(stem):]
-            if tail and not (stem and stem[-1].isalnum()):
-                stem, tail = p, ""
-            if tail not in ends:
-                ends[tail] = self._fully([tail])[0]
-            ids = new(stem)
-            if ids is None:
-                ids = old(stem)
-                if ids is None:
-                    waiting.append((p, stem, tail))
-                    continue
-                self.stems.put(stem, ids)
-            known[p] = ids + ends[tail] if tail else ids
-        for stem, ids in self._learn(list({stem for _, stem, _ in waiting})).items():
-            self.stems.put(stem, ids)
-            known[stem] = ids
-        for p, stem, tail in waiting:
-            known[p] = known[stem] + ends[tail]
-        return [np.frombuffer(b"".join(map(known.__getitem__, parts)), dtype="<u4") for parts in cut]
+        for k, s in enumerate(texts):
+            (runs if self.direct and s.removeprefix(" ").isalpha() else others).append(k)
+        found = [b""] * len(texts)
+        for numbers, encode in ((runs, self._straight), (others, self._fully)):
+            for k, ids in zip(numbers, encode([texts[k] for k in numbers])):
+                found[k] = ids
+        return found
+
+    def _ids(self, pieces: list[bytes]) -> list[bytes]:
+        found = list(map(self.pieces.new.get, pieces))
+        unknown = []
+        for k in [k for k, ids in enumerate(found) if ids is None]:
+            found[k] = self.pieces.get(pieces[k])
+            if found[k] is None:
+                unknown.append(k)
+        for k, ids in zip(unknown, self._learn([pieces[k] for k in unknown])):
+            found[k] = self.pieces.put(pieces[k], ids)
+        return found
+
+    def encode(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text of the column."""
+        for _, _, data, offsets in text_blocks(column, TEXT_BYTES):
+            whole, n = [], len(offsets) - 1
+            raw = data.tobytes() if not self.cuts or self.added else b""
+            if not self.cuts or any(a in raw for a in self.added):
+                texts = [raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+                whole = [k for k, t in enumerate(texts) if not self.cuts or any(a in t for a in self.added)]
+                given = dict(zip(whole, self._fully([texts[k].decode() for k in whole])))
+            ids, places = self._pieced(data, offsets) if len(whole) < n else (None, [0] * (n + 1))
+            for k in range(n):
+                yield np.frombuffer(given[k], "<u4") if whole and k in given else ids[places[k]:places[k + 1]]
+
+    def _pieced(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[int]]:
+        """The ids of a block of texts, and where those of each text begin, with their end."""
+        if not len(data):
+            return np.zeros(0, "<u4"), [0] * len(offsets)
+        starts = piece_starts(data, offsets)
+        bounds = np.append(starts, len(data)).astype(np.int32)
+        coded = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(data)]).dictionary_encode()
+        found = self._ids(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+        firsts, number = np.cumsum(sizes) - sizes, coded.indices.to_numpy()
+        n = sizes[number]
+        ends = np.cumsum(n)
+        ids = np.frombuffer(b"".join(found), "<u4")[np.repeat(firsts[number] - (ends - n), n) + np.arange(int(ends[-1]))]
+        return ids, np.concatenate([[0], ends])[np.searchsorted(starts, offsets)].tolist()
 
 
 _workers: dict[int, _Tokens] = {}
@@ -290,10 +351,8 @@ def write_ids(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int = 0
     def run(batches):
         tokens, file, end = _of_worker(held.value), FileBuilder(), np.array([end_id], "<u4")
         for batch in batches:
-            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
-                part = batch.slice(at, TEXTS_AT_ONCE)
-                for d, ids in zip(part.column("doc_id").to_pylist(), tokens.encode(part.column("text").to_pylist())):
-                    file.add(d, np.concatenate([ids, end]))
+            for d, ids in zip(batch.column("doc_id").to_pylist(), tokens.encode(batch.column("text"))):
+                file.add(d, np.concatenate([ids, end]))
         number, data = TaskContext.get().partitionId(), file.bytes()
         path = _write(folder, f"ids-{number:08d}.s8b", data)
         yield pa.RecordBatch.from_pydict({

@@ -48,8 +48,8 @@ def _power_table(kind: str, base: np.uint64, n: int) -> np.ndarray:
     return have
 
 
-def text_blocks(column) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets) for runs of rows of about BLOCK_BYTES; a longer text is a run of its own."""
+def text_blocks(column, size: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets) for runs of rows of about `size` bytes; a longer text is a run of its own."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.cast(pa.large_string()).fill_null("")
@@ -58,7 +58,7 @@ def text_blocks(column) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     data = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
     at = 0
     while at < len(column):
-        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BLOCK_BYTES, side="right")) - 1)
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, side="right")) - 1)
         end = min(end, len(column))
         yield at, end, data[offsets[at]:offsets[end]], offsets[at:end + 1] - offsets[at]
         at = end

@@ -245,6 +245,51 @@ def test_token_files(spark):
     assert [r.ids for r in got if r.doc_id == 6] == [[31373, 220, 50256, 2124, 0]]
 
 
+def _tokens(limit: int = 1000):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    with open(path, encoding="utf-8") as f:
+        return simple8b._Tokens(f.read(), limit)
+
+
+def test_ids_of_pieces_are_those_of_whole_texts():
+    import random
+
+    import pyarrow as pa
+
+    rng, tokens = random.Random(5), _tokens(200)
+    parts = list("ab Z's  \n\t\r\x0b\x0c'.,;-$3\u0663\u00bd\u00e9\u00d7\u00c0\u00df\ufb01\u0414\u4e2d\u3042 \u0085\xa0\u1680\u180e\u2003\u200b\u2028\u202f\u205f\u3000"
+                 "\ufeff\u2014\u201d\U0001f600e\u0301\x00\x1c\x1f\x7f") + ["'s", "'re", " the", "don't", "\n\n", "  ", "<|endoftext|>", "<|endof", " a.b", "!?"]
+    texts = [None, ""] + ["".join(rng.choices(parts, k=rng.randint(0, 30))) for _ in range(4000)]
+    got = list(tokens.encode(pa.array(texts)))
+    assert [g.tolist() for g in got] == [tokens.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [g.tolist() for g in tokens.encode(pa.array([None, ""], pa.string()))] == [[], []]
+    assert list(tokens.encode(pa.array([], pa.string()))) == []
+
+
+def test_words_side_by_side_are_learnt_once():
+    import pyarrow as pa
+
+    words_ = [f"{a}{b}" for a in "Bcdfg" for b in ("oma", "illo", "uste", "\u00e9ra", "en")]
+    tokens = _tokens()
+    texts = [f"{a}{mark}{b}" for a in words_ for b in words_ for mark in (".\n", ", ", "/", "-&&& ")]
+    assert len(list(tokens.encode(pa.array(texts)))) == len(texts)
+    assert len(tokens.pieces.new) <= 4 * len(words_)  # not the number of pairs
+
+
+def test_a_definition_that_cuts_elsewhere_goes_to_the_library_whole():
+    import json
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        parts = json.load(f)
+    parts["pre_tokenizer"]["add_prefix_space"] = True
+    definition, texts = json.dumps(parts), ["hello world.\nagain", " x", ""]
+    want = [Tokenizer.from_str(definition).encode(t, add_special_tokens=False).ids for t in texts]
+    assert [g.tolist() for g in simple8b._Tokens(definition).encode(pa.array(texts))] == want
+
+
 # -- 5: pages -------------------------------------------------------------------------------------------------
 
 
