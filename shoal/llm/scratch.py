@@ -70,6 +70,14 @@ def without(docs: DataFrame, doc_id: str, ids: DataFrame) -> DataFrame:
     return docs.join(small(ids), F.col(doc_id).eqNullSafe(F.col(name)), "left_anti")
 
 
+def trim() -> None:
+    """Give the free memory of this process back to the system."""
+    pa.default_memory_pool().release_unused()
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
+    if give is not None:
+        give(0)
+
+
 def release(spark: SparkSession) -> None:
     """Let the idle worker processes forget what they keep and give their free memory back to the system.
 
@@ -83,10 +91,7 @@ def release(spark: SparkSession) -> None:
             for kept in ("_workers", "_powers"):
                 getattr(module, kept, {}).clear()
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
-        if trim is not None:
-            trim(0)
+        trim()
         time.sleep(0.1)  # so that one worker does not take all tasks of its executor
 
     tasks = 4 * spark.sparkContext.defaultParallelism
