@@ -37,7 +37,7 @@ from shoal.llm.words import text_blocks
 
 BLOCK_IDS = 1 << 14
 FILE_CHARS = 16 << 20
-MAX_PIECES = 300_000
+MAX_PIECES, PIECE_BYTES = 300_000, 64
 TEXT_BYTES = 2 << 20
 BATCH_ROWS = "1000"
 _ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -240,7 +240,10 @@ def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class _Kept:
-    """Pieces and their ids, as flat columns. Once `limit` pieces have been asked for since the last time, the others go."""
+    """Pieces and their ids, as flat columns. Once `limit` pieces have been asked for since the last time, the others go.
+
+    So they do, and long pieces with them, once all take more than `PIECE_BYTES` times `limit` bytes.
+    """
 
     def __init__(self, limit: int):
         self.limit = limit
@@ -265,9 +268,10 @@ class _Kept:
         return places
 
     def shrink(self) -> None:
-        if np.count_nonzero(self.asked) >= self.limit:
-            asked = self.asked
-            self._set(self.pieces.filter(pa.array(asked)), self.ids[np.repeat(asked, self.sizes)], self.sizes[asked], np.zeros(np.count_nonzero(asked), dtype=bool))
+        if np.count_nonzero(self.asked) >= self.limit or self.pieces.nbytes + self.ids.nbytes > PIECE_BYTES * self.limit:
+            stay = self.asked & (pc.binary_length(self.pieces).to_numpy() <= PIECE_BYTES)
+            self._set(self.pieces.filter(pa.array(stay)), self.ids[np.repeat(stay, self.sizes)], self.sizes[stay],
+                      np.zeros(np.count_nonzero(stay), dtype=bool))
 
 
 class _Tokens:

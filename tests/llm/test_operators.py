@@ -276,6 +276,30 @@ def test_words_side_by_side_are_learnt_once():
     assert len(tokens.kept.pieces) <= 4 * len(words_)  # not the number of pairs
 
 
+def test_kept_pieces_stay_few():
+    import pyarrow as pa
+
+    tokens = _tokens(100)
+    for k in range(50):
+        texts = ["the same " + " ".join(f"w{chr(97 + i % 26)}{chr(97 + k % 26)}{chr(97 + k // 26)}" for i in range(26))]
+        got = [g.tolist() for g in tokens.encode(pa.array(texts))]
+        assert got == [tokens.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(tokens.kept.pieces) == len(tokens.kept.sizes) == len(tokens.kept.asked) <= 2 * 100 + 30
+        assert len(tokens.kept.ids) == tokens.kept.sizes.sum()
+    assert {b"the", b" same"} <= set(tokens.kept.pieces.to_pylist())  # what is in use stays
+    texts = ["x" * 20_000, "the same", "the same", "y" * 20_000]  # long pieces do not
+    assert [g.tolist() for g in tokens.encode(pa.array(texts))] == [tokens.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert tokens.kept.pieces.nbytes < 20_000 and len(tokens.kept.pieces) == len(tokens.kept.sizes) == len(tokens.kept.asked)
+
+
+def test_writing_ids_leaves_the_session_as_it_was(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    rows = [(k, f"text {k}") for k in range(3)]
+    simple8b.write_ids(documents(spark, rows), scratch_path(spark, "ids"), public_tokenizers.path("byte_bpe_50k.json"))
+    assert spark.conf.get(key) == before
+
+
 def test_a_definition_that_cuts_elsewhere_goes_to_the_library_whole():
     import json
 
