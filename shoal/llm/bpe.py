@@ -3,18 +3,21 @@
 A state of the transducer knows every place where a token may still begin: the bytes since that place, as a node of the
 trie of tokens, and the last token before it. Reading a byte gives the one token that ends there (two tokens may stand side
 by side only if the merges of their bytes give just these two). Tokens go out once the ways to all places of a state agree
-on them, at the latest after `LOOKAHEAD` bytes and a token. States and their transitions are made when first met and then kept,
+on them, which is asked every `LOOKAHEAD` bytes. States and their transitions are made when first met and then kept,
 so a byte costs one lookup; beyond `MAX_STATES` they are made anew.
 
-Texts are cut at single spaces between other characters, where the pattern always cuts, and the outputs for pieces and
-their words are kept too, `MAX_WORDS` new ones at a time. The limits bound memory only; outputs do not depend on them.
+Texts are cut into pieces, a block of them at a time, where the pattern always cuts: the usual one at marks, line breaks and
+white space (`piece_starts`), any other at single spaces between other characters. The distinct pieces of a block are found by
+Arrow, the outputs for pieces and for the words of those that hold several are kept, `MAX_WORDS` at a time. The limits bound
+memory only; outputs do not depend on them.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import re
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +25,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shoal.llm.simple8b import KINDS, Kept, piece_starts
+from shoal.llm.words import text_blocks
+
 LOOKAHEAD = 1024
 MAX_STATES = 150_000
 MAX_PAIRS = 250_000
 MAX_WORDS = 100_000
 BLOCK_TOKENS = 8192
-_TIGHT = re.compile(r" \s|\s ")
+TEXT_BYTES = 2 << 20
+USUAL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 def parse_ranks(data: bytes) -> dict[bytes, int]:
@@ -35,18 +42,15 @@ def parse_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, data.splitlines()) if token}
 
 
-def space_pieces(text: str) -> list[str]:
-    """Pieces whose concatenation is `text`, cut before each space that stands alone between other characters."""
-    parts = text.split(" ")
-    if not _TIGHT.search(text) and parts[0] and parts[-1]:
-        return [parts[0], *[" " + p for p in parts[1:]]]
-    out = [parts[0]]
-    for p in parts[1:]:
-        if p and out[-1] and not p[0].isspace() and not out[-1][-1].isspace():
-            out.append(" " + p)
-        else:
-            out[-1] += " " + p
-    return out if out[0] else out[1:]
+def space_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where pieces begin in the bytes of some texts: at each text, and before each space between two ASCII letters, digits or marks."""
+    n = len(data)
+    cut = np.zeros(n + 1, dtype=bool)
+    kinds = KINDS[data]
+    cut[1:n - 1] = (kinds[1:-1] == 1) & (kinds[:-2] > 3) & (kinds[2:] > 3)
+    cut[offsets[1:] - 1] = False  # a space at the end of a text
+    cut[offsets] = True
+    return np.flatnonzero(cut[:n])
 
 
 class _Memory:
@@ -70,14 +74,19 @@ class _Memory:
         return value
 
 
-class _State:
-    """Places where a token may begin: the trie node of the bytes since then, and in the lower 32 bits the last token before it plus 1."""
+class _State(dict):
+    """Places where a token may begin: the trie node of the bytes since then, and in the lower 32 bits the last token before it plus 1.
+
+    Holds, for each byte met so far, the one token that ends with it and the state after it.
+    """
+
+    __slots__ = ("places", "step")
 
-    __slots__ = ("places", "next")
+    def __init__(self, places: tuple, step):
+        self.places, self.step = places, step
 
-    def __init__(self, places: tuple):
-        self.places = places
-        self.next: dict[int, tuple[int, _State]] = {}
+    def __missing__(self, byte: int) -> tuple:
+        return self.step(self, byte)
 
 
 class Transducer:
@@ -109,7 +118,7 @@ class Transducer:
         self._reset()
 
     def _reset(self) -> None:
-        self.start = _State((0,))
+        self.start = _State((0,), self._step)
         self.states = {self.start.places: self.start}
 
     def merges(self, data: bytes, below: int = 1 << 60) -> list[int]:
@@ -154,9 +163,12 @@ class Transducer:
         known = self._pairs.get(key)
         if known is None:
             rank, whole = self.ranks.get, self._spines(token)
-            known = whole[0] and not any(
-                (r := rank(x + y)) is not None and r < used_x and r <= used_y
-                for x, used_x in self._spines(before)[1] for y, used_y in whole[2])
+            known = whole[0]
+            for x, used_x in self._spines(before)[1] if known else ():
+                for y, used_y in whole[2]:
+                    r = rank(x + y)
+                    if r is not None and r < used_x and r <= used_y:
+                        known = False
             if len(self._pairs) >= MAX_PAIRS:
                 self._pairs.clear()
             self._pairs[key] = known
@@ -180,8 +192,8 @@ class Transducer:
         key = tuple(places)
         following = self.states.get(key)
         if following is None:
-            following = self.states[key] = _State(key)
-        found = state.next[byte] = ended, following
+            following = self.states[key] = _State(key, self.start.step)
+        found = state[byte] = ended, following
         return found
 
     def _agreed(self, state: _State, ends: list[int]) -> int:
@@ -206,14 +218,15 @@ class Transducer:
         if len(self.states) > self.max_states:
             self._reset()
         state, ends, out = self.start, [-1], []
-        for byte in data:
-            step = state.next.get(byte)
-            token, state = step if step is not None else self._step(state, byte)
-            ends.append(token)
-            if len(ends) > LOOKAHEAD:
+        append = ends.append
+        for at in range(0, len(data), LOOKAHEAD):
+            if at:
                 sure = self._agreed(state, ends)
                 out += self._way(ends, sure)
                 del ends[1:sure + 1]
+            for byte in data[at:at + LOOKAHEAD]:
+                token, state = state[byte]
+                append(token)
         if out:
             return out + self._way(ends, len(ends) - 1)
         return self._way(ends, len(ends) - 1)
@@ -225,24 +238,38 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str, max_states: int = MAX_STATES, max_words: int = MAX_WORDS):
         self.transducer = Transducer(ranks, max_states)
         self.pattern = regex.compile(pattern)
-        self._words, self._pieces = _Memory(max_words), _Memory(max_words)
+        self.starts = piece_starts if pattern == USUAL_PATTERN else space_starts
+        self._words, self._pieces = _Memory(max_words), Kept(max_words)
 
     def _word(self, word: str) -> bytes:
         ids = self._words.get(word)
         if ids is None:
-            ids = np.array(self.transducer.encode(word.encode("utf-8")), dtype="<u4").tobytes()
-            self._words.put(word, ids)
+            ids = self._words.put(word, self._ids(word.encode("utf-8")))
         return ids
 
-    def _piece(self, piece: str) -> bytes:
-        ids = self._pieces.get(piece)
-        if ids is None:
-            ids = self._pieces.put(piece, b"".join(map(self._word, self.pattern.findall(piece))))
-        return ids
+    def _ids(self, word: bytes) -> bytes:
+        return array("I", self.transducer.encode(word)).tobytes()
+
+    def _learn(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of new pieces; most are one word, which is kept as a piece only."""
+        out = []
+        for piece in pieces:
+            words = self.pattern.findall(piece.decode("utf-8"))
+            out.append(self._ids(piece) if len(words) == 1 else b"".join(map(self._word, words)))
+        return out
+
+    def blocks(self, column: pa.Array) -> Iterator[tuple[np.ndarray, list[int], np.ndarray, list[int]]]:
+        """For runs of texts: their ids, where those of each text begin, with their end; their bytes, and the same for these."""
+        for _, _, data, offsets in text_blocks(column, TEXT_BYTES):
+            if not len(data):
+                yield np.zeros(0, "<u4"), [0] * len(offsets), data, offsets.tolist()
+                continue
+            starts = self.starts(data, offsets)
+            ids, ends = self._pieces.ids_of(data, starts, self._learn)
+            yield ids, np.concatenate([[0], ends])[np.searchsorted(starts, offsets)].tolist(), data, offsets.tolist()
 
     def encode(self, text: str) -> np.ndarray:
-        have = self._pieces.new.get
-        return np.frombuffer(b"".join([have(p) or self._piece(p) for p in space_pieces(text)]), dtype="<u4")
+        return next(self.blocks(pa.array([text], pa.string())))[0]
 
 
 class Utf8Machine:
@@ -274,22 +301,23 @@ class Decoder:
     """Bytes of a stream of ids, in pieces of whole characters: an open character waits for its other bytes."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.table: list[bytes] = [b""] * (max(ranks.values(), default=-1) + 1)
+        table = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
-            self.table[rank] = token
-        self.digits = [str(i) for i in range(len(self.table))]
-        self.alone = np.array([_complete(token) for token in self.table], dtype=bool)
+            table[rank] = token
+        self.table = pa.array(table, pa.large_binary())
+        self.digits = pa.array([b"%d " % i for i in range(len(table))], pa.large_binary())
+        self.size = np.array([len(token) for token in table], dtype=np.int64)
+        self.alone = np.array([_complete(token) for token in table], dtype=bool)
 
     def pieces(self, ids: np.ndarray, block: int = BLOCK_TOKENS):
         machine, held = Utf8Machine(), b""
         for at in range(0, len(ids), block):
             part = ids[at:at + block]
-            tokens = [self.table[i] for i in part.tolist()]
             # tokens that are whole characters leave a machine at rest where it is
-            for k in np.flatnonzero(~self.alone[part]).tolist():
-                machine.feed(tokens[k])
-            data = held + b"".join(tokens)
-            held = b""
+            for token in self.table.take(pa.array(part[~self.alone[part]])).to_pylist():
+                machine.feed(token)
+            data, _ = _joined(self.table, part)
+            data, held = held + data.tobytes(), b""
             if machine.need:
                 cut = len(data) - 1
                 while data[cut] & 0xC0 == 0x80:
@@ -300,6 +328,15 @@ class Decoder:
             raise ValueError("the last character breaks off")
 
 
+def _joined(table: pa.Array, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The entries of `table` for the ids, one after the other, and where each begins, with their end."""
+    taken = table.take(pa.array(ids))
+    data = taken.buffers()[2]
+    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    places = np.frombuffer(taken.buffers()[1], np.int64, len(ids) + 1, taken.offset * 8) if len(ids) else np.zeros(1, np.int64)
+    return data[places[0]:places[-1]], places - places[0]
+
+
 def _complete(token: bytes) -> bool:
     try:
         token.decode("utf-8")
@@ -335,22 +372,20 @@ def encoded(docs: DataFrame, rank_file: str, pattern: str, text: str = "text", d
 
     def run(batches):
         encoder, decoder = _of_worker(held)
-        digits = decoder.digits
         for batch in batches:
             counts, shas, decoded, lists = [], [], [], []
-            for content in batch.column("text").to_pylist():
-                content = content or ""
-                ids = encoder.encode(content)
-                counts.append(len(ids))
-                shas.append(hashlib.sha256(" ".join([digits[i] for i in ids.tolist()]).encode()).hexdigest())
-                digest = hashlib.sha256()
-                for piece in decoder.pieces(ids):
-                    digest.update(piece)
-                decoded.append(digest.hexdigest())
-                if decoded[-1] != hashlib.sha256(content.encode("utf-8")).hexdigest():
-                    raise ValueError("a text is not what its ids decode to")
-                if with_ids:
-                    lists.append(ids.astype(np.int32))
+            for ids, places, data, offsets in encoder.blocks(batch.column("text")):
+                decimals, at = _joined(decoder.digits, ids)
+                at, back = at[places].tolist(), memoryview(b"".join(decoder.pieces(ids)))
+                ends = np.concatenate([[0], np.cumsum(decoder.size[ids])])[places].tolist()
+                for k, (a, b) in enumerate(zip(places[:-1], places[1:])):
+                    counts.append(b - a)
+                    shas.append(hashlib.sha256(decimals[at[k]:max(at[k], at[k + 1] - 1)]).hexdigest())
+                    decoded.append(hashlib.sha256(back[ends[k]:ends[k + 1]]).hexdigest())
+                    if decoded[-1] != hashlib.sha256(data[offsets[k]:offsets[k + 1]]).hexdigest():
+                        raise ValueError("a text is not what its ids decode to")
+                    if with_ids:
+                        lists.append(ids[a:b].astype(np.int32))
             columns = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(shas, pa.string()),
                        pa.array(decoded, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]

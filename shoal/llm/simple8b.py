@@ -204,7 +204,7 @@ def _borders() -> np.ndarray:
     return table.ravel()
 
 
-_KINDS, _BORDERS = _kinds(), _borders()
+KINDS, _BORDERS = _kinds(), _borders()
 
 
 def _blank(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -224,7 +224,7 @@ def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """
     n = len(data)
     cut = np.zeros(n + 1, dtype=bool)
-    kinds = _KINDS[data]
+    kinds = KINDS[data]
     borders = _BORDERS[kinds[:-1] << 3 | kinds[1:]]
     cut[1:n] = borders == 1
     at = np.flatnonzero(borders > 1) + 1
@@ -239,7 +239,7 @@ def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut[:n])
 
 
-class _Kept:
+class Kept:
     """Pieces and their ids, as flat columns. Once `limit` pieces have been asked for since the last time, the others go.
 
     So they do, and long pieces with them, once all take more than `PIECE_BYTES` times `limit` bytes.
@@ -267,6 +267,17 @@ class _Kept:
         self.asked[places] = True
         return places
 
+    def ids_of(self, data: np.ndarray, starts: np.ndarray, learn) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the pieces that begin at `starts`, and where those of each piece end."""
+        bounds = np.append(starts, len(data)).astype(np.int32)
+        coded = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(data)]).dictionary_encode()
+        number = self.places(coded.dictionary, learn)[coded.indices.to_numpy()]
+        n = self.sizes[number]
+        ends = np.cumsum(n)
+        ids = self.ids[np.repeat(self.firsts[number] - (ends - n), n) + np.arange(int(ends[-1]))]
+        self.shrink()
+        return ids, ends
+
     def shrink(self) -> None:
         if np.count_nonzero(self.asked) >= self.limit or self.pieces.nbytes + self.ids.nbytes > PIECE_BYTES * self.limit:
             stay = self.asked & (pc.binary_length(self.pieces).to_numpy() <= PIECE_BYTES)
@@ -289,7 +300,7 @@ class _Tokens:
         self.tokenizer = Tokenizer.from_str(definition)
         self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.letters = _byte_letters()
-        self.kept = _Kept(max_pieces)
+        self.kept = Kept(max_pieces)
         splits = json.loads(self.tokenizer.pre_tokenizer.__getstate__()) if self.tokenizer.pre_tokenizer else {}
         self.cuts = (splits.get("type") == "ByteLevel" and splits.get("use_regex", True) and not splits.get("add_prefix_space", True)
                      and not self.tokenizer.normalizer and not self.tokenizer.truncation and not self.tokenizer.padding)
@@ -333,14 +344,7 @@ class _Tokens:
         if not len(data):
             return np.zeros(0, "<u4"), [0] * len(offsets)
         starts = piece_starts(data, offsets)
-        bounds = np.append(starts, len(data)).astype(np.int32)
-        coded = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(data)]).dictionary_encode()
-        kept = self.kept
-        number = kept.places(coded.dictionary, self._learn)[coded.indices.to_numpy()]
-        n = kept.sizes[number]
-        ends = np.cumsum(n)
-        ids = kept.ids[np.repeat(kept.firsts[number] - (ends - n), n) + np.arange(int(ends[-1]))]
-        kept.shrink()
+        ids, ends = self.kept.ids_of(data, starts, self._learn)
         return ids, np.concatenate([[0], ends])[np.searchsorted(starts, offsets)].tolist()
 
 

@@ -206,6 +206,39 @@ def test_encoded_rows(spark):
     assert got[None].decoded_sha256 == hashlib.sha256("Grüße 😀".encode()).hexdigest()
 
 
+def test_each_piece_of_a_block_is_encoded_once():
+    import tiktoken
+
+    with open(RANKS, "rb") as f:
+        ranks = bpe.parse_ranks(f.read())
+    words_ = [f"{a}{b}" for a in "Bcdfg" for b in ("oma", "illo", "uste", "\u00e9ra", "en")]
+    texts = [None, *(f"{a}{mark}{b} {a}" for a in words_ for b in words_ for mark in (".\n", ", ", "/", "-&&& ", "\t", "\u3002 ")), ""]
+    for pattern in (public_tokenizers.PATTERN, r" ?\w+(?:'\w+)?|[^\w\s]+\w*|\s+"):
+        library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        encoder, read = bpe.Encoder(ranks, pattern), []
+        encode = encoder.transducer.encode
+        encoder.transducer.encode = lambda data: read.append(data) or encode(data)
+        got = [ids[a:b].tolist() for ids, places, *_ in encoder.blocks(pa.array(texts)) for a, b in zip(places[:-1], places[1:])]
+        assert got == [library.encode_ordinary(t or "") for t in texts]
+        if pattern == public_tokenizers.PATTERN:
+            assert max(map(read.count, read)) <= 2  # as a piece, and as a word of longer pieces
+            assert len(encoder._pieces.pieces) <= 8 * len(words_)  # not the number of pairs
+
+
+def test_memories_that_run_over_change_no_ids():
+    import random
+
+    with open(RANKS, "rb") as f:
+        ranks = bpe.parse_ranks(f.read())
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choices("etaoinshr'\u00e9\u4e2d1.", k=rng.randint(0, 9))) for _ in range(40)) for _ in range(60)]
+    texts += ["ab" * 2000 + " " + "aaab" * 700, "x" * 1025, "y" * 1024]
+    wide, narrow = bpe.Encoder(ranks, public_tokenizers.PATTERN), bpe.Encoder(ranks, public_tokenizers.PATTERN, 50, 20)
+    for t in texts:
+        assert narrow.encode(t).tolist() == wide.encode(t).tolist()
+    assert len(narrow._pieces.pieces) <= 2 * 60
+
+
 def test_utf8_machine_refuses_what_is_not_utf8():
     for bad in (b"\x80", b"\xc0\xaf", b"\xed\xa0\x80", b"\xf5", b"\xe2\x28"):
         with pytest.raises(ValueError):
