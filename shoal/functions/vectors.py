@@ -79,6 +79,37 @@ def unpacked(column: pa.Array, kind) -> np.ndarray:
     return np.frombuffer(data.tobytes() if offsets[0] % np.dtype(kind).itemsize else data, kind).reshape(len(column), -1)
 
 
+def bytes_column(offsets: np.ndarray, flat: np.ndarray) -> pa.Array:
+    """The lists in `flat` that `offsets` cut, each as bytes."""
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer((offsets * flat.itemsize).astype(np.int32)), pa.py_buffer(flat)])
+
+
+def bytes_lists(column: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and numbers of the lists that `bytes_column` packed."""
+    size = np.dtype(kind).itemsize
+    if len(column) == 0:
+        return np.zeros(1, np.int64), np.zeros(0, kind)
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1].astype(np.int64)
+    data = column.buffers()[2]
+    flat = np.frombuffer(data, np.uint8)[offsets[0]:offsets[-1]].tobytes() if data is not None else b""
+    return (offsets - offsets[0]) // size, np.frombuffer(flat, kind)
+
+
+def steps(offsets: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """Each number of the lists less the one before it in its list, which is small where lists ascend."""
+    out = np.diff(flat, prepend=flat[:1] * 0).astype(flat.dtype)
+    first = offsets[:-1][np.diff(offsets) > 0]
+    out[first] = flat[first]
+    return out
+
+
+def unstepped(offsets: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """The lists of which `flat` holds the `steps`."""
+    total = np.cumsum(flat, dtype=np.int64)
+    before = np.append(0, total)[offsets[:-1]]
+    return (total - np.repeat(before, np.diff(offsets))).astype(flat.dtype)
+
+
 def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """All squared Euclidean distances between two blocks by one matrix product."""
     out = a @ b.T

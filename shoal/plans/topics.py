@@ -12,12 +12,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoal.functions.text import WORD, tokens
-from shoal.functions.vectors import values
+from shoal.functions.vectors import bytes_lists, unstepped, values
 from shoal.operators.clusters import top_n_per_group
 from shoal.operators.encode import exploded, smooth_idf
-from shoal.operators.grams import hashed_words, most_frequent
-from shoal.plans.subclusters import subtopics_of_clusters
-from shoal.session import BROADCAST_ROWS, checkpoint, computed_once, stored
+from shoal.operators.grams import most_frequent, packed_words, unpacked_cells
+from shoal.plans.subclusters import Counts, row_cells, subtopics_of_clusters
+from shoal.session import BROADCAST_ROWS, checkpoint, computed_once, dropped, shuffles_dropped, stored
 
 # Fixed values of the breakdown.
 NGRAM_RANGE = (1, 5)
@@ -36,18 +36,23 @@ def english_stop_words() -> list[str]:
 
 
 def title_words(titles: DataFrame, stop_words: list[str]) -> DataFrame:
-    """(id, words, h1, h2): the tokens of the titles without stop words, hashed for counting."""
-    return hashed_words(titles.select("id", "title"), tokens(F.col("title"), stop_words))
+    """The tokens of the titles without stop words, in blocks for counting."""
+    return packed_words(titles.select("id", "title"), tokens(F.col("title"), stop_words))
 
 
 @dataclass
 class Terms:
-    """`vocabulary(code, term, total, df, idf)` and `cells(id, cells(code, tf))`, where its terms occur; at most `max_terms` terms."""
+    """`vocabulary(code, term, total, df, idf)` and where its terms occur (see `grams.Vocabulary`); at most `max_terms` terms."""
 
     vocabulary: DataFrame
-    cells: DataFrame
+    packed: DataFrame
     max_terms: int
 
+    @property
+    def cells(self) -> DataFrame:
+        """(id, cells(code, tf))"""
+        return unpacked_cells(self.packed)
+
     @property
     def counts(self) -> DataFrame:
         """(id, code, tf)"""
@@ -57,35 +62,56 @@ class Terms:
 def title_terms(words: DataFrame, max_terms: int = MAX_TERMS) -> Terms:
     """The most frequent 1- to 5-grams of `title_words`, ties by term, and where they occur."""
     found = most_frequent(words, *NGRAM_RANGE, max_terms)
-    return Terms(found.terms.withColumn("idf", smooth_idf(F.col("df"), found.rows)), found.cells, max_terms)
+    return Terms(found.terms.withColumn("idf", smooth_idf(F.col("df"), found.rows)), found.packed, max_terms)
 
 
-def weighted(terms: Terms) -> DataFrame:
-    """(id, cells(code, tf, weight)): tf * idf, each title scaled to unit length. Rows that share an id are scaled together, null ids too."""
+def terms_of(titles: DataFrame, stop_words: list[str], max_terms: int = MAX_TERMS) -> Terms:
+    """`title_terms` of titles whose words nothing else needs."""
+    words = title_words(titles, stop_words)
+    found = title_terms(words, max_terms)
+    dropped(words)
+    return found
+
+
+def counted(terms: Terms) -> Counts:
+    """The weights tf * idf, each title scaled to unit length, as counts. Rows that share an id are scaled together, null ids too."""
     table = terms.vocabulary.select("code", "idf").toArrow()  # bounded by `max_terms`
     idf = np.zeros(table.num_rows)
     idf[values(table.column("code"))] = values(table.column("idf"))
-    shipped = terms.cells.sparkSession.sparkContext.broadcast(idf)
-    id_type = terms.cells.schema["id"].dataType.simpleString()
+    shipped = terms.packed.sparkSession.sparkContext.broadcast(idf)
+    id_type = terms.packed.schema["id"].dataType.simpleString()
+
+    def squares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            offsets, codes = bytes_lists(batch.column("codes"), np.int32)
+            w = bytes_lists(batch.column("counts"), np.int32)[1] * shipped.value[unstepped(offsets, codes)]
+            row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.bincount(row, weights=w * w, minlength=batch.num_rows))], names=["id", "square"])
+
+    # A row alone gives its length itself; only ids that come again need that of all their rows.
+    again = terms.packed.mapInArrow(squares, f"id {id_type}, square double").groupBy(F.col("id").alias("_id")).agg(
+        F.sqrt(F.sum("square")).alias("norm"), F.count("*").alias("_n")).filter(F.col("_n") > 1).select("_id", "norm")
+    again = stored(again, "norms")
+    n = again.count()
+    rows = terms.packed.select("id", "codes", "counts")
+    if n == 0:
+        return Counts(rows.withColumn("norm", F.lit(None).cast("double")), shipped, True)
+    return Counts(rows.join(F.broadcast(again) if n <= BROADCAST_ROWS else again, F.col("id").eqNullSafe(F.col("_id")), "left").drop("_id"), shipped, False)
+
+
+def weighted(terms: Terms) -> DataFrame:
+    """(id, cells(code, tf, weight)): tf * idf, each title scaled to unit length. Rows that share an id are scaled together, null ids too."""
+    found = counted(terms)
+    factors, id_type = found.factors, found.rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column("cells")
-            if len(column) == 0:
-                continue
-            offsets, flat = column.offsets.to_numpy(), column.flatten()
-            offsets = offsets - offsets[0]
-            w = values(flat.field("tf")) * shipped.value[values(flat.field("code"))]
-            cells = pa.StructArray.from_arrays([flat.field("code"), flat.field("tf"), pa.array(w)], names=["code", "tf", "weight"])
-            row = np.repeat(np.arange(len(column)), np.diff(offsets))
-            yield pa.RecordBatch.from_arrays(  # squares are added one after the other, as Spark adds them
-                [batch.column("id"), pa.array(np.bincount(row, weights=w * w, minlength=len(column))), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), cells)],
-                names=["id", "square", "cells"])
-
-    raw = terms.cells.mapInArrow(run, f"id {id_type}, square double, cells array<struct<code:int,tf:bigint,weight:double>>")
-    raw = raw.withColumn("_norm", F.sqrt(F.sum("square").over(Window.partitionBy("id"))))
-    scaled = F.transform("cells", lambda c: F.struct(c["code"].alias("code"), c["tf"].alias("tf"), (c["weight"] / F.col("_norm")).alias("weight")))
-    return raw.select("id", scaled.alias("cells"))
+            offsets, codes, w = row_cells(batch, factors)
+            tf = bytes_lists(batch.column("counts"), np.int32)[1].astype(np.int64)
+            cells = pa.StructArray.from_arrays([pa.array(codes), pa.array(tf), pa.array(w)], names=["code", "tf", "weight"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), cells)], names=["id", "cells"])
+
+    return found.rows.mapInArrow(run, f"id {id_type}, cells array<struct<code:int,tf:bigint,weight:double>>")
 
 
 def _names(terms: Terms) -> DataFrame:
@@ -98,20 +124,23 @@ def tfidf(terms: Terms) -> DataFrame:
     return weighted(terms).select("id", F.inline("cells")).join(_names(terms), "code").select("id", "code", "term", "tf", "weight")
 
 
-def subtopics(weights: DataFrame, ids: DataFrame, k: int = SUBTOPICS, seed: int = SEED) -> DataFrame:
-    """(id, subtopic): k-means on the TF-IDF rows (of `tfidf` or `weighted`) of one cluster's titles, `ids(id)`."""
+def subtopics(weights: DataFrame | Counts, ids: DataFrame, k: int = SUBTOPICS, seed: int = SEED) -> DataFrame:
+    """(id, subtopic): k-means on the TF-IDF rows (of `tfidf`, `weighted` or `counted`) of one cluster's titles, `ids(id)`."""
     one = ids.select("id", F.lit(0).alias("cluster_id"))
     return subtopics_of_clusters(weights, one, k, seed).labels.select("id", "subtopic")
 
 
-def top_terms(weights: DataFrame, labels: DataFrame, n: int = TOP_TERMS, terms: Terms | None = None) -> DataFrame:
+def top_terms(weights: DataFrame | None, labels: DataFrame, n: int = TOP_TERMS, terms: Terms | None = None, sums: DataFrame | None = None) -> DataFrame:
     """(subtopic, rank, term, weight): largest mean weights of each subtopic; rows without a term count as 0. `labels` may have a cluster_id.
 
-    `weights` are those of `tfidf`, or those of `weighted` together with their `terms`.
+    `weights` are those of `tfidf`, or those of `weighted` together with their `terms`. Where the `sums(subtopic, code, weight)` by label are
+    at hand, they stand for the weights.
     """
     by = [c for c in labels.columns if c in ("cluster_id", "subtopic")]
     sizes = labels.groupBy(*by).agg(F.count("*").alias("size"))
-    if terms is None:
+    if sums is not None:
+        sums = sums.select(*by, "code", F.col("weight").alias("_sum")).join(_names(terms), "code")
+    elif terms is None:
         sums = weights.join(labels, "id").groupBy(*by, "term").agg(F.sum("weight").alias("_sum"))
     else:
         cells = weights.join(labels, "id").select(*by, F.inline("cells"))
@@ -123,19 +152,25 @@ def top_terms(weights: DataFrame, labels: DataFrame, n: int = TOP_TERMS, terms:
 
 
 def sample_titles(titles: DataFrame, labels: DataFrame, n: int = SAMPLE_TITLES) -> DataFrame:
-    """(subtopic, rank, id, title): the first titles of each subtopic by id. `labels` may have a cluster_id."""
+    """(subtopic, rank, id, title): the first titles of each subtopic by id. `labels` may have a cluster_id.
+
+    The first labels that have a title hold the first titles, so titles are not shuffled: few labels meet them, measured.
+    """
     by = [c for c in labels.columns if c in ("cluster_id", "subtopic")]
-    return top_n_per_group(titles.join(labels, "id"), by, ["id"], n).select(*by, "rank", "id", "title")
+    have = labels.select(*by, "id").join(titles.select("id").distinct(), "id", "left_semi")
+    first = stored(top_n_per_group(have, by, ["id"], n).select(*by, "id"), "first")
+    few = first.count() <= BROADCAST_ROWS
+    return top_n_per_group(titles.join(F.broadcast(first) if few else first, "id"), by, ["id"], n).select(*by, "rank", "id", "title")
 
 
-def topic_tree(titles: DataFrame, weights: DataFrame, labels: DataFrame, terms: Terms | None = None) -> DataFrame:
+def topic_tree(titles: DataFrame, weights: DataFrame | None, labels: DataFrame, terms: Terms | None = None, sums: DataFrame | None = None) -> DataFrame:
     """(subtopic, size, terms, titles), at most 7 terms and 5 titles per subtopic; per cluster too if `labels` has a cluster_id.
 
-    `weights` and `terms` are as in `top_terms`.
+    `weights`, `terms` and `sums` are as in `top_terms`.
     """
     by = [c for c in labels.columns if c in ("cluster_id", "subtopic")]
     sizes = labels.groupBy(*by).agg(F.count("*").alias("size"))
-    terms = top_terms(weights, labels, terms=terms).groupBy(*by).agg(_in_order("term").alias("terms"))
+    terms = top_terms(weights, labels, terms=terms, sums=sums).groupBy(*by).agg(_in_order("term").alias("terms"))
     shown = sample_titles(titles, labels).groupBy(*by).agg(_in_order("title").alias("titles"))
     empty = F.array().cast("array<string>")
     return sizes.join(terms, by, "left").join(shown, by, "left").select(
@@ -160,10 +195,12 @@ def topics_of_clusters(titles: DataFrame, clusters: DataFrame, k: int = SUBTOPIC
 
     The vocabulary is that of all titles together.
     """
-    terms = title_terms(title_words(titles, english_stop_words() if stop_words is None else stop_words), max_terms)
-    weights = stored(weighted(terms), "weights")
-    labels = subtopics_of_clusters(weights, clusters, k).labels
-    return topic_tree(titles if shown is None else shown, weights, checkpoint(labels), terms)
+    terms = terms_of(titles, english_stop_words() if stop_words is None else stop_words, max_terms)
+    found = subtopics_of_clusters(counted(terms), clusters, k, with_sums=True)
+    with shuffles_dropped(titles.sparkSession):
+        tree = checkpoint(topic_tree(titles if shown is None else shown, None, found.labels, terms, found.sums))
+    dropped(terms.packed, found.sums)
+    return tree
 
 
 def _log_likelihood(k: Column, n: Column, x: Column) -> Column:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -61,14 +63,34 @@ def checkpoint(df):
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a job that starts in here go as it ends, not when the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def stored(df, name: str):
     """`df` as Parquet in the shared folder: what is read several times, and not always all columns of it."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    with shuffles_dropped(spark):
+        df.write.parquet(path, compression="zstd")
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables) -> None:
+    """Delete tables that `stored` gave and nothing reads any more."""
+    for table in tables:
+        for path in {name.rsplit("/", 1)[0] for name in table.inputFiles()}:
+            discard(table.sparkSession, path)
+
+
 def spread(df, key: str):
     """Use all cores on an input that is read in fewer partitions than there are cores; else leave it alone.
 
