@@ -2,24 +2,27 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoal.catalog.common import SEED, SQL_TEXT, SQL_TITLE, sql_bits, table, texts, titles
 from shoal.functions.hashing import digest, leading_bits
 from shoal.functions.text import TOKEN, WORD
-from shoal.functions.vectors import list_column
+from shoal.functions.vectors import values
 from shoal.plans import topics
-from shoal.plans.subclusters import subtopics_of_clusters
-from shoal.session import BROADCAST_ROWS, stored
+from shoal.plans.subclusters import row_cells, subtopics_of_clusters
+from shoal.session import BROADCAST_BYTES
 
 MAX_TERMS = topics.MAX_TERMS
 STOP_WORDS = ["the", "of", "and", "to", "in", "is", "it", "that", "for", "on", "with", "as", "at", "by", "an", "be"]
 
 
 def _terms(spark, sf_dir):
-    return topics.title_terms(topics.title_words(texts(spark, sf_dir), STOP_WORDS), MAX_TERMS)
+    return topics.terms_of(texts(spark, sf_dir), STOP_WORDS, MAX_TERMS)
 
 
 def _labels(spark, sf_dir):
@@ -29,7 +32,7 @@ def _labels(spark, sf_dir):
 
 
 def _weights(spark, sf_dir):
-    return topics.weighted(_terms(spark, sf_dir))
+    return topics.counted(_terms(spark, sf_dir))
 
 
 def title_vocabulary(spark, sf_dir):
@@ -56,25 +59,38 @@ def subtopic_labels(spark, sf_dir):
 
 def subtopic_check(spark, sf_dir):
     """Rows labelled, labels outside [0, k), and rows with another centre of their cluster nearer than their own."""
-    return _checked(stored(_weights(spark, sf_dir), "weights"), _ids(spark, sf_dir).withColumn("cluster_id", F.lit(0))).drop("cluster_id")
+    return _checked(_weights(spark, sf_dir), _ids(spark, sf_dir).withColumn("cluster_id", F.lit(0))).drop("cluster_id")
 
 
 def _checked(weights, clusters):
-    """Per cluster; the distances are measured anew from the weights and the centres as tables."""
+    """Per cluster; the distances are measured anew from the weights and the centres, row by row of the weights that meet a label."""
     found = subtopics_of_clusters(weights, clusters, topics.SUBTOPICS)
-    spark = weights.sparkSession
-    codes = [m.codes for m in found.centres.values()]
-    columns = [np.pad(m.matrix, ((0, topics.SUBTOPICS - len(m.matrix)), (0, 0))).T for m in found.centres.values()]
-    centres = spark.createDataFrame(pa.table({
-        "cluster_id": np.repeat(np.array(list(found.centres), np.int64), [len(c) for c in codes]),
-        "code": np.concatenate(codes or [[]]).astype(np.int32), "c": list_column(np.concatenate(columns or [np.zeros((0, topics.SUBTOPICS))]))}))
+    spark, labels, factors, k = weights.rows.sparkSession, found.labels, weights.factors, topics.SUBTOPICS
+    id_type = labels.schema["id"].dataType.simpleString()
     lengths = [(c, j, float(n)) for c, m in found.centres.items() for j, n in enumerate(m.lengths)]
     lengths = spark.createDataFrame(lengths, "cluster_id long, centre int, length double")
-    labels = found.labels
-    few = F.broadcast(centres) if sum(map(len, codes)) <= BROADCAST_ROWS else centres
-    cells = weights.join(labels, "id").select("cluster_id", "id", F.inline("cells")).join(few, ["cluster_id", "code"])
-    dots = cells.groupBy("id").agg(*[F.sum(F.col("weight") * F.col("c")[j]).alias(f"d{j}") for j in range(topics.SUBTOPICS)])
-    dots = dots.select("id", F.posexplode(F.array(*[f"d{j}" for j in range(topics.SUBTOPICS)])).alias("centre", "dot"))
+    parts = []
+    for names in _shippable(found.centres):
+        shipped = spark.sparkContext.broadcast({c: found.centres[c] for c in names})
+
+        def dots(batches, shipped=shipped):
+            for batch in batches:
+                offsets, codes, w = row_cells(batch, factors)
+                row, out = np.repeat(np.arange(batch.num_rows), np.diff(offsets)), np.zeros((batch.num_rows, k))
+                cluster = values(batch.column("cluster_id"))
+                for name in np.unique(cluster).tolist():
+                    at = np.flatnonzero(cluster[row] == name)
+                    own = shipped.value[name]
+                    for j, centre in enumerate(own.matrix):
+                        of = np.zeros(max(int(codes[at].max(initial=0)), int(own.codes.max(initial=0))) + 1)
+                        of[own.codes] = centre
+                        out[:, j] += np.bincount(row[at], weights=w[at] * of[codes[at]], minlength=batch.num_rows)
+                yield pa.RecordBatch.from_arrays([batch.column("id"), *[pa.array(out[:, j]) for j in range(k)]], names=["id", *[f"d{j}" for j in range(k)]])
+
+        own = labels.filter(F.col("cluster_id").isin(names)).select("id", "cluster_id")
+        parts.append(weights.rows.join(own, "id").mapInArrow(dots, f"id {id_type}, " + ", ".join(f"d{j} double" for j in range(k))))
+    dots = reduce(DataFrame.unionByName, parts).groupBy("id").agg(*[F.sum(f"d{j}").alias(f"d{j}") for j in range(k)])
+    dots = dots.select("id", F.posexplode(F.array(*[f"d{j}" for j in range(k)])).alias("centre", "dot"))
     away = labels.join(F.broadcast(lengths), "cluster_id").join(dots, ["id", "centre"], "left").withColumn(
         "d", F.col("length") - 2 * F.coalesce("dot", F.lit(0.0)))
     own = F.max(F.when(F.col("centre") == F.col("subtopic"), F.col("d")))
@@ -85,6 +101,19 @@ def _checked(weights, clusters):
         F.count(F.when(F.col("own") > F.col("least") + 1e-9, 1)).alias("not_nearest"))
 
 
+def _shippable(centres):
+    """Names of clusters, in groups whose centres fit a broadcast."""
+    groups, held = [[]], 0
+    for c, m in centres.items():
+        size = m.codes.nbytes + m.matrix.nbytes
+        if groups[-1] and held + size > BROADCAST_BYTES:
+            groups.append([])
+            held = 0
+        groups[-1].append(c)
+        held += size
+    return groups
+
+
 def subtopics_of_sources(spark, sf_dir):
     """The topic trees of all source clusters at once."""
     return topics.topics_of_clusters(texts(spark, sf_dir), _sources(spark, sf_dir), stop_words=STOP_WORDS, shown=titles(spark, sf_dir))
@@ -92,7 +121,7 @@ def subtopics_of_sources(spark, sf_dir):
 
 def subtopics_of_clusters_check(spark, sf_dir):
     """The check of every cluster, added up."""
-    return _checked(stored(_weights(spark, sf_dir), "weights"), _sources(spark, sf_dir)).agg(*[F.sum(c).alias(c) for c in ("rows", "ids", "outside", "not_nearest")])
+    return _checked(_weights(spark, sf_dir), _sources(spark, sf_dir)).agg(*[F.sum(c).alias(c) for c in ("rows", "ids", "outside", "not_nearest")])
 
 
 def subtopic_terms(spark, sf_dir):
