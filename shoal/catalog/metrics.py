@@ -46,7 +46,8 @@ def within_cluster_pairs(spark, sf_dir):
 
 
 def metrics_scaled(spark, sf_dir):
-    return _rounded(report.scaled(metric_table(spark, sf_dir)), "scaled")
+    table = evaluate(vectors(spark, sf_dir), assignments(spark, sf_dir), None, SEED)  # the silhouette of all rows
+    return _rounded(report.scaled(_rounded(table, *METRICS)), "scaled")
 
 
 def metrics_ranked(spark, sf_dir):
@@ -155,6 +156,9 @@ signed AS (SELECT *, CASE WHEN metric IN ({", ".join(f"'{m}'" for m, up in HIGHE
   ELSE -value END AS s FROM long),
 ranked AS (SELECT k, variant, metric, value, rank() OVER (PARTITION BY k, metric ORDER BY s DESC) AS rank FROM signed)
 """
+_SAMPLED = f"sampled AS (SELECT id FROM vectors ORDER BY md5(id || ':{SEED}'), id LIMIT {SAMPLE})"
+assert _SAMPLED in _BASE
+_WHOLE = _BASE.replace(_SAMPLED, "sampled AS (SELECT id FROM vectors)")
 _DBI_BY_K = _BASE + ", by_k AS (SELECT k, dbi FROM m_dbi WHERE variant = 'baseline_length_buckets')"
 
 SQL = {
@@ -163,7 +167,7 @@ SQL = {
     "main_metrics": _BASE + "SELECT * FROM metrics WHERE variant = 'kmeans'",
     "within_cluster_pairs": _BASE + """SELECT k, variant, cluster_id, n, round(pair_sum, 6) AS pair_sum,
       round(pair_max, 6) AS pair_max FROM pairs""",
-    "metrics_scaled": _BASE + """SELECT k, variant, metric, round((s - lo) / CASE WHEN hi = lo THEN 1 ELSE hi - lo END, 6) AS scaled
+    "metrics_scaled": _WHOLE + """SELECT k, variant, metric, round((s - lo) / CASE WHEN hi = lo THEN 1 ELSE hi - lo END, 6) AS scaled
       FROM (SELECT *, min(s) OVER w AS lo, max(s) OVER w AS hi FROM signed WINDOW w AS (PARTITION BY k, metric))""",
     "metrics_ranked": _BASE + "SELECT * FROM ranked",
     "metrics_rank_table": _BASE + "SELECT k, variant, " + ", ".join(

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from shoal.functions.vectors import block, squared_distances, values
 from shoal.operators.centroids import Labelled, _per_labeling, centroids, spreads, with_labels
-from shoal.operators.pairs import TILE_ROWS, split_tiles, tile_pairs, within_group_distances
+from shoal.operators.pairs import STRIP_ROWS, TILE_ROWS, split_tiles, tile_pairs, within_group_distances
 from shoal.operators.sampling import sample_ids
 from shoal.session import BROADCAST_BYTES, BROADCAST_ROWS, checkpoint
 
@@ -34,6 +34,10 @@ HIGHER_IS_BETTER = {
 }
 
 SILHOUETTE_SAMPLE = 3000
+# Of the silhouette of all rows: rows of a tile, bytes of its sums, clusters up to which distances are added by a matrix product.
+SILHOUETTE_ROWS = 4096
+SILHOUETTE_BYTES = 64 * 1024 * 1024
+SILHOUETTE_COLUMNS = 256
 
 
 class Evaluation:
@@ -195,13 +199,16 @@ class Evaluation:
     def dunn(self) -> DataFrame:
         return self.pair_metrics().select("lab", "dunn")
 
-    def silhouette(self, sample_size: int = SILHOUETTE_SAMPLE, seed=42, metric: str = "euclidean") -> DataFrame:
+    def silhouette(self, sample_size: int | None = SILHOUETTE_SAMPLE, seed=42, metric: str = "euclidean") -> DataFrame:
+        """(lab, silhouette) inside one sample, or of all rows for a `sample_size` of None."""
         self.check_cluster_counts()
+        if sample_size is None:
+            return whole_silhouette(self.labelled, self.means, metric)
         return sampled_silhouette(self.labelled, sample_size, seed, metric)
 
     # -- all --------------------------------------------------------------------------------------------------
 
-    def table(self, sample_size: int = SILHOUETTE_SAMPLE, seed=42) -> DataFrame:
+    def table(self, sample_size: int | None = SILHOUETTE_SAMPLE, seed=42) -> DataFrame:
         """One row per labeling with the nine metrics, `k` and `variant`."""
         out = self.labelled.labeling_table()
         for part in (self.silhouette(sample_size, seed), self.chi(), self.pair_metrics(), self.cosine_intra(),
@@ -309,6 +316,108 @@ def sampled_silhouette(labelled: Labelled, sample_size: int, seed=42, metric: st
     return partial.groupBy("lab").agg((F.sum("total") / F.sum("n")).alias("silhouette"))
 
 
+def whole_silhouette(labelled: Labelled, means: DataFrame, metric: str = "euclidean", tile_rows: int | None = None) -> DataFrame:
+    """(lab, silhouette): mean silhouette over all rows; `means(lab, cluster_id, n)` has a row to each cluster.
+
+    The work is quadratic. Rows are packed into tiles; a task holds one of them with its sums by cluster, and all tiles stream past it, read
+    again and again where they are saved: they are shuffled once, pairs of rows never. Sums of a tile take SILHOUETTE_BYTES at most.
+    """
+    spark = labelled.rows.sparkSession
+    table = means.select("lab", "cluster_id", "n").toArrow()  # a row to a cluster
+    labs, clusters, sizes = (values(table.column(c)).astype(np.int64) for c in ("lab", "cluster_id", "n"))
+    order = np.lexsort((clusters, labs))
+    labs, clusters, sizes = labs[order], clusters[order], sizes[order]
+    starts = np.searchsorted(labs, np.arange(len(labelled.labelings) + 1))
+    n = int(sizes[:starts[1]].sum())
+    if tile_rows is None:
+        even = -(-n // (2 * spark.sparkContext.defaultParallelism))
+        tile_rows = max(16, min(SILHOUETTE_ROWS, max(256, even), SILHOUETTE_BYTES // (8 * len(sizes))))
+    tiles = -(-n // tile_rows)
+    shipped = spark.sparkContext.broadcast((starts, clusters, sizes))
+
+    def pack(key: tuple, rows: pa.Table) -> pa.Table:
+        starts, clusters, _ = shipped.value
+        x = block(rows.column("vec"))
+        if metric == "cosine":
+            norms = np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+            x = np.divide(x, norms, out=np.zeros_like(x), where=norms > 0)
+        codes = np.zeros((len(x), len(starts) - 1), np.int32)
+        for lab, at, own in _per_labeling(rows.combine_chunks().to_batches()[0]):
+            codes[at, lab] = starts[lab] + np.searchsorted(clusters[starts[lab]:starts[lab + 1]], own)
+        return pa.table({"tile": pa.array([key[0].as_py()], pa.int32()), "rows": [len(x)], "vec": [x.tobytes()], "codes": [codes.tobytes()]})
+
+    tile = F.pmod(F.xxhash64("id"), F.lit(tiles)).cast("int").alias("tile")
+    packed = labelled.rows.select(tile, "vec", "labs").groupBy("tile").applyInArrow(pack, "tile int, rows long, vec binary, codes binary")
+    packed = checkpoint(packed)
+    queries = packed.select("tile", F.col("rows").alias("q_rows"), F.col("vec").alias("q_vec"), F.col("codes").alias("q_codes"))
+    queries = queries.withColumnRenamed("tile", "q_tile").repartition(tiles)
+    pairs = packed.coalesce(1).hint("shuffle_replicate_nl").crossJoin(queries)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts, _, sizes = shipped.value
+        held = {}
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i] for c in batch.schema.names}
+                name = row["q_tile"].as_py()
+                if name not in held:
+                    held[name] = (*_tile(row["q_rows"], row["q_vec"], row["q_codes"]), np.zeros((row["q_rows"].as_py(), len(sizes))))
+                x, _, sums = held[name]
+                y, codes = _tile(row["rows"], row["vec"], row["codes"])
+                _add_distances(sums, x, y, codes, starts, metric, row["tile"].as_py() == name)
+        for x, codes, sums in held.values():
+            found = [_silhouettes(sums[:, a:b], sizes[a:b], codes[:, lab] - a) for lab, (a, b) in enumerate(zip(starts, starts[1:]))]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(len(found), dtype=np.int32)), pa.array([float(s.sum()) for s in found]), pa.array([len(x)] * len(found))],
+                names=["lab", "total", "n"])
+
+    partial = pairs.mapInArrow(measure, "lab int, total double, n long")
+    return partial.groupBy("lab").agg((F.sum("total") / F.sum("n")).alias("silhouette"))
+
+
+def _tile(rows, vec, codes) -> tuple[np.ndarray, np.ndarray]:
+    n = rows.as_py()
+    return np.frombuffer(vec.as_buffer()).reshape(n, -1), np.frombuffer(codes.as_buffer(), np.int32).reshape(n, -1)
+
+
+def _add_distances(sums: np.ndarray, x: np.ndarray, y: np.ndarray, codes: np.ndarray, starts: np.ndarray, metric: str, same: bool) -> None:
+    """Add the distances of the rows x to the rows y, by the clusters of y in every labeling."""
+    if few := sums.shape[1] <= SILHOUETTE_COLUMNS:
+        member = np.zeros((len(y), sums.shape[1]))
+        for own in codes.T:
+            member[np.arange(len(y)), own] = 1.0
+    else:
+        orders = [np.argsort(own, kind="stable") for own in codes.T]
+        runs = [np.flatnonzero(np.diff(own[o], prepend=-1)) for own, o in zip(codes.T, orders)]
+    for start in range(0, len(x), STRIP_ROWS):
+        strip = x[start:start + STRIP_ROWS]
+        dist = 1.0 - strip @ y.T if metric == "cosine" else np.sqrt(squared_distances(strip, y))
+        if same:
+            at = np.arange(len(strip))
+            dist[at, start + at] = 0.0
+        out = sums[start:start + STRIP_ROWS]
+        if few:
+            out += dist @ member
+        else:
+            for own, o, first in zip(codes.T, orders, runs):
+                out[:, own[o[first]]] += np.add.reduceat(dist[:, o], first, axis=1)
+
+
+def _silhouettes(sums: np.ndarray, sizes: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Of each row, from its sums of distances by cluster."""
+    if len(sizes) < 2:
+        return np.full(len(own), np.nan)
+    at = np.arange(len(own))
+    inside = sums[at, own] / np.maximum(sizes[own] - 1, 1)
+    others = sums / sizes[None, :]
+    others[at, own] = np.inf
+    outside = others.min(axis=1)
+    scale = np.maximum(inside, outside)
+    s = np.divide(outside - inside, scale, out=np.zeros_like(scale), where=scale > 0)
+    s[sizes[own] == 1] = 0.0
+    return s
+
+
 def _silhouette_sum(dist: np.ndarray, mine: np.ndarray, names: np.ndarray, missing: int) -> tuple[float, int]:
     used = np.flatnonzero(names != missing)
     found, index, counts = np.unique(names[used], return_inverse=True, return_counts=True)
@@ -318,20 +427,11 @@ def _silhouette_sum(dist: np.ndarray, mine: np.ndarray, names: np.ndarray, missi
     order = np.argsort(index, kind="stable")
     starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
     sums = np.add.reduceat(dist[np.ix_(rows, used[order])], starts, axis=1)
-    own = np.searchsorted(found, names[mine[rows]])
-    at = np.arange(len(rows))
-    inside = sums[at, own] / np.maximum(counts[own] - 1, 1)
-    others = sums / counts[None, :]
-    others[at, own] = np.inf
-    outside = others.min(axis=1)
-    scale = np.maximum(inside, outside)
-    s = np.divide(outside - inside, scale, out=np.zeros_like(scale), where=scale > 0)
-    s[counts[own] == 1] = 0.0
-    return float(s.sum()), len(rows)
+    return float(_silhouettes(sums, counts, np.searchsorted(found, names[mine[rows]])).sum()), len(rows)
 
 
-def evaluate(vectors: DataFrame, assignments: DataFrame, sample_size: int = SILHOUETTE_SAMPLE, seed=42) -> DataFrame:
-    """The metric table of every labeling in `assignments`; the vectors are expected to be normalised.
+def evaluate(vectors: DataFrame, assignments: DataFrame, sample_size: int | None = SILHOUETTE_SAMPLE, seed=42) -> DataFrame:
+    """The metric table of every labeling in `assignments`; the vectors are expected to be normalised. No `sample_size`: silhouettes of all rows.
 
     The labelled vectors are read four times, so they are kept for the duration of the call.
     """
