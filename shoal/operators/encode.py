@@ -149,7 +149,7 @@ def hashed_tfidf(tokens: DataFrame, dims: int, n_docs: int | None = None) -> Dat
             lengths[np.flatnonzero(~values(column.is_valid()).astype(bool))] = 0
             flat = column.flatten()
             at = np.repeat(np.arange(batch.num_rows), lengths) * dims + values(flat.field("dim"))
-            dense = np.bincount(at, weights=values(flat.field("w")), minlength=batch.num_rows * dims).reshape(-1, dims)
+            dense = np.bincount(at, weights=values(flat.field("w")), minlength=batch.num_rows * dims).astype(np.float64).reshape(-1, dims)  # without cells they are ints
             norm = np.sqrt(np.einsum("ij,ij->i", dense, dense))[:, None]
             dense = np.divide(dense, norm, out=np.zeros_like(dense), where=norm > 0)
             yield pa.RecordBatch.from_arrays([batch.column("id"), list_column(dense)], names=["id", "vec"])

@@ -86,7 +86,7 @@ def counted(terms: Terms) -> Counts:
             offsets, codes = bytes_lists(batch.column("codes"), np.int32)
             w = bytes_lists(batch.column("counts"), np.int32)[1] * shipped.value[unstepped(offsets, codes)]
             row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.bincount(row, weights=w * w, minlength=batch.num_rows))], names=["id", "square"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.bincount(row, weights=w * w, minlength=batch.num_rows).astype(np.float64))], names=["id", "square"])
 
     # A row alone gives its length itself; only ids that come again need that of all their rows.
     again = terms.packed.mapInArrow(squares, f"id {id_type}, square double").groupBy(F.col("id").alias("_id")).agg(
