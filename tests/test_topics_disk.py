@@ -92,3 +92,13 @@ def test_sample_titles_with_labels_that_have_none(spark):
     labels = spark.createDataFrame([(0, 0), (1, 0), (1, 0), (2, 1), (3, 1), (5, 1)], "id long, subtopic int")
     got = sorted((r.subtopic, r["rank"], r.id) for r in topics.sample_titles(titles, labels, 2).collect())
     assert got == [(0, 1, 1), (0, 2, 1), (1, 1, 2), (1, 2, 5)]
+
+
+def test_tables_of_many_clusters_go_too(spark):
+    titles = spark.createDataFrame(TITLES, "id long, title string")
+    clusters = titles.select("id", F.pmod(F.coalesce("id", F.lit(0)), F.lit(7)).alias("cluster_id"))
+    names = ("words", "occurrences", "weights", "packed", "grams", "sums")
+    before = kept(spark, *names)
+    tree = topics.topics_of_clusters(titles, clusters, 2, []).collect()
+    assert sum(r["size"] for r in tree) == len(TITLES) and {r.cluster_id for r in tree} == set(range(7))
+    assert kept(spark, *names) == before
